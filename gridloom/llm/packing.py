@@ -11,11 +11,14 @@ id and text are pieces of their own.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections import deque
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,25 +26,55 @@ from gridloom.llm.common import map_arrow
 
 SEQUENCE = 4096
 END = 1
+#: Bytes of text that are tokenised together.
+SLICE = 8 << 20
+#: Distinct words in each of the two generations of a worker's cache.
+KEPT = 500_000
 
 
 class WordIds(dict):
-    """white-space-delimited word -> uint32 ids as bytes; emptied when it has grown to a million words."""
+    """white-space-delimited word -> uint32 ids as bytes; holds the words of the last one or two ``KEPT`` lookups of new ones."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.old: dict[str, bytes] = {}
+        self.pack = [struct.Struct(f"<{n}I").pack for n in range(64)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text. No token of this vocabulary crosses white space, so words are encoded once each."""
-        split = [t.split() for t in texts]
-        if len(self) > 1_000_000:
+    def learn(self, words: list[str]) -> None:
+        if len(self) > KEPT:
+            self.old = dict(self)
             self.clear()
-        new = list({w for words in split for w in words}.difference(self))
-        for word, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self[word] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(self.__getitem__, words)) for words in split]
+        new = []
+        for w in words:
+            if w not in self:
+                if (ids := self.old.get(w)) is None:
+                    new.append(w)
+                else:
+                    self[w] = ids
+        for word, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            ids = e.ids
+            self[word] = self.pack[len(ids)](*ids) if len(ids) < 64 else np.array(ids, "<u4").tobytes()
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, each text's first place and the end).
+
+        No token of this vocabulary crosses white space: each distinct word of the texts is looked up once.
+        """
+        words = pc.ascii_split_whitespace(texts)
+        each = words.flatten().dictionary_encode()
+        distinct = each.dictionary.to_pylist()
+        self.learn(distinct)
+        raw = list(map(self.__getitem__, distinct))
+        length = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        flat, first = np.frombuffer(b"".join(raw), "<u4"), np.cumsum(length) - length
+        at = each.indices.to_numpy()
+        n = length[at]
+        end = np.cumsum(n)
+        ids = flat[np.arange(end[-1] if len(end) else 0) + np.repeat(first[at] - (end - n), n)]
+        offsets = words.offsets.to_numpy()
+        return ids, np.concatenate([[0], end])[offsets - offsets[0]]
 
 
 _LOADED: dict[str, WordIds] = {}
@@ -83,24 +116,35 @@ def best_fit(lengths: Iterable[int], size: int = SEQUENCE, open_bins: int = 1024
             held -= 1
 
 
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Stretches of about SLICE bytes of text, a row at least."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + SLICE, side="right")))
+        yield lo, hi
+        lo = hi
+
+
 def tokenised_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", size: int = SEQUENCE, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and, if asked for, the ids of every piece."""
 
     def run(batches):
         table = _ids(tokenizer)
-        end = np.uint32(END).tobytes()
         for batch in batches:
-            given, ids = batch.column("doc_id"), [t or "" for t in batch.column("body").to_pylist()]
-            for lo in range(0, len(ids), 256):
+            given, bodies = batch.column("doc_id"), pc.fill_null(batch.column("body"), "")
+            for lo, hi in _slices(bodies):
+                ids, first = table.encode(bodies.slice(lo, hi - lo))
                 out = {c: [] for c in ("at", "piece", "start", "length", "ids_crc32", "ids")}
-                for i, raw in enumerate(table.encode(ids[lo : lo + 256]), lo):
-                    raw += end
-                    for p, a in enumerate(range(0, len(raw), 4 * size)):
-                        part = raw[a : a + 4 * size]
-                        row = (i, p, a // 4, len(part) // 4, zlib.crc32(part), np.frombuffer(part, "<i4") if with_ids else None)
+                for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True), lo):
+                    own = np.empty(b - a + 1, "<u4")
+                    own[:-1], own[-1] = ids[a:b], END
+                    for p, x in enumerate(range(0, len(own), size)):
+                        part = own[x : x + size]
+                        row = (i, p, x, len(part), zlib.crc32(part), part.view("<i4") if with_ids else None)
                         for c, v in zip(out, row, strict=True):
                             out[c].append(v)
-                yield {"doc_id": given.take(np.array(out.pop("at"))), **out}
+                yield {"doc_id": given.take(pa.array(out.pop("at"), pa.int64())), **out}
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("body"))
     out = map_arrow(slim, run, "doc_id long, piece int, start long, length long, ids_crc32 long, ids array<int>")
@@ -120,7 +164,6 @@ def pack(pieces: DataFrame, rows: int, size: int = SEQUENCE, open_bins: int = 10
     schema = dealt.drop("_h", "_g").withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long")).schema
 
     def run(batches):
-        import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_schema
 
         target = to_arrow_schema(schema)
