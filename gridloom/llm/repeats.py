@@ -95,16 +95,16 @@ def _hash_rows(kind: Kind):
     def run(batches):
         for batch in batches:
             bodies = batch.column("body").to_pylist()
-            ids, tags = batch.column("doc_id"), batch.column("tag")
+            ids, tags = batch.column("doc_id"), batch.column("tag").to_numpy()
             for lo in range(0, len(bodies), 512):
-                who, hs, js = [], [], []
+                who, hs, js = [], [], []  # tag (31 bits) and run number share a long: these rows are the widest shuffle
                 for i, _, h, *_ in runs(bodies[lo : lo + 512], kind):
                     who.append(np.full(len(h), lo + i))
                     hs.append(h.view(np.int64))
                     js.append(np.arange(len(h), dtype=np.int64))
                 if who:
-                    at = pa.array(np.concatenate(who))
-                    yield {"h": np.concatenate(hs), "doc_id": ids.take(at), "tag": tags.take(at), "j": np.concatenate(js)}
+                    at = np.concatenate(who)
+                    yield {"h": np.concatenate(hs), "doc_id": ids.take(pa.array(at)), "tj": (tags[at] << 32) | np.concatenate(js)}
 
     return run
 
@@ -134,13 +134,18 @@ def _chosen(batches, kind: Kind) -> Iterator[tuple[Any, int, bytes, Any, int, in
                     yield ids[i], tags[i], bodies[i], state, int(h[j].view(np.int64)), int(b[j]), int(s0[j]), int(s1[j]), bool(j2 & 1)
 
 
+def _name(pack: bytes, at: int) -> int:
+    """With the minimiser's hash: 128 bits that stand for a packed string and its minimiser's place."""
+    return xxhash.xxh3_64_intdigest(pack, at) - (1 << 63)
+
+
 def _packed_rows(kind: Kind):
     """Distinct packed strings of a task, with how often and in which least document: equal ones are one row."""
 
     def flush(held):
         keys = list(held)
         vals = list(held.values())
-        return {"h": [x[0] for x in keys], "k": [v[0] for v in vals], "at": [x[1] for x in keys], "pack": [x[2] for x in keys], "n": [v[1] for v in vals], "first": [v[2] for v in vals]}
+        return {"h": [x[0] for x in keys], "at": [x[1] for x in keys], "pack": [x[2] for x in keys], "n": [v[0] for v in vals], "first": [v[1] for v in vals]}
 
     def run(batches):
         held, size = {}, 0
@@ -150,10 +155,10 @@ def _packed_rows(kind: Kind):
             pack = kind.packed(body, state, s0, s1 + kind.window)
             key, doc = (h, b - s0, pack), MAX_ID if doc_id is None else doc_id
             if v := held.get(key):
-                v[1] += 1
-                v[2] = min(v[2], doc)
+                v[0] += 1
+                v[1] = min(v[1], doc)
                 continue
-            held[key] = [xxhash.xxh3_64_intdigest(pack, b - s0) - (1 << 63), 1, doc]
+            held[key] = [1, doc]
             size += len(pack) + 200
             if size > COMBINE_BYTES:
                 yield flush(held)
@@ -172,7 +177,7 @@ def _place_rows(kind: Kind):
             if hot:
                 continue
             pack = kind.packed(body, state, s0, s1 + kind.window)
-            for c, v in zip(cols, (h, xxhash.xxh3_64_intdigest(pack, b - s0) - (1 << 63), doc_id, tag, s0, s1 - s0 + 1), strict=True):
+            for c, v in zip(cols, (h, _name(pack, b - s0), doc_id, tag, s0, s1 - s0 + 1), strict=True):
                 out[c].append(v)
             if len(out["h"]) >= 50_000:
                 yield out
@@ -206,27 +211,28 @@ def _window_rows(kind: Kind):
 
 
 def _solve_rows(kind: Kind):
-    """Rows arrive sorted by (h, k): combine equal packs, hand groups to the solver."""
+    """Rows arrive sorted by h: combine equal packs, hand groups to the solver."""
 
     def solved(rows):
-        spans = kind.solve([r[0] for r in rows], [r[3] for r in rows], [r[2] for r in rows], [r[4] for r in rows], [r[5] for r in rows])
-        keep = [i for i, r in enumerate(rows) if spans[i] or r[4] > 1]
-        return {"h": [rows[i][0] for i in keep], "k": [rows[i][1] for i in keep], "first": [rows[i][5] for i in keep], "spans": [spans[i] for i in keep]}
+        h, at, packs, n, first = (list(x) for x in zip(*rows, strict=True))
+        spans = kind.solve(h, packs, at, n, first)
+        keep = [i for i in range(len(rows)) if spans[i] or n[i] > 1]
+        return {"h": [h[i] for i in keep], "k": [_name(packs[i], at[i]) for i in keep], "first": [first[i] for i in keep], "spans": [spans[i] for i in keep]}
 
     def run(batches):
         rows, last = [], {}
         for batch in batches:
-            for h, k, at, pack, n, first in zip(*(batch.column(c).to_pylist() for c in ("h", "k", "at", "pack", "n", "first")), strict=True):
+            for h, at, pack, n, first in zip(*(batch.column(c).to_pylist() for c in ("h", "at", "pack", "n", "first")), strict=True):
                 if rows and rows[-1][0] != h:
                     last = {}
                     if len(rows) >= SOLVE_ROWS:
                         yield solved(rows)
                         rows = []
                 if (r := last.get((at, pack))) is not None:
-                    r[4] += n
-                    r[5] = min(r[5], first)
+                    r[3] += n
+                    r[4] = min(r[4], first)
                     continue
-                rows.append(r := [h, k, at, pack, n, first])
+                rows.append(r := [h, at, pack, n, first])
                 last[at, pack] = r
         if rows:
             yield solved(rows)
@@ -238,14 +244,15 @@ def repeated_spans(docs: DataFrame, kind: Kind, hot: int = 50_000) -> tuple[Data
     """docs: ``doc_id, tag, body``. Returns (doc_id, tag, body) of the texts that have runs with a minimiser seen
     twice, and (doc_id, tag, spans) with the places [a, b) of repeated windows' starts. A null id is the largest."""
     counts = map_arrow(docs.select("body"), _count_rows(kind), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
+    run_no = F.col("tj").bitwiseAND((1 << 32) - 1)
     picked = (
-        map_arrow(docs, _hash_rows(kind), "h long, doc_id long, tag long, j long")
+        map_arrow(docs, _hash_rows(kind), "h long, doc_id long, tj long")
         .join(counts.select("h", (F.col("n") > hot).cast("long").alias("hot")), "h")
-        .groupBy("doc_id", "tag").agg(F.collect_set(F.col("j") * 2 + F.col("hot")).alias("js"))
+        .groupBy("doc_id", F.shiftright("tj", 32).alias("tag")).agg(F.collect_set(run_no * 2 + F.col("hot")).alias("js"))
     )
     chosen = on_key(docs, picked, "inner")
     found = map_arrow(
-        map_arrow(chosen, _packed_rows(kind), "h long, k long, at int, pack binary, n long, first long").repartition("h").sortWithinPartitions("h", "k"),
+        map_arrow(chosen, _packed_rows(kind), "h long, at int, pack binary, n long, first long").repartition("h").sortWithinPartitions("h"),
         _solve_rows(kind), "h long, k long, first long, spans array<int>",
     )
     places = map_arrow(chosen, _place_rows(kind), "h long, k long, doc_id long, tag long, s0 int, nw int")
