@@ -103,7 +103,8 @@ def simhash(rows, threshold=3, shingle=3):
 
     def root(x):
         while parent[x] != x:
-            x = parent[x] = parent[parent[x]]
+            parent[x] = parent[parent[x]]
+            x = parent[x]
         return x
 
     for i, a in enumerate(names):
