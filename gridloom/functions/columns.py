@@ -85,7 +85,8 @@ def decode_correlation(raw) -> Column:
 def hypot_raw(a, b) -> Column:
     """Half-even rounded root of squares in the raw domain; nodata if either is."""
     a, b = col(a), col(b)
-    v = F.rint(F.sqrt((a * a + b * b).cast("double")))
+    x, y = a.cast("double"), b.cast("double")
+    v = F.rint(F.sqrt(x * x + y * y))
     return F.when((a != U16_NODATA) & (b != U16_NODATA), F.least(F.lit(float(U16)), v).cast("int")).otherwise(U16_NODATA)
 
 

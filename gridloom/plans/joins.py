@@ -118,24 +118,25 @@ def yearly(obs):
     return obs.groupBy("r", "c", "yr").agg(F.median("z").alias("z"))
 
 
-CELL = W.partitionBy("r", "c").orderBy("yr")
+def cell():
+    return W.partitionBy("r", "c").orderBy("yr")
 
 
 @query("obs", "SELECT r, c, yr, round((d - lag(d) OVER w)/2, 8) AS dd FROM (SELECT *, z - lag(z) OVER (PARTITION BY r, c ORDER BY yr) AS d FROM y) WINDOW w AS (PARTITION BY r, c ORDER BY yr)", YEARLY)
 def w02_second_difference(obs):
-    d = yearly(obs).withColumn("d", F.col("z") - F.lag("z").over(CELL))
-    return d.select("r", "c", "yr", F.round((F.col("d") - F.lag("d").over(CELL)) / 2, 8).alias("dd"))
+    d = yearly(obs).withColumn("d", F.col("z") - F.lag("z").over(cell()))
+    return d.select("r", "c", "yr", F.round((F.col("d") - F.lag("d").over(cell())) / 2, 8).alias("dd"))
 
 
 @query("obs", "SELECT r, c, yr, round(avg(z) OVER (PARTITION BY r, c ORDER BY yr ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 8) AS m FROM y", YEARLY)
 def w03_rolling_mean(obs):
-    return yearly(obs).select("r", "c", "yr", F.round(F.avg("z").over(CELL.rowsBetween(-1, 1)), 8).alias("m"))
+    return yearly(obs).select("r", "c", "yr", F.round(F.avg("z").over(cell().rowsBetween(-1, 1)), 8).alias("m"))
 
 
 @query("obs", "SELECT r, c, yr, round(median(z) OVER (PARTITION BY r, c ORDER BY yr RANGE BETWEEN 1 PRECEDING AND 2 FOLLOWING), 8) AS m FROM y", YEARLY)
 def w04_rolling_year_median(obs):
     """A window of years -1..+2, both ends included."""
-    return yearly(obs).select("r", "c", "yr", F.round(F.percentile("z", F.lit(0.5)).over(CELL.rangeBetween(-1, 2)), 8).alias("m"))
+    return yearly(obs).select("r", "c", "yr", F.round(F.percentile("z", F.lit(0.5)).over(cell().rangeBetween(-1, 2)), 8).alias("m"))
 
 
 GRIDDED = "g AS (SELECT r, c, yr, max(CASE WHEN tag AND proba < 60 THEN z END) AS z FROM obs GROUP BY r, c, yr)"
@@ -144,8 +145,8 @@ GRIDDED = "g AS (SELECT r, c, yr, max(CASE WHEN tag AND proba < 60 THEN z END) A
 @query("obs", "SELECT r, c, yr, coalesce(last_value(z IGNORE NULLS) OVER (PARTITION BY r, c ORDER BY yr), first_value(z IGNORE NULLS) OVER (PARTITION BY r, c ORDER BY yr ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS z FROM g", GRIDDED)
 def w07_fill(obs):
     g = obs.groupBy("r", "c", "yr").agg(F.max(F.when(F.col("tag") & (F.col("proba") < 60), F.col("z"))).alias("z"))
-    back = F.first("z", ignorenulls=True).over(CELL.rowsBetween(0, W.unboundedFollowing))
-    return g.select("r", "c", "yr", F.coalesce(F.last("z", ignorenulls=True).over(CELL), back).alias("z"))
+    back = F.first("z", ignorenulls=True).over(cell().rowsBetween(0, W.unboundedFollowing))
+    return g.select("r", "c", "yr", F.coalesce(F.last("z", ignorenulls=True).over(cell()), back).alias("z"))
 
 
 @query("series", "SELECT event_id, epoch_us(ts) // 3600000000 * 3600 + (row_number() OVER (PARTITION BY track, epoch_us(ts) // 3600000000 ORDER BY event_id) - 1) AS t FROM series")
