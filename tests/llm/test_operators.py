@@ -227,3 +227,30 @@ def test_pipeline(spark, sf):
             assert 0 < docs.count() <= before
             before = docs.count()
     check_packing(out.toPandas(), [(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_similar_groups_follow_the_shingles(spark):
+    """Copies at a similarity over 0.9 are in their group, most of those at 0.82; texts changed by half are not."""
+    rng = np.random.default_rng(7)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    rows, groups, border = [], {}, {}
+    for g in range(0, 300, 10):
+        words = list(rng.choice(vocabulary, 300))
+        rows.append((g, " ".join(words)))
+        for k, changes in ((1, 1), (2, 3), (3, 6)):
+            near = list(words)
+            for at in rng.choice(300, changes, replace=False):
+                near[at] = "changed"
+            rows.append((g + k, " ".join(near).upper()))
+        rows.append((g + 4, " ".join(words[:150] + list(rng.choice(vocabulary, 150)))))
+        groups |= {g: g, g + 1: g, g + 2: g, g + 4: g + 4}
+        border |= {g + 3: g}
+    rows += [(1000, None), (1001, ""), (1002, "one"), (1003, "one"), (None, "nothing else is like this one here")]
+    groups |= {1000: 1000, 1001: 1000, 1002: 1002, 1003: 1002, None: None}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar(docs).collect()}
+    assert {k: v for k, v in got.items() if k not in border} == groups
+    assert sum(got[k] == v for k, v in border.items()) >= 0.7 * len(border)
+    kept = simhash.keep_dissimilar(docs)
+    assert {r.doc_id for r in kept.collect()} == set(got.values())
+    assert simhash.similar(docs.limit(0)).count() == 0
