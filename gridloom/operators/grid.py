@@ -36,7 +36,7 @@ def with_group_median(df: DataFrame, keys: list[str], value, name: str) -> DataF
 
 
 def linear_trend(df: DataFrame, keys: list[str], t: str, y: str) -> DataFrame:
-    """n, slope, intercept, r, sxx and the NMAD of residuals; null below two observations, slope and r 0 if y is flat."""
+    """n, slope, intercept, corr, sxx and the NMAD of residuals; null below two observations, slope and corr 0 if y is flat."""
     df = df.where(F.col(y).isNotNull() & F.col(t).isNotNull())
     fit = df.groupBy(*keys).agg(
         F.count("*").alias("n"), F.avg(t).alias("_mt"), F.avg(y).alias("_my"), F.regr_sxx(y, t).alias("sxx"), F.regr_sxy(y, t).alias("_sxy"), F.regr_syy(y, t).alias("_syy")
@@ -44,7 +44,7 @@ def linear_trend(df: DataFrame, keys: list[str], t: str, y: str) -> DataFrame:
     enough, flat = (F.col("n") >= 2) & (F.col("sxx") > 0), F.abs("_syy") <= 1e-12
     fit = fit.withColumn("slope", F.when(enough, F.when(flat, 0.0).otherwise(F.try_divide("_sxy", "sxx"))))
     fit = fit.withColumn("intercept", F.when(enough, F.col("_my") - F.col("slope") * F.col("_mt")))
-    fit = fit.withColumn("r", F.when(enough, F.when(flat, 0.0).otherwise(F.try_divide(F.col("_sxy"), F.sqrt(F.col("sxx") * F.col("_syy"))))))
+    fit = fit.withColumn("corr", F.when(enough, F.when(flat, 0.0).otherwise(F.try_divide(F.col("_sxy"), F.sqrt(F.col("sxx") * F.col("_syy"))))))
     both = df.select(*keys, t, y).join(fit.select(*keys, "slope", "intercept"), keys)
     res = both.withColumn("_e", F.col(y) - F.col("slope") * F.col(t) - F.col("intercept"))
     res = robust_stack(res, keys, "_e").select(*keys, "nmad")

@@ -38,8 +38,8 @@ def yearly(obs):
 
 @query("obs", "SELECT r, c, n, round(slope, 7) AS slope, round(mz - slope*mt, 7) AS intercept, round(CASE WHEN slope IS NULL THEN NULL WHEN abs(syy) <= 1e-12 THEN 0 ELSE sxy/sqrt(sxx*syy) END, 7) AS r_value, round(nmad, 4) AS nmad FROM t JOIN d USING (r, c)", MASKED, YEARS, TREND)
 def a17_linear_trend(obs):
-    t = G.linear_trend(yearly(obs).withColumnRenamed("r", "row_"), ["row_", "c"], "t", "z")
-    return t.select(F.col("row_").alias("r"), "c", "n", F.round("slope", 7).alias("slope"), F.round("intercept", 7).alias("intercept"), F.round("r", 7).alias("r_value"), F.round("nmad", 4).alias("nmad"))
+    t = G.linear_trend(yearly(obs), ["r", "c"], "t", "z")
+    return t.select("r", "c", "n", F.round("slope", 7).alias("slope"), F.round("intercept", 7).alias("intercept"), F.round("corr", 7).alias("r_value"), F.round("nmad", 4).alias("nmad"))
 
 
 @query("obs ref", "SELECT r, c, yr, CASE WHEN n >= 3 THEN round(z, 9) WHEN n >= 2 AND z < 700 THEN round(z, 9) WHEN stable THEN round(ref_z, 9) END AS z, CASE WHEN n >= 3 THEN 1 WHEN n >= 2 AND z < 700 THEN 2 WHEN stable THEN 3 ELSE 0 END AS quality FROM (SELECT r, c, yr, median(z) AS z, count(*) AS n FROM obs GROUP BY r, c, yr) JOIN ref USING (r, c)")

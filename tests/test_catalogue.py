@@ -65,5 +65,5 @@ def test_robust_stack(spark):
 def test_linear_trend(spark):
     data = [(1, 0.0, 1.0), (1, 1.0, 3.0), (1, 2.0, None), (1, 3.0, 7.0), (2, 0.0, 1.0), (2, 1.0, 1.0), (3, 0.0, 5.0)]
     got = {r.k: r for r in G.linear_trend(spark.createDataFrame(data, "k int, t double, y double"), ["k"], "t", "y").collect()}
-    assert (got[1].n, got[1].slope, got[1].intercept, got[1].r) == (3, pytest.approx(2), pytest.approx(1), pytest.approx(1))
-    assert math.isclose(got[1].sxx, 14 / 3) and (got[2].slope, got[2].r) == (0.0, 0.0) and got[3].slope is None
+    assert (got[1].n, got[1].slope, got[1].intercept, got[1].corr) == (3, pytest.approx(2), pytest.approx(1), pytest.approx(1))
+    assert math.isclose(got[1].sxx, 14 / 3) and (got[2].slope, got[2].corr) == (0.0, 0.0) and got[3].slope is None
