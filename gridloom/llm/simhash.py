@@ -253,6 +253,14 @@ def bit_limit(similarity: float) -> int:
     return round(bits * p + math.sqrt(bits * p * (1 - p)))
 
 
+def named(words: np.ndarray) -> np.ndarray:
+    """A 64-bit name of each row of words."""
+    name = words[:, 0]
+    for i in range(1, WORDS):
+        name = mix(name ^ SALTS[i]) ^ words[:, i]
+    return name.view(np.int64)
+
+
 def wide_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
     """doc_id, w0.. (the words of the fingerprint), fp (a 64-bit name of all words): a row per row."""
     names = [f"w{i}" for i in range(WORDS)]
@@ -260,10 +268,7 @@ def wide_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     def run(batches):
         for batch in batches:
             fps = np.array([wide_fingerprint(b or b"", shingle) for b in batch.column("body").to_pylist()], np.uint64).reshape(-1, WORDS)
-            name = fps[:, 0]
-            for i in range(1, WORDS):
-                name = mix(name ^ SALTS[i]) ^ fps[:, i]
-            yield {"doc_id": batch.column("doc_id"), "fp": name.view(np.int64)} | {n: fps[:, i].copy().view(np.int64) for i, n in enumerate(names)}
+            yield {"doc_id": batch.column("doc_id"), "fp": named(fps)} | {n: fps[:, i].copy().view(np.int64) for i, n in enumerate(names)}
 
     body = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("body"))
     return map_arrow(body, run, "doc_id long, fp long, " + ", ".join(f"{n} long" for n in names))
@@ -290,7 +295,8 @@ def _linked_wide(limit: int):
             seen += found.tolist()
         return out
 
-    def solved(anchor, fp, words):
+    def solved(anchor, words):
+        fp = named(words)
         edge = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
         size = np.diff(np.append(edge, len(anchor)))
         little = np.repeat(size <= 8, size)
@@ -314,14 +320,14 @@ def _linked_wide(limit: int):
     def run(batches):
         held = None
         for batch in batches:
-            now = [batch.column(n).to_numpy() for n in ("anchor", "fp", *names)]
+            now = [batch.column(n).to_numpy() for n in ("anchor", *names)]
             held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
             whole = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
             if whole:
-                if out := solved(held[0][:whole], held[1][:whole], np.stack(held[2:], axis=1)[:whole].view(np.uint64)):
+                if out := solved(held[0][:whole], np.stack(held[1:], axis=1)[:whole].view(np.uint64)):
                     yield out
                 held = [x[whole:] for x in held]
-        if held is not None and len(held[0]) > 1 and (out := solved(held[0], held[1], np.stack(held[2:], axis=1).view(np.uint64))):
+        if held is not None and len(held[0]) > 1 and (out := solved(held[0], np.stack(held[1:], axis=1).view(np.uint64))):
             yield out
 
     return run
@@ -330,7 +336,7 @@ def _linked_wide(limit: int):
 def similar_links(owners: DataFrame, limit: int, reach: int = 2) -> DataFrame:
     """owners: distinct fp with its words. (a, b): links of at most ``limit`` bits among those that share an anchor.
 
-    Every word in the first TABLES is copied to all anchors up to ``reach`` beyond the covering radius. Unlike a few
+    The copies don't carry fp, which follows from the words. Every word in the first TABLES is copied to all anchors up to ``reach`` beyond the covering radius. Unlike a few
     bits, a limit this wide isn't covered without fail: two fingerprints meet at an anchor with a probability of 0.64 a
     word at 0.8, of 0.76 at 0.85 and of 0.87 at 0.9 (measured on random pairs), so of 0.87, 0.94 and 0.98 over both.
     """
@@ -339,15 +345,15 @@ def similar_links(owners: DataFrame, limit: int, reach: int = 2) -> DataFrame:
     def spread(batches):
         cover = Cover(reach)
         for batch in batches:
-            fp, words = batch.column("fp").to_numpy(), [batch.column(n).to_numpy() for n in names]
-            for lo in range(0, len(fp), 2048):
+            words = [batch.column(n).to_numpy() for n in names]
+            for lo in range(0, len(words[0]), 2048):
                 for t in range(TABLES):
                     at, anchor = cover.anchors(words[t][lo : lo + 2048])
                     at = at + lo
-                    yield {"anchor": anchor | (t << 2 * BITS), "fp": fp[at]} | {n: w[at] for n, w in zip(names, words, strict=True)}
+                    yield {"anchor": anchor | (t << 2 * BITS)} | {n: w[at] for n, w in zip(names, words, strict=True)}
 
-    schema = ", ".join(f"{n} long" for n in ("anchor", "fp", *names))
-    copies = map_arrow(owners.select("fp", *names), spread, schema)
+    schema = ", ".join(f"{n} long" for n in ("anchor", *names))
+    copies = map_arrow(owners.select(*names), spread, schema)
     return map_arrow(copies.repartition("anchor").sortWithinPartitions("anchor"), _linked_wide(limit), "a long, b long").distinct()
 
 
