@@ -278,6 +278,38 @@ def _far(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
+#: Fingerprints that one task joins to trees before it hands them on.
+FOREST_NODES = 1 << 18
+
+
+class Trees:
+    """Links as trees whose roots are their smallest nodes: n linked fingerprints leave n - 1 links, however many anchors they share."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        up = self.up
+        top = x
+        while (above := up.setdefault(top, top)) != top:
+            top = above
+        while x != top:
+            up[x], x = top, up[x]
+        return top
+
+    def add(self, pairs: np.ndarray) -> None:
+        """pairs: two rows of linked nodes."""
+        for x, y in zip(*pairs.tolist(), strict=True):
+            x, y = self.root(x), self.root(y)
+            if x != y:
+                self.up[max(x, y)] = min(x, y)
+
+    def edges(self) -> dict[str, np.ndarray]:
+        pairs = [(top, x) for x in self.up if (top := self.root(x)) != x]
+        a, b = np.array(pairs, np.int64).reshape(-1, 2).T
+        return {"a": a, "b": b}
+
+
 def _linked_wide(limit: int):
     names = [f"w{i}" for i in range(WORDS)]
 
@@ -312,29 +344,32 @@ def _linked_wide(limit: int):
                 a.append(pair[:, 0])
                 b.append(pair[:, 1])
         if not a:
-            return None
+            return np.empty((2, 0), np.int64)
         a, b = fp[np.concatenate(a)], fp[np.concatenate(b)]
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-        return {"a": pairs[0], "b": pairs[1]} if pairs.size else None
+        return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
 
     def run(batches):
-        held = None
+        held, trees = None, Trees()
         for batch in batches:
             now = [batch.column(n).to_numpy() for n in ("anchor", *names)]
             held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
             whole = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
             if whole:
-                if out := solved(held[0][:whole], np.stack(held[1:], axis=1)[:whole].view(np.uint64)):
-                    yield out
+                trees.add(solved(held[0][:whole], np.stack(held[1:], axis=1)[:whole].view(np.uint64)))
                 held = [x[whole:] for x in held]
-        if held is not None and len(held[0]) > 1 and (out := solved(held[0], np.stack(held[1:], axis=1).view(np.uint64))):
-            yield out
+            if len(trees.up) > FOREST_NODES:
+                yield trees.edges()
+                trees = Trees()
+        if held is not None and len(held[0]) > 1:
+            trees.add(solved(held[0], np.stack(held[1:], axis=1).view(np.uint64)))
+        if trees.up:
+            yield trees.edges()
 
     return run
 
 
 def similar_links(owners: DataFrame, limit: int, reach: int = 2) -> DataFrame:
-    """owners: distinct fp with its words. (a, b): links of at most ``limit`` bits among those that share an anchor.
+    """owners: distinct fp with its words. (a, b): enough links to join those of at most ``limit`` bits that share an anchor.
 
     The copies don't carry fp, which follows from the words. Every word in the first TABLES is copied to all anchors up to ``reach`` beyond the covering radius. Unlike a few
     bits, a limit this wide isn't covered without fail: two fingerprints meet at an anchor with a probability of 0.64 a

@@ -254,3 +254,20 @@ def test_similar_groups_follow_the_shingles(spark):
     kept = simhash.keep_dissimilar(docs)
     assert {r.doc_id for r in kept.collect()} == set(got.values())
     assert simhash.similar(docs.limit(0)).count() == 0
+
+
+def test_trees_join_what_links_join():
+    rng = np.random.default_rng(5)
+    pairs = rng.integers(-40, 40, (2, 45))
+    trees = simhash.Trees()
+    for lo in range(0, 45, 7):
+        trees.add(pairs[:, lo : lo + 7])
+    groups = {x: {x} for x in pairs.ravel().tolist()}
+    for x, y in zip(*pairs.tolist(), strict=True):
+        whole = groups[x] | groups[y]
+        for z in whole:
+            groups[z] = whole
+    got = trees.edges()
+    assert dict(zip(got["b"].tolist(), got["a"].tolist(), strict=True)) == {x: min(g) for x, g in groups.items() if min(g) != x}
+    assert len(got["a"]) == len(set(got["b"].tolist()))
+    assert [len(x) for x in simhash.Trees().edges().values()] == [0, 0]
