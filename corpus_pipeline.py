@@ -26,7 +26,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, a similarity of 0.8 or more as wide fingerprints show it."""
+    """One document of each group of near copies: five-word shingles, a Jaccard similarity of 0.8 or more, taken from the texts."""
     return simhash.keep_dissimilar(docs, shingle=5, similarity=0.8)
 
 

@@ -11,6 +11,8 @@ Equal fingerprints are one before they are copied. In an anchor, links are follo
 reached, so a group of n alike gives n - 1 links, not n squared. Links are joined to components by alternating large and
 small stars over DataFrames. Null texts have the fingerprint zero; a null id is never a component's smallest unless it
 has no other (the component is then null).
+
+``similar`` groups by the Jaccard similarity of shingles instead; see there.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from itertools import combinations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import cut, drop_path, map_arrow, mix
@@ -57,12 +59,6 @@ def fingerprint(body: bytes, shingle: int = 3) -> int:
     return majority(shingle_hashes(body, shingle))
 
 
-def wide_fingerprint(body: bytes, shingle: int = 5) -> list[int]:
-    """WORDS fingerprints over independent hashes of the same shingles."""
-    hashes = shingle_hashes(body, shingle)
-    return [majority(mix(hashes ^ SALTS[i]) if i else hashes) for i in range(WORDS)]
-
-
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """doc_id, fp (the fingerprint as a signed long): a row per row."""
 
@@ -238,40 +234,61 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 # --- a similarity instead of a few bits ----------------------------------------------------------------
-
-#: Words of 64 bits in a wide fingerprint; the first TABLES of them are covered by anchors.
-WORDS, TABLES = 3, 2
+#
+# Fingerprints only say which pairs to look at; a link is made where the Jaccard similarity of the distinct shingles, taken
+# from the texts, reaches the threshold. Texts are looked at together if they share a shingle of their prefixes: of n distinct
+# shingles in the order of their hashes the first n - ceil(s n) + 1. Two sets of similarity s or more share one without fail:
+# at least ceil(s n) of a set's shingles are common, so the least common one is in both prefixes. Of the texts under a shingle,
+# those whose wide fingerprints differ in at most ``bit_limit`` bits are joined to candidate groups, which are solved exactly.
+
+#: Words of 64 bits in a wide fingerprint.
+WORDS = 3
 #: Fixed values that tell the hashes of a wide fingerprint's words apart.
 SALTS = np.array([0, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+#: Standard deviations that the bit limit of candidates lies above what the similarity leads one to expect.
+DEVIATIONS = 5
 
 
 def bit_limit(similarity: float) -> int:
-    """Differing bits up to which wide fingerprints are linked: what a Jaccard similarity (of sets of equal size) leads
-    one to expect by the angle, and one standard deviation more."""
+    """Differing bits up to which texts are candidates: what a Jaccard similarity leads one to expect by the angle (sets of
+    equal size differ most), and DEVIATIONS standard deviations more, so that hardly any similar pair is beyond."""
     bits = 64 * WORDS
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(bits * p + math.sqrt(bits * p * (1 - p)))
+    return round(bits * p + DEVIATIONS * math.sqrt(bits * p * (1 - p)))
+
+
+def shingle_set(body: bytes, shingle: int) -> np.ndarray:
+    """Distinct shingle hashes in ascending order; texts without words are alike and have the one value 0."""
+    hashes = np.unique(shingle_hashes(body, shingle))
+    return hashes if len(hashes) else np.zeros(1, np.uint64)
+
+
+def prefix_size(n: int, similarity: float) -> int:
+    return n - math.ceil(similarity * n - 1e-9) + 1
 
 
-def named(words: np.ndarray) -> np.ndarray:
-    """A 64-bit name of each row of words."""
-    name = words[:, 0]
-    for i in range(1, WORDS):
-        name = mix(name ^ SALTS[i]) ^ words[:, i]
-    return name.view(np.int64)
+def text_key(text: Column) -> Column:
+    """64 bits that stand for a text (null: empty)."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def wide_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """doc_id, w0.. (the words of the fingerprint), fp (a 64-bit name of all words): a row per row."""
+def wide_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """doc_id, key (of the text), w0.. (the words of the fingerprint), prefix (of the shingles): a row per row."""
     names = [f"w{i}" for i in range(WORDS)]
 
     def run(batches):
         for batch in batches:
-            fps = np.array([wide_fingerprint(b or b"", shingle) for b in batch.column("body").to_pylist()], np.uint64).reshape(-1, WORDS)
-            yield {"doc_id": batch.column("doc_id"), "fp": named(fps)} | {n: fps[:, i].copy().view(np.int64) for i, n in enumerate(names)}
+            fps, prefixes = [], []
+            for body in batch.column("body").to_pylist():
+                own = shingle_set(body or b"", shingle)
+                fps.append([majority(mix(own ^ SALTS[i]) if i else own) for i in range(WORDS)])
+                prefixes.append(own[: prefix_size(len(own), similarity)].view(np.int64))
+            words = np.array(fps, np.uint64).reshape(-1, WORDS)
+            out = {"doc_id": batch.column("doc_id"), "key": batch.column("key"), "prefix": prefixes}
+            yield out | {n: words[:, i].copy().view(np.int64) for i, n in enumerate(names)}
 
-    body = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("body"))
-    return map_arrow(body, run, "doc_id long, fp long, " + ", ".join(f"{n} long" for n in names))
+    body = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(F.col(text_col)).alias("key"), F.col(text_col).cast("binary").alias("body"))
+    return map_arrow(body, run, "doc_id long, key long, prefix array<long>, " + ", ".join(f"{n} long" for n in names))
 
 
 def _far(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -283,7 +300,7 @@ FOREST_NODES = 1 << 18
 
 
 class Trees:
-    """Links as trees whose roots are their smallest nodes: n linked fingerprints leave n - 1 links, however many anchors they share."""
+    """Links as trees whose roots are their smallest nodes: n linked fingerprints leave n - 1 links, however many shingles they share."""
 
     def __init__(self):
         self.up: dict[int, int] = {}
@@ -314,7 +331,7 @@ def _linked_wide(limit: int):
     names = [f"w{i}" for i in range(WORDS)]
 
     def followed(words: np.ndarray) -> list[tuple[int, int]]:
-        """Links by place that join all of an anchor that are linked, directly or by others."""
+        """Links by place that join all under a shingle that are linked, directly or by others."""
         left, out = np.arange(1, len(words)), []
         seen, here = [0], 0
         while len(left):
@@ -327,8 +344,7 @@ def _linked_wide(limit: int):
             seen += found.tolist()
         return out
 
-    def solved(anchor, words):
-        fp = named(words)
+    def solved(anchor, fp, words):
         edge = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
         size = np.diff(np.append(edge, len(anchor)))
         little = np.repeat(size <= 8, size)
@@ -351,53 +367,101 @@ def _linked_wide(limit: int):
     def run(batches):
         held, trees = None, Trees()
         for batch in batches:
-            now = [batch.column(n).to_numpy() for n in ("anchor", *names)]
+            now = [batch.column(n).to_numpy() for n in ("token", "key", *names)]
             held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
             whole = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
             if whole:
-                trees.add(solved(held[0][:whole], np.stack(held[1:], axis=1)[:whole].view(np.uint64)))
+                trees.add(solved(held[0][:whole], held[1][:whole], np.stack(held[2:], axis=1)[:whole].view(np.uint64)))
                 held = [x[whole:] for x in held]
             if len(trees.up) > FOREST_NODES:
                 yield trees.edges()
                 trees = Trees()
         if held is not None and len(held[0]) > 1:
-            trees.add(solved(held[0], np.stack(held[1:], axis=1).view(np.uint64)))
+            trees.add(solved(held[0], held[1], np.stack(held[2:], axis=1).view(np.uint64)))
         if trees.up:
             yield trees.edges()
 
     return run
 
 
-def similar_links(owners: DataFrame, limit: int, reach: int = 2) -> DataFrame:
-    """owners: distinct fp with its words. (a, b): enough links to join those of at most ``limit`` bits that share an anchor.
+def candidate_links(owners: DataFrame, limit: int) -> DataFrame:
+    """owners: distinct key with its words and prefix. (a, b): enough links to join keys of at most ``limit`` bits that share a prefix shingle."""
+    names = [f"w{i}" for i in range(WORDS)]
+    copies = owners.select(F.explode("prefix").alias("token"), "key", *names)
+    return map_arrow(copies.repartition("token").sortWithinPartitions("token"), _linked_wide(limit), "a long, b long").distinct()
+
 
-    The copies don't carry fp, which follows from the words. Every word in the first TABLES is copied to all anchors up to ``reach`` beyond the covering radius. Unlike a few
-    bits, a limit this wide isn't covered without fail: two fingerprints meet at an anchor with a probability of 0.64 a
-    word at 0.8, of 0.76 at 0.85 and of 0.87 at 0.9 (measured on random pairs), so of 0.87, 0.94 and 0.98 over both.
+def alike(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """For each of the sets (distinct values) the place of the first set that it is joined to by pairs of at least that Jaccard similarity.
+
+    Values are ordered from rare to frequent, so that prefixes meet seldom; sets that share a prefix value are compared whole.
+    A set already reached isn't compared again.
     """
-    names = [f"w{i}" for i in range(WORDS)]
+    size = np.array([len(x) for x in sets])
+    values, ids, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(values), np.int64)
+    rank[np.argsort(df, kind="stable")] = np.arange(len(values))
+    rows = [np.sort(x) for x in np.split(rank[ids], np.cumsum(size)[:-1])]
+    prefix = [x[: prefix_size(len(x), similarity)] for x in rows]
+    flat, owner = np.concatenate(prefix), np.repeat(np.arange(len(sets)), [len(x) for x in prefix])
+    order = np.argsort(flat, kind="stable")
+    owner, first = owner[order], np.searchsorted(flat[order], np.arange(len(values) + 1))
+    left, label, mark = np.ones(len(sets), bool), np.arange(len(sets)), np.zeros(len(values), np.int64)
+    for start in range(len(sets)):
+        if not left[start]:
+            continue
+        left[start], seen = False, [start]
+        while seen:
+            x = seen.pop()
+            near = np.concatenate([owner[first[v] : first[v + 1]] for v in prefix[x].tolist()])
+            near = np.unique(near[left[near]])
+            if not len(near):
+                continue
+            mark[rows[x]] = 1
+            common = np.add.reduceat(mark[np.concatenate([rows[y] for y in near.tolist()])], np.concatenate([[0], np.cumsum(size[near])[:-1]]))
+            mark[rows[x]] = 0
+            near = near[common * (1 + similarity) >= similarity * (size[x] + size[near]) - 1e-9]
+            left[near], label[near] = False, start
+            seen += near.tolist()
+    return label
+
+
+def _verified(shingle: int, similarity: float):
+    def solved(members: dict[int, bytes]):
+        keys = np.array(sorted(members), np.int64)
+        label = alike([shingle_set(members[k], shingle) for k in keys.tolist()], similarity)
+        return {"key": keys, "root": keys[label]}
 
-    def spread(batches):
-        cover = Cover(reach)
+    def run(batches):
+        group, members = None, {}
         for batch in batches:
-            words = [batch.column(n).to_numpy() for n in names]
-            for lo in range(0, len(words[0]), 2048):
-                for t in range(TABLES):
-                    at, anchor = cover.anchors(words[t][lo : lo + 2048])
-                    at = at + lo
-                    yield {"anchor": anchor | (t << 2 * BITS)} | {n: w[at] for n, w in zip(names, words, strict=True)}
+            for g, k, body in zip(*(batch.column(c).to_pylist() for c in ("grp", "key", "body")), strict=True):
+                if g != group:
+                    if members:
+                        yield solved(members)
+                    group, members = g, {}
+                members[k] = body or b""
+        if members:
+            yield solved(members)
 
-    schema = ", ".join(f"{n} long" for n in ("anchor", *names))
-    copies = map_arrow(owners.select(*names), spread, schema)
-    return map_arrow(copies.repartition("anchor").sortWithinPartitions("anchor"), _linked_wide(limit), "a long, b long").distinct()
+    return run
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id, fp, component_id as ``near_duplicates``, linked by the similarity that wide fingerprints show."""
-    wide, _ = cut(wide_fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    words = [F.first(f"w{i}").alias(f"w{i}") for i in range(WORDS)]
-    owners, _ = cut(wide.groupBy("fp").agg(F.min("doc_id").alias("first"), *words), "owners")
-    return _grouped(wide.select("doc_id", "fp"), owners, similar_links(owners, bit_limit(similarity)))
+    """doc_id, key (of the text), root, component_id (the smallest id of the component): a row per row. Rows of one root are
+    joined by pairs of texts whose distinct shingles have at least that Jaccard similarity."""
+    wide, _ = cut(wide_fingerprints(docs, id_col, text_col, shingle, similarity), "fingerprints")
+    some = [F.first(c).alias(c) for c in ("prefix", *(f"w{i}" for i in range(WORDS)))]
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first")
+    owners, _ = cut(wide.groupBy("key").agg(first, *some), "owners")
+    groups = components(candidate_links(owners, bit_limit(similarity))).withColumnRenamed("node", "key").withColumnRenamed("root", "grp")
+    wanted = owners.join(groups, "key").select(F.col("first.doc_id").alias("_d"), F.col("key").alias("_k"), "grp")
+    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(F.col(text_col)).alias("key"), F.col(text_col).cast("binary").alias("body"))
+    found = found.join(wanted, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k"))).select("grp", "key", "body")
+    roots, _ = cut(map_arrow(found.repartition("grp").sortWithinPartitions("grp"), _verified(shingle, similarity), "key long, root long"), "roots")
+    owned = owners.select("key", "first.doc_id").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    least = owned.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return wide.select("doc_id", "key").join(owned.select("key", "root").join(least, "root"), "key")
 
 
 def _kept(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:

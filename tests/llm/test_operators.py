@@ -271,3 +271,33 @@ def test_trees_join_what_links_join():
     assert dict(zip(got["b"].tolist(), got["a"].tolist(), strict=True)) == {x: min(g) for x, g in groups.items() if min(g) != x}
     assert len(got["a"]) == len(set(got["b"].tolist()))
     assert [len(x) for x in simhash.Trees().edges().values()] == [0, 0]
+
+
+def jaccard_groups(rows, similarity=0.8, shingle=5):
+    """Brute force over all pairs: id to the least id of its group."""
+    words = [(d, (t or "").encode().lower().split()) for d, t in rows]
+    sets = [(d, {tuple(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))}) for d, w in words]
+    root = {d: d for d, _ in sets}
+    for i, (a, x) in enumerate(sets):
+        for b, y in sets[:i]:
+            if len(x & y) >= similarity * len(x | y) - 1e-9 and root[a] != root[b]:
+                lo, hi = sorted((root[a], root[b]))
+                root = {d: lo if r == hi else r for d, r in root.items()}
+    return root
+
+
+def test_similar_is_exact_at_the_threshold(spark, small):
+    """Pairs just over 0.8 are all grouped, pairs just under never; the table's groups equal those of all pairs."""
+    rng = np.random.default_rng(11)
+    rows = [(d, t) for d, t in small if d is not None]
+    base = max(d for d, _ in rows) + 1
+    for g in range(40):
+        words = [f"v{g}x{i}" for i in range(204)]  # 200 shingles
+        rows.append((base + 3 * g, " ".join(words)))
+        for k, changed in ((1, 4), (2, 5)):  # 180 of 220 shared: 0.818; 175 of 225: 0.778
+            near, places = list(words), 10 + 20 * rng.permutation(9)[:changed]
+            for at in places:
+                near[at] += f"c{k}"
+            rows.append((base + 3 * g + k, " ".join(near)))
+    got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == jaccard_groups(rows)
