@@ -464,16 +464,23 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     return wide.select("doc_id", "key").join(owned.select("key", "root").join(least, "root"), "key")
 
 
-def _kept(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
-    found = found.select("component_id").distinct().withColumnRenamed("component_id", "_c")
-    return docs.join(found, F.col(id_col).cast("long").eqNullSafe(F.col("_c")), "left_semi").dropDuplicates([id_col])
+def _kept(docs: DataFrame, roots: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """roots: distinct key (of a text) with its component's root. One row of docs per root: that with the least id (null last), then key."""
+    row = docs.select(F.col(id_col).cast("long").alias("_d"), text_key(F.col(text_col)).alias("key"))
+    least = row.groupBy("key").agg(F.min(F.struct(F.col("_d").isNull().alias("none"), "_d")).alias("least"))
+    first = least.join(roots, "key").groupBy("root").agg(F.min(F.struct("least.none", "least._d", "key")).alias("f")).select(F.col("f._d").alias("_d"), F.col("f.key").alias("_k"))
+    keyed = docs.withColumn("_key", text_key(F.col(text_col)))
+    kept = keyed.join(first, F.col(id_col).cast("long").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left_semi")
+    return kept.dropDuplicates([id_col, "_key"]).drop("_key")
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row of each component of ``near_duplicates``, that with the smallest id, with all columns of ``docs``."""
-    return _kept(docs, near_duplicates(docs, id_col, text_col, **options), id_col)
+    by_text = docs.select(text_key(F.col(text_col)).alias("doc_id"), F.col(text_col).alias("text"))
+    found = near_duplicates(by_text, **options)  # a text is in one component, so the least key names it
+    return _kept(docs, found.select(F.col("doc_id").alias("key"), F.col("component_id").alias("root")).distinct(), id_col, text_col)
 
 
 def keep_dissimilar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row of each component of ``similar``, that with the smallest id, with all columns of ``docs``."""
-    return _kept(docs, similar(docs, id_col, text_col, **options), id_col)
+    return _kept(docs, similar(docs, id_col, text_col, **options).select("key", "root").distinct(), id_col, text_col)

@@ -301,3 +301,16 @@ def test_similar_is_exact_at_the_threshold(spark, small):
             rows.append((base + 3 * g + k, " ".join(near)))
     got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == jaccard_groups(rows)
+
+
+@pytest.mark.parametrize("keep", [simhash.keep_dissimilar, simhash.keep_representatives])
+def test_one_row_a_group_whatever_the_ids(spark, keep):
+    """Null ids and an id shared by many texts lose no group; rows of one group leave one."""
+    texts = [" ".join(f"t{g}w{i}" for i in range(80)) for g in range(12)]
+    ids = [None] * 5 + [7] * 5 + [8, 9]
+    rows = [(d, t, n) for n, (d, t) in enumerate(zip(ids, texts, strict=True))]
+    rows += [(None, texts[10], 20), (3, texts[0], 21), (7, texts[11], 22), (None, texts[1], 23)]
+    got = keep(spark.createDataFrame(rows, "doc_id long, text string, n int")).collect()
+    assert sorted(r.text for r in got) == sorted(texts)
+    least = {t: min(((d is None, d) for d, u, _ in rows if u == t), key=str)[1] for t in texts}
+    assert {r.text: r.doc_id for r in got} == least
