@@ -21,7 +21,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the multi-line chunks that stand in an earlier place."""
+    """Texts without the runs of two or more lines that stand in an earlier place."""
     return line_dedup.dedup_lines(docs)
 
 

@@ -8,11 +8,16 @@ both stay.
 
 Lines end at ``\\n`` and keep it. Null texts have no lines and come back null; rows with equal id and text count as one
 place each and get equal results. Null ids come after all others.
+
+Boundaries are missing from many short passages, which then stay. ``repeated_lines`` draws none: it finds every run of
+lines that an earlier place has, by 128-bit digests of windows of lines; ``dedup_lines`` and ``line_run_report`` use it.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +28,8 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import gram_hashes, keyed, map_arrow, on_key, row_tag
 from gridloom.llm.repeats import MAX_ID
 
+DIGEST = struct.Struct("<qq")
+
 
 def chunk_spans(body: bytes, reach: int = 2, mean: int = 4, most: int = 64) -> list[tuple[int, int, int]]:
     """(start byte, end byte, lines) of the chunks of a text; ``most`` lines end a chunk in any case."""
@@ -97,9 +104,58 @@ def _rest(body: bytes, spans: list[dict]) -> bytes:
     return b"".join([*parts, body[end:]])
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2, mean: int = 4) -> DataFrame:
-    """``docs`` with the repeated chunks taken out of ``text_col``; all columns and rows stay."""
-    marks = repeated_chunks(keyed(docs, id_col, text_col), min_lines, mean)
+def _windows(batches, min_lines: int):
+    """The place of every ``min_lines`` consecutive lines that hold a word, with a digest of their bytes."""
+    cols = ("doc_id", "tag", "line", "start", "stop", "k1", "k2")
+    out: dict[str, list] = {c: [] for c in cols}
+    for batch in batches:
+        for doc_id, tag, body in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tag", "body")), strict=True):
+            lines = _lines(body)
+            ends = [0, *accumulate(map(len, lines))]
+            for i in range(len(lines) - min_lines + 1):
+                a, b = ends[i], ends[i + min_lines]
+                if not (window := body[a:b].removesuffix(b"\n")).strip():
+                    continue
+                k1, k2 = DIGEST.unpack(hashlib.blake2b(window, digest_size=16).digest())
+                for c, v in zip(cols, (doc_id, tag, i, a, b, k1, k2), strict=True):
+                    out[c].append(v)
+            if len(out["line"]) > 1 << 16:
+                yield out
+                out = {c: [] for c in cols}
+    if out["line"]:
+        yield out
+
+
+def _runs(batches, min_lines: int):
+    """Windows that overlap or touch become one span."""
+    for batch in batches:
+        spans = []
+        for windows in batch.column("windows").to_pylist():
+            runs = []
+            for w in sorted(windows, key=lambda w: w["line"]):
+                if runs and w["line"] <= runs[-1]["first"] + runs[-1]["lines"]:
+                    runs[-1] |= {"stop": w["stop"], "lines": w["line"] + min_lines - runs[-1]["first"]}
+                else:
+                    runs.append({"first": w["line"], "start": w["start"], "stop": w["stop"], "lines": min_lines})
+            spans.append([{k: r[k] for k in ("start", "stop", "lines")} for r in runs])
+        yield {"doc_id": batch.column("doc_id"), "tag": batch.column("tag"), "spans": spans}
+
+
+def repeated_lines(base: DataFrame, min_lines: int = 2) -> DataFrame:
+    """base: ``doc_id, tag, body``. (doc_id, tag, spans) as ``repeated_chunks``, of all lines in a run of ``min_lines`` or more
+    that stands in an earlier place too. No boundaries are drawn: every window of lines is looked up. The first place of a
+    line is never in such a run, so no line leaves the corpus."""
+    windows = map_arrow(base, lambda it: _windows(it, min_lines), "doc_id long, tag long, line int, start int, stop int, k1 long, k2 long")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag", "line")
+    firsts = windows.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min(place).alias("f")).where("n > 1").select("k1", "k2", "f")
+    later = windows.join(firsts, ["k1", "k2"]).where(~place.eqNullSafe(F.col("f")))
+    held = later.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("line", "start", "stop")).alias("windows"))
+    return map_arrow(held, lambda it: _runs(it, min_lines), "doc_id long, tag long, spans array<struct<start int, stop int, lines int>>")
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2) -> DataFrame:
+    """``docs`` with the repeated runs of lines taken out of ``text_col``; all columns and rows stay."""
+    marks = repeated_lines(keyed(docs, id_col, text_col), min_lines)
     marks = marks.select(F.col("doc_id").alias("_bd"), F.col("tag").alias("_bt"), F.col("spans").alias("_spans"))
     on = F.col(id_col).cast("long").eqNullSafe(F.col("_bd")) & (row_tag(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_bt"))
     joined = docs.join(marks, on, "left").drop("_bd", "_bt")
@@ -119,8 +175,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2, mean: int = 4) -> DataFrame:
     """doc_id, n_lines, n_removed_lines, n_removed_chunks and the SHA-256 of the remaining text, a row per row."""
     base = keyed(docs, id_col, text_col)
-    marks = repeated_chunks(base, min_lines, mean)
+    return _report(base, repeated_chunks(base, min_lines, mean))
+
+
+def line_run_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2) -> DataFrame:
+    """As ``line_report``, of ``repeated_lines``; n_removed_chunks counts the runs taken out."""
+    base = keyed(docs, id_col, text_col)
+    return _report(base, repeated_lines(base, min_lines))
+
 
+def _report(base: DataFrame, marks: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             spans = batch.column("spans").to_pylist()

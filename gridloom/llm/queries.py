@@ -35,6 +35,11 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
 
+def op3_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every run of lines that an earlier place has; ``op3_line_dedup`` finds those that its chunk boundaries show."""
+    return line_dedup.line_run_report(table(spark, sf_dir, "documents"))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup_suffixes(table(spark, sf_dir, "documents"), digest=True)
 
@@ -67,7 +72,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_sharding, op2_quality_rules, op3_line_dedup, op4_suffix_dedup, op5_decontamination, op6_substring_dedup, op7_packing, op8_warc, op9_classifier, op10_simhash)
+    for f in (op1_sharding, op2_quality_rules, op3_line_dedup, op3_line_runs, op4_suffix_dedup, op5_decontamination, op6_substring_dedup, op7_packing, op8_warc, op9_classifier, op10_simhash)
 }
 
 ORACLE_SQL: dict[str, str] = {}

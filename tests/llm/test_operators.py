@@ -314,3 +314,40 @@ def test_one_row_a_group_whatever_the_ids(spark, keep):
     assert sorted(r.text for r in got) == sorted(texts)
     least = {t: min(((d is None, d) for d, u, _ in rows if u == t), key=str)[1] for t in texts}
     assert {r.text: r.doc_id for r in got} == least
+
+
+def brute_line_runs(rows):
+    """Every line in a pair of consecutive lines (with a word) that an earlier place has is taken out."""
+    first, cut = {}, []
+    for d, t in rows:
+        lines = (t or "").split("\n")
+        if lines[-1] == "":
+            lines.pop()
+        cut.append((d, t or "", lines))
+    for d, t, lines in sorted(cut, key=lambda x: (x[0] is None, x[0] or 0)):
+        for i, pair in enumerate(itertools.pairwise(lines)):
+            first.setdefault(pair, (d, t, i))
+    out = []
+    for d, t, lines in cut:
+        gone = set()
+        for i, pair in enumerate(itertools.pairwise(lines)):
+            if "\n".join(pair).strip() and first[pair] != (d, t, i):
+                gone |= {i, i + 1}
+        whole = t.split("\n")
+        whole = [x + "\n" for x in whole[:-1]] + ([whole[-1]] if whole[-1] else [])
+        runs = sum(i - 1 not in gone for i in gone)
+        out.append((d, len(whole), len(gone), runs, brute.sha("".join(x for i, x in enumerate(whole) if i not in gone))))
+    return out
+
+
+def test_line_runs_are_all_found(spark, sf, small):
+    """Planted passages of two lines and more are gone wherever they stand; results equal a lookup of every pair of lines."""
+    cols = "doc_id n_lines n_removed_lines n_removed_chunks kept_sha256"
+    same(queries.QUERIES["op3_line_runs"](spark, sf), cols, brute_line_runs(small))
+    passages = [[f"passage {p} line {i}" for i in range(2 + p % 6)] for p in range(30)]
+    rows = [(d, "\n".join([f"a{d}", f"b{d}", *passages[d % 30], f"c{d}", f"d{d}"])) for d in range(90)]
+    rows += [(200, "x y\nx y\nx y\n"), (201, "\n\n\n\n"), (202, "\n\n\n\nz"), (203, "x y\nx y"), (204, None), (205, ""), (None, "a1\nb1\n"), (206, "a1"), (206, "a1\nb1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    same(line_dedup.line_run_report(docs), cols, brute_line_runs(rows))
+    texts = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).where("doc_id < 90").collect()}
+    assert all(texts[d] == f"a{d}\nb{d}\nc{d}\nd{d}" for d in range(30, 90)) and all(texts[d] == rows[d][1] for d in range(30))
