@@ -213,6 +213,51 @@ def a11_bootstrap(obs):
     return m.groupBy("yr").agg(F.round(F.median("m"), 8).alias("med"), q(0.25).alias("q25"), q(0.75).alias("q75"))
 
 
+def scatter(x: str) -> str:
+    """An expression, the same in both dialects, that scatters whole numbers over 0 .. 2^31 - 2."""
+    return f"((({x}) % 2147483648) * 1103515245 + 12345) % 2147483648"
+
+
+def fold(u: str) -> str:
+    return f"(cast(floor({u} / 65536.0) as bigint) * ({u} % 65536) + {u}) % 2147483647"
+
+
+BOOT_DRAW = "b * 7919 + j * 104729 + cast(yr as bigint) * 15485863"
+BOOT_CTES = (
+    "bands AS (SELECT CAST(floor(ref_z/20.0) AS INT) AS band, count(*) AS area FROM ref GROUP BY 1)",
+    "v AS (SELECT yr, d, CAST(floor(ref_z/20.0) AS INT) AS band, median(z-ref_z) AS dh FROM obs JOIN ref USING (r, c) GROUP BY ALL)",
+    "days AS (SELECT yr, d, row_number() OVER (PARTITION BY yr ORDER BY d) - 1 AS i, count(*) OVER (PARTITION BY yr) AS n FROM (SELECT DISTINCT yr, d FROM v))",
+    "years AS (SELECT yr, n, greatest(n // 2, 3) AS k, CASE n WHEN 1 THEN 0 WHEN 2 THEN 0 WHEN 3 THEN 1 WHEN 4 THEN 4 WHEN 5 THEN 10 WHEN 6 THEN 20 WHEN 7 THEN 35 ELSE 50 END AS m FROM (SELECT DISTINCT yr, n FROM days))",
+    f"u AS (SELECT yr, n, b, {scatter(BOOT_DRAW)} AS u FROM years, range(50) t(b), range(200) s(j) WHERE b < m AND j < k)",
+    f"draws AS (SELECT yr, b, {fold('u')} % n AS i FROM u)",
+    "per AS (SELECT yr, b, band, median(dh) AS dh FROM draws JOIN days USING (yr, i) JOIN v USING (yr, d) GROUP BY ALL)",
+    "smb AS (SELECT yr, b, 0.85*sum(dh*area)/(SELECT sum(area) FROM bands) AS s FROM per JOIN bands USING (band) GROUP BY yr, b)",
+)
+
+
+@query("obs ref", "SELECT yr, count(*) AS n, round(median(s), 8) AS med, round(quantile_cont(s, 0.25)+0.06, 7) AS q25, round(quantile_cont(s, 0.75)+0.06, 7) AS q75 FROM smb GROUP BY yr", *BOOT_CTES)
+def a11_bootstrap_whole(obs, ref):
+    """A11 over all rows: a year's n days are drawn with replacement, min(C(n,k), 50) times k = max(n // 2, 3) of them; of each
+    resample the bands' medians over its days, weighted by the bands' area; median and quantiles (with the offset) by year.
+
+    All rows go into medians by day and band; what is drawn from are a year's days, 366 at most at any scale.
+    """
+    band = C.uniform_bin("ref_z", 0, 20.0)
+    bands = ref.groupBy(band.alias("band")).agg(F.count("*").alias("area"))
+    v = obs.join(ref.select("r", "c", "ref_z"), ["r", "c"]).groupBy("yr", "d", band.alias("band")).agg(F.median(F.col("z") - F.col("ref_z")).alias("dh"))
+    w = W.partitionBy("yr")
+    days = v.select("yr", "d").distinct().select("yr", "d", (F.row_number().over(w.orderBy("d")) - 1).alias("i"), F.count("*").over(w).alias("n"))
+    times = F.expr("case n when 1 then 0 when 2 then 0 when 3 then 1 when 4 then 4 when 5 then 10 when 6 then 20 when 7 then 35 else 50 end")
+    years = days.select("yr", "n").distinct().withColumn("m", times).where("m > 0")
+    u = years.withColumn("b", F.explode(F.expr("sequence(0L, m - 1L)"))).withColumn("j", F.explode(F.expr("sequence(0L, greatest(n div 2, 3L) - 1L)"))).withColumn("u", F.expr(scatter(BOOT_DRAW)))
+    draws = u.select("yr", "b", F.expr(f"{fold('u')} % n").alias("i"))
+    per = draws.join(days.select("yr", "i", "d"), ["yr", "i"]).join(v, ["yr", "d"]).groupBy("yr", "b", "band").agg(F.median("dh").alias("dh"))
+    total = bands.agg(F.sum("area").alias("total"))
+    smb = per.join(bands, "band").groupBy("yr", "b").agg(F.sum(F.col("dh") * F.col("area")).alias("s")).join(F.broadcast(total)).select("yr", (F.col("s") * 0.85 / F.col("total")).alias("s"))
+    q = lambda p: F.round(F.percentile("s", F.lit(p)) + 0.06, 7)
+    return smb.groupBy("yr").agg(F.count("*").alias("n"), F.round(F.median("s"), 8).alias("med"), q(0.25).alias("q25"), q(0.75).alias("q75"))
+
+
 @query("obs ref", "SELECT ok, ln, round(z - median(CASE WHEN stable THEN z - ref_z END) OVER (PARTITION BY yr), 8) AS z FROM obs JOIN ref USING (r, c)")
 def a12_stable_bias_removed(obs, ref):
     """The yearly median over stable cells is a table of years, joined back; no window over a year."""

@@ -67,3 +67,8 @@ def test_linear_trend(spark):
     got = {r.k: r for r in G.linear_trend(spark.createDataFrame(data, "k int, t double, y double"), ["k"], "t", "y").collect()}
     assert (got[1].n, got[1].slope, got[1].intercept, got[1].corr) == (3, pytest.approx(2), pytest.approx(1), pytest.approx(1))
     assert math.isclose(got[1].sxx, 14 / 3) and (got[2].slope, got[2].corr) == (0.0, 0.0) and got[3].slope is None
+
+
+def test_bootstrap_draws_from_every_year(spark, sf):
+    """Every year has its 50 resamples."""
+    assert {r.n for r in catalogue.QUERIES["a11_bootstrap_whole"](spark, sf).collect()} == {50}
