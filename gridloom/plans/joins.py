@@ -70,6 +70,18 @@ def j12_asof_nearest(series):
     return G.asof_nearest(left, right, ["track"], "ts", "h").select("event_id", F.col("near_value").alias("h"))
 
 
+ASOF_ALL = """SELECT l.event_id, CASE WHEN n.ts IS NOT NULL AND (p.ts IS NULL OR epoch_us(n.ts) - epoch_us(l.ts) < epoch_us(l.ts) - epoch_us(p.ts)) THEN n.v ELSE p.v END AS near_value
+FROM series l ASOF LEFT JOIN (SELECT user_id, ts, max(h) AS v FROM series WHERE track = 'signup' GROUP BY ALL) p ON l.user_id = p.user_id AND l.ts >= p.ts
+ASOF LEFT JOIN (SELECT user_id, ts, min(h) AS v FROM series WHERE track = 'signup' GROUP BY ALL) n ON l.user_id = n.user_id AND l.ts < n.ts"""
+
+
+@query("series", ASOF_ALL)
+def j12_asof_all(series):
+    """J12 over whole tables: for every event the value of its user's signup event nearest in time, the earlier of two as near."""
+    got = G.asof_nearest(series.select("event_id", "user_id", "ts"), series.where("track = 'signup'"), ["user_id"], "ts", "h")
+    return got.select("event_id", "near_value")
+
+
 @query("series", ", s AS (SELECT track, ts, lag(ts) OVER (PARTITION BY track ORDER BY ts) AS lo FROM (SELECT DISTINCT track, date_trunc('day', ts) AS ts FROM series)) SELECT event_id, CAST(date_diff('day', lo, s.ts) AS INT) AS days FROM series JOIN s ON s.track = series.track AND series.ts > lo AND series.ts <= s.ts")
 def j13_bracketing_pairs(series):
     """The pair of survey days around each event; the interval join is an equi-join on the day (gaps are days)."""

@@ -72,3 +72,8 @@ def test_linear_trend(spark):
 def test_bootstrap_draws_from_every_year(spark, sf):
     """Every year has its 50 resamples."""
     assert {r.n for r in catalogue.QUERIES["a11_bootstrap_whole"](spark, sf).collect()} == {50}
+
+
+def test_asof_reads_every_event(spark, sf):
+    events = spark.read.parquet(f"{sf}/events.parquet").count()
+    assert catalogue.QUERIES["j12_asof_all"](spark, sf).count() == events
