@@ -97,6 +97,19 @@ def w08_bracket_fraction(series):
     return got.select("event_id", F.round(F.when(F.col("t0") == F.col("t1"), 0.0).otherwise(F.try_divide(F.col("u") - F.col("t0"), F.col("t1") - F.col("t0"))), 6).alias("fraction"))
 
 
+BRACKET_ALL = "SELECT event_id, round(CASE WHEN t1 = t0 THEN 0 ELSE (epoch_us(ts)-t0)::DOUBLE/(t1-t0) END, 6) AS fraction FROM (SELECT event_id, ts, epoch_us(max(k) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING)) AS t0, epoch_us(min(k) OVER (PARTITION BY user_id ORDER BY ts DESC RANGE UNBOUNDED PRECEDING)) AS t1 FROM (SELECT *, CASE WHEN track = 'signup' THEN ts END AS k FROM series))"
+
+
+@query("series", BRACKET_ALL)
+def w08_bracket_all(series):
+    """W8 over the whole table: how far every event lies between its user's signup events around it; null outside them."""
+    u = F.unix_micros("ts")
+    x = series.select("event_id", "user_id", u.alias("u"), F.when(F.col("track") == "signup", u).alias("k"))
+    w = W.partitionBy("user_id").orderBy("u")
+    got = x.withColumn("t0", F.max("k").over(w.rangeBetween(W.unboundedPreceding, 0))).withColumn("t1", F.min("k").over(w.rangeBetween(0, W.unboundedFollowing)))
+    return got.select("event_id", F.round(F.when(F.col("t0") == F.col("t1"), 0.0).otherwise(F.try_divide(F.col("u") - F.col("t0"), F.col("t1") - F.col("t0"))), 6).alias("fraction"))
+
+
 @query("obs", "SELECT r, c, t, round(z - last_value(z) OVER (PARTITION BY r, c ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 6) AS dz FROM y", YEARLY)
 def w09_offset_to_last(obs):
     last = F.last("z").over(W.partitionBy("r", "c").orderBy("t").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))

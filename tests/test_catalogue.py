@@ -77,3 +77,8 @@ def test_bootstrap_draws_from_every_year(spark, sf):
 def test_asof_reads_every_event(spark, sf):
     events = spark.read.parquet(f"{sf}/events.parquet").count()
     assert catalogue.QUERIES["j12_asof_all"](spark, sf).count() == events
+
+
+def test_brackets_of_every_event(spark, sf):
+    events = spark.read.parquet(f"{sf}/events.parquet").count()
+    assert catalogue.QUERIES["w08_bracket_all"](spark, sf).count() == events
