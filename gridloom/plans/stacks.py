@@ -349,6 +349,51 @@ def a26_dowd_variogram(pts):
     return pairs(pts).groupBy(C.uniform_bin("dist", 0, 4.0).alias("bin")).agg(F.count("*").alias("n"), F.round(F.pow(2.198 * F.median("dv"), F.lit(2)) / 2, 4).alias("gamma"))
 
 
+#: Replicates of a variogram and points in each, as the reference takes them.
+REPLICATES, REPLICATE_POINTS = 100, 500
+REPLICATE_CTES = (
+    f"h AS (SELECT *, {scatter('pid + rep * 7919')} AS u FROM pts, range({REPLICATES}) t(rep))",
+    f"s AS (SELECT rep, pid, x, y, v FROM (SELECT *, row_number() OVER (PARTITION BY rep ORDER BY {fold('u')}, pid) AS k FROM h) WHERE k <= {REPLICATE_POINTS})",
+    "p AS (SELECT a.rep, a.pid AS i, b.pid AS j, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) AS dist, abs(a.v-b.v) AS dv FROM s a JOIN s b ON a.rep = b.rep AND a.pid < b.pid)",
+    "g AS (SELECT rep, CAST(floor(dist/4.0) AS INT) AS bin, count(*) AS n, pow(2.198*median(dv),2)/2 AS gamma FROM p GROUP BY ALL)",
+)
+
+
+def replicate_pairs(pts):
+    """All pairs within each of REPLICATES samples of REPLICATE_POINTS points (all points, where there are fewer)."""
+    h = pts.select("pid", "x", "y", "v").withColumn("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(REPLICATES - 1).cast("long"))))
+    h = h.withColumn("u", F.expr(scatter("pid + rep * 7919"))).withColumn("k", F.row_number().over(W.partitionBy("rep").orderBy(F.expr(fold("u")), "pid")))
+    s = h.where(F.col("k") <= REPLICATE_POINTS).select("rep", "pid", "x", "y", "v")
+    a, b = s.toDF("rep", "i", "ax", "ay", "av"), s.toDF("rep", "j", "bx", "by", "bv")
+    dx, dy = F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")
+    return a.join(b, "rep").where("i < j").select("rep", "i", "j", F.sqrt(dx * dx + dy * dy).alias("dist"), F.abs(F.col("av") - F.col("bv")).alias("dv"))
+
+
+def error_of(x: str):
+    return F.stddev_samp(x) / F.sqrt(F.count(x))
+
+
+@query("pts", "SELECT rep, CAST(sum(n) AS BIGINT) AS n, round(sum(d), 4) AS d FROM (SELECT rep, i, count(*) AS n, sum(dist) AS d FROM p GROUP BY rep, i) GROUP BY rep", *REPLICATE_CTES)
+def j16_replicate_pairs(pts):
+    """Number of pairs and their summed distance by replicate."""
+    return replicate_pairs(pts).groupBy("rep").agg(F.count("*").alias("n"), F.round(F.sum("dist"), 4).alias("d"))
+
+
+@query("pts", "SELECT bin, count(*) AS reps, round(avg(n), 6) AS n, round(stddev_samp(n)/sqrt(count(*)), 6) AS err FROM g GROUP BY bin", *REPLICATE_CTES)
+def a25_replicate_histogram(pts):
+    """Pairs by distance, mean and standard error over the replicates."""
+    n = replicate_pairs(pts).groupBy("rep", C.uniform_bin("dist", 0, 4.0).alias("bin")).agg(F.count("*").alias("n"))
+    return n.groupBy("bin").agg(F.count("*").alias("reps"), F.round(F.avg("n"), 6).alias("n"), F.round(error_of("n"), 6).alias("err"))
+
+
+@query("pts", "SELECT bin, count(*) AS reps, CAST(sum(n) AS BIGINT) AS n, round(avg(gamma), 2) AS gamma, round(stddev_samp(gamma)/sqrt(count(*)), 2) AS err FROM g GROUP BY bin", *REPLICATE_CTES)
+def a26_replicate_variogram(pts):
+    """Dowd's estimate by replicate and distance, then its mean and standard error (sample deviation over the root of the
+    number of replicates that have the bin; the library's own scaling isn't in the reference) by distance."""
+    g = replicate_pairs(pts).groupBy("rep", C.uniform_bin("dist", 0, 4.0).alias("bin")).agg(F.count("*").alias("n"), (F.pow(2.198 * F.median("dv"), F.lit(2)) / 2).alias("gamma"))
+    return g.groupBy("bin").agg(F.count("*").alias("reps"), F.sum("n").alias("n"), F.round(F.avg("gamma"), 2).alias("gamma"), F.round(error_of("gamma"), 2).alias("err"))
+
+
 @query("ref", "SELECT zone, round(avg(CAST(stable AS INT)), 9) AS share, count(*) AS n FROM ref GROUP BY zone HAVING count(*) > 5")
 def a30_stable_fraction(ref):
     return ref.groupBy("zone").agg(F.round(F.avg(F.col("stable").cast("int")), 9).alias("share"), F.count("*").alias("n")).where("n > 5")

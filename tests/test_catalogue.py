@@ -82,3 +82,9 @@ def test_asof_reads_every_event(spark, sf):
 def test_brackets_of_every_event(spark, sf):
     events = spark.read.parquet(f"{sf}/events.parquet").count()
     assert catalogue.QUERIES["w08_bracket_all"](spark, sf).count() == events
+
+
+def test_replicates_have_all_pairs(spark, sf):
+    m = min(500, spark.read.parquet(f"{sf}/customer.parquet").count())
+    pairs = catalogue.QUERIES["j16_replicate_pairs"](spark, sf).collect()
+    assert len(pairs) == 100 and {r.n for r in pairs} == {m * (m - 1) // 2}
