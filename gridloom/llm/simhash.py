@@ -282,7 +282,7 @@ def wide_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int,
             for body in batch.column("body").to_pylist():
                 own = shingle_set(body or b"", shingle)
                 fps.append([majority(mix(own ^ SALTS[i]) if i else own) for i in range(WORDS)])
-                prefixes.append(own[: prefix_size(len(own), similarity)].view(np.int64))
+                prefixes.append(own[: prefix_size(len(own), similarity)].view(np.int64).copy())
             words = np.array(fps, np.uint64).reshape(-1, WORDS)
             out = {"doc_id": batch.column("doc_id"), "key": batch.column("key"), "prefix": prefixes}
             yield out | {n: words[:, i].copy().view(np.int64) for i, n in enumerate(names)}
@@ -469,9 +469,12 @@ def _kept(docs: DataFrame, roots: DataFrame, id_col: str, text_col: str) -> Data
     row = docs.select(F.col(id_col).cast("long").alias("_d"), text_key(F.col(text_col)).alias("key"))
     least = row.groupBy("key").agg(F.min(F.struct(F.col("_d").isNull().alias("none"), "_d")).alias("least"))
     first = least.join(roots, "key").groupBy("root").agg(F.min(F.struct("least.none", "least._d", "key")).alias("f")).select(F.col("f._d").alias("_d"), F.col("f.key").alias("_k"))
-    keyed = docs.withColumn("_key", text_key(F.col(text_col)))
-    kept = keyed.join(first, F.col(id_col).cast("long").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left_semi")
-    return kept.dropDuplicates([id_col, "_key"]).drop("_key")
+    # the same columns for the join and for equal rows, so that texts are shuffled once
+    on = lambda d, k: {"_none": d.isNull(), "_id": F.coalesce(d, F.lit(0)), "_key": k}
+    keyed = docs.withColumns(on(F.col(id_col).cast("long"), text_key(F.col(text_col))))
+    first = first.select(*(c.alias(n) for n, c in on(F.col("_d"), F.col("_k")).items()))
+    names = ["_none", "_id", "_key"]
+    return keyed.join(first, names, "left_semi").dropDuplicates(names).drop(*names)
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
