@@ -108,7 +108,7 @@ def _windows(batches, min_lines: int):
     """The place of every ``min_lines`` consecutive lines that hold a word, with a digest of their bytes."""
     cols = ("doc_id", "tag", "line", "start", "stop", "k1", "k2")
     out: dict[str, list] = {c: [] for c in cols}
-    for batch in batches:
+    for batch in (b.slice(lo, 1024) for b in batches for lo in range(0, b.num_rows, 1024)):
         for doc_id, tag, body in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tag", "body")), strict=True):
             lines = _lines(body)
             ends = [0, *accumulate(map(len, lines))]
@@ -119,7 +119,7 @@ def _windows(batches, min_lines: int):
                 k1, k2 = DIGEST.unpack(hashlib.blake2b(window, digest_size=16).digest())
                 for c, v in zip(cols, (doc_id, tag, i, a, b, k1, k2), strict=True):
                     out[c].append(v)
-            if len(out["line"]) > 1 << 16:
+            if len(out["line"]) > 1 << 13:
                 yield out
                 out = {c: [] for c in cols}
     if out["line"]:

@@ -277,7 +277,7 @@ def wide_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int,
     names = [f"w{i}" for i in range(WORDS)]
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(lo, 1024) for b in batches for lo in range(0, b.num_rows, 1024)):
             fps, prefixes = [], []
             for body in batch.column("body").to_pylist():
                 own = shingle_set(body or b"", shingle)
