@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: A fixed value that tells the second half of a row's key from the first.
+SEED = 7_919
 #: Text handed to one vectorised step; bounds a Python worker's memory whatever the batch.
 SLAB = 1 << 20
 
@@ -47,22 +49,28 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def row_tag(text: Column) -> Column:
-    """31 bits of a text hash; with the id it tells apart rows that share an id (equal rows stay equal)."""
-    return F.shiftrightunsigned(F.xxhash64(text), 33)
+def row_key(id_: Column, text: Column) -> tuple[Column, Column]:
+    """128 bits that stand for a row's id and text; rows equal in both share them, null ids included."""
+    text, id_ = F.coalesce(text, F.lit("")), id_.cast("long")
+    return F.xxhash64(id_, text), F.xxhash64(F.lit(SEED), text, id_.isNull(), id_)
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, tag, body`` of every row; ``body`` is the UTF-8 text (null: empty). Other columns are left out,
-    so that none can clash with an operator's own names."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), row_tag(text).alias("tag"), text.cast("binary").alias("body"))
+    """``doc_id, r1, r2, body`` of every row; r1 and r2 are its key, ``body`` is the UTF-8 text (null: empty). Other columns
+    are left out, so that none can clash with an operator's own names."""
+    r1, r2 = row_key(F.col(id_col), F.col(text_col))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), r1.alias("r1"), r2.alias("r2"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body"))
 
 
-def on_key(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
-    """Join on (doc_id, tag) with null ids equal to each other; b's key columns are dropped."""
-    b = b.withColumnRenamed("doc_id", "_bd").withColumnRenamed("tag", "_bt")
-    return a.join(b, a["doc_id"].eqNullSafe(b["_bd"]) & (a["tag"] == b["_bt"]), how).drop("_bd", "_bt")
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names for further columns that no column of ``df`` has (whatever its case)."""
+    held, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in held:
+            name += "_"
+        held.add(name.lower())
+        out.append(name)
+    return out
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str) -> DataFrame:
@@ -79,8 +87,19 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[d
     return df.mapInArrow(run, out)
 
 
-def texts(batch: pa.RecordBatch, name: str = "body") -> list[bytes]:
-    return [x or b"" for x in batch.column(name).to_pylist()]
+def slabs(batch: pa.RecordBatch, name: str = "body", size: int = SLAB) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, their bytes, each text's end in these) of stretches of about ``size`` bytes, a row at least."""
+    body = batch.column(name)
+    if not pa.types.is_binary(body.type):
+        body = body.cast(pa.binary())
+    _, offsets, values = body.buffers()
+    at = np.frombuffer(offsets, np.int32, len(body) + 1, 4 * body.offset).astype(np.int64)
+    data = np.frombuffer(values, np.uint8) if values is not None else np.empty(0, np.uint8)
+    lo = 0
+    while lo < len(body):
+        hi = min(len(body), max(lo + 1, int(np.searchsorted(at, at[lo] + size, side="right")) - 1))
+        yield lo, hi, data[at[lo] : at[hi]], at[lo + 1 : hi + 1] - at[lo]
+        lo = hi
 
 
 # --- rolling windows over 64-bit symbols ---------------------------------------------------------------
@@ -89,7 +108,7 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 _POW: dict[str, np.ndarray] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POW.get("p", ())) < n:
         inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
         for name, b in (("p", BASE), ("i", inverse)):
@@ -111,7 +130,7 @@ def gram_hashes(symbols: np.ndarray, k: int) -> np.ndarray:
     n = len(symbols)
     if n < k:
         return np.empty(0, np.uint64)
-    p, inv = _powers(n)
+    p, inv = powers(n)
     prefix = np.zeros(n + 1, np.uint64)
     np.cumsum(symbols * p, out=prefix[1:])
     return mix((prefix[k:] - prefix[:-k]) * inv[: n - k + 1])

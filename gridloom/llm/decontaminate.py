@@ -1,26 +1,29 @@
 """Benchmark decontamination by a positional inverted index, in DataFrame operations only.
 
-``store_postings`` writes (term, document, position) for terms of the test items, counted first over all documents.
-``phrase_matches`` takes the two rarest terms of every ``window`` consecutive item words, shifts their postings by the
+Texts are split once into a stored table of words. ``postings`` writes (term, row, position) for the two rarest terms of
+every ``window`` consecutive item words, rarity counted over all documents. ``phrase_matches`` shifts these postings by the
 terms' places in the item and intersects them: a document and an alignment stay where both meet. There the words are
 compared in full. ``proximity_matches`` gives pairs of those rarest terms within ``slop`` words of their distance.
 
 Words: A-Z in lower case, maximal stretches of digits, letters a-z and characters beyond ASCII. Null texts have no
-words. An item of fewer words than a window (but one) is a window. Items and documents may repeat ids; documents of
-equal id and text get equal results. Columns other than id and text are not read.
+words. An item of fewer words than a window (but one) is a window. Items and documents may repeat ids; an item without id
+counts for hits but isn't named. Documents of equal id and text get equal results. Texts may be of any length that Spark
+holds; empty tables give empty results. Columns other than id and text are not read.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from gridloom.llm.common import cut, on_key, row_tag
+from gridloom.llm.common import cut, free_names, row_key
 
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-#: Terms up to which the test side is broadcast (a term and its places: under 200 bytes); beyond, joins shuffle.
-BROADCAST_TERMS = 100_000
+#: Bytes up to which a table of test terms is broadcast, counted as the terms' own and 64 a row; beyond, joins shuffle.
+BROADCAST_BYTES = 16 << 20
 
 
 def words(text: Column) -> Column:
@@ -29,9 +32,10 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(low, SEPARATORS), "")
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` with a broadcast hint if its counted rows are within the bound."""
-    return F.broadcast(df) if rows <= BROADCAST_TERMS else df
+def small(df: DataFrame) -> DataFrame:
+    """``df`` (stored, with a column ``term``) with a broadcast hint if its measured size is within the bound."""
+    size = df.agg(F.coalesce(F.sum(F.octet_length("term") + 64), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def test_items(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -40,86 +44,101 @@ def test_items(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return cut(w.select("item", "w", F.size("w").alias("n"), F.monotonically_increasing_id().alias("iid")), "items")[0]
 
 
-def store_postings(docs: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
-    """docs: doc_id, tag, w. The stored postings (term, doc_id, tag, pos) of ``terms`` (term)."""
-    each = docs.select("doc_id", "tag", F.posexplode("w").alias("pos", "term"))
-    return cut(each.join(small(terms, n_terms), "term"), "postings")[0]
-
-
-def anchors(docs: DataFrame, items: DataFrame, window: int) -> tuple[DataFrame, int]:
-    """(iid, q, term, need): the places of the two rarest terms of each window; their number."""
+def anchors(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
+    """(iid, q, term, need): the places of the two rarest terms of each window."""
     places = items.select("iid", "n", F.posexplode("w").alias("q", "term"))
     vocabulary, _ = cut(places.select("term").distinct(), "terms")
-    n_terms = vocabulary.count()
-    seen = docs.select(F.explode("w").alias("term")).join(small(vocabulary, n_terms), "term").groupBy("term").agg(F.count("*").alias("df"))
+    seen = docs.select(F.explode("w").alias("term")).join(small(vocabulary), "term").groupBy("term").agg(F.count("*").alias("df"))
     rated = places.join(seen, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     starts = F.sequence(F.greatest(F.lit(0), F.col("q") - window + 1), F.least(F.col("q"), F.greatest(F.lit(0), F.col("n") - window)))
     rarest = W.partitionBy("iid", "o").orderBy("df", "q")
     chosen = rated.withColumn("o", F.explode(starts)).withColumn("r", F.row_number().over(rarest))
     # a window with a term of no document has no match
     least = chosen.withColumn("least", F.min("df").over(W.partitionBy("iid", "o"))).where("r <= 2 and least > 0")
-    out, _ = cut(least.select("iid", "q", "term", F.least(F.lit(2), "n").alias("need")).distinct(), "anchors")
-    return out, out.count()
+    return cut(least.select("iid", "q", "term", F.least(F.lit(2), "n").alias("need")).distinct(), "anchors")[0]
+
+
+@dataclass(frozen=True)
+class Index:
+    """The stored words of all documents (``r1, r2, w``), the items, the anchors' places and their stored postings."""
+
+    docs: DataFrame
+    items: DataFrame
+    places: DataFrame
+    postings: DataFrame
+
+    def shifted(self) -> DataFrame:
+        """A row per posting and place of its term in an item: where the item's word 0 would be."""
+        both = self.postings.join(small(self.places), "term")
+        return both.select("r1", "r2", "iid", "q", "pos", (F.col("pos") - F.col("q")).alias("at"), "need")
 
 
-def alignments(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
-    """(doc_id, tag, iid, at): alignments (item word 0 at document word ``at``) where postings of two rarest terms meet."""
-    places, n = anchors(docs, items, window)
-    postings = store_postings(docs, places.select("term").distinct(), n)
-    shifted = postings.join(small(places, n), "term").select("doc_id", "tag", "iid", (F.col("pos") - F.col("q")).alias("at"), "need")
-    met = shifted.groupBy("doc_id", "tag", "iid", "at").agg(F.count("*").alias("m"), F.max("need").alias("need"))
-    return met.where("m >= need").drop("m", "need")
+def index(docs: DataFrame, items: DataFrame, window: int = 10) -> Index:
+    """docs: r1, r2, w, stored; items: of ``test_items``."""
+    places = anchors(docs, items, window)
+    terms, _ = cut(places.select("term").distinct(), "terms")
+    each = docs.select("r1", "r2", F.posexplode("w").alias("pos", "term"))
+    return Index(docs, items, places, cut(each.join(small(terms), "term"), "postings")[0])
 
 
-def phrase_matches(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
-    """docs: doc_id, tag, w; items: of ``test_items``. (doc_id, tag, item, start, len): every occurrence of a window."""
-    found = alignments(docs, items, window)
-    wanted, _ = cut(found, "alignments")
-    near = on_key(docs, wanted.select("doc_id", "tag").distinct(), "left_semi")
+def phrase_matches(found: Index, window: int = 10) -> DataFrame:
+    """(r1, r2, item, iid, start, len): every occurrence of a window."""
+    met = found.shifted().groupBy("r1", "r2", "iid", "at").agg(F.count("*").alias("m"), F.max("need").alias("need"))
+    wanted, _ = cut(met.where("m >= need").drop("m", "need"), "alignments")
+    near = found.docs.join(wanted.select("r1", "r2").distinct(), ["r1", "r2"], "left_semi")
     a = F.greatest(F.col("at"), F.lit(0))
     b = F.least(F.col("at") + F.col("n"), F.size("w_doc"))
-    cols = ["doc_id", "tag", "item", "n", "w", "at"]
-    pairs = on_key(wanted, near.dropDuplicates(["doc_id", "tag"]).withColumnRenamed("w", "w_doc"), "inner").join(items, "iid")
+    cols = ["r1", "r2", "item", "iid", "n", "w", "at"]
+    pairs = wanted.join(near.dropDuplicates(["r1", "r2"]).withColumnRenamed("w", "w_doc"), ["r1", "r2"]).join(found.items, "iid")
     pairs = pairs.withColumn("a", a).withColumn("b", b).where("b > a").select(*cols, "a", F.slice("w_doc", F.col("a") + 1, F.col("b") - F.col("a")).alias("there"))
     pairs = pairs.withColumn("same", F.zip_with("there", F.slice("w", F.col("a") - F.col("at") + 1, F.size("there")), lambda x, y: x.eqNullSafe(y)))
     size = F.least(F.col("n"), F.lit(window))
     last = F.size("same") - size
     hits = F.when(last >= 0, F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda o: F.forall(F.slice(F.col("same"), o + 1, size), lambda x: x)))
-    return pairs.withColumn("len", size).withColumn("o", F.explode(hits)).select("doc_id", "tag", "item", (F.col("a") + F.col("o")).alias("start"), "len")
+    return pairs.withColumn("len", size).withColumn("o", F.explode(hits)).select("r1", "r2", "item", "iid", (F.col("a") + F.col("o")).alias("start"), "len")
 
 
-def proximity_matches(docs: DataFrame, items: DataFrame, window: int = 10, slop: int = 5) -> DataFrame:
-    """(doc_id, tag, item, first, last): two rarest terms of an item within ``slop`` words of their distance in it."""
-    places, n = anchors(docs, items, window)
-    postings = store_postings(docs, places.select("term").distinct(), n)
-    shifted = postings.join(small(places, n), "term").select("doc_id", "tag", "iid", "q", "pos", (F.col("pos") - F.col("q")).alias("at"))
-    order = W.partitionBy("doc_id", "tag", "iid").orderBy("at", "q")
-    near = shifted.withColumn("at2", F.lead("at").over(order)).withColumn("pos2", F.lead("pos").over(order)).withColumn("q2", F.lead("q").over(order))
+def proximity_matches(found: Index, slop: int = 5) -> DataFrame:
+    """(r1, r2, iid, first, last): two anchor terms of an item whose distance in the text is within ``slop`` words of that in
+    the item, next to each other in the order of their alignments."""
+    order = W.partitionBy("r1", "r2", "iid").orderBy("at", "q")
+    near = found.shifted().withColumn("at2", F.lead("at").over(order)).withColumn("pos2", F.lead("pos").over(order)).withColumn("q2", F.lead("q").over(order))
     near = near.where((F.col("at2") - F.col("at") <= slop) & (F.col("q") != F.col("q2")))
-    return near.join(items.select("iid", "item"), "iid").select("doc_id", "tag", "item", F.least("pos", "pos2").alias("first"), F.greatest("pos", "pos2").alias("last")).distinct()
+    return near.select("r1", "r2", "iid", F.least("pos", "pos2").alias("first"), F.greatest("pos", "pos2").alias("last")).distinct()
 
 
 def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return docs.select(F.col(id_col).alias("doc_id"), row_tag(F.coalesce(F.col(text_col), F.lit(""))).alias("tag"), words(F.col(text_col)).alias("w"))
+    """doc_id, r1, r2 (the row's key), w (its words): stored, so that texts are split once."""
+    r1, r2 = row_key(F.col(id_col), F.col(text_col))
+    return cut(docs.select(F.col(id_col).alias("doc_id"), r1.alias("r1"), r2.alias("r2"), words(F.col(text_col)).alias("w")), "words")[0]
 
 
-def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10) -> DataFrame:
-    """A row per row of ``docs``: doc_id, tag, n_words, n_hit (words in windows), items (sorted ids, as strings)."""
+def find_contamination(
+    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, slop: int | None = None
+) -> DataFrame:
+    """A row per row of ``docs``: doc_id, r1, r2, n_words, n_hit (words in windows), n_items, items (sorted ids, as strings) and
+    with ``slop`` n_near (pairs of anchor terms in proximity)."""
     tokens = tokenised(docs, id_col, text_col)
-    matches = phrase_matches(tokens, test_items(items, item_col, item_text_col), window)
-    spans = matches.select("doc_id", "tag", "start", (F.col("start") + F.col("len")).alias("end")).distinct()
-    before = F.max("end").over(W.partitionBy("doc_id", "tag").orderBy("start", "end").rowsBetween(W.unboundedPreceding, -1))
+    found = index(tokens.select("r1", "r2", "w"), test_items(items, item_col, item_text_col), window)
+    matches, _ = cut(phrase_matches(found, window), "matches")
+    spans = matches.select("r1", "r2", "start", (F.col("start") + F.col("len")).alias("end")).distinct()
+    before = F.max("end").over(W.partitionBy("r1", "r2").orderBy("start", "end").rowsBetween(W.unboundedPreceding, -1))
     fresh = F.greatest(F.lit(0), F.col("end") - F.greatest("start", F.coalesce(before, F.lit(0))))
-    hit = spans.withColumn("fresh", fresh).groupBy("doc_id", "tag").agg(F.sum("fresh").alias("n_hit"))
-    named = matches.select("doc_id", "tag", "item").distinct().groupBy("doc_id", "tag").agg(F.count("*").alias("n_items"), F.array_sort(F.collect_list(F.col("item").cast("string"))).alias("items"))
-    both = on_key(hit, named, "left")
-    rows = on_key(tokens.select("doc_id", "tag", F.size("w").cast("long").alias("n_words")), both, "left")
-    none = F.array().cast("array<string>")
-    return rows.select("doc_id", "tag", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("items", none).alias("items"))
+    hit = spans.withColumn("fresh", fresh).groupBy("r1", "r2").agg(F.sum("fresh").alias("n_hit"))
+    named = matches.where("item is not null").select("r1", "r2", "item").distinct()
+    named = named.groupBy("r1", "r2").agg(F.count("*").alias("n_items"), F.array_sort(F.collect_list(F.col("item").cast("string"))).alias("items"))
+    rows = tokens.select("doc_id", "r1", "r2", F.size("w").cast("long").alias("n_words")).join(hit, ["r1", "r2"], "left").join(named, ["r1", "r2"], "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    cols = ["doc_id", "r1", "r2", "n_words", zero("n_hit"), zero("n_items"), F.coalesce("items", F.array().cast("array<string>")).alias("items")]
+    if slop is not None:
+        rows = rows.join(proximity_matches(found, slop).groupBy("r1", "r2").agg(F.count("*").alias("n_near")), ["r1", "r2"], "left")
+        cols.append(zero("n_near"))
+    return rows.select(*cols)
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that hold no window of an item, with all columns."""
-    found = find_contamination(docs, items, id_col, text_col, **options).where("n_hit > 0").select(F.col("doc_id").alias("_bd"), F.col("tag").alias("_bt")).distinct()
-    on = F.col(id_col).eqNullSafe(F.col("_bd")) & (row_tag(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_bt"))
-    return docs.join(found, on, "left_anti")
+    a, b = free_names(docs, "r1", "r2")
+    found = find_contamination(docs, items, id_col, text_col, **options).where("n_hit > 0").select(F.col("r1").alias(a), F.col("r2").alias(b)).distinct()
+    r1, r2 = row_key(F.col(id_col), F.col(text_col))
+    return docs.withColumns({a: r1, b: r2}).join(found, [a, b], "left_anti").drop(a, b)

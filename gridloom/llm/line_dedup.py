@@ -1,13 +1,15 @@
 """Line dedup by content-defined chunks.
 
 A rolling hash over the hashes of ``reach`` lines marks a chunk's end where it falls under a threshold, so the same
-passage has the same inner boundaries wherever it stands and an inserted line shifts nothing. Chunks of two lines or more
-with a word that occur in several places of the corpus are removed everywhere but at their first place (least id, then
-place). Chunks are grouped by their bytes, so equality of bytes decides; two texts under one 128-bit digest would
-both stay.
+passage has the same inner boundaries wherever it stands and an inserted line shifts nothing; ``most`` lines end a chunk in any
+case (the one boundary that depends on a place: in a longer stretch without a natural boundary, as of equal lines, an
+inserted line shifts the chunks up to the next natural one). Chunks of two lines or more with a word that occur in several
+places of the corpus are removed everywhere but at their first place (least id, then place). Chunks are found by 128-bit
+digests, and those whose digest repeats are then grouped by their bytes, which decide.
 
 Lines end at ``\\n`` and keep it. Null texts have no lines and come back null; rows with equal id and text count as one
-place each and get equal results. Null ids come after all others.
+place each and get equal results. Null ids come after all others. Texts may be of any length that Spark holds; empty tables
+give empty results.
 
 Boundaries are missing from many short passages, which then stay. ``repeated_lines`` draws none: it finds every run of
 lines that an earlier place has, by 128-bit digests of windows of lines; ``dedup_lines`` and ``line_run_report`` use it.
@@ -25,8 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import gram_hashes, keyed, map_arrow, on_key, row_tag
-from gridloom.llm.repeats import MAX_ID
+from gridloom.llm.common import cut, free_names, gram_hashes, keyed, map_arrow, row_key
 
 DIGEST = struct.Struct("<qq")
 
@@ -56,44 +57,77 @@ def _lines(body: bytes) -> list[bytes]:
     return [p + b"\n" for p in parts[:-1]] + ([parts[-1]] if parts[-1] else [])
 
 
-def _chunks(batches, bodies: bool, min_lines: int, mean: int):
-    cols = ("doc_id", "tag", "start", "k1", "k2", *(("chunk",) if bodies else ("stop", "lines")))
+def _digest(chunk: bytes) -> tuple[int, int]:
+    return DIGEST.unpack(xxhash.xxh3_128_digest(chunk))
+
+
+CHUNK = "k1 long, k2 long, doc_id long, r1 long, r2 long, start int, stop int, lines int"
+
+
+def _chunks(batches, min_lines: int, mean: int, digest):
+    """The chunks of every text with their digests."""
+    cols = [c.split()[0] for c in CHUNK.split(", ")]
     out: dict[str, list] = {c: [] for c in cols}
-    size = 0
     for batch in batches:
-        for doc_id, tag, body in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tag", "body")), strict=True):
+        for doc_id, r1, r2, body in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "r1", "r2", "body")), strict=True):
             for a, b, n in chunk_spans(body, mean=mean):
                 if n < min_lines or not (chunk := body[a:b].removesuffix(b"\n")).strip():
                     continue
-                d = xxhash.xxh3_128_intdigest(chunk)
-                row = (doc_id, tag, a, (d >> 64) - (1 << 63), (d & ((1 << 64) - 1)) - (1 << 63), *((chunk,) if bodies else (b, n)))
-                for c, v in zip(cols, row, strict=True):
+                for c, v in zip(cols, (*digest(chunk), doc_id, r1, r2, a, b, n), strict=True):
                     out[c].append(v)
-                size += len(chunk) * bodies + 64
-            if size > 8 << 20:
+            if len(out["k1"]) > 1 << 14:
                 yield out
-                out, size = {c: [] for c in cols}, 0
-    if out["doc_id"]:
+                out = {c: [] for c in cols}
+    if out["k1"]:
         yield out
 
 
-def repeated_chunks(base: DataFrame, min_lines: int = 2, mean: int = 4) -> DataFrame:
-    """base: ``doc_id, tag, body``. (doc_id, tag, spans): byte spans [a0, b0, ...] and lines of chunks to remove."""
-    whole = map_arrow(base, lambda it: _chunks(it, True, min_lines, mean), "doc_id long, tag long, start int, k1 long, k2 long, chunk binary")
-    slim = map_arrow(base, lambda it: _chunks(it, False, min_lines, mean), "doc_id long, tag long, start int, k1 long, k2 long, stop int, lines int")
-    groups = (
-        whole.groupBy("k1", "k2", "chunk").agg(F.count("*").alias("n"), F.min(F.coalesce("doc_id", F.lit(MAX_ID))).alias("d"))
-        .where("n > 1").select("k1", "k2", "d")
-        .groupBy("k1", "k2").agg(F.count("*").alias("texts"), F.min("d").alias("d")).where("texts = 1")
-    )
-    marks = slim.join(groups.select("k1", "k2", "d"), ["k1", "k2"])
-    # of several places in the least document the first stays: few, as a document's own chunks
-    own = F.coalesce("doc_id", F.lit(MAX_ID)) == F.col("d")
-    firsts = marks.where(own).groupBy("k1", "k2").agg(F.min(F.struct("tag", "start")).alias("f"))
-    later = marks.where(own).join(firsts, ["k1", "k2"]).where((F.col("tag") != F.col("f.tag")) | (F.col("start") != F.col("f.start")))
-    cols = ["doc_id", "tag", "start", "stop", "lines"]
-    gone = marks.where(~own).select(*cols).unionByName(later.select(*cols))
-    return gone.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("start", "stop", "lines")).alias("spans"))
+def _bytes(batches):
+    """The bytes of the chunks listed in ``spans``; equal rows of a batch are one."""
+    for batch in batches:
+        held, size = {}, 0
+        for body, spans in zip(batch.column("body").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            for s in spans:
+                key = (s["k1"], s["k2"], body[s["start"] : s["stop"]].removesuffix(b"\n"))
+                held[key] = held.get(key, 0) + 1
+                size += len(key[2])
+            if size > 8 << 20:
+                yield dict(zip(("k1", "k2", "chunk", "n"), (*map(list, zip(*held, strict=True)), list(held.values())), strict=True))
+                held, size = {}, 0
+        if held:
+            yield dict(zip(("k1", "k2", "chunk", "n"), (*map(list, zip(*held, strict=True)), list(held.values())), strict=True))
+
+
+def _placed(batches):
+    """As ``_bytes``, a row per place."""
+    for batch in batches:
+        for r1, r2, body, spans in zip(*(batch.column(c).to_pylist() for c in ("r1", "r2", "body", "spans")), strict=True):
+            yield {
+                "k1": [s["k1"] for s in spans], "k2": [s["k2"] for s in spans], "chunk": [body[s["start"] : s["stop"]].removesuffix(b"\n") for s in spans],
+                "r1": [r1] * len(spans), "r2": [r2] * len(spans), "start": [s["start"] for s in spans],
+            }
+
+
+def repeated_chunks(base: DataFrame, min_lines: int = 2, mean: int = 4, digest=_digest) -> DataFrame:
+    """base: of ``keyed``. (r1, r2, spans): the byte spans and lines of chunks to remove, first places left out."""
+    chunks, _ = cut(map_arrow(base, lambda it: _chunks(it, min_lines, mean, digest), CHUNK), "chunks")
+    counts = chunks.groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    again, _ = cut(chunks.join(counts, ["k1", "k2"]), "chunks")
+    spans = again.groupBy("r1", "r2").agg(F.collect_set(F.struct("k1", "k2", "start", "stop")).alias("spans"))
+    texts = base.select("r1", "r2", "body").join(spans, ["r1", "r2"])
+    # the bytes decide: a digest with one text is that text, others are told apart by their bytes
+    each = map_arrow(texts, _bytes, "k1 long, k2 long, chunk binary, n long").groupBy("k1", "k2", "chunk").agg(F.sum("n").alias("n"))
+    shared, _ = cut(each.groupBy("k1", "k2").agg(F.count("*").alias("texts")).where("texts > 1").drop("texts"), "shared")
+    whole = again.withColumn("chunk", F.lit(None).cast("binary"))
+    if shared.limit(1).count():
+        placed = map_arrow(texts, _placed, "k1 long, k2 long, chunk binary, r1 long, r2 long, start int").join(shared, ["k1", "k2"]).distinct()
+        whole = again.join(shared, ["k1", "k2"], "left_anti").withColumn("chunk", F.lit(None).cast("binary"))
+        whole = whole.unionByName(again.join(placed, ["k1", "k2", "r1", "r2", "start"]))
+    key = [F.col("k1"), F.col("k2"), F.coalesce("chunk", F.lit(b"")).alias("chunk")]
+    whole = whole.withColumn("place", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "r1", "r2", "start"))
+    firsts = whole.groupBy(*key).agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1")
+    gone = whole.withColumn("chunk", key[2]).join(firsts, ["k1", "k2", "chunk"]).where("place != first")
+    return gone.groupBy("r1", "r2").agg(F.collect_set(F.struct("start", "stop", "lines")).alias("spans"))
 
 
 def _rest(body: bytes, spans: list[dict]) -> bytes:
@@ -106,10 +140,10 @@ def _rest(body: bytes, spans: list[dict]) -> bytes:
 
 def _windows(batches, min_lines: int):
     """The place of every ``min_lines`` consecutive lines that hold a word, with a digest of their bytes."""
-    cols = ("doc_id", "tag", "line", "start", "stop", "k1", "k2")
+    cols = ("doc_id", "r1", "r2", "line", "start", "stop", "k1", "k2")
     out: dict[str, list] = {c: [] for c in cols}
     for batch in (b.slice(lo, 1024) for b in batches for lo in range(0, b.num_rows, 1024)):
-        for doc_id, tag, body in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tag", "body")), strict=True):
+        for doc_id, r1, r2, body in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "r1", "r2", "body")), strict=True):
             lines = _lines(body)
             ends = [0, *accumulate(map(len, lines))]
             for i in range(len(lines) - min_lines + 1):
@@ -117,7 +151,7 @@ def _windows(batches, min_lines: int):
                 if not (window := body[a:b].removesuffix(b"\n")).strip():
                     continue
                 k1, k2 = DIGEST.unpack(hashlib.blake2b(window, digest_size=16).digest())
-                for c, v in zip(cols, (doc_id, tag, i, a, b, k1, k2), strict=True):
+                for c, v in zip(cols, (doc_id, r1, r2, i, a, b, k1, k2), strict=True):
                     out[c].append(v)
             if len(out["line"]) > 1 << 13:
                 yield out
@@ -138,27 +172,27 @@ def _runs(batches, min_lines: int):
                 else:
                     runs.append({"first": w["line"], "start": w["start"], "stop": w["stop"], "lines": min_lines})
             spans.append([{k: r[k] for k in ("start", "stop", "lines")} for r in runs])
-        yield {"doc_id": batch.column("doc_id"), "tag": batch.column("tag"), "spans": spans}
+        yield {"r1": batch.column("r1"), "r2": batch.column("r2"), "spans": spans}
 
 
 def repeated_lines(base: DataFrame, min_lines: int = 2) -> DataFrame:
-    """base: ``doc_id, tag, body``. (doc_id, tag, spans) as ``repeated_chunks``, of all lines in a run of ``min_lines`` or more
-    that stands in an earlier place too. No boundaries are drawn: every window of lines is looked up. The first place of a
-    line is never in such a run, so no line leaves the corpus."""
-    windows = map_arrow(base, lambda it: _windows(it, min_lines), "doc_id long, tag long, line int, start int, stop int, k1 long, k2 long")
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag", "line")
+    """base: of ``keyed``. (r1, r2, spans) as ``repeated_chunks``, of all lines in a run of ``min_lines`` or more that stands in
+    an earlier place too. No boundaries are drawn: every window of lines is looked up. The first place of a line is never in
+    such a run, so no line leaves the corpus."""
+    windows = map_arrow(base, lambda it: _windows(it, min_lines), "doc_id long, r1 long, r2 long, line int, start int, stop int, k1 long, k2 long")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "r1", "r2", "line")
     firsts = windows.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min(place).alias("f")).where("n > 1").select("k1", "k2", "f")
     later = windows.join(firsts, ["k1", "k2"]).where(~place.eqNullSafe(F.col("f")))
-    held = later.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("line", "start", "stop")).alias("windows"))
-    return map_arrow(held, lambda it: _runs(it, min_lines), "doc_id long, tag long, spans array<struct<start int, stop int, lines int>>")
+    held = later.groupBy("r1", "r2").agg(F.collect_set(F.struct("line", "start", "stop")).alias("windows"))
+    return map_arrow(held, lambda it: _runs(it, min_lines), "r1 long, r2 long, spans array<struct<start int, stop int, lines int>>")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2) -> DataFrame:
     """``docs`` with the repeated runs of lines taken out of ``text_col``; all columns and rows stay."""
-    marks = repeated_lines(keyed(docs, id_col, text_col), min_lines)
-    marks = marks.select(F.col("doc_id").alias("_bd"), F.col("tag").alias("_bt"), F.col("spans").alias("_spans"))
-    on = F.col(id_col).cast("long").eqNullSafe(F.col("_bd")) & (row_tag(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_bt"))
-    joined = docs.join(marks, on, "left").drop("_bd", "_bt")
+    a, b, spans = free_names(docs, "r1", "r2", "spans")
+    marks = repeated_lines(keyed(docs, id_col, text_col), min_lines).select(F.col("r1").alias(a), F.col("r2").alias(b), F.col("spans").alias(spans))
+    r1, r2 = row_key(F.col(id_col), F.col(text_col))
+    joined = docs.withColumns({a: r1, b: r2}).join(marks, [a, b], "left").select(*docs.columns, spans)
     at, n = docs.columns.index(text_col), len(docs.columns)
 
     def run(batches):
@@ -189,14 +223,14 @@ def _report(base: DataFrame, marks: DataFrame) -> DataFrame:
         for batch in batches:
             spans = batch.column("spans").to_pylist()
             yield {
-                "doc_id": batch.column("doc_id"), "tag": batch.column("tag"),
+                "r1": batch.column("r1"), "r2": batch.column("r2"),
                 "n_removed_lines": [sum(s["lines"] for s in x) for x in spans], "n_removed_chunks": [len(x) for x in spans],
                 "kept": [hashlib.sha256(_rest(b, x)).hexdigest() for b, x in zip(batch.column("body").to_pylist(), spans, strict=True)],
             }
 
-    changed = map_arrow(on_key(base, marks, "inner"), run, "doc_id long, tag long, n_removed_lines long, n_removed_chunks long, kept string").dropDuplicates(["doc_id", "tag"])
+    changed = map_arrow(base.join(marks, ["r1", "r2"]), run, "r1 long, r2 long, n_removed_lines long, n_removed_chunks long, kept string").dropDuplicates(["r1", "r2"])
     body = F.col("body").cast("string")
     n_lines = F.octet_length(body) - F.octet_length(F.replace(body, F.lit("\n"), F.lit(""))) + F.when((F.octet_length(body) > 0) & ~body.endswith("\n"), 1).otherwise(0)
-    own = base.select("doc_id", "tag", n_lines.cast("long").alias("n_lines"), F.sha2("body", 256).alias("own"))
+    own = base.select("doc_id", "r1", "r2", n_lines.cast("long").alias("n_lines"), F.sha2("body", 256).alias("own"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return on_key(own, changed, "left").select("doc_id", "n_lines", zero("n_removed_lines"), zero("n_removed_chunks"), F.coalesce("kept", "own").alias("kept_sha256"))
+    return own.join(changed, ["r1", "r2"], "left").select("doc_id", "n_lines", zero("n_removed_lines"), zero("n_removed_chunks"), F.coalesce("kept", "own").alias("kept_sha256"))

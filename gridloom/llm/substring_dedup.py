@@ -13,30 +13,36 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import xxhash
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import gram_hashes, keyed, map_arrow, on_key
-from gridloom.llm.repeats import Kind, covered, repeated_spans
-
-
-class WordHashes(dict):
-    """word -> 64-bit hash, emptied when it has grown to a million words."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-HASHES = WordHashes()
-
-
-def word_symbols(body: bytes) -> tuple[np.ndarray, list[bytes]]:
-    words = body.split()  # ASCII white space: \x20 and \x09-\x0D
-    return np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words)), words
+from gridloom.llm.common import SLAB, gram_hashes, keyed, map_arrow, mix, powers
+from gridloom.llm.repeats import Kind, Symbols, covered, own_rows, repeated_spans
+
+#: A random 64-bit value per byte; white space (\\x20, \\x09-\\x0D) counts as zero.
+BYTES = np.random.default_rng(20_240_103).integers(1, 1 << 64, 256, np.uint64)
+SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+BYTES[SPACE] = 0
+
+
+def word_symbols(buf: np.ndarray, ends: np.ndarray) -> Symbols:
+    """The words of several texts with polynomial hashes of their bytes, without a step per word."""
+    blank = SPACE[buf]
+    before = np.concatenate([[True], blank[:-1]])
+    before[np.concatenate([[0], ends[:-1]])[ends > np.concatenate([[0], ends[:-1]])]] = True  # a text's first byte
+    start = np.flatnonzero(~blank & before)
+    after = np.append(before[1:], True)
+    stop = np.flatnonzero(~blank & (after | np.append(blank[1:], True))) + 1
+    values, lo = np.empty(len(start), np.uint64), 0
+    while lo < len(start):  # about SLAB bytes at once, a word at least
+        hi = max(lo + 1, int(np.searchsorted(start, start[lo] + SLAB)))
+        first = start[lo]
+        power, inverse = powers(int(stop[hi - 1] - first))
+        values[lo:hi] = mix(np.add.reduceat(BYTES[buf[first : stop[hi - 1]]] * power, start[lo:hi] - first) * inverse[start[lo:hi] - first])
+        lo = hi
+    return Symbols(buf, np.searchsorted(start, ends), lambda a, b: values[a:b], start, stop)
 
 
 def equal_classes(ids: np.ndarray, hashes: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,61 +83,52 @@ def flag_spans(flags: np.ndarray, cuts: np.ndarray) -> list[list[int]]:
 def _solver(window: int):
     def solve(h, packs, at, cnt, first):
         n = len(packs)
-        new = np.array([True] + [a != b for a, b in zip(h, h[1:], strict=False)])
+        h = np.array(h, np.int64)
+        new = np.append(True, h[1:] != h[:-1])
         lone = new & np.append(new[1:], True)
         spans: list[list[int]] = [[] for _ in range(n)]
         rows = np.flatnonzero(~lone)
         if not len(rows):
             return spans
-        number: dict[bytes, int] = {}
-        arrays = [np.fromiter((number.setdefault(w, len(number)) for w in packs[i].split()), np.int64) for i in rows]
-        lens = np.array([len(x) for x in arrays])
-        ids, ends = np.concatenate(arrays), np.cumsum(lens)
-        table = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in number), np.uint64, len(number))
-        hashes = gram_hashes(table[ids], window)
+        words = pc.split_pattern(pa.array([packs[i] for i in rows.tolist()], pa.binary()).cast(pa.string()), " ")
+        named = words.flatten().dictionary_encode()
+        ids = named.indices.to_numpy().astype(np.int64)
+        ends = words.offsets.to_numpy()[1:].astype(np.int64)
+        lens = np.diff(np.append(0, ends))
+        hashes = gram_hashes(mix((ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)), window)
         nw = lens - window + 1
         cuts = np.concatenate([[0], np.cumsum(nw)])
         rec = np.repeat(np.arange(len(rows)), nw)
         starts = np.arange(cuts[-1]) - cuts[rec] + (ends - lens)[rec]
         order, heads = equal_classes(ids, hashes, starts, window)
-        docs = np.array([first[i] for i in rows], np.int64)[rec]
+        docs = np.array(first, np.int64)[rows][rec]
         least = np.minimum.reduceat(docs[order], heads)
         flags = np.zeros(len(starts), bool)
         flags[order] = np.repeat(least, np.diff(np.append(heads, len(order)))) < docs[order]
-        for i, s in zip(rows, flag_spans(flags, cuts), strict=True):
+        for i, s in zip(rows.tolist(), flag_spans(flags, cuts), strict=True):
             spans[i] = s
         return spans
 
     return solve
 
 
-def _windows(window: int):
-    def windows(pack: bytes) -> list[bytes]:
-        w = pack.split()
-        return [b" ".join(w[i : i + window]) for i in range(len(w) - window + 1)]
-
-    return windows
+def word_kind(window: int, k: int, digest: bool) -> Kind:
+    def own(body: bytes) -> bytes:
+        words = b" ".join(body.split())
+        return hashlib.sha256(words).digest() if digest else words
 
+    return Kind(window, k, word_symbols, _solver(window), own, by_id=True)
 
-def word_kind(window: int, k: int) -> Kind:
-    return Kind(window, k, word_symbols, lambda body, words, a, b: b" ".join(words[a:b]), _windows(window), _solver(window), by_id=True)
 
-
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, k: int = 16, hot: int = 50_000, digest: bool = False) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, k: int = 16, hot: int = 20_000, digest: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed and the kept words joined by one space (``kept``), a row per row of ``docs``.
 
-    ``k``: words of a minimiser. ``hot``: occurrences from which a minimiser's windows are counted one by one.
+    ``k``: words of a minimiser. ``hot``: occurrences from which a minimiser's windows each have their own bucket.
     ``digest``: ``kept_sha256`` in place of ``kept``, so that no text is shuffled for the result.
     """
-    base = keyed(docs, id_col, text_col)
-    what = "kept_sha256" if digest else "kept"
-
-    def out(words: list[bytes]) -> str:
-        text = b" ".join(words)
-        return hashlib.sha256(text).hexdigest() if digest else text.decode()
 
     def clean(batches):
-        for batch in batches:
+        for batch in map(own_rows, batches):
             kept, removed = [], []
             for body, spans in zip(batch.column("body").to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 words = body.split()
@@ -139,18 +136,14 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 for a, b in reversed(covered(spans, window)):
                     del words[a:b]
                     n += b - a
-                kept.append(out(words))
+                text = b" ".join(words)
+                kept.append(hashlib.sha256(text).digest() if digest else text)
                 removed.append(n)
-            yield {"doc_id": batch.column("doc_id"), "tag": batch.column("tag"), "n_removed": removed, "kept": kept}
-
-    def plain(batches):
-        for batch in batches:
-            words = [x.split() for x in batch.column("body").to_pylist()]
-            yield {"doc_id": batch.column("doc_id"), "tag": batch.column("tag"), "n_words": [len(w) for w in words], "own": [out(w) for w in words]}
-
-    chosen, marks = repeated_spans(base, word_kind(window, k), hot)
-    # equal rows (same id and text) have equal results: one of them is cleaned
-    marked = on_key(chosen, marks, "inner")
-    changed = map_arrow(marked, clean, "doc_id long, tag long, n_removed long, kept string").dropDuplicates(["doc_id", "tag"])
-    own = map_arrow(base, plain, "doc_id long, tag long, n_words long, own string")
-    return on_key(own, changed, "left").select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept", "own").alias(what))
+            yield {"r1": batch.column("r1"), "r2": batch.column("r2"), "n_removed": removed, "kept": kept}
+
+    rows, marked = repeated_spans(keyed(docs, id_col, text_col), word_kind(window, k, digest), hot)
+    # equal rows (same id and text) have equal results: one of them is kept
+    changed = map_arrow(marked, clean, "r1 long, r2 long, n_removed long, kept binary").dropDuplicates(["r1", "r2"])
+    kept = F.coalesce("kept", "own")
+    kept = F.lower(F.hex(kept)).alias("kept_sha256") if digest else kept.cast("string").alias("kept")
+    return rows.join(changed, ["r1", "r2"], "left").select("doc_id", F.col("n").alias("n_words"), F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), kept)

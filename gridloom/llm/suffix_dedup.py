@@ -5,11 +5,12 @@ them from the greatest down, finds each member's previous smaller suffix by foll
 pointed at into new groups just above their old ones, by how many members point at them. Phase two goes through the
 order from its start and appends, along the pointers, every suffix to its group: no recursion, no renaming.
 
-Across a corpus (see ``repeats``) consecutive windows with one minimiser travel as one packed string. In a bucket,
-the text after each minimiser is written in blocks of ``BLOCK`` bytes, whose ranks are the suffix array's alphabet
-(blocks are aligned at the minimiser, so equal texts have equal blocks). The order of these suffixes with the common
-prefix lengths of neighbours, compared byte by byte, and the same for the texts before the minimisers backwards, give
-each window's class: windows are equal if and only if they agree on both sides of their minimiser.
+Across a corpus (see ``repeats``) consecutive windows with one minimiser travel as one packed string. The bucket's text is
+that of all its packed strings from the minimiser on, and a second text holds the bytes before the minimisers backwards.
+Both are written in blocks of ``BLOCK`` bytes (counted from the minimiser, so equal texts have equal blocks), numbered in
+byte order: the integer alphabet that the construction starts from. The order of the two texts' suffixes, with the common
+prefixes of neighbours compared byte by byte, gives each window's class: windows are equal if and only if they agree on
+both sides of their minimiser.
 
 Null texts are empty. Rows with equal id and text count as separate occurrences and get equal results.
 """
@@ -22,11 +23,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import keyed, map_arrow, on_key
-from gridloom.llm.repeats import Kind, covered, repeated_spans
+from gridloom.llm.common import keyed, map_arrow
+from gridloom.llm.repeats import Kind, Symbols, covered, own_rows, repeated_spans
 from gridloom.llm.substring_dedup import flag_spans
 
-BLOCK = 40
+BLOCK = 25
 
 
 def lyndon_order(s: list[int]) -> list[int]:
@@ -121,38 +122,49 @@ def _best(lcp: np.ndarray) -> np.ndarray:
     return np.maximum(lcp, np.append(lcp[1:], 0))
 
 
+def _beside(packs: list[bytes], at: np.ndarray, width: int, forward: bool) -> np.ndarray:
+    """A row per packed string: ``width`` bytes from its place on, or those before it backwards; zeros where it ends."""
+    flat = np.frombuffer(b"".join(packs), np.uint8)
+    lens = np.fromiter(map(len, packs), np.int64, len(packs))
+    begin = np.cumsum(lens) - lens
+    out, step = np.zeros((len(packs), width), np.uint8), np.arange(width)
+    for lo in range(0, len(packs), 2048):
+        hi = min(len(packs), lo + 2048)
+        places = at[lo:hi, None] + step if forward else at[lo:hi, None] - 1 - step
+        there = (places >= 0) & (places < lens[lo:hi, None])
+        out[lo:hi][there] = flat[(places + begin[lo:hi, None])[there]]
+    return out
+
+
+def side_order(side: np.ndarray) -> np.ndarray:
+    """The rows of a byte matrix in the order of their text, from the suffix array of all rows written in blocks."""
+    n, width = side.shape
+    blocks = -(-width // BLOCK)
+    padded = np.zeros((n, blocks * BLOCK), np.uint8)
+    padded[:, :width] = side
+    text = np.zeros((n, blocks + 1), np.int64)  # a 0 ends each row
+    text[:, :blocks] = np.unique(padded.reshape(-1, BLOCK).view(f"S{BLOCK}").ravel(), return_inverse=True)[1].reshape(n, blocks) + 1
+    order = np.array(lyndon_order(text.ravel().tolist()), np.int64)
+    return order[order % (blocks + 1) == 0] // (blocks + 1)
+
+
 def _solver(window: int, k: int):
     width = window - k  # the most bytes before a minimiser within a window
 
     def solve(h, packs, at, cnt, first):
-        n = len(packs)
         spans: list[list[int]] = [[0, len(p) - window + 1] if c > 1 else [] for p, c in zip(packs, cnt, strict=True)]
-        new = np.array([True] + [a != b for a, b in zip(h, h[1:], strict=False)])
+        h = np.array(h, np.int64)
+        new = np.append(True, h[1:] != h[:-1])
         rows = np.flatnonzero(~(new & np.append(new[1:], True)))
         if not len(rows):
             return spans
-        n = len(rows)
-        blocks = -(-window // BLOCK)
-        after, prior = np.zeros((n, blocks * BLOCK), np.uint8), np.zeros((n, width), np.uint8)
-        for r, i in enumerate(rows):
-            x = np.frombuffer(packs[i], np.uint8)
-            a = x[at[i] : at[i] + window]
-            after[r, : len(a)] = a
-            if at[i]:
-                b = x[max(0, at[i] - width) : at[i]][::-1]
-                prior[r, : len(b)] = b
-        symbols = np.unique(after.reshape(-1, BLOCK).view(f"S{BLOCK}").ravel(), return_inverse=True)[1].reshape(n, blocks) + 1
-        text = np.zeros((n, blocks + 1), np.int64)
-        text[:, :blocks] = symbols
-        order = np.array(lyndon_order(text.ravel().tolist()), np.int64)
-        order = order[order % (blocks + 1) == 0] // (blocks + 1)
-        right = _common(after[order][:, :window])
-        back = np.argsort(np.ascontiguousarray(prior).view(f"S{width}").ravel(), kind="stable")
-        left = _common(prior[back])
+        n, own = len(rows), [packs[i] for i in rows.tolist()]
+        lead, lens = np.array(at, np.int64)[rows], np.fromiter(map(len, own), np.int64, n)
+        after, prior = _beside(own, lead, window, True), _beside(own, lead, width, False)
+        order, back = side_order(after), side_order(prior)
+        right, left = _common(after[order]), _common(prior[back])
         reach_r, reach_l = np.empty(n, np.int64), np.empty(n, np.int64)
         reach_r[order], reach_l[back] = _best(right), _best(left)
-        lead = np.array([at[i] for i in rows])
-        lens = np.array([len(packs[i]) for i in rows])
         most, least = lead, lead - (lens - window)  # bytes before the minimiser in the first and the last window
         low, high = np.maximum(least, window - reach_r), np.minimum(most, reach_l)
         nw = lens - window + 1
@@ -170,7 +182,7 @@ def _solver(window: int, k: int):
                 _, inverse, times = np.unique(key, return_inverse=True, return_counts=True)
                 hit = rs[times[inverse] > 1]
                 flags[cuts[hit] + lead[hit] - x] = True
-        for i, found in zip(rows, flag_spans(flags, cuts), strict=True):
+        for i, found in zip(rows.tolist(), flag_spans(flags, cuts), strict=True):
             if cnt[i] == 1:
                 spans[i] = found
         return spans
@@ -181,23 +193,22 @@ def _solver(window: int, k: int):
 TABLE = np.random.default_rng(20_240_101).integers(0, 1 << 64, 256, np.uint64)
 
 
-def byte_kind(window: int, k: int) -> Kind:
-    def windows(pack: bytes) -> list[bytes]:
-        return [pack[i : i + window] for i in range(len(pack) - window + 1)]
+def byte_kind(window: int, k: int, digest: bool) -> Kind:
+    def own(body: bytes) -> bytes:
+        return hashlib.sha256(body).digest() if digest else body
 
-    return Kind(window, k, lambda body: (TABLE[np.frombuffer(body, np.uint8)], None), lambda body, _, a, b: body[a:b], windows, _solver(window, k), by_id=False)
+    return Kind(window, k, lambda buf, ends: Symbols(buf, ends, lambda a, b: TABLE[buf[a:b]]), _solver(window, k), own, by_id=False)
 
 
-def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 200, k: int = 64, hot: int = 50_000, digest: bool = False) -> DataFrame:
+def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 200, k: int = 64, hot: int = 20_000, digest: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the remaining bytes (``kept``), a row per row of ``docs``.
 
     A byte goes if a ``window``-byte string that covers it also starts elsewhere, in the same text included.
-    ``hot``: occurrences from which a minimiser's windows are counted one by one; ``digest``: ``kept_sha256`` only.
+    ``hot``: occurrences from which a minimiser's windows each have their own bucket; ``digest``: ``kept_sha256`` only.
     """
-    base = keyed(docs, id_col, text_col)
 
     def clean(batches):
-        for batch in batches:
+        for batch in map(own_rows, batches):
             kept, removed, n_spans = [], [], []
             for body, spans in zip(batch.column("body").to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 parts, end, n = [], 0, 0
@@ -208,16 +219,14 @@ def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     n += b - a
                 parts.append(body[end:])
                 rest = b"".join(parts)
-                kept.append(hashlib.sha256(rest).hexdigest().encode() if digest else rest)
+                kept.append(hashlib.sha256(rest).digest() if digest else rest)
                 removed.append(n)
                 n_spans.append(len(runs))
-            yield {"doc_id": batch.column("doc_id"), "tag": batch.column("tag"), "n_removed": removed, "n_spans": n_spans, "kept": kept}
+            yield {"r1": batch.column("r1"), "r2": batch.column("r2"), "n_removed": removed, "n_spans": n_spans, "kept": kept}
 
-    chosen, marks = repeated_spans(base, byte_kind(window, k), hot)
-    marked = on_key(chosen, marks, "inner")
-    changed = map_arrow(marked, clean, "doc_id long, tag long, n_removed long, n_spans long, kept binary").dropDuplicates(["doc_id", "tag"])
-    own = F.sha2(F.col("body"), 256).cast("binary") if digest else F.col("body")
-    rows = on_key(base.select("doc_id", "tag", F.octet_length("body").cast("long").alias("n_bytes"), own.alias("own")), changed, "left")
+    rows, marked = repeated_spans(keyed(docs, id_col, text_col), byte_kind(window, k, digest), hot)
+    # equal rows (same id and text) have equal results: one of them is kept
+    changed = map_arrow(marked, clean, "r1 long, r2 long, n_removed long, n_spans long, kept binary").dropDuplicates(["r1", "r2"])
     kept = F.coalesce("kept", "own")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return rows.select("doc_id", "n_bytes", zero("n_removed"), zero("n_spans"), kept.cast("string").alias("kept_sha256") if digest else kept.alias("kept"))
+    return rows.join(changed, ["r1", "r2"], "left").select("doc_id", F.col("n").alias("n_bytes"), zero("n_removed"), zero("n_spans"), F.lower(F.hex(kept)).alias("kept_sha256") if digest else kept.alias("kept"))
