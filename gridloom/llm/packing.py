@@ -6,12 +6,17 @@ fit. With ``open_bins`` bins open a new one closes the fullest, the lowest bit o
 
 Pieces are dealt to groups of about ``group_rows`` by a hash, and each group is packed by itself; a group's bins stay
 its own. Only documents longer than a sequence are cut. Null texts are empty; they have the end token only. Rows with equal
-id and text are pieces of their own.
+id and text are pieces of their own, null ids stay null. A text of any length is tokenised whole; an empty table gives none.
+
+Tokens are the tokenizer's own. Where its file has the layout of ``LAYOUT`` (text in lower case, cut at white space, into
+letters, single digits and the rest, with a token that ends every part), distinct words are split into these parts and
+only distinct parts are handed to it; a word with other characters goes to it whole, and with another layout whole texts do.
 """
 
 from __future__ import annotations
 
-import struct
+import json
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterable, Iterator
@@ -27,62 +32,109 @@ from gridloom.llm.common import map_arrow
 SEQUENCE = 4096
 END = 1
 #: Bytes of text that are tokenised together.
-SLICE = 8 << 20
-#: Distinct words in each of the two generations of a worker's cache.
-KEPT = 500_000
+SLICE = 4 << 20
+#: What a tokenizer's file says where its words can be taken apart as here.
+LAYOUT = {
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+    "split": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+",
+    "end_of_word_suffix": "</w>",
+}
+#: Parts of lower-case words of ASCII and the letters U+00C0 to U+00FF, whose composed form is their own.
+PARTS = re.compile("\n|'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^\na-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+PLAIN = "^[\x21-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$"
 
 
-class WordIds(dict):
-    """white-space-delimited word -> uint32 ids as bytes; holds the words of the last one or two ``KEPT`` lookups of new ones."""
+class TextIds:
+    """texts -> token ids."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.old: dict[str, bytes] = {}
-        self.pack = [struct.Struct(f"<{n}I").pack for n in range(64)]
-
-    def learn(self, words: list[str]) -> None:
-        if len(self) > KEPT:
-            self.old = dict(self)
-            self.clear()
-        new = []
-        for w in words:
-            if w not in self:
-                if (ids := self.old.get(w)) is None:
-                    new.append(w)
-                else:
-                    self[w] = ids
-        for word, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            ids = e.ids
-            self[word] = self.pack[len(ids)](*ids) if len(ids) < 64 else np.array(ids, "<u4").tobytes()
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        vocabulary = told["model"]["vocab"]
+        pre = (told.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        self.by_parts = (
+            (told.get("normalizer") or {}).get("normalizers") == LAYOUT["normalizers"] and pre[0].get("pattern") == {"Regex": LAYOUT["split"]}
+            and told["model"].get("end_of_word_suffix") == LAYOUT["end_of_word_suffix"]
+        )
+        self.marks = tuple(x["content"] for x in told.get("added_tokens", ()))
+        if self.by_parts:
+            # parts have no white space and are in lower case: nothing else is to be cut or changed
+            self.parts = Tokenizer(self.tokenizer.model)
+            self.parts.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.ends = np.zeros(1 + max(vocabulary.values()), bool)
+            self.ends[[i for token, i in vocabulary.items() if token.endswith(LAYOUT["end_of_word_suffix"])]] = True
+
+    def _of(self, tokenizer, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, how many each has)."""
+        ids = self._of(self.tokenizer, texts)
+        return np.concatenate([np.empty(0, "<u4"), *ids]), np.fromiter(map(len, ids), np.int64, len(ids))
+
+    def of_parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        groups = [parts[lo : lo + 1000] for lo in range(0, len(parts), 1000)]
+        ids, sizes = [], []
+        for some, own in zip(groups, self._of(self.parts, [" ".join(g) for g in groups]), strict=True):
+            size = np.diff(np.flatnonzero(self.ends[own]), prepend=-1)
+            if len(size) != len(some):  # a token that ends a part within one
+                own, size = self.whole(some)
+            ids.append(own)
+            sizes.append(size)
+        return np.concatenate([np.empty(0, "<u4"), *ids]), np.concatenate([np.empty(0, np.int64), *sizes])
+
+    def of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, sizes) of distinct words without white space."""
+        plain = pc.match_substring_regex(words, PLAIN)
+        for mark in self.marks:
+            plain = pc.and_not(plain, pc.match_substring(words, mark))
+        some, others = words.filter(plain), words.filter(pc.invert(plain)).to_pylist()
+        line = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), some), "\n")[0].as_py()
+        parts = pa.array(PARTS.findall(line.lower()), pa.string()).dictionary_encode()
+        distinct = parts.dictionary.to_pylist()
+        flat, size = self.of_parts([p for p in distinct if p != "\n"])
+        if "\n" in distinct:  # stands between words
+            size = np.insert(size, distinct.index("\n"), 0)
+        ids, each = spread(flat, size, parts.indices.to_numpy())
+        more, more_sizes = self.whole(others)
+        at = plain.to_numpy(zero_copy_only=False)
+        sizes = np.zeros(len(words), np.int64)
+        if len(some):
+            sizes[at] = np.diff(np.concatenate([[0], np.cumsum(each)[each == 0], [len(ids)]]))
+        sizes[~at] = more_sizes
+        own = np.repeat(at, sizes)
+        out = np.empty(len(own), "<u4")
+        out[own], out[~own] = ids, more
+        return out, sizes
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts one after the other, each text's first place and the end).
-
-        No token of this vocabulary crosses white space: each distinct word of the texts is looked up once.
-        """
+        """(ids of all texts one after the other, each text's first place and the end); each distinct word is looked up once."""
+        if not self.by_parts:
+            ids, sizes = self.whole(texts.to_pylist())
+            return ids, np.concatenate([[0], np.cumsum(sizes)])
         words = pc.ascii_split_whitespace(texts)
         each = words.flatten().dictionary_encode()
-        distinct = each.dictionary.to_pylist()
-        self.learn(distinct)
-        raw = list(map(self.__getitem__, distinct))
-        length = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
-        flat, first = np.frombuffer(b"".join(raw), "<u4"), np.cumsum(length) - length
-        at = each.indices.to_numpy()
-        n = length[at]
-        end = np.cumsum(n)
-        ids = flat[np.arange(end[-1] if len(end) else 0) + np.repeat(first[at] - (end - n), n)]
+        ids, n = spread(*self.of_words(each.dictionary), each.indices.to_numpy())
         offsets = words.offsets.to_numpy()
-        return ids, np.concatenate([[0], end])[offsets - offsets[0]]
+        return ids, np.concatenate([[0], np.cumsum(n)])[offsets - offsets[0]]
+
+
+def spread(flat: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches ``at`` of ``flat``, whose stretches have ``sizes``, one after the other, and their sizes."""
+    first, n = (np.cumsum(sizes) - sizes)[at], sizes[at]
+    end = np.cumsum(n)
+    return flat[np.arange(end[-1] if len(end) else 0) + np.repeat(first - (end - n), n)], n
 
 
-_LOADED: dict[str, WordIds] = {}
+_LOADED: dict[str, TextIds] = {}
 
 
-def _ids(path: str) -> WordIds:
+def _ids(path: str) -> TextIds:
     if path not in _LOADED:
-        _LOADED[path] = WordIds(path)
+        _LOADED[path] = TextIds(path)
     return _LOADED[path]
 
 
