@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -11,6 +12,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+try:
+    LIBC = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library
+    LIBC = None
+
 #: A fixed value that tells the second half of a row's key from the first.
 SEED = 7_919
 #: Text handed to one vectorised step; bounds a Python worker's memory whatever the batch.
@@ -81,12 +87,22 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[d
     target = to_arrow_schema(out)
 
     def run(batches):
-        for cols in fn(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], type=f.type) for f in target], schema=target)
+        try:
+            for cols in fn(batches):
+                yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], type=f.type) for f in target], schema=target)
+        finally:
+            hand_back()
 
     return df.mapInArrow(run, out)
 
 
+def hand_back() -> None:
+    """Free memory goes back to the system, as the worker serves further tasks."""
+    pa.default_memory_pool().release_unused()
+    if LIBC:
+        LIBC.malloc_trim(0)
+
+
 def slabs(batch: pa.RecordBatch, name: str = "body", size: int = SLAB) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, their bytes, each text's end in these) of stretches of about ``size`` bytes, a row at least."""
     body = batch.column(name)
