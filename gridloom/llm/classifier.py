@@ -6,7 +6,10 @@ aggregation: the global rate is the prior of hosts, a host's posterior that of i
 (pseudo-documents) follows from how much group means vary beyond what their sizes explain. Sites with few documents so
 stay near the prior above them. The posterior log odds are the document's evidence plus the path's.
 
-Null and empty texts have no evidence either way; a null host or path is a site of its own. Ids may repeat; each row is rated by itself.
+Null and empty texts have no evidence either way; a null host or path is a site of its own. Ids may repeat; each row is rated
+by itself. Labelled rows whose id has several labels, or a text beyond ``FIT_BYTES``, are not fitted on; of rows with one id the
+least text is. Without labels of both classes the evidence is the same for all. Texts of any length are read whole; an empty
+table gives none.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ from gridloom.llm.quality_rules import Page
 
 #: The most labelled rows that a model is fitted on.
 FIT_ROWS = 4_000
+#: The longest text that a model is fitted on, so that the driver gets FIT_ROWS times as many bytes at most.
+FIT_BYTES = 32_768
 
 
 def measures(body: bytes) -> list[bytes]:
@@ -40,7 +45,7 @@ def measures(body: bytes) -> list[bytes]:
 
 @dataclass(frozen=True)
 class Evidence:
-    """Log odds of a logistic model: base plus the weights of the features present (distinct lower-case words, measures)."""
+    """Log odds of a logistic model: base plus the weights of the features present (of ``features``)."""
 
     base: float
     weights: dict[bytes, float]
@@ -50,11 +55,19 @@ class Evidence:
         return self.base + sum([w[x] for x in features & w.keys()])
 
 
+#: Characters of a word's beginning that are a feature too, so that unseen forms of a word count.
+BEGINNING = 4
+EDGES = b".,;:!?\"()"
+
+
 def features(body: bytes) -> set[bytes]:
-    return {*body.lower().split(), *measures(body)}
+    """Distinct words in lower case without punctuation at their ends, their beginnings (marked by a blank), and the measures."""
+    words = {x.strip(EDGES) for x in body.lower().split()}
+    starts = {b" " + (x[:BEGINNING] if x.isascii() else x.decode()[:BEGINNING].encode()) for x in words if len(x) >= BEGINNING}
+    return {*words, *starts, *measures(body)}
 
 
-def fit(rows: list[tuple[bytes, int]], most: int = 400, ridge: float = 1.0) -> Evidence:
+def fit(rows: list[tuple[bytes, int]], most: int = 400, ridge: float = 0.3) -> Evidence:
     """A logistic model with a ridge penalty, by Newton steps, over the ``most`` features that tell the classes apart best
     (log odds ratio in standard errors)."""
     n1 = sum(y for _, y in rows)
@@ -91,10 +104,12 @@ def fit(rows: list[tuple[bytes, int]], most: int = 400, ridge: float = 1.0) -> E
 
 def labelled(docs: DataFrame, labels: DataFrame, target: str, id_col: str, text_col: str, rows: int) -> list[tuple[bytes, int]]:
     """``rows`` labelled texts at most, least by a hash of their id."""
-    y = labels.select(F.col(id_col).alias("_i"), F.col(target).cast("int").alias("y")).where("_i is not null and y in (0, 1)").dropDuplicates(["_i"])
+    y = labels.select(F.col(id_col).alias("_i"), F.col(target).cast("int").alias("y")).where("_i is not null and y in (0, 1)")
+    y = y.groupBy("_i").agg(F.min("y").alias("y"), F.max("y").alias("most")).where("y = most").drop("most")
     y = y.orderBy(F.xxhash64(F.lit(3), "_i"), "_i").limit(rows)
-    got = docs.select(F.col(id_col).alias("_i"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(F.broadcast(y), "_i").collect()
-    return [(r["t"].encode(), r["y"]) for r in sorted(got, key=lambda r: (r["_i"], r["t"]))]
+    texts = docs.select(F.col(id_col).alias("_i"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).where(F.octet_length("t") <= FIT_BYTES)
+    got = texts.join(F.broadcast(y), "_i").groupBy("_i", "y").agg(F.min("t").alias("t")).collect()
+    return [(r["t"].encode(), r["y"]) for r in sorted(got, key=lambda r: r["_i"])]
 
 
 def _strength(groups: DataFrame) -> float:
@@ -108,9 +123,9 @@ def _strength(groups: DataFrame) -> float:
     return float(min(1e4, max(2.0, inner / between - 1)))
 
 
-def rate(docs: DataFrame, labels: DataFrame, target: str = "quality", host: str = "source", path: str = "lang", id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS, models: dict[str, Evidence] | None = None, also: tuple[str, ...] = ("toxic",)) -> DataFrame:
+def rate(docs: DataFrame, labels: DataFrame, target: str = "quality", host: str = "source", path: str = "lang", id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS, models: dict[str, Evidence] | None = None, also: tuple[str, ...] = ("toxic",), also_under: float = 0.25) -> DataFrame:
     """A row per row: id, host, path, evidence (log odds), host_rate, path_rate, posterior, and for each of ``also`` its
-    probability by the text alone; ``kept``: posterior at least 0.5 and all of ``also`` under 0.5."""
+    probability by the text alone; ``kept``: posterior at least 0.5 and all of ``also`` under ``also_under``."""
     models = models or {t: fit(labelled(docs, labels, t, id_col, text_col, fit_rows)) for t in (target, *also)}
 
     def run(batches):
@@ -139,5 +154,5 @@ def rate(docs: DataFrame, labels: DataFrame, target: str = "quality", host: str
     rows = rows.select("doc_id", "host", "path", e.alias("evidence"), "host_rate", "path_rate", posterior.alias("posterior"), *(chance(F.col(f"e_{t}")).alias(f"{t}_probability") for t in also))
     kept = F.col("posterior") >= 0.5
     for t in also:
-        kept = kept & (F.col(f"{t}_probability") < 0.5)
+        kept = kept & (F.col(f"{t}_probability") < also_under)
     return rows.withColumn("kept", kept)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import cut, drop_path, map_arrow, mix
+from gridloom.llm.common import cut, drop_path, free_names, map_arrow, mix
 
 #: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1 generates the Golay code of 23 bits.
 GENERATOR, BITS, RADIUS = 0b101011100011, 23, 3
@@ -188,16 +188,16 @@ def links(fps: DataFrame, threshold: int = 3) -> DataFrame:
                 at, anchor = cover.anchors(part)
                 yield {"anchor": anchor, "fp": part[at]}
 
-    copies = map_arrow(fps.select("fp"), spread, "anchor long, fp long")
+    copies = map_arrow(fps.select("fp").repartition("fp"), spread, "anchor long, fp long")
     return map_arrow(copies.repartition("anchor").sortWithinPartitions("anchor"), _linked(threshold), "a long, b long").distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """edges: a, b. (node, root) for every node of an edge, root the smallest node reachable."""
     spark = edges.sparkSession
     now, path = cut(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     state = None
-    for _ in range(max_rounds):
+    while True:  # each round halves the paths, so it ends after about log2 of the longest
         # large star: each node sends its greater neighbours to its smallest neighbour (or itself)
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -213,8 +213,6 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         if tuple(seen) == state:
             break
         state = tuple(seen)
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = now.select(F.col("b").alias("node"), F.col("a").alias("root"))
     return roots.unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
@@ -470,10 +468,10 @@ def _kept(docs: DataFrame, roots: DataFrame, id_col: str, text_col: str) -> Data
     least = row.groupBy("key").agg(F.min(F.struct(F.col("_d").isNull().alias("none"), "_d")).alias("least"))
     first = least.join(roots, "key").groupBy("root").agg(F.min(F.struct("least.none", "least._d", "key")).alias("f")).select(F.col("f._d").alias("_d"), F.col("f.key").alias("_k"))
     # the same columns for the join and for equal rows, so that texts are shuffled once
-    on = lambda d, k: {"_none": d.isNull(), "_id": F.coalesce(d, F.lit(0)), "_key": k}
+    names = free_names(docs, "none", "id", "key")
+    on = lambda d, k: dict(zip(names, (d.isNull(), F.coalesce(d, F.lit(0)), k), strict=True))
     keyed = docs.withColumns(on(F.col(id_col).cast("long"), text_key(F.col(text_col))))
     first = first.select(*(c.alias(n) for n, c in on(F.col("_d"), F.col("_k")).items()))
-    names = ["_none", "_id", "_key"]
     return keyed.join(first, names, "left_semi").dropDuplicates(names).drop(*names)
 
 

@@ -29,6 +29,8 @@ from gridloom.llm.common import cut, fresh_path, map_arrow
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 STEP = 1 << 16
+#: Tasks that archives are dealt to at most; with more archives a task reads several in turn.
+READERS = 10_000
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, size: int, refers_to: int | None, date: str) -> bytes:
@@ -177,7 +179,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
 
 def read_archives(manifest: DataFrame, folder: str, with_payload: bool = False) -> DataFrame:
     """The records of the archives in ``manifest``: page_id, url, record_type, payload_bytes, payload_digest, refers_to
-    (and payload); a file is read by one task, from its start on."""
+    (and payload); a file is read by one task, from its start on, and files are dealt over as many tasks, up to READERS."""
 
     def run(batches):
         fs, _ = _file_system(folder)
@@ -196,7 +198,7 @@ def read_archives(manifest: DataFrame, folder: str, with_payload: bool = False)
                     yield out
 
     cols = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long" + ", payload binary" * with_payload
-    return map_arrow(manifest.select("path").repartition("path"), run, cols)
+    return map_arrow(manifest.select("path").repartition(max(1, min(READERS, manifest.count()))), run, cols)
 
 
 def archive_round_trip(spark: SparkSession, pages: DataFrame, **options) -> DataFrame:

@@ -135,3 +135,38 @@ def warc(rows, least=100):
 
 def crc(text):
     return zlib.crc32((text or "").encode())
+
+
+def kept(rows):
+    """The rules of the cascade, one after the other, without an order that matters."""
+    out = []
+    for (d, t), (_, n, chars, symbols, dup, repeat, failed) in zip(rows, rules(rows)):
+        t = t or ""
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        upper, letters = len(re.findall("[A-Z]", t)), len(re.findall("[A-Za-z]", t))
+        bad = symbols > 0.1 * n or not 2 * n <= chars <= 12 * n or dup > 0.4 * len(lines) or (letters > 20 and upper > 0.5 * letters) or t.count("!!") > 0.2 * n
+        out.append((d, not (failed or bad)))
+    return out
+
+
+def shards(rows, shards, seed=17):
+    """rows: id, source, crc. (id, shard, slot): rows of a source by the seeded hash, all by fractional rank, cut evenly."""
+
+    def h64(*values):
+        h = xxhash.xxh64_intdigest(seed.to_bytes(4, "little"), 42)
+        for v in values:
+            if v is not None:
+                h = xxhash.xxh64_intdigest((v & (1 << 64) - 1).to_bytes(8, "little"), h)
+        return h - (1 << 64) if h >> 63 else h
+
+    by = defaultdict(list)
+    for d, s, c in rows:
+        h = h64(d, c)
+        by[s].append(((h & (1 << 64) - 1) >> 1, h, (d is not None, d), c))
+    placed = sorted(((i + 0.5) / len(x), *row) for x in by.values() for i, row in enumerate(sorted(x)))
+    out, at = [], 0
+    for k in range(shards):
+        n = len(placed) // shards + (k < len(placed) % shards)
+        out += [(row[3][1], k, j) for j, row in enumerate(placed[at : at + n])]
+        at += n
+    return out
