@@ -86,13 +86,14 @@ def range_join_by_tile(boxes: DataFrame, tiles: DataFrame, size: float, exact: C
 def asof_nearest(left: DataFrame, right: DataFrame, keys: list[str], t: str, value: str) -> DataFrame:
     """For each left row the right row of its keys nearest in time (the earlier of two as near), by sorting only.
 
-    Both sides are stacked and forward and backward filled over one sort of (keys, t): no pairs are made.
+    Both sides are stacked and filled by two running aggregates, forward and backward over (keys, t): no pairs are made.
     """
     a = left.select(*keys, F.col(t).alias("_t"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_l"), F.lit(None).cast(right.schema[t].dataType).alias("_rt"), F.lit(None).cast(right.schema[value].dataType).alias("_rv"))
     b = right.select(*keys, F.col(t).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(a.schema["_l"].dataType).alias("_l"), F.col(t).alias("_rt"), F.col(value).alias("_rv"))
     both = a.unionByName(b).withColumn("_r", F.when(F.col("_side") == 0, F.struct("_rt", "_rv")))
-    w = W.partitionBy(*keys).orderBy("_t", "_side", "_rv")
-    got = both.withColumn("_p", F.last("_r", ignorenulls=True).over(w)).withColumn("_n", F.first("_r", ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing)))
+    order, run = ["_t", "_side", "_rv"], (W.unboundedPreceding, 0)
+    last = lambda by: F.last("_r", ignorenulls=True).over(W.partitionBy(*keys).orderBy(*by).rowsBetween(*run))
+    got = both.withColumn("_p", last(order)).withColumn("_n", last([F.desc(c) for c in order]))
     near = F.when(F.col("_p").isNull(), F.col("_n")).when(F.col("_n").isNull(), F.col("_p"))
     gap = lambda s: F.abs(F.unix_micros(F.col(s)["_rt"]) - F.unix_micros("_t"))
     near = near.when(gap("_n") < gap("_p"), F.col("_n")).otherwise(F.col("_p"))

@@ -42,12 +42,20 @@ def j05_tiles_with_strips(strips, tiles):
     return found.groupBy("tr", "tc").agg(F.count("*").alias("n"), F.min("d").cast("string").alias("first"))
 
 
-@query("ref tiles", """SELECT zone, min(tx0) AS x0, min(ty0) AS y0, max(tx1) AS x1, max(ty1) AS y1, count(*) AS n FROM (SELECT DISTINCT zone, t.* FROM (SELECT zone, min(c)+0.0 AS x0, min(r)+0.0 AS y0, max(c)+1.0 AS x1, max(r)+1.0 AS y1 FROM ref WHERE slope = 7 GROUP BY zone) z, tiles t WHERE """ + TILED.format("<", ">") + ") GROUP BY zone")
+BOX = "b AS (SELECT zone, min(c)+0.0 AS x0, min(r)+0.0 AS y0, max(c)+1.0 AS x1, max(r)+1.0 AS y1 FROM ref WHERE slope = 7 GROUP BY zone)"
+COVERED = "d AS (SELECT zone, min(tx0) AS x0, min(ty0) AS y0, max(tx1) AS x1, max(ty1) AS y1 FROM b, tiles WHERE " + TILED.format("<=", ">=") + " GROUP BY zone)"
+TOUCH = "SELECT zone, min(tx0) AS x0, min(ty0) AS y0, max(tx1) AS x1, max(ty1) AS y1, count(*) AS n FROM d, tiles WHERE {0} AND NOT {1} GROUP BY zone"
+
+
+@query("ref tiles", TOUCH.format(TILED.format("<=", ">="), TILED.format("<", ">")), BOX, COVERED)
 def j06_region_tile_bounds(ref, tiles):
-    """The bounds of all tiles that a region's box covers."""
-    box = ref.where("slope = 7").groupBy("zone").agg(*(f(c).cast("double").alias(n) for f, c, n in ((F.min, "c", "x0"), (F.min, "r", "y0"))), (F.max("c") + 1.0).alias("x1"), (F.max("r") + 1.0).alias("y1"))
-    found = G.range_join_by_tile(box, tiles, float(TILE), C.overlap_open("", "t"))
-    return found.groupBy("zone").agg(F.min("tx0").alias("x0"), F.min("ty0").alias("y0"), F.max("tx1").alias("x1"), F.max("ty1").alias("y1"), F.count("*").alias("n"))
+    """The bounds of the tiles that touch, without overlap, the box of all tiles that a region's box meets."""
+    far = (F.max("c") + 1.0).alias("x1"), (F.max("r") + 1.0).alias("y1")
+    box = ref.where("slope = 7").groupBy("zone").agg(F.min("c").cast("double").alias("x0"), F.min("r").cast("double").alias("y0"), *far)
+    bounds = [F.min("tx0").alias("x0"), F.min("ty0").alias("y0"), F.max("tx1").alias("x1"), F.max("ty1").alias("y1")]
+    whole = G.range_join_by_tile(box, tiles, float(TILE), C.overlap_closed("", "t")).groupBy("zone").agg(*bounds)
+    touching = C.overlap_closed("", "t") & ~C.overlap_open("", "t")
+    return G.range_join_by_tile(whole, tiles, float(TILE), touching).groupBy("zone").agg(*bounds, F.count("*").alias("n"))
 
 
 @query("ref", "SELECT a.r, a.c, CAST(min((b.r-a.r)*(b.r-a.r)+(b.c-a.c)*(b.c-a.c)) AS INT) AS d2, round(arg_min(b.ref_z, ((b.r-a.r)*(b.r-a.r)+(b.c-a.c)*(b.c-a.c))*100 + (b.r-a.r)*10 + (b.c-a.c)), 9) AS z FROM ref a JOIN ref b ON abs(a.r-b.r) <= 1 AND abs(a.c-b.c) <= 1 WHERE a.slope > 30 AND b.slope <= 30 GROUP BY a.r, a.c")
@@ -59,17 +67,6 @@ def j10_edge_nearest(ref):
     return both.groupBy("r", "c").agg(F.min(d2).cast("int").alias("d2"), F.round(F.min_by("ref_z", d2 * 100 + F.col("dr") * 10 + F.col("dc")), 9).alias("z"))
 
 
-ASOF = """, l AS (SELECT event_id, track, ts FROM series WHERE user_id % 7 = 0), q AS (SELECT track, ts AS rt, max(h) AS h FROM series WHERE user_id % 7 = 1 GROUP BY track, ts)
-SELECT event_id, h FROM (SELECT event_id, h, row_number() OVER (PARTITION BY event_id ORDER BY abs(epoch_us(rt)-epoch_us(ts)), rt) AS k FROM l JOIN q USING (track)) WHERE k = 1"""
-
-
-@query("series", ASOF)
-def j12_asof_nearest(series):
-    left = series.where("user_id % 7 = 0").select("event_id", "track", "ts")
-    right = series.where("user_id % 7 = 1").groupBy("track", "ts").agg(F.max("h").alias("h"))
-    return G.asof_nearest(left, right, ["track"], "ts", "h").select("event_id", F.col("near_value").alias("h"))
-
-
 ASOF_ALL = """SELECT l.event_id, CASE WHEN n.ts IS NOT NULL AND (p.ts IS NULL OR epoch_us(n.ts) - epoch_us(l.ts) < epoch_us(l.ts) - epoch_us(p.ts)) THEN n.v ELSE p.v END AS near_value
 FROM series l ASOF LEFT JOIN (SELECT user_id, ts, max(h) AS v FROM series WHERE track = 'signup' GROUP BY ALL) p ON l.user_id = p.user_id AND l.ts >= p.ts
 ASOF LEFT JOIN (SELECT user_id, ts, min(h) AS v FROM series WHERE track = 'signup' GROUP BY ALL) n ON l.user_id = n.user_id AND l.ts < n.ts"""

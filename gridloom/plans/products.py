@@ -42,12 +42,52 @@ def a17_linear_trend(obs):
     return t.select("r", "c", "n", F.round("slope", 7).alias("slope"), F.round("intercept", 7).alias("intercept"), F.round("corr", 7).alias("r_value"), F.round("nmad", 4).alias("nmad"))
 
 
-@query("obs ref", "SELECT r, c, yr, CASE WHEN n >= 3 THEN round(z, 9) WHEN n >= 2 AND z < 700 THEN round(z, 9) WHEN stable THEN round(ref_z, 9) END AS z, CASE WHEN n >= 3 THEN 1 WHEN n >= 2 AND z < 700 THEN 2 WHEN stable THEN 3 ELSE 0 END AS quality FROM (SELECT r, c, yr, median(z) AS z, count(*) AS n FROM obs GROUP BY r, c, yr) JOIN ref USING (r, c)")
-def r04_priority_mosaic(obs, ref):
-    """The first source whose condition holds, with its quality code; 0 where none does."""
-    y = obs.groupBy("r", "c", "yr").agg(F.median("z").alias("m"), F.count("*").alias("n")).join(ref.select("r", "c", "ref_z", "stable"), ["r", "c"])
-    z, q = G.priority_coalesce([(F.col("n") >= 3, F.col("m"), 1), ((F.col("n") >= 2) & (F.col("m") < 700), F.col("m"), 2), (F.col("stable"), F.col("ref_z"), 3)])
-    return y.select("r", "c", "yr", F.round(z, 9).alias("z"), q.alias("quality"))
+#: Fixed values of the prioritised mosaic: source, quality code, NMAD below which it counts, observations it needs.
+SOURCES = [("vertcoreg", 4, 10, 1), ("p75", 1, 10, 1), ("p95", 2, 30, 1), ("uncorr", 3, 30, 3)]
+SOURCED = "x AS (SELECT r, c, yr, CASE dem_id % 4 WHEN 0 THEN 'vertcoreg' WHEN 1 THEN 'p75' WHEN 2 THEN 'p95' ELSE 'uncorr' END AS src, z/20 AS z FROM obs)"
+STACKED = "m AS (SELECT r, c, yr, src, any_value(m) AS z, 1.4826*median(abs(z-m)) AS nmad, count(*) AS n FROM (SELECT *, median(z) OVER (PARTITION BY r, c, yr, src) AS m FROM x) GROUP BY r, c, yr, src)"
+GATED = """g AS (SELECT r, c, yr, CASE src WHEN 'vertcoreg' THEN 4 WHEN 'p75' THEN 1 WHEN 'p95' THEN 2 ELSE 3 END AS q, CASE src WHEN 'vertcoreg' THEN 1 WHEN 'p75' THEN 2 WHEN 'p95' THEN 3 ELSE 4 END AS prio,
+z + CASE WHEN src = 'uncorr' THEN (yr-1995)*0.5::DOUBLE ELSE 0 END AS z FROM (SELECT *, bool_or(src = 'vertcoreg') OVER (PARTITION BY r // 8, c // 8, yr) AS covered FROM m)
+WHERE nmad < CASE WHEN src IN ('vertcoreg', 'p75') THEN 10 ELSE 30 END AND (src <> 'uncorr' OR n >= 3) AND NOT (covered AND src IN ('p75', 'p95')))"""
+MOSAIC = "SELECT r, c, yr, round(arg_min(g.z, prio), 9) AS z, CAST(coalesce(arg_min(q, prio), 0) AS INT) AS quality FROM (SELECT DISTINCT r, c, yr FROM m) LEFT JOIN g USING (r, c, yr) GROUP BY r, c, yr"
+
+
+def prioritised(obs, tile: int = 8):
+    """Of four sources by cell and year the first whose NMAD and count pass; a tile that has the first source in a year takes
+    neither of the next two; the last has the year's bias added. Quality 0 and no value where none passes."""
+    name = F.element_at(F.array(*(F.lit(s[0]) for s in SOURCES)), (F.col("dem_id") % 4 + 1).cast("int"))
+    m = G.robust_stack(obs.select("r", "c", "yr", name.alias("src"), (F.col("z") / 20).alias("z")), ["r", "c", "yr", "src"], "z")
+    cell = m.groupBy("r", "c", "yr").agg(*(F.max(F.when(F.col("src") == s, F.struct("median", "nmad", "n"))).alias(s) for s, *_ in SOURCES))
+    here = [F.floor(F.col("r") / tile).alias("tr"), F.floor(F.col("c") / tile).alias("tc")]
+    covered = cell.where("vertcoreg is not null").select(*here, "yr", F.lit(True).alias("covered")).distinct()
+    cell = cell.select("*", *here).join(covered, ["tr", "tc", "yr"], "left")
+    options = []
+    for s, code, nmad, n in SOURCES:
+        ok = (F.col(s)["nmad"] < nmad) & (F.col(s)["n"] >= n)
+        if s in ("p75", "p95"):
+            ok = ok & F.col("covered").isNull()
+        value = F.col(s)["median"] + ((F.col("yr") - 1995) * 0.5 if s == "uncorr" else 0.0)
+        options.append((ok, value, code))
+    z, q = G.priority_coalesce(options)
+    return cell.select("r", "c", "yr", z.alias("z"), q.alias("quality"))
+
+
+@query("obs", MOSAIC, SOURCED, STACKED, GATED)
+def r04_priority_mosaic(obs):
+    return prioritised(obs).select("r", "c", "yr", F.round("z", 9).alias("z"), "quality")
+
+
+MOSAIC_TREND = """SELECT r, c, period, count(*) AS n, round(regr_slope(z, yr), 7) AS slope, round(regr_intercept(z, yr - 1995), 7) AS intercept FROM
+(SELECT *, unnest(CASE WHEN yr <= 1995 THEN ['early', 'all'] ELSE ['late', 'all'] END) AS period FROM w WHERE z IS NOT NULL) GROUP BY r, c, period HAVING count(*) >= 2"""
+
+
+@query("obs", MOSAIC_TREND, SOURCED, STACKED, GATED, f"w AS ({MOSAIC})")
+def r03_mosaic_trends(obs):
+    """Yearly prioritised mosaics, then trends over the early years, the late ones and all, each year listed in two periods."""
+    w = prioritised(obs).select("r", "c", "yr", F.round("z", 9).alias("z")).where("z is not null")
+    period = F.when(F.col("yr") <= 1995, F.array(F.lit("early"), F.lit("all"))).otherwise(F.array(F.lit("late"), F.lit("all")))
+    t = G.linear_trend(w.withColumn("period", F.explode(period)).withColumn("t", F.col("yr") - 1995), ["r", "c", "period"], "t", "z").where("n >= 2")
+    return t.select("r", "c", "period", "n", F.round("slope", 7).alias("slope"), F.round("intercept", 7).alias("intercept"))
 
 
 @query("obs", "SELECT r, c, CAST(max(yr) AS INT) AS yr, round(arg_max(z, yr), 9) AS z FROM (SELECT r, c, yr, median(z) AS z FROM obs WHERE tag AND yr <= 2000 GROUP BY r, c, yr) GROUP BY r, c")

@@ -42,11 +42,31 @@ def r01_plane_corrected_stack(obs, dems):
     return yearly(df.withColumn("z", F.col("z") + F.when(F.col("n_cmp") > 60, plane).otherwise(0.0)), ["r", "c", "yr"], 6)
 
 
-@query("obs", "SELECT r, c, yr, round(median(z),9) AS median, count(z) AS n FROM obs WHERE proba <= 127 AND abs(z) <= 250 GROUP BY r, c, yr")
-def r01b_stack_dhdt(obs):
-    """R1b, rate product: no tag, values beyond the limit dropped."""
-    df = obs.where((F.col("proba") <= 127) & (F.abs("z") <= 250))
-    return df.groupBy("r", "c", "yr").agg(F.round(F.median("z"), 9).alias("median"), F.count("z").alias("n"))
+#: Fixed values of the four stacked products: largest value (others are held to it), whether the match tag and the plane count.
+PRODUCTS = {"dhdt": (250.0, False, False), "dem": (1500.0, True, False), "dem_noncoreg": (1500.0, False, False), "dem_vertcoreg": (1500.0, True, True)}
+CLIPPED = "p AS (SELECT r, c, yr, {product!r} AS product, greatest(-{v}::DOUBLE, least({v}::DOUBLE, z)) {plane} AS z FROM obs {join} WHERE proba <= 127 {tag})"
+ALL_PRODUCTS = "p AS (" + " UNION ALL ".join(
+    CLIPPED.format(product=k, v=v, plane="+ pa*(r-20) + pb*(c-20) + pc" if plane else "", join="JOIN dems USING (dem_id)" if plane else "", tag="AND tag" if tag else "")[len("p AS ("):-1]
+    for k, (v, tag, plane) in PRODUCTS.items()
+) + ")"
+
+
+@query("obs dems", "SELECT product, r, c, yr, round(median(z), 9) AS median, count(z) AS n FROM p GROUP BY product, r, c, yr", ALL_PRODUCTS)
+def r01b_median_stacks(obs, dems):
+    """The four products of the median stack: held to their limit, with or without match tag, the last with its strip's plane."""
+    base = obs.where("proba <= 127").select("r", "c", "yr", "dem_id", "z", "tag")
+    planes = dems.select("dem_id", "pa", "pb", "pc")
+    parts = []
+    for name, (limit, tag, plane) in PRODUCTS.items():
+        z, df = C.clip("z", -limit, limit), base.where("tag") if tag else base
+        if plane:
+            df = df.join(G.checked_broadcast(planes), "dem_id")
+            z = z + F.col("pa") * (F.col("r") - 20) + F.col("pb") * (F.col("c") - 20) + F.col("pc")
+        parts.append(df.select(F.lit(name).alias("product"), "r", "c", "yr", z.alias("z")))
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    return every.groupBy("product", "r", "c", "yr").agg(F.round(F.median("z"), 9).alias("median"), F.count("z").alias("n"))
 
 
 @query("obs dems", "SELECT r, c, yr, count(*) AS n FROM obs WHERE NOT EXISTS (SELECT 1 FROM dems WHERE dems.dem_id = obs.dem_id AND n_cmp < 15) GROUP BY r, c, yr")
@@ -196,23 +216,6 @@ def a10_area_weighted_mean(obs, ref):
     return bands.groupBy("yr").agg(F.round(0.85 * F.sum(F.col("dh") * F.col("area")) / F.sum("area"), 6).alias("mean_dh"))
 
 
-BOOT = """, v AS (SELECT yr, z, row_number() OVER (PARTITION BY yr ORDER BY ok, ln) - 1 AS i, count(*) OVER (PARTITION BY yr) AS n FROM obs WHERE c = 7),
-draws AS (SELECT DISTINCT yr, n, b, j, (b*7919 + j*104729 + yr) % n AS i FROM v, range(20) t(b), range(8) u(j))
-SELECT yr, round(median(m),8) AS med, round(quantile_cont(m, 0.25)+0.06, 7) AS q25, round(quantile_cont(m, 0.75)+0.06, 7) AS q75 FROM (SELECT yr, b, median(z) AS m FROM draws JOIN v USING (yr, i) GROUP BY yr, b) GROUP BY yr"""
-
-
-@query("obs", BOOT)
-def a11_bootstrap(obs):
-    """Resamples with replacement by an index hash, medians of draws, quantiles with the offset."""
-    w = W.partitionBy("yr")
-    v = obs.where("c = 7").select("yr", "z", (F.row_number().over(w.orderBy("ok", "ln")) - 1).alias("i"), F.count("*").over(w).alias("n"))
-    draws = v.select("yr", "n").distinct().withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(19)))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(7))))
-    draws = draws.withColumn("i", (F.col("b") * 7919 + F.col("j") * 104729 + F.col("yr")) % F.col("n"))
-    m = draws.join(v.select("yr", "i", "z"), ["yr", "i"]).groupBy("yr", "b").agg(F.median("z").alias("m"))
-    q = lambda p: F.round(F.percentile("m", F.lit(p)) + 0.06, 7)
-    return m.groupBy("yr").agg(F.round(F.median("m"), 8).alias("med"), q(0.25).alias("q25"), q(0.75).alias("q75"))
-
-
 def scatter(x: str) -> str:
     """An expression, the same in both dialects, that scatters whole numbers over 0 .. 2^31 - 2."""
     return f"((({x}) % 2147483648) * 1103515245 + 12345) % 2147483648"
@@ -323,32 +326,6 @@ def a24_nmad_by_distance(pts):
     return G.robust_stack(binned, ["bin"], "v").select("bin", F.round("nmad", 9).alias("nmad"), "n")
 
 
-PAIRS = "s AS (SELECT pid, x, y, v FROM pts ORDER BY (pid*7919) % 10007, pid LIMIT 100), p AS (SELECT a.pid AS i, b.pid AS j, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) AS dist, abs(a.v-b.v) AS dv FROM s a JOIN s b ON a.pid < b.pid)"
-
-
-def pairs(pts, n=100):
-    """All pairs of a bounded sample (``n`` points), by broadcasting it to itself."""
-    s = pts.select("pid", "x", "y", "v").orderBy((F.col("pid") * 7919) % 10007, "pid").limit(n)
-    a, b = s.toDF("i", "ax", "ay", "av"), s.toDF("j", "bx", "by", "bv")
-    dx, dy = F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")
-    return a.join(F.broadcast(b), F.col("i") < F.col("j")).select("i", "j", F.sqrt(dx * dx + dy * dy).alias("dist"), F.abs(F.col("av") - F.col("bv")).alias("dv"))
-
-
-@query("pts", "SELECT i, j, round(dist, 9) AS dist FROM p", PAIRS)
-def j16_pair_distances(pts):
-    return pairs(pts).select("i", "j", F.round("dist", 9).alias("dist"))
-
-
-@query("pts", "SELECT CAST(floor(dist/4.0) AS INT) AS bin, count(*) AS n FROM p GROUP BY 1", PAIRS)
-def a25_pair_histogram(pts):
-    return pairs(pts).groupBy(C.uniform_bin("dist", 0, 4.0).alias("bin")).agg(F.count("*").alias("n"))
-
-
-@query("pts", "SELECT CAST(floor(dist/4.0) AS INT) AS bin, count(*) AS n, round(pow(2.198*median(dv),2)/2, 4) AS gamma FROM p GROUP BY 1", PAIRS)
-def a26_dowd_variogram(pts):
-    return pairs(pts).groupBy(C.uniform_bin("dist", 0, 4.0).alias("bin")).agg(F.count("*").alias("n"), F.round(F.pow(2.198 * F.median("dv"), F.lit(2)) / 2, 4).alias("gamma"))
-
-
 #: Replicates of a variogram and points in each, as the reference takes them.
 REPLICATES, REPLICATE_POINTS = 100, 500
 REPLICATE_CTES = (

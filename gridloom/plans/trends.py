@@ -46,26 +46,37 @@ def a19_acceleration(obs):
     return two.select("r", "c", F.round((F.col("b1") - F.col("b0")) / 6, 9).alias("accel"), F.round(F.sqrt(F.col("s0") * F.col("s0") + F.col("s1") * F.col("s1")) / 6, 9).alias("se"))
 
 
-LOO = """SELECT r, c, CASE WHEN round(f.nmad, 6) > 1.5 AND k < round(f.nmad, 6) THEN o END AS left_out, round(CASE WHEN round(f.nmad, 6) > 1.5 AND k < round(f.nmad, 6) THEN k ELSE f.nmad END, 6) AS nmad
-FROM f LEFT JOIN (SELECT r, c, o, k FROM (SELECT r, c, o, round(nmad, 6) AS k, row_number() OVER (PARTITION BY r, c ORDER BY round(nmad, 6), o) AS i FROM g) WHERE i = 1) USING (r, c)"""
-
-
-@query("obs", LOO, YEARLY, trend_sql("y", "r, c"), "v AS (SELECT a.*, b.t AS o FROM y a JOIN y b USING (r, c) WHERE a.t <> b.t)", trend_sql("v", "r, c, o", "g"))
-def r02_leave_one_out(obs):
-    """R2: where the residuals' NMAD is over 1.5, the refit without one year of the least NMAD replaces the fit if it is less.
-
-    Refits are compared at 6 decimals, the first year of equals wins. Only cells over 1.5 are refitted; a cell's few
-    years are gathered once and listed without each.
+#: NMAD over which a cell's trend is fitted again without a year.
+ROUGH = 1.5
+FLAGGED = "q AS (SELECT r, c, yr - 1995 AS t, median(z)/100 AS z, CAST(1 + count(*) % 4 AS INT) AS flag FROM obs GROUP BY r, c, yr), y AS (SELECT r, c, t, CASE WHEN flag <> 3 OR good < 3 THEN z END AS z FROM (SELECT *, count_if(flag <> 3) OVER (PARTITION BY r, c) AS good FROM q))"
+KEPT = "k AS (SELECT * FROM y WHERE z IS NOT NULL)"
+LOO = f"""SELECT r, c, b['o'] AS left_out, b['k'] AS nmad FROM (SELECT DISTINCT r, c FROM y) LEFT JOIN
+(SELECT r, c, list_reduce(list_prepend({{'k': round(f.nmad, 6), 'o': CAST(NULL AS BIGINT)}}, l), lambda a, x: CASE WHEN a['k'] > {ROUGH} AND x['k'] < a['k'] THEN x ELSE a END) AS b
+FROM f LEFT JOIN (SELECT r, c, list({{'k': round(nmad, 6), 'o': CAST(o AS BIGINT)}} ORDER BY o) AS l FROM g GROUP BY r, c) USING (r, c)) USING (r, c)"""
+
+
+@query("obs", LOO, FLAGGED, KEPT, trend_sql("k", "r, c"), "v AS (SELECT a.*, b.t AS o FROM k a JOIN k b USING (r, c) WHERE a.t <> b.t)", trend_sql("v", "r, c, o", "g"))
+def r02_robust_trend(obs):
+    """R2: observations of flag 3 go where three others are there. Then year by year: while the residuals' NMAD is over ROUGH,
+    the refit without that year takes over if its NMAD is less; years after it has fallen to ROUGH aren't tried.
+
+    NMADs are compared at 6 decimals. A cell's few years are gathered once and listed without each; refits are folded in the
+    order of years. Cells with under two observations have no trend.
     """
-    y = yearly(obs)
-    fit = G.linear_trend(y, ["r", "c"], "t", "z").where("n >= 2").select("r", "c", F.round("nmad", 6).alias("nmad"))
-    bad = y.join(fit.where("nmad > 1.5").select("r", "c"), ["r", "c"], "left_semi")
-    all_years = bad.groupBy("r", "c").agg(F.collect_list(F.struct("t", "z")).alias("s"))
-    without = all_years.withColumn("o", F.explode("s.t")).select("r", "c", "o", F.explode(F.filter("s", lambda x: x["t"] != F.col("o"))).alias("x")).select("r", "c", "o", "x.*")
+    q = obs.groupBy("r", "c", (F.col("yr") - 1995).alias("t")).agg((F.median("z") / 100).alias("z"), (1 + F.count("*") % 4).alias("flag"))
+    good = F.count_if(F.col("flag") != 3).over(W.partitionBy("r", "c"))
+    y = q.withColumn("good", good).select("r", "c", "t", F.when((F.col("flag") != 3) | (F.col("good") < 3), F.col("z")).alias("z"))
+    kept = y.where("z is not null")
+    fit = G.linear_trend(kept, ["r", "c"], "t", "z").where("n >= 2").select("r", "c", F.round("nmad", 6).alias("nmad"))
+    rough = kept.join(fit.where(F.col("nmad") > ROUGH).select("r", "c"), ["r", "c"], "left_semi")
+    years = rough.groupBy("r", "c").agg(F.collect_list(F.struct("t", "z")).alias("s"))
+    without = years.withColumn("o", F.explode("s.t")).select("r", "c", "o", F.explode(F.filter("s", lambda x: x["t"] != F.col("o"))).alias("x")).select("r", "c", "o", "x.*")
     again = G.linear_trend(without, ["r", "c", "o"], "t", "z").where("n >= 2")
-    best = again.groupBy("r", "c").agg(F.min(F.struct(F.round("nmad", 6).alias("k"), "o")).alias("b"))
-    better = F.col("b.k") < F.col("nmad")
-    return fit.join(best, ["r", "c"], "left").select("r", "c", F.when(better, F.col("b.o")).alias("left_out"), F.when(better, F.col("b.k")).otherwise(F.col("nmad")).alias("nmad"))
+    listed = again.groupBy("r", "c").agg(F.array_sort(F.collect_list(F.struct("o", F.round("nmad", 6).alias("k")))).alias("l"))
+    start = F.struct(F.lit(None).cast("int").alias("o"), F.col("nmad").alias("k"))
+    better = lambda a, x: F.when((a["k"] > ROUGH) & (x["k"] < a["k"]), x).otherwise(a)
+    best = fit.join(listed, ["r", "c"], "left").select("r", "c", F.when(F.col("l").isNull(), start).otherwise(F.aggregate("l", start, better)).alias("b"))
+    return y.select("r", "c").distinct().join(best, ["r", "c"], "left").select("r", "c", F.col("b.o").alias("left_out"), F.col("b.k").alias("nmad"))
 
 
 REACH = 4
@@ -84,19 +95,6 @@ def r05_seam_blend(ref, obs):
     return both.select("r", "c", F.round(C.blend("ref_z", "z", F.coalesce("w", F.lit(0.0))), 9).alias("z"))
 
 
-BRACKET = ", x AS (SELECT event_id, track, ts, CASE WHEN user_id % 7 = 1 THEN ts END AS k, user_id % 7 = 0 AS q FROM series WHERE user_id % 7 < 2), b AS (SELECT event_id, q, ts, max(k) OVER (PARTITION BY track ORDER BY ts RANGE UNBOUNDED PRECEDING) AS t0, min(k) OVER (PARTITION BY track ORDER BY ts DESC RANGE UNBOUNDED PRECEDING) AS t1 FROM x) SELECT event_id, round(CASE WHEN t1 = t0 THEN 0 ELSE (epoch_us(ts)-epoch_us(t0))::DOUBLE/(epoch_us(t1)-epoch_us(t0)) END, 6) AS fraction FROM b WHERE q AND t0 IS NOT NULL AND t1 IS NOT NULL"
-
-
-@query("series", BRACKET)
-def w08_bracket_fraction(series):
-    """How far an event lies between the surveys around it (0 at a survey), by two running aggregates over one partitioning."""
-    x = series.where("user_id % 7 < 2").withColumn("k", F.when(F.expr("user_id % 7 = 1"), F.unix_micros("ts"))).withColumn("u", F.unix_micros("ts"))
-    w = W.partitionBy("track").orderBy("u")
-    got = x.withColumn("t0", F.max("k").over(w.rangeBetween(W.unboundedPreceding, 0))).withColumn("t1", F.min("k").over(w.rangeBetween(0, W.unboundedFollowing)))
-    got = got.where("user_id % 7 = 0 and t0 is not null and t1 is not null")
-    return got.select("event_id", F.round(F.when(F.col("t0") == F.col("t1"), 0.0).otherwise(F.try_divide(F.col("u") - F.col("t0"), F.col("t1") - F.col("t0"))), 6).alias("fraction"))
-
-
 BRACKET_ALL = "SELECT event_id, round(CASE WHEN t1 = t0 THEN 0 ELSE (epoch_us(ts)-t0)::DOUBLE/(t1-t0) END, 6) AS fraction FROM (SELECT event_id, ts, epoch_us(max(k) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING)) AS t0, epoch_us(min(k) OVER (PARTITION BY user_id ORDER BY ts DESC RANGE UNBOUNDED PRECEDING)) AS t1 FROM (SELECT *, CASE WHEN track = 'signup' THEN ts END AS k FROM series))"
 
 
@@ -105,8 +103,8 @@ def w08_bracket_all(series):
     """W8 over the whole table: how far every event lies between its user's signup events around it; null outside them."""
     u = F.unix_micros("ts")
     x = series.select("event_id", "user_id", u.alias("u"), F.when(F.col("track") == "signup", u).alias("k"))
-    w = W.partitionBy("user_id").orderBy("u")
-    got = x.withColumn("t0", F.max("k").over(w.rangeBetween(W.unboundedPreceding, 0))).withColumn("t1", F.min("k").over(w.rangeBetween(0, W.unboundedFollowing)))
+    user = W.partitionBy("user_id")  # two running aggregates, one in either direction
+    got = x.withColumn("t0", F.max("k").over(user.orderBy("u"))).withColumn("t1", F.min("k").over(user.orderBy(F.desc("u"))))
     return got.select("event_id", F.round(F.when(F.col("t0") == F.col("t1"), 0.0).otherwise(F.try_divide(F.col("u") - F.col("t0"), F.col("t1") - F.col("t0"))), 6).alias("fraction"))
 
 
@@ -161,7 +159,7 @@ def p06_standardise(ref):
     return ref.join(F.broadcast(mean)).select("r", "c", F.round((F.col("m") + 0.001) * F.col("ref_z") / (F.col("slope") + 0.001), 6).alias("z"))
 
 
-@query("strips tiles", "SELECT status, count(*) AS n FROM (SELECT status FROM strips WHERE status = 'F' UNION ALL SELECT status FROM strips WHERE status <> 'O') GROUP BY status")
-def s02_union_all(strips, tiles):
+@query("strips", "SELECT strip, status FROM strips WHERE status = 'F' UNION ALL SELECT strip, status FROM strips WHERE status <> 'O'")
+def s02_union_all(strips):
     """Rows of both branches, repeats kept."""
-    return strips.where("status = 'F'").unionByName(strips.where("status <> 'O'")).groupBy("status").agg(F.count("*").alias("n"))
+    return strips.where("status = 'F'").select("strip", "status").unionByName(strips.where("status <> 'O'").select("strip", "status"))
