@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridloom.plans import files, joins, products, stacks, trends  # noqa: F401  registers its queries
+from gridloom.plans import files, joins, products, stacks, surfaces, trends, values  # noqa: F401  registers its queries
 from gridloom.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

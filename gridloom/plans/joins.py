@@ -184,12 +184,6 @@ def t09_stratified_match(pts):
     return b.withColumn("k", k).where(F.col("k") <= F.col("bin") + 2).select("pid", "bin")
 
 
-@query("pts", "SELECT seg, count_if((pid*7919) % 4 <> 0)::BIGINT AS train, count_if((pid*7919) % 4 = 0)::BIGINT AS test FROM pts GROUP BY seg")
-def t10_split(pts):
-    test = (F.col("pid") * 7919) % 4 == 0
-    return pts.groupBy("seg").agg(F.count_if(~test).alias("train"), F.count_if(test).alias("test"))
-
-
 @query("obs dems", "SELECT dem_id FROM obs WHERE z > 800 UNION SELECT dem_id FROM dems WHERE n_cmp < 30")
 def s01_exclusion_union(obs, dems):
     return obs.where("z > 800").select("dem_id").union(dems.where("n_cmp < 30").select("dem_id")).distinct()
