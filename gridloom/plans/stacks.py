@@ -5,7 +5,9 @@ from pyspark.sql.window import Window as W
 
 from gridloom.functions import columns as C
 from gridloom.operators import grid as G
+from gridloom.operators.quantiles import exact_nmad, exact_quantiles
 from gridloom.plans.registry import query
+from gridloom.sources.files import stored
 
 MASKED = "masked AS (SELECT r, c, dem_id, d, yr, day_code, CASE WHEN tag AND proba <= 127 THEN greatest(-1500.0::DOUBLE, least(1500.0::DOUBLE, z)) END AS z FROM obs)"
 
@@ -143,16 +145,18 @@ def f12_more_than_one_valid(obs):
 def f19_robust_threshold(obs):
     """errors under a multiple of their median, then values under one of the median of what is left."""
     rows = obs.select("ok", "ln", (F.col("a") + 0.01).alias("e"), (F.col("z") - 500).alias("v"))
-    first = rows.join(F.broadcast(rows.agg(F.median("e").alias("me"))), how="cross").where("e < 3*me*0.4").drop("me")
-    return first.join(F.broadcast(first.agg(F.median(F.abs("v")).alias("mv"))), how="cross").where("abs(v) < 3*mv*0.4").select("ok", "ln", "e")
+    one = lambda df, value, name: F.broadcast(exact_quantiles(df, [], value, {name: 0.5}).select(name))  # noqa: E731  one row
+    first = rows.join(one(rows, "e", "me"), how="cross").where("e < 3*me*0.4").drop("me").withColumn("w", F.abs("v"))
+    return first.join(one(first, "w", "mw"), how="cross").where("w < 3*mw*0.4").select("ok", "ln", "e")
 
 
 @query("ref", "SELECT r, c FROM ref, (SELECT quantile_cont(ref_z, 0.01) AS z0, quantile_cont(ref_z, 0.99) AS z1, quantile_cont(slope, 0.01) AS s0, quantile_cont(slope, 0.99) AS s1 FROM ref WHERE NOT stable) WHERE (ref_z > z0 AND ref_z < z1) OR (slope > s0 AND slope < s1)")
 def f20_percentile_band(ref):
     """within the 1-99 % band of the unstable cells in any of two attributes."""
-    p = lambda c, q: F.percentile(c, F.lit(q))
-    band = ref.where(~F.col("stable")).agg(p("ref_z", 0.01).alias("z0"), p("ref_z", 0.99).alias("z1"), p("slope", 0.01).alias("s0"), p("slope", 0.99).alias("s1"))
-    return ref.join(F.broadcast(band), how="cross").where("(ref_z > z0 and ref_z < z1) or (slope > s0 and slope < s1)").select("r", "c")
+    unstable = ref.where(~F.col("stable"))
+    band = lambda v, x: F.broadcast(exact_quantiles(unstable, [], v, {f"{x}0": 0.01, f"{x}1": 0.99}).drop("n"))  # noqa: E731  one row
+    both = ref.join(band("ref_z", "z"), how="cross").join(band("slope", "s"), how="cross")
+    return both.where("(ref_z > z0 and ref_z < z1) or (slope > s0 and slope < s1)").select("r", "c")
 
 
 @query("series", "SELECT event_id, track, h FROM series WHERE abs(epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-15')) < 172800000000 OR user_id % 10 = 0")
@@ -195,18 +199,18 @@ SELECT sb, zb, count(e) AS n, round(1.4826::DOUBLE*median(abs(e-m)), 9) AS nmad
 def a08_binned_error_cube(obs, ref):
     """Count and NMAD in all combinations of bins. Binned medians come first, so residuals are one pass more."""
     e = obs.join(ref, ["r", "c"]).select((F.col("z") - F.col("ref_z")).alias("e"), C.digitise("slope", [10, 25]).alias("sb"), C.digitise("ref_z", [930, 965]).alias("zb"))
+    e = stored(e, "residuals")
     sets = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (True, False) for b in (True, False))))
     g = e.withColumn("s", sets).select("e", F.when(F.col("s.a"), F.col("sb")).alias("sb"), F.when(F.col("s.b"), F.col("zb")).alias("zb"))
-    m = g.groupBy("sb", "zb").agg(F.median("e").alias("m")).withColumnRenamed("sb", "_s").withColumnRenamed("zb", "_z")
-    on = F.col("sb").eqNullSafe(F.col("_s")) & F.col("zb").eqNullSafe(F.col("_z"))
-    return g.join(F.broadcast(m), on).groupBy("sb", "zb").agg(F.count("e").alias("n"), F.round(1.4826 * F.median(F.abs(F.col("e") - F.col("m"))), 9).alias("nmad"))
+    return exact_nmad(g, ["sb", "zb"], "e").select("sb", "zb", "n", F.round("nmad", 9).alias("nmad"))
 
 
 @query("obs ref", "SELECT yr, CAST(floor(ref_z/20.0) AS INT) AS band, round(median(z-ref_z),8) AS dh, round(quantile_cont(z-ref_z, 0.25),7) AS q25, round(quantile_cont(z-ref_z, 0.75),7) AS q75, count(*) AS n FROM obs JOIN ref USING (r, c) GROUP BY 1, 2")
 def a09_hypsometric_bands(obs, ref):
-    dh = F.col("z") - F.col("ref_z")
     df = obs.join(ref.select("r", "c", "ref_z"), ["r", "c"])
-    return df.groupBy("yr", C.uniform_bin("ref_z", 0, 20.0).alias("band")).agg(F.round(F.median(dh), 8).alias("dh"), F.round(F.percentile(dh, F.lit(0.25)), 7).alias("q25"), F.round(F.percentile(dh, F.lit(0.75)), 7).alias("q75"), F.count("*").alias("n"))
+    dh = df.select("yr", C.uniform_bin("ref_z", 0, 20.0).alias("band"), (F.col("z") - F.col("ref_z")).alias("dh"))
+    q = exact_quantiles(dh, ["yr", "band"], "dh", {"mid": 0.5, "q25": 0.25, "q75": 0.75})
+    return q.select("yr", "band", F.round("mid", 8).alias("dh"), F.round("q25", 7).alias("q25"), F.round("q75", 7).alias("q75"), "n")
 
 
 @query("obs ref", "SELECT yr, round(0.85*sum(dh*area)/sum(area), 6) AS mean_dh FROM (SELECT yr, CAST(floor(ref_z/20.0) AS INT) AS band, median(z-ref_z) AS dh, count(DISTINCT r*1000+c) AS area FROM obs JOIN ref USING (r, c) GROUP BY 1, 2) GROUP BY yr")
@@ -265,8 +269,9 @@ def a11_bootstrap_whole(obs, ref):
 def a12_stable_bias_removed(obs, ref):
     """The yearly median over stable cells is a table of years, joined back; no window over a year."""
     df = obs.join(ref.select("r", "c", "ref_z", "stable"), ["r", "c"])
-    bias = df.where("stable").groupBy("yr").agg(F.median(F.col("z") - F.col("ref_z")).alias("bias"))
-    return df.join(G.checked_broadcast(bias), "yr", "left").select("ok", "ln", F.round(F.col("z") - F.col("bias"), 8).alias("z"))
+    stable = df.where("stable").select("yr", (F.col("z") - F.col("ref_z")).alias("dz"))
+    bias = exact_quantiles(stable, ["yr"], "dz", {"bias": 0.5}).select("yr", "bias")
+    return df.join(F.broadcast(bias), "yr", "left").select("ok", "ln", F.round(F.col("z") - F.col("bias"), 8).alias("z"))
 
 
 @query("ref", "SELECT CAST(floor(r/2.0) AS INT) AS r, CAST(floor(c/2.0) AS INT) AS c, round(avg(ref_z), 6) AS z, count(*) AS n FROM ref GROUP BY 1, 2")
@@ -276,8 +281,10 @@ def a13_overview_mean(ref):
 
 @query("obs", "SELECT count(z) AS n, round(median(z),9) AS median, min(z) AS lo, max(z) AS hi, round(avg(z),5) AS mean, round(var_pop(z),3) AS var, round(quantile_cont(z,0.95),7) AS p95 FROM masked", MASKED)
 def a14_global_stats(obs):
-    z = "z"
-    return masked(obs).agg(F.count(z).alias("n"), F.round(F.median(z), 9).alias("median"), F.min(z).alias("lo"), F.max(z).alias("hi"), F.round(F.avg(z), 5).alias("mean"), F.round(F.var_pop(z), 3).alias("var"), F.round(F.percentile(z, F.lit(0.95)), 7).alias("p95"))
+    z, df = "z", masked(obs)
+    plain = df.agg(F.min(z).alias("lo"), F.max(z).alias("hi"), F.round(F.avg(z), 5).alias("mean"), F.round(F.var_pop(z), 3).alias("var"))
+    ranks = exact_quantiles(df, [], z, {"median": 0.5, "p95": 0.95}).select("n", F.round("median", 9).alias("median"), F.round("p95", 7).alias("p95"))
+    return plain.join(F.broadcast(ranks), how="cross").select("n", "median", "lo", "hi", "mean", "var", "p95")  # one row each
 
 
 @query("obs", "SELECT dem_id, yr, count(*) AS n FROM obs GROUP BY dem_id, yr HAVING count(*) > 5")
