@@ -48,7 +48,7 @@ def exact_nmad(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     mid = stored(exact_quantiles(df, keys, value, {"median": 0.5}), "medians")
     names = [f"_k{i}" for i in range(len(keys))]
     side = G.checked_broadcast(mid.select(*(F.col(k).alias(a) for k, a in zip(keys, names, strict=True)), "median"))
-    on = [F.col(k).eqNullSafe(F.col(a)) for k, a in zip(keys, names, strict=True)]
+    on = [F.col(k).eqNullSafe(F.col(a)) for k, a in zip(keys, names, strict=True)] or [F.lit(True)]  # without keys one row
     off = df.join(side, on).withColumn("_off", F.abs(F.col(value) - F.col("median"))).select(*keys, "_off")
     spread = exact_quantiles(off, keys, "_off", {"_mad": 0.5}).select(*(F.col(k).alias(a) for k, a in zip(keys, names, strict=True)), (F.col("_mad") * NMAD_SCALE).alias("nmad"))
     return mid.join(spread, on).select(*keys, "n", "median", "nmad")
