@@ -100,6 +100,20 @@ def asof_nearest(left: DataFrame, right: DataFrame, keys: list[str], t: str, val
     return got.where("_side = 1").withColumn("_m", near).select("_l.*", F.col("_m._rt").alias("near_t"), F.col("_m._rv").alias("near_value"))
 
 
+def lag_by_parts(df: DataFrame, keys: list[str], part: Column, order: list[str], value: str, name: str) -> DataFrame:
+    """``name``: the value of the row before, by keys and order, where ``part`` ascends with the order and splits long groups.
+
+    Rows are ordered within their part only; a part's first row takes the last value of the part before it, from a table of
+    one row per part.
+    """
+    df = df.withColumn("_part", part)
+    inner = W.partitionBy(*keys, "_part").orderBy(*order)
+    lasts = df.groupBy(*keys, "_part").agg(F.max_by(F.struct(value), F.struct(*order)).alias("_last"))
+    before = lasts.withColumn("_before", F.lag("_last").over(W.partitionBy(*keys).orderBy("_part"))).drop("_last")
+    both = df.withColumn("_n", F.row_number().over(inner)).withColumn("_lag", F.lag(value).over(inner)).join(before, [*keys, "_part"])
+    return both.withColumn(name, F.when(F.col("_n") == 1, F.col("_before")[value]).otherwise(F.col("_lag"))).drop("_part", "_n", "_lag", "_before")
+
+
 def lerp_lookup(df: DataFrame, curve: DataFrame, x: str, cx: str, cy: str, out: str) -> DataFrame:
     """``out``: the curve's value at ``x``, linear between its points and along its end segments beyond them."""
     w = W.orderBy(cx)

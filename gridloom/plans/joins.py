@@ -117,7 +117,9 @@ def j20_mask_algebra(ref):
 
 @query("series", "SELECT event_id, round(h - lag(h) OVER (PARTITION BY track ORDER BY ts, event_id), 9) AS dh FROM series")
 def w01_lag_pairs(series):
-    return series.select("event_id", F.round(F.col("h") - F.lag("h").over(W.partitionBy("track").orderBy("ts", "event_id")), 9).alias("dh"))
+    """Differences along a track; its days are ordered apart, as there are few tracks."""
+    pairs = G.lag_by_parts(series.select("event_id", "track", "ts", "h"), ["track"], F.to_date("ts"), ["ts", "event_id"], "h", "before")
+    return pairs.select("event_id", F.round(F.col("h") - F.col("before"), 9).alias("dh"))
 
 
 YEARLY = "y AS (SELECT r, c, yr, median(z) AS z FROM obs GROUP BY r, c, yr)"
