@@ -4,8 +4,9 @@ Rows are shuffled within their source by a seeded hash and get the fractional ra
 In the order of fractional ranks every stretch holds the sources in the corpus's proportions, so cutting that order
 into equal stretches gives shards that match the mixture, with counts at most one apart (law ``rows``).
 
-No window spans a source or the table: ranks are counted in ``cells`` ranges of the hash (fraction) and shifted by the
-counts of the ranges before, a table of cells rows per source. A null source is a source of its own; null ids and equal
+No window over rows spans a source or the table: ranks are counted in ``cells`` ranges of the hash (fraction) and shifted by
+the counts of the ranges before; only these counts, a row per cell (CELL_ROWS rows) and source, are summed up by source and,
+for the fractions, in one window. Texts may be of any length (they aren't read); an empty table has no shards. A null source is a source of its own; null ids and equal
 rows are ordered by the other columns given, and rows equal in all of these are interchangeable.
 """
 
