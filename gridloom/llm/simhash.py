@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import cut, drop_path, free_names, map_arrow, mix
+from gridloom.llm.common import SEED, cut, drop_path, free_names, map_arrow, mix
 
 #: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1 generates the Golay code of 23 bits.
 GENERATOR, BITS, RADIUS = 0b101011100011, 23, 3
@@ -270,6 +270,10 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+def second_key(text: Column) -> Column:
+    return F.xxhash64(F.lit(SEED), F.coalesce(text, F.lit("")))
+
+
 def wide_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
     """doc_id, key (of the text), w0.. (the words of the fingerprint), prefix (of the shingles): a row per row."""
     names = [f"w{i}" for i in range(WORDS)]
@@ -463,15 +467,20 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
 
 
 def _kept(docs: DataFrame, roots: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """roots: distinct key (of a text) with its component's root. One row of docs per root: that with the least id (null last), then key."""
-    row = docs.select(F.col(id_col).cast("long").alias("_d"), text_key(F.col(text_col)).alias("key"))
-    least = row.groupBy("key").agg(F.min(F.struct(F.col("_d").isNull().alias("none"), "_d")).alias("least"))
-    first = least.join(roots, "key").groupBy("root").agg(F.min(F.struct("least.none", "least._d", "key")).alias("f")).select(F.col("f._d").alias("_d"), F.col("f.key").alias("_k"))
+    """roots: distinct key (of a text) with its component's root. One row of docs per root: that with the least id (null last), then
+    key. Texts under one key are told apart by a second hash: the component is that of one of them, the others stay for themselves."""
+    ids, key, more = F.col(id_col).cast("long"), text_key(F.col(text_col)), second_key(F.col(text_col))
+    row = docs.select(ids.alias("_d"), key.alias("key"), more.alias("more"))
+    least = row.groupBy("key", "more").agg(F.min(F.struct(F.col("_d").isNull().alias("none"), "_d")).alias("least"))
+    own = least.groupBy("key").agg(F.min("more").alias("own"))
+    apart = F.when(F.col("more") != F.col("own"), F.struct("key", "more"))
+    rooted = least.join(own, "key").join(roots, "key").withColumn("apart", apart)
+    first = rooted.groupBy("root", "apart").agg(F.min(F.struct("least.none", "least._d", "key", "more")).alias("f")).select("f.*")
     # the same columns for the join and for equal rows, so that texts are shuffled once
-    names = free_names(docs, "none", "id", "key")
-    on = lambda d, k: dict(zip(names, (d.isNull(), F.coalesce(d, F.lit(0)), k), strict=True))
-    keyed = docs.withColumns(on(F.col(id_col).cast("long"), text_key(F.col(text_col))))
-    first = first.select(*(c.alias(n) for n, c in on(F.col("_d"), F.col("_k")).items()))
+    names = free_names(docs, "none", "id", "key", "more")
+    on = lambda d, *k: dict(zip(names, (d.isNull(), F.coalesce(d, F.lit(0)), *k), strict=True))
+    keyed = docs.withColumns(on(ids, key, more))
+    first = first.select(*(c.alias(n) for n, c in on(F.col("_d"), F.col("key"), F.col("more")).items()))
     return keyed.join(first, names, "left_semi").dropDuplicates(names).drop(*names)
 
 

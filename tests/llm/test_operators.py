@@ -504,3 +504,12 @@ def test_query_equals_sql(spark, sf, name):
     got = queries.QUERIES[name](spark, sf).toPandas()[list(want.columns)]
     plain = lambda df: sorted((tuple(r) for r in df.astype(object).where(df.notna(), None).itertuples(index=False)), key=str)
     assert plain(got) == plain(want)
+
+
+def test_texts_under_one_key_stay(spark, monkeypatch):
+    """With a key that many texts share no text is lost that has no copy."""
+    monkeypatch.setattr(simhash, "text_key", lambda text: F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(3)))
+    texts = [" ".join(f"t{g}w{i}" for i in range(80)) for g in range(12)]
+    rows = [(d, texts[d % 12]) for d in range(30)]
+    got = simhash.keep_dissimilar(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == rows[:12]
