@@ -45,7 +45,7 @@ def test_items(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def anchors(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
-    """(iid, q, term, need): the places of the two rarest terms of each window."""
+    """(iid, q, term, need, n): the places of the two rarest terms of each window of an item of n words."""
     places = items.select("iid", "n", F.posexplode("w").alias("q", "term"))
     vocabulary, _ = cut(places.select("term").distinct(), "terms")
     seen = docs.select(F.explode("w").alias("term")).join(small(vocabulary), "term").groupBy("term").agg(F.count("*").alias("df"))
@@ -55,7 +55,7 @@ def anchors(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
     chosen = rated.withColumn("o", F.explode(starts)).withColumn("r", F.row_number().over(rarest))
     # a window with a term of no document has no match
     least = chosen.withColumn("least", F.min("df").over(W.partitionBy("iid", "o"))).where("r <= 2 and least > 0")
-    return cut(least.select("iid", "q", "term", F.least(F.lit(2), "n").alias("need")).distinct(), "anchors")[0]
+    return cut(least.select("iid", "q", "term", F.least(F.lit(2), "n").alias("need"), "n").distinct(), "anchors")[0]
 
 
 @dataclass(frozen=True)
@@ -70,7 +70,7 @@ class Index:
     def shifted(self) -> DataFrame:
         """A row per posting and place of its term in an item: where the item's word 0 would be."""
         both = self.postings.join(small(self.places), "term")
-        return both.select("r1", "r2", "iid", "q", "pos", (F.col("pos") - F.col("q")).alias("at"), "need")
+        return both.select("r1", "r2", "iid", "q", "pos", (F.col("pos") - F.col("q")).alias("at"), "need", "n")
 
 
 def index(docs: DataFrame, items: DataFrame, window: int = 10) -> Index:
@@ -83,14 +83,17 @@ def index(docs: DataFrame, items: DataFrame, window: int = 10) -> Index:
 
 def phrase_matches(found: Index, window: int = 10) -> DataFrame:
     """(r1, r2, item, iid, start, len): every occurrence of a window."""
-    met = found.shifted().groupBy("r1", "r2", "iid", "at").agg(F.count("*").alias("m"), F.max("need").alias("need"))
+    met = found.shifted().groupBy("r1", "r2", "iid", "at").agg(F.count("*").alias("m"), F.max("need").alias("need"), F.max("n").alias("n"))
     wanted, _ = cut(met.where("m >= need").drop("m", "need"), "alignments")
-    near = found.docs.join(wanted.select("r1", "r2").distinct(), ["r1", "r2"], "left_semi")
+    keys = wanted.select("r1", "r2").distinct()
+    if 32 * wanted.count() <= BROADCAST_BYTES:  # a key's 16 bytes and as many about it
+        keys = F.broadcast(keys)
+    near = found.docs.join(keys, ["r1", "r2"], "left_semi").withColumnRenamed("w", "w_doc")
     a = F.greatest(F.col("at"), F.lit(0))
     b = F.least(F.col("at") + F.col("n"), F.size("w_doc"))
-    cols = ["r1", "r2", "item", "iid", "n", "w", "at"]
-    pairs = wanted.join(near.dropDuplicates(["r1", "r2"]).withColumnRenamed("w", "w_doc"), ["r1", "r2"]).join(found.items, "iid")
-    pairs = pairs.withColumn("a", a).withColumn("b", b).where("b > a").select(*cols, "a", F.slice("w_doc", F.col("a") + 1, F.col("b") - F.col("a")).alias("there"))
+    # the stretch of an alignment is cut out first, so that no whole text goes with it
+    pairs = wanted.join(near, ["r1", "r2"]).withColumn("a", a).withColumn("b", b).where("b > a")
+    pairs = pairs.select("r1", "r2", "iid", "n", "at", "a", F.slice("w_doc", F.col("a") + 1, F.col("b") - F.col("a")).alias("there")).join(found.items.select("iid", "item", "w"), "iid")
     pairs = pairs.withColumn("same", F.zip_with("there", F.slice("w", F.col("a") - F.col("at") + 1, F.size("there")), lambda x, y: x.eqNullSafe(y)))
     size = F.least(F.col("n"), F.lit(window))
     last = F.size("same") - size
