@@ -17,6 +17,8 @@ try:
 except OSError:  # another C library
     LIBC = None
 
+#: Bytes of a batch that goes to a Python worker.
+BATCH_BYTES = 4 << 20
 #: A fixed value that tells the second half of a row's key from the first.
 SEED = 7_919
 #: Text handed to one vectorised step; bounds a Python worker's memory whatever the batch.
@@ -83,6 +85,7 @@ def free_names(df: DataFrame, *wanted: str) -> list[str]:
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str) -> DataFrame:
     """mapInArrow whose function yields dicts of column lists or arrays in the order of ``schema``."""
+    small_batches(df.sparkSession)
     out = df.sparkSession.createDataFrame([], schema).schema
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -98,6 +101,25 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[d
     return df.mapInArrow(run, out)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Batches handed to Python workers hold BATCH_BYTES or one row at most, however long texts are: a setting of the session."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def handing_back(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``fn`` of mapInArrow, after which the worker's free memory goes back."""
+
+    def run(batches):
+        try:
+            yield from fn(batches)
+        finally:
+            hand_back()
+
+    return run
+
+
 def hand_back() -> None:
     """Free memory goes back to the system, as the worker serves further tasks."""
     pa.default_memory_pool().release_unused()

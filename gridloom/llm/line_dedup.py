@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import cut, free_names, gram_hashes, keyed, map_arrow, row_key
+from gridloom.llm.common import cut, free_names, gram_hashes, handing_back, keyed, map_arrow, row_key, small_batches
 
 DIGEST = struct.Struct("<qq")
 
@@ -203,7 +203,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             cols = [pa.array(new, batch.schema.field(at).type) if i == at else batch.column(i) for i in range(n)]
             yield pa.RecordBatch.from_arrays(cols, schema=pa.schema([batch.schema.field(i) for i in range(n)]))
 
-    return joined.mapInArrow(run, docs.schema)
+    small_batches(joined.sparkSession)
+    return joined.mapInArrow(handing_back(run), docs.schema)
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2, mean: int = 4) -> DataFrame:

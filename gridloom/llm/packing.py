@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import map_arrow
+from gridloom.llm.common import hand_back, handing_back, map_arrow, small_batches
 
 SEQUENCE = 4096
 END = 1
@@ -135,6 +135,7 @@ _LOADED: dict[str, TextIds] = {}
 def _ids(path: str) -> TextIds:
     if path not in _LOADED:
         _LOADED[path] = TextIds(path)
+        hand_back()
     return _LOADED[path]
 
 
@@ -232,7 +233,8 @@ def pack(pieces: DataFrame, rows: int, size: int = SEQUENCE, open_bins: int = 10
                 off.append(o)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(n)), pa.array(seq, pa.int64()), pa.array(off, pa.int64())], schema=target)
 
-    return dealt.mapInArrow(run, schema)
+    small_batches(dealt.sparkSession)
+    return dealt.mapInArrow(handing_back(run), schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", size: int = SEQUENCE, with_ids: bool = False, **options) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import map_arrow
+from gridloom.llm.common import handing_back, map_arrow, small_batches
 
 SYMBOLS = b"#*$%&|<>"
 
@@ -155,7 +155,8 @@ def keep_by_rules(docs: DataFrame, text_col: str = "text", rules: list[Rule] | N
         for batch in batches:
             yield batch.filter(pa.array([verdict(Page((t or "").encode()), cascade) is None for t in batch.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(handing_back(run), docs.schema)
 
 
 def rate_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: list[Rule] | None = None, sample_rows: int = 300) -> DataFrame:
