@@ -19,6 +19,10 @@ except OSError:  # another C library
 
 #: Bytes of a batch that goes to a Python worker.
 BATCH_BYTES = 4 << 20
+#: Bytes from which a worker's arrays are mapped by themselves.
+LARGE = 1 << 20
+#: Names of settings in the C library.
+M_TRIM_THRESHOLD, M_MMAP_THRESHOLD = -1, -3
 #: A fixed value that tells the second half of a row's key from the first.
 SEED = 7_919
 #: Text handed to one vectorised step; bounds a Python worker's memory whatever the batch.
@@ -92,6 +96,7 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[d
     target = to_arrow_schema(out)
 
     def run(batches):
+        lean()
         try:
             for cols in fn(batches):
                 yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], type=f.type) for f in target], schema=target)
@@ -112,6 +117,7 @@ def handing_back(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
     """``fn`` of mapInArrow, after which the worker's free memory goes back."""
 
     def run(batches):
+        lean()
         try:
             yield from fn(batches)
         finally:
@@ -120,6 +126,14 @@ def handing_back(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
     return run
 
 
+def lean() -> None:
+    """Arrays of ``LARGE`` bytes or more are mapped by themselves in this worker, so that they go back as soon as they are freed."""
+    if LIBC and pa.default_memory_pool().backend_name != "system":
+        pa.set_memory_pool(pa.system_memory_pool())
+        LIBC.mallopt(M_MMAP_THRESHOLD, LARGE)
+        LIBC.mallopt(M_TRIM_THRESHOLD, LARGE)
+
+
 def hand_back() -> None:
     """Free memory goes back to the system, as the worker serves further tasks."""
     pa.default_memory_pool().release_unused()

@@ -16,6 +16,7 @@ only distinct parts are handed to it; a word with other characters goes to it wh
 from __future__ import annotations
 
 import json
+import os
 import re
 import zlib
 from collections import deque
@@ -32,7 +33,7 @@ from gridloom.llm.common import hand_back, handing_back, map_arrow, small_batche
 SEQUENCE = 4096
 END = 1
 #: Bytes of text that are tokenised together.
-SLICE = 4 << 20
+SLICE = 2 << 20
 #: What a tokenizer's file says where its words can be taken apart as here.
 LAYOUT = {
     "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
@@ -134,6 +135,7 @@ _LOADED: dict[str, TextIds] = {}
 
 def _ids(path: str) -> TextIds:
     if path not in _LOADED:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads would each hold memory of their own
         _LOADED[path] = TextIds(path)
         hand_back()
     return _LOADED[path]
