@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import classifier, decontaminate, line_dedup, packing, quality_rules, sharding, simhash, substring_dedup, suffix_dedup, warc
+from gridloom.llm import classifier, decontaminate, hard_negatives, license_scan, line_dedup, packing, quality_rules, sharding, simhash, substring_dedup, suffix_dedup, warc, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,9 +70,25 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = whitening.whiten_embeddings(table(spark, sf_dir, "embeddings"))
+    each = got.select("vec_id", "n", "deviation", "explained", "identity_error", F.posexplode("whitened").alias("at", "whitened"))
+    return each.select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "whitened", F.get("explained", "at").alias("explained"), "identity_error")
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents")).withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")})
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    noisy = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine(noisy, F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_sharding, op2_quality_rules, op3_line_dedup, op3_line_runs, op4_suffix_dedup, op5_decontamination, op6_substring_dedup, op7_packing, op8_warc, op9_classifier, op10_simhash)
+    for f in (op1_sharding, op2_quality_rules, op3_line_dedup, op3_line_runs, op4_suffix_dedup, op5_decontamination, op6_substring_dedup, op7_packing, op8_warc, op9_classifier, op10_simhash, op11_whitening, op12_license_scan, op13_hard_negatives)
 }
 
 SPACE = "[\\x20\\x09-\\x0D]"
@@ -127,6 +143,36 @@ l AS (SELECT k, p, w[p] AS word FROM (SELECT k, w, unnest(range(1, len(w) + 1))
 s AS (SELECT k, string_agg(word, ' ' ORDER BY p) AS kept, count(*) AS n FROM l ANTI JOIN c USING (k, p) GROUP BY k)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN s USING (k)"""
 
-#: The same in DuckDB's SQL, for whole tables. op1, op3, op7 and op10 need hashes or a tokenizer that it lacks, op9 a fit; these
-#: are tested against brute force.
-ORACLE_SQL: dict[str, str] = {"op2_quality_rules": OP2, "op4_suffix_dedup": OP4, "op5_decontamination": OP5, "op6_substring_dedup": OP6, "op8_warc": OP8}
+
+
+def license_sql() -> str:
+    """Every template against every block, as lists of words."""
+    text = lambda v: "'" + v.replace("'", "''") + "'"
+    words = lambda ws: "[" + ", ".join(map(text, ws)) + "]"
+    low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    split = "list_distinct(list_filter(string_split_regex({}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> ''))"
+    templates = ", ".join(f"({text(t.unit)}, {text(t.label)}, {len(t.words)}, {license_scan.needed(t)}, {words(t.words)})" for t in license_scan.TEMPLATES)
+    phrases = ", ".join(f"({text(label)}, {words(p.split())})" for p, label in license_scan.PHRASES.items())
+    return f"""WITH d AS (SELECT row_number() OVER () AS k, doc_id, {TERMS} AS w, {low} AS t FROM documents),
+t(unit, label, n, need, words) AS (VALUES {templates}), p(label, words) AS (VALUES {phrases}),
+par AS (SELECT k, unnest(string_split_regex(t, '{license_scan.BORDER}')) AS b FROM d),
+b AS (SELECT k, 'paragraph' AS unit, {split.format("b")} AS b FROM par UNION ALL SELECT k, 'line', {split.format("l")} FROM (SELECT k, unnest(string_split(b, chr(10))) AS l FROM par)),
+m AS (SELECT k, label, len(list_intersect(b, words))::DOUBLE / n AS held FROM b JOIN t USING (unit) WHERE len(b) >= need AND len(list_intersect(b, words)) >= need),
+h AS (SELECT k, label, i - 1 AS place FROM (SELECT k, label, w, words, unnest(range(1, len(w) - len(words) + 2)) AS i FROM d, p WHERE list_has_all(w, words)) WHERE w[i:i + len(words) - 1] = words),
+c AS (SELECT k, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word FROM h GROUP BY k),
+l AS (SELECT k, string_agg(label, ',' ORDER BY label) AS labels, string_agg(label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels, max(held) AS held
+  FROM (SELECT k, label, max(held) AS held, bool_or(base) AS base FROM (SELECT k, label, 1.0::DOUBLE AS held, true AS base FROM h UNION ALL SELECT k, label, held, false FROM m) GROUP BY k, label) GROUP BY k)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(held, 0.0::DOUBLE) AS score FROM d LEFT JOIN c USING (k) LEFT JOIN l USING (k)"""
+
+
+OP13 = """WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id AS id, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS s FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, id AS positive_id, s AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY s DESC, id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INT) AS rank, id AS negative_id, positive_score, s AS negative_score FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * s AND 100 * s <= 95 * positive_score WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY s DESC, id) QUALIFY rank <= 3"""
+
+#: The same in DuckDB's SQL, for whole tables. op1, op3, op7 and op10 need hashes or a tokenizer that it lacks, op9 a fit, op11
+#: eigenvectors; these are tested against brute force.
+ORACLE_SQL: dict[str, str] = {"op12_license_scan": license_sql(), "op13_hard_negatives": OP13, "op2_quality_rules": OP2, "op4_suffix_dedup": OP4, "op5_decontamination": OP5, "op6_substring_dedup": OP6, "op8_warc": OP8}
