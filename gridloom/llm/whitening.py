@@ -9,7 +9,7 @@ entries, reaches the driver, and it is handed to all tasks.
 Vectors are arrays of whole numbers (``quantised`` makes them); sums and deviations are exact. Rows whose vector is null or holds
 a null or non-finite entry are left out; so are vectors of another length than most rows have (the longer of two as common).
 Null or repeated ids and equal rows are carried as they are; an empty table gives no rows. A component without variance (fewer
-distinct vectors than entries) is whitened to null. Numbers that don't fit a long raise an OverflowError. Other columns aren't
+distinct vectors than entries) is whitened to null. Numbers that don't fit a long raise an overflow error (Spark's or Python's). Other columns aren't
 touched; names that clash are avoided. Vectors have no texts, so long texts play no part.
 """
 

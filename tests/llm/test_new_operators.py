@@ -92,7 +92,7 @@ def test_whitening_without_variance(spark):
     assert [(r.n, r.deviation, r.whitened, r.explained, r.identity_error) for r in flat] == [(5, 0, [None, None], [None, None], None)] * 5
     line = whitening.whiten_embeddings(spark.createDataFrame([(i, [float(i), 2.0 * i], 0) for i in range(5)], EMBEDDINGS)).collect()
     assert all(r.whitened[1] is None and abs(r.explained[0] - 1) < 1e-12 and r.identity_error < 1e-9 for r in line)
-    with pytest.raises(Exception, match="OverflowError"):
+    with pytest.raises(Exception, match="(?i)overflow"):
         whitening.whiten_embeddings(spark.createDataFrame([(1, [1e30], 0), (2, [-1e30], 0)], EMBEDDINGS)).collect()
 
 
