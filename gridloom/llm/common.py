@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -107,12 +108,21 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[d
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Batches handed to Python workers hold BATCH_BYTES or one row at most, however long texts are: a setting of the session."""
+    """Batches handed to Python workers hold BATCH_BYTES or one row at most, however long texts are.
+
+    This lowers a setting of the caller's session, for good: queries are planned later, when their results are read.
+    """
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(name).rstrip("b")) > BATCH_BYTES:
+    if not 0 < size_of(spark.conf.get(name)) <= BATCH_BYTES:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
+def size_of(setting: str) -> int:
+    """A setting in bytes; it may have a unit (64m, 4kb)."""
+    number, unit = re.fullmatch(r"(-?\d+)([kmgtp]?)b?", setting.strip().lower()).groups()
+    return int(number) << 10 * " kmgtp".index(unit or " ")
+
+
 def handing_back(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``fn`` of mapInArrow, after which the worker's free memory goes back."""
 

@@ -131,10 +131,12 @@ def ordered(rules: list[Rule], bodies: list[bytes], measure: Callable[[Rule, lis
     return out
 
 
-def plan(docs: DataFrame, text_col: str = "text", rules: list[Rule] | None = None, sample_rows: int = 300, seed: int = 7) -> list[Rule]:
-    """Rules by rejection per cost, both estimated on ``sample_rows`` rows at most (only the order depends on them)."""
+def plan(docs: DataFrame, text_col: str = "text", rules: list[Rule] | None = None, sample_rows: int = 300, seed: int = 7, sample_bytes: int = 64 << 10) -> list[Rule]:
+    """Rules by rejection per cost, both estimated on ``sample_rows`` rows at most, each of ``sample_bytes`` or less, so that the
+    driver gets a bounded sample (only the order depends on it)."""
     rules = rules or default_rules()
-    rows = docs.select(F.col(text_col).alias("t")).sample(0.05, seed=seed).limit(sample_rows).collect()
+    text = docs.select(F.col(text_col).alias("t")).where(F.coalesce(F.octet_length("t"), F.lit(0)) <= sample_bytes)
+    rows = text.sample(0.05, seed=seed).limit(sample_rows).collect()
     return ordered(rules, [(r["t"] or "").encode() for r in rows])
 
 

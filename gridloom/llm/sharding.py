@@ -38,15 +38,18 @@ def _ranked(df: DataFrame, group: list[str], cell: str, order: list[str], name:
 def interleave(df: DataFrame, shards: int, source: str = "source", keys: tuple[str, ...] = ("doc_id",), seed: int = 17, cell_rows: int = CELL_ROWS) -> DataFrame:
     """All rows and columns of ``df`` with ``shard`` (from 0) and ``slot`` (gapless from 0 in a shard).
 
-    ``keys`` identify rows and break ties. Columns of ``df`` named shard, slot or with a leading underscore are replaced.
+    ``keys`` identify rows and break ties. Columns of ``df`` named shard or slot are replaced; the others travel as one struct, so that
+    no name can clash with those used here.
     """
     df = df.drop("shard", "slot")
     total = df.count()
     if not total:
         return df.withColumn("shard", F.lit(0)).withColumn("slot", F.lit(0).cast("long"))
     cells = -(-total // cell_rows)
-    h = F.xxhash64(F.lit(seed), *keys)
-    df = df.withColumn("_s", F.col(source)).withColumn("_h", h)
+    held = df.columns
+    df = df.select(F.struct(*held).alias("_row"), F.col(source).alias("_s"), *(F.col(k).alias(f"_i{i}") for i, k in enumerate(keys)))
+    keys = [f"_i{i}" for i in range(len(keys))]
+    df = df.withColumn("_h", F.xxhash64(F.lit(seed), *keys))
     df = df.withColumn("_cell", F.floor((F.shiftrightunsigned("_h", 11) / float(1 << 53)) * cells))
     # the unsigned order of the hash refines its cell
     df = df.withColumn("_u", F.shiftrightunsigned("_h", 1))
@@ -66,8 +69,7 @@ def interleave(df: DataFrame, shards: int, source: str = "source", keys: tuple[s
         slot = F.when(at < wide, at % (base + 1)).otherwise((at - wide) % base)
     else:
         shard, slot = at, F.lit(0)
-    df = df.withColumn("shard", shard.cast("int")).withColumn("slot", slot.cast("long"))
-    return df.drop("_s", "_h", "_cell", "_u", "_rank", "_rows", "_f", "_all", "_place")
+    return df.select(*(F.col("_row")[c].alias(c) for c in held), shard.cast("int").alias("shard"), slot.cast("long").alias("slot"))
 
 
 def write_shards(df: DataFrame, path: str, shards: int, **options) -> None:

@@ -213,3 +213,46 @@ def test_licenses_with_other_templates(spark):
 def test_licenses_of_no_rows(spark):
     assert license_scan.scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert [r.labels for r in license_scan.scan_licenses(spark.createDataFrame([(1, "cc by")], "doc_id long, text string"), templates=[]).collect()] == [["cc-by"]]
+
+
+def test_settings_with_units(spark, awkward_docs):
+    from gridloom.llm import common, quality_rules
+
+    assert [common.size_of(x) for x in ("4194304", "64m", "3kb", "2g", "-1")] == [4 << 20, 64 << 20, 3 << 10, 2 << 30, -1]
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "64m")
+        assert quality_rules.rate_documents(awkward_docs).count() == len(AWKWARD)
+        assert common.size_of(spark.conf.get(name)) == common.BATCH_BYTES
+    finally:
+        spark.conf.set(name, before)
+
+
+@pytest.fixture(scope="module")
+def awkward_docs(spark):
+    return spark.createDataFrame([(d, t, "s") for d, t in AWKWARD], "doc_id long, text string, source string")
+
+
+def test_shards_with_clashing_columns(awkward_docs):
+    from gridloom.llm import sharding
+
+    names = ["_rows", "_k0", "_k1", "_w", "_h", "_cell", "_place", "_row", "_i0", "shard"]
+    df = awkward_docs.withColumns({c: F.lit(c) for c in names})
+    got = sharding.interleave(df, 3, keys=("doc_id", "text"))
+    assert got.columns == ["doc_id", "text", "source", *names[:-1], "shard", "slot"] and all(r[c] == c for r in got.collect() for c in names[:-1])
+    same(got.select("doc_id", "text", "shard", "slot"), "doc_id text shard slot", [tuple(r) for r in sharding.interleave(awkward_docs, 3, keys=("doc_id", "text")).select("doc_id", "text", "shard", "slot").collect()])
+
+
+def test_rules_are_planned_on_short_texts(spark):
+    from gridloom.llm import quality_rules
+
+    seen = []
+    docs = spark.createDataFrame([(i, "a b c " * (20_000 if i % 2 else 20)) for i in range(400)], "doc_id long, text string")
+    ordered = quality_rules.ordered
+    quality_rules.ordered = lambda rules, bodies: seen.extend(map(len, bodies)) or ordered(rules, bodies)
+    try:
+        quality_rules.plan(docs)
+    finally:
+        quality_rules.ordered = ordered
+    assert seen and max(seen) <= 64 << 10
