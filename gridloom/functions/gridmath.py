@@ -87,10 +87,6 @@ def taylor_shift(coefficients, by) -> Column:
     return F.when(F.size(c) > 1, F.aggregate(F.sequence(F.lit(0), F.size(c) - 2), c, step)).otherwise(c)
 
 
-#: Names of resampling methods in the two conventions.
-RESAMPLING = {"nearest": "near", "bilinear": "bilinear", "cubic": "cubic", "cubic_spline": "cubicspline", "lanczos": "lanczos", "average": "average", "mode": "mode", "max": "max", "min": "min", "med": "med", "q1": "q1", "q3": "q3", "sum": "sum", "rms": "rms"}
-
-
 def error_name(name) -> Column:
     """The name of a variable's error: slope to se, accel to accel_se."""
     return F.replace(F.replace(col(name), F.lit("_slope"), F.lit("_se")), F.lit("_accel"), F.lit("_accel_se"))

@@ -10,16 +10,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new folder's place under ``spark.checkpoint.dir``, which driver and executors share; on a single machine without that
-    setting, in a temporary folder."""
+def shared_base(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, the folder that driver and executors share; on a single machine without that setting, a temporary
+    folder."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir is not set")
         base = "file://" + tempfile.mkdtemp(prefix="gridloom-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new folder's place in the shared folder."""
+    return f"{shared_base(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str = "stored") -> DataFrame:
