@@ -33,7 +33,7 @@ def words(text: Column) -> Column:
 
 
 def small(df: DataFrame) -> DataFrame:
-    """``df`` (stored, with a column ``term``) with a broadcast hint if its measured size is within the bound."""
+    """``df`` (with a column ``term``, of a stored table) with a broadcast hint if its measured size is within the bound."""
     size = df.agg(F.coalesce(F.sum(F.octet_length("term") + 64), F.lit(0))).first()[0]
     return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
@@ -41,13 +41,13 @@ def small(df: DataFrame) -> DataFrame:
 def test_items(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """item, iid (a number for the row), w (words), n; items without words are left out."""
     w = items.select(F.col(id_col).alias("item"), words(F.col(text_col)).alias("w")).where(F.size("w") > 0)
-    return cut(w.select("item", "w", F.size("w").alias("n"), F.monotonically_increasing_id().alias("iid")), "items")[0]
+    return cut(w.select("item", "w", F.size("w").alias("n"), F.monotonically_increasing_id().alias("iid")).hint("rebalance"), "items")[0]
 
 
 def anchors(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
     """(iid, q, term, need, n): the places of the two rarest terms of each window of an item of n words."""
     places = items.select("iid", "n", F.posexplode("w").alias("q", "term"))
-    vocabulary, _ = cut(places.select("term").distinct(), "terms")
+    vocabulary = places.select("term").distinct()
     seen = docs.select(F.explode("w").alias("term")).join(small(vocabulary), "term").groupBy("term").agg(F.count("*").alias("df"))
     rated = places.join(seen, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     starts = F.sequence(F.greatest(F.lit(0), F.col("q") - window + 1), F.least(F.col("q"), F.greatest(F.lit(0), F.col("n") - window)))
@@ -55,7 +55,7 @@ def anchors(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
     chosen = rated.withColumn("o", F.explode(starts)).withColumn("r", F.row_number().over(rarest))
     # a window with a term of no document has no match
     least = chosen.withColumn("least", F.min("df").over(W.partitionBy("iid", "o"))).where("r <= 2 and least > 0")
-    return cut(least.select("iid", "q", "term", F.least(F.lit(2), "n").alias("need"), "n").distinct(), "anchors")[0]
+    return cut(least.select("iid", "q", "term", F.least(F.lit(2), "n").alias("need"), "n").distinct().hint("rebalance"), "anchors")[0]
 
 
 @dataclass(frozen=True)
@@ -76,7 +76,7 @@ class Index:
 def index(docs: DataFrame, items: DataFrame, window: int = 10) -> Index:
     """docs: r1, r2, w, stored; items: of ``test_items``."""
     places = anchors(docs, items, window)
-    terms, _ = cut(places.select("term").distinct(), "terms")
+    terms = places.select("term").distinct()
     each = docs.select("r1", "r2", F.posexplode("w").alias("pos", "term"))
     return Index(docs, items, places, cut(each.join(small(terms), "term"), "postings")[0])
 
@@ -139,9 +139,12 @@ def find_contamination(
     return rows.select(*cols)
 
 
-def decontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that hold no window of an item, with all columns."""
+def decontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10) -> DataFrame:
+    """The rows of ``docs`` that hold no window of an item, with all columns; only whether there is one is asked for, so that
+    matches aren't stored."""
     a, b = free_names(docs, "r1", "r2")
-    found = find_contamination(docs, items, id_col, text_col, **options).where("n_hit > 0").select(F.col("r1").alias(a), F.col("r2").alias(b)).distinct()
+    tokens = tokenised(docs, id_col, text_col).select("r1", "r2", "w")
+    matches = phrase_matches(index(tokens, test_items(items, item_col, item_text_col), window), window)
+    found = matches.select(F.col("r1").alias(a), F.col("r2").alias(b)).distinct()
     r1, r2 = row_key(F.col(id_col), F.col(text_col))
     return docs.withColumns({a: r1, b: r2}).join(found, [a, b], "left_anti").drop(a, b)
