@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridloom.plans import files, joins, products, solvers, stacks, surfaces, trends, values, warps  # noqa: F401  registers its queries
+from gridloom.plans import errors, files, joins, products, solvers, stacks, surfaces, trends, values, warps  # noqa: F401  registers its queries
 from gridloom.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

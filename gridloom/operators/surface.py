@@ -153,31 +153,3 @@ def in_polygon(cells: DataFrame, rings: dict[str, list[tuple[float, float]]]) ->
         vertices = F.array(*(F.struct(F.lit(float(a)).alias("x"), F.lit(float(b)).alias("y")) for a, b in ring))
         name = F.when(C.in_ring(x, y, vertices), F.lit(key)).otherwise(name)
     return cells.withColumn("name", name)
-
-
-#: Points up to which a radial surface is solved on the driver; its weights are a few kilobytes in the plan.
-RBF_POINTS = 2_000
-
-
-def linear_rbf(points: DataFrame, at: DataFrame) -> DataFrame:
-    """points: x, y, v (RBF_POINTS at most, an error beyond). ``at`` (x, y and others) with ``z``, the surface of a linear radial
-    kernel and a constant that goes through all points; a batch of cells is evaluated at once."""
-    rows = points.select("x", "y", "v").orderBy("x", "y", "v").limit(RBF_POINTS + 1).collect()
-    if len(rows) > RBF_POINTS:
-        raise ValueError(f"a radial surface takes {RBF_POINTS} points at most; aggregate them first")
-    p, v = np.array([(r.x, r.y) for r in rows], float).reshape(-1, 2), np.array([r.v for r in rows], float)
-    n = len(p)
-    system = np.ones((n + 1, n + 1))
-    system[:n, :n] = -np.sqrt(((p[:, None] - p) ** 2).sum(-1))
-    system[n, n] = 0
-    weights = np.linalg.lstsq(system, np.append(v, 0.0), rcond=None)[0] if n else np.zeros(1)
-
-    def run(batches):
-        for df in batches:
-            z = np.empty(len(df))
-            for lo in range(0, len(df), 4096):
-                xy = df[["x", "y"]].to_numpy(float)[lo : lo + 4096]
-                z[lo : lo + 4096] = -np.sqrt(((xy[:, None] - p) ** 2).sum(-1)) @ weights[:n] + weights[n]
-            yield df.assign(z=z if n else None)
-
-    return at.mapInPandas(run, at.withColumn("z", F.lit(0.0)).schema)

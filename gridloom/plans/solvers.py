@@ -10,6 +10,7 @@ from gridloom.functions import columns as C
 from gridloom.operators import grid as G
 from gridloom.operators import solvers as V
 from gridloom.operators import surface as S
+from gridloom.operators.radial import radial_surface
 from gridloom.plans.registry import query
 from gridloom.plans.stacks import replicate_pairs
 from gridloom.plans.surfaces import EDGES, INSIDE, RINGS
@@ -92,19 +93,6 @@ p AS (SELECT r, c, slope, y0 + (slope-x0)/(x1-x0)*(y1-y0) AS err FROM ref JOIN g
 SELECT r, c, round(err*k, 5) AS err FROM p, k"""
 
 
-@query("obs ref", MODEL)
-def r37_error_model(obs, ref):
-    """Spread of residuals by bins of slope, a line between the bins' means, then scaled so that standardised residuals have a spread of one."""
-    e = obs.join(ref.select("r", "c", "slope"), ["r", "c"]).select("r", "c", "slope", (F.col("z") - 480).alias("e"), C.uniform_bin("slope", 0, 10.0).alias("bin"))
-    bins = G.robust_stack(e, ["bin"], "e", F.avg("slope").alias("x")).where("n >= 5").select("x", F.col("nmad").alias("s"))
-    p = G.lerp_lookup(ref.select("r", "c", F.col("slope").cast("double").alias("at")), bins, "at", "x", "s", "err").select("r", "c", "err")
-    q = e.join(p, ["r", "c"]).select((F.col("e") / F.col("err")).alias("q"))
-    from gridloom.operators.quantiles import exact_nmad
-
-    k = exact_nmad(files.stored(q, "standardised"), [], "q").select(F.col("nmad").alias("k"))
-    return p.join(F.broadcast(k), how="cross").select("r", "c", F.round(F.col("err") * F.col("k"), 5).alias("err"))  # one row
-
-
 @query("pts", None)
 def r38_variogram_fit(pts):
     """A spherical model through Dowd's estimates, a few tens of lags."""
@@ -137,18 +125,52 @@ def r09_joint_planes(obs, ref):
     return V.joint_planes(year.join(stable, ["x", "y"], "left"))
 
 
+#: The greatest spread and difference of a pair at a gap's edge, and the greatest distance of its cells (in cells).
+PAIR_NMAD, PAIR_DIFFERENCE, PAIR_REACH = 2.0, 0.6, 2.0
+EDGE = """, y AS (SELECT r, c, yr, median(z) / 300 AS z FROM obs GROUP BY r, c, yr), f AS (SELECT r, c, regr_slope(z, yr) AS b, regr_intercept(z, yr) AS a FROM y GROUP BY r, c HAVING count(*) >= 2 AND regr_sxx(z, yr) > 0),
+e AS (SELECT r, c, z - b*yr - a AS e FROM y JOIN f USING (r, c)), m AS (SELECT r, c, median(e) AS m FROM e GROUP BY r, c), s AS (SELECT r, c, 1.4826::DOUBLE*median(abs(e-m)) AS nmad FROM e JOIN m USING (r, c) GROUP BY r, c),
+g AS (SELECT r, c, (r, c) IN (SELECT (r, c) FROM y WHERE yr = (SELECT max(yr) FROM y)) AS valid, b, nmad FROM ref LEFT JOIN f USING (r, c) LEFT JOIN s USING (r, c) WHERE NOT stable AND NOT zone LIKE 'Brand#5%'),
+p AS (SELECT v.r, v.c, i.r AS ri, i.c AS ci, v.b - i.b AS diff, greatest(v.nmad, i.nmad) AS nmad, row_number() OVER (PARTITION BY v.r, v.c ORDER BY (v.r-i.r)*(v.r-i.r) + (v.c-i.c)*(v.c-i.c), i.r, i.c) AS k
+  FROM g v JOIN g i ON v.valid AND NOT i.valid AND abs(v.r-i.r) <= 1 AND abs(v.c-i.c) <= 1),
+q AS (SELECT (c + ci) / 2::DOUBLE + 0.5::DOUBLE AS x, (r + ri) / 2::DOUBLE + 0.5::DOUBLE AS y, diff FROM p WHERE k = 1 AND nmad < 2 AND abs(diff) < 0.6)
+SELECT median(x) AS x, median(y) AS y, round(median(diff), 7) AS v, count(*) AS n FROM q GROUP BY floor(x / 4), floor(y / 4)"""
+
+
+def trends_and_gaps(obs, ref):
+    """Cells of glaciers (neither stable nor ocean) with their trend, its spread, and whether the last year has a value."""
+    y = files.stored(obs.groupBy("r", "c", "yr").agg((F.median("z") / 300).alias("z")), "yearly")
+    last = y.join(F.broadcast(y.agg(F.max("yr").alias("yr"))), "yr").select("r", "c", F.lit(True).alias("valid"))  # one row
+    fit = G.linear_trend(y, ["r", "c"], "yr", "z").where("slope is not null").select("r", "c", F.col("slope").alias("b"), "nmad")
+    ice = ref.where(~F.col("stable") & ~F.col("zone").startswith("Brand#5")).select("r", "c")
+    return files.stored(ice.join(last, ["r", "c"], "left").join(fit, ["r", "c"], "left").select("r", "c", F.coalesce("valid", F.lit(False)).alias("valid"), "b", "nmad"), "ice")
+
+
+def edge_bins(g):
+    """Pairs of a valid cell at a gap's edge and the nearest missing one within reach; medians of the differences that pass the gates."""
+    around = [o for o in G.SQUARE if o != (0, 0)]  # 3 x 3 dilation: a neighbour is within the reach of two cells
+    gone = G.neighbours(g.where("not valid").select("r", "c", F.col("b").alias("bi"), F.col("nmad").alias("ni")), around)
+    near = (F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc")).alias("d")
+    gone = gone.select("r", "c", F.struct(near, (F.col("r") + F.col("dr")).alias("r"), (F.col("c") + F.col("dc")).alias("c"), "bi", "ni").alias("i")).where(F.sqrt("i.d") < PAIR_REACH)
+    first = gone.groupBy("r", "c").agg(F.min_by("i", F.struct("i.d", "i.r", "i.c")).alias("i"))
+    p = g.where("valid").join(first, ["r", "c"]).withColumn("diff", F.col("b") - F.col("i.bi"))
+    p = p.where((F.greatest("nmad", "i.ni") < PAIR_NMAD) & (F.abs("diff") < PAIR_DIFFERENCE))
+    p = p.select(((F.col("c") + F.col("i.c")) / 2 + 0.5).alias("x"), ((F.col("r") + F.col("i.r")) / 2 + 0.5).alias("y"), F.col("diff").alias("v"))
+    return p.groupBy(F.floor(F.col("x") / 4).alias("bx"), F.floor(F.col("y") / 4).alias("by")).agg(*(F.median(c).alias(c) for c in "xyv"), F.count("*").alias("n"))
+
+
+@query("obs ref", EDGE)
+def r08_edge_bins(obs, ref):
+    """What the surface goes through: binned differences of the trend across the last year's gaps."""
+    return edge_bins(trends_and_gaps(obs, ref)).select("x", "y", F.round("v", 7).alias("v"), "n")
+
+
 @query("obs ref", None)
 def r08_temporal_bias(obs, ref):
-    """Where the later year is missing the earlier one shows, moved by the surface through the differences at the gaps' edges."""
-    y = obs.groupBy("r", "c").agg(F.median(F.when(F.col("yr") == 1996, F.col("z"))).alias("later"), F.median(F.when(F.col("yr") == 1995, F.col("z"))).alias("earlier"))
-    cells = files.stored(ref.select("r", "c").join(y, ["r", "c"], "left"), "years")
-    patch = cells.where("later is null and earlier is not null").select("r", "c")
-    edge = G.neighbours(patch, [o for o in G.SQUARE if o != (0, 0)]).select("r", "c").distinct()
-    both = cells.where("later is not null and earlier is not null").join(edge, ["r", "c"], "left_semi").where("abs(later - earlier) < 300")
-    at = lambda v: F.floor(F.col(v) / 8) * 8.0 + 4
-    bins = both.groupBy(at("c").alias("x"), at("r").alias("y")).agg(F.median(F.col("later") - F.col("earlier")).alias("v"))
-    moved = S.linear_rbf(bins, patch.select("r", "c", (F.col("c") + 0.5).alias("x"), (F.col("r") + 0.5).alias("y"))).select("r", "c", F.col("z").alias("bias"))
-    return cells.join(moved, ["r", "c"], "left").select("r", "c", F.round(F.coalesce("later", F.col("earlier") + F.coalesce("bias", F.lit(0.0))), 6).alias("z"))
+    """The trend's bias where the last year is missing: the surface through the differences at the gaps' edges, 0 elsewhere."""
+    g = trends_and_gaps(obs, ref)
+    at = g.where("not valid").select("r", "c", (F.col("c") + 0.5).alias("x"), (F.col("r") + 0.5).alias("y"))
+    found = radial_surface(edge_bins(g).select("x", "y", "v"), at).select("r", "c", "z")
+    return ref.select("r", "c").join(found, ["r", "c"], "left").select("r", "c", F.round(F.coalesce("z", F.lit(0.0)), 7).alias("bias"))
 
 
 @query("obs", "SELECT r, c, yr, round(median(z), 9) AS z, count(z) AS n FROM obs GROUP BY r, c, yr")

@@ -6,7 +6,9 @@ from pyspark.sql.window import Window as W
 from gridloom.functions import columns as C
 from gridloom.operators import grid as G
 from gridloom.operators import surface as S
+from gridloom.operators.radial import radial_surface
 from gridloom.plans.registry import query
+from gridloom.sources import files
 
 REACHED = """WITH RECURSIVE {views}, m AS (SELECT r, c, r*1000 + c AS i FROM ref WHERE slope > 30), t(i, r, c, j) AS (SELECT i, r, c, i FROM m UNION SELECT t.i, m.r, m.c, m.i FROM t JOIN m ON abs(m.r-t.r) + abs(m.c-t.c) = 1),
 l AS (SELECT i, min(j) AS label FROM t GROUP BY i)"""
@@ -164,20 +166,6 @@ w AS (SELECT *, abs(off) <= nmad AS okay, avg(off) OVER (PARTITION BY r, c ORDER
 SELECT r, c, yr, zone LIKE 'Brand#1%' AND NOT (okay OR abs(off - near) < 50) AS invalid FROM w"""
 
 
-@query("obs ref", NOISY)
-def r32_noise_filter(obs, ref):
-    """Inside the outlines a value is invalid if it is off its band's median by more than the band's noise and also unlike the
-    years around it; outside nothing is."""
-    y = obs.groupBy("r", "c", "yr").agg(F.median("z").alias("z"))
-    d = y.join(ref.select("r", "c", C.uniform_bin("slope", 0, 10.0).alias("band"), "zone"), ["r", "c"])
-    bands = G.robust_stack(d, ["band", "yr"], "z").select("band", "yr", F.col("median").alias("m"), "nmad")
-    e = d.join(bands, ["band", "yr"]).withColumn("off", F.col("z") - F.col("m"))
-    near = F.avg("off").over(W.partitionBy("r", "c").orderBy("yr").rangeBetween(-1, 1))
-    e = e.withColumn("near", near)
-    fine = (F.abs("off") <= F.col("nmad")) | (F.abs(F.col("off") - F.col("near")) < 50)
-    return e.select("r", "c", "yr", (F.col("zone").startswith("Brand#1") & ~fine).alias("invalid"))
-
-
 @query("obs", "SELECT r, c, round(CASE WHEN x THEN CAST(least(65534, round_even(sqrt(a::DOUBLE*a + b::DOUBLE*b), 0)) AS INT) ELSE b END, 0)::INT AS raw FROM (SELECT r, c, CAST(trunc(median(z)) AS INT) AS a, CAST(trunc(median(proba)) AS INT) AS b, bool_or(dem_id % 10 = 0) AS x FROM obs GROUP BY r, c)")
 def r43_fit_error(obs):
     """Where a corrected fit exists its error and the other's are joined as roots of squares, elsewhere the other's stays."""
@@ -218,14 +206,40 @@ def r44_point_report(pts, obs):
     return k.groupBy("pid").agg(*wide, label, F.round(F.regr_slope("z", "yr"), 7).alias("slope"))
 
 
+#: The share of the median count below which a bin is left out; two years need more.
+LEAST_SHARE, LEAST_BY_YEAR = 0.1, {2022: 0.27, 2023: 0.2}
+BIAS = f""", o AS (SELECT r, c, yr, median(z) / 3 AS z, 1.4826::DOUBLE * median(abs(z - m)) AS nmad FROM (SELECT *, median(z) OVER (PARTITION BY r, c, yr) AS m FROM obs) GROUP BY r, c, yr),
+d AS (SELECT yr, c + 0.5::DOUBLE AS x, r + 0.5::DOUBLE AS y, ref_z - z AS v FROM o JOIN ref USING (r, c) WHERE stable AND nmad < 200),
+b AS (SELECT yr, floor(x / 8) AS bx, floor(y / 8) AS by_, median(x) AS x, median(y) AS y, median(v) AS v, count(*) AS n FROM d GROUP BY ALL)
+SELECT yr, x, y, round(v, 7) AS v, round(share, 9) AS share FROM (SELECT *, n / median(n) OVER (PARTITION BY yr) AS share FROM b) WHERE share > CASE {' '.join(f'WHEN yr = {k} THEN {v}' for k, v in LEAST_BY_YEAR.items())} ELSE {LEAST_SHARE} END"""
+
+
+def bias_bins(obs, ref):
+    """Medians of differences on stable ground by year and coarse bin, without thin bins."""
+    o = G.robust_stack(obs.select("r", "c", "yr", "z"), ["r", "c", "yr"], "z").where("nmad < 200").select("r", "c", "yr", (F.col("median") / 3).alias("z"))
+    d = o.join(ref.where("stable").select("r", "c", "ref_z"), ["r", "c"]).select("yr", (F.col("c") + 0.5).alias("x"), (F.col("r") + 0.5).alias("y"), (F.col("ref_z") - F.col("z")).alias("v"))
+    b = d.groupBy("yr", F.floor(F.col("x") / 8).alias("bx"), F.floor(F.col("y") / 8).alias("by")).agg(*(F.median(c).alias(c) for c in "xyv"), F.count("*").alias("n"))
+    b = files.stored(b, "bins")
+    usual = b.groupBy("yr").agg(F.percentile("n", 0.5).alias("usual"))  # a count per bin: its percentile counts equal ones together
+    least = F.lit(LEAST_SHARE)
+    for yr, share in LEAST_BY_YEAR.items():
+        least = F.when(F.col("yr") == yr, share).otherwise(least)
+    return b.join(G.checked_broadcast(usual), "yr").withColumn("share", F.col("n") / F.col("usual")).where(F.col("share") > least)
+
+
+@query("obs ref", BIAS)
+def r06_bias_bins(obs, ref):
+    """The points of the bias surface of every year."""
+    return bias_bins(obs, ref).select("yr", "x", "y", F.round("v", 7).alias("v"), F.round("share", 9).alias("share"))
+
+
 @query("obs ref", None)
 def r06_bias_surface(obs, ref):
-    """Medians of differences by coarse bins, a linear radial surface through them, evaluated at every cell."""
-    d = obs.select("r", "c", "z").join(ref.where("stable").select("r", "c", "ref_z"), ["r", "c"])
-    coarse = lambda v: F.floor(F.col(v) / 8) * 8.0 + 4
-    bins = d.groupBy(coarse("c").alias("x"), coarse("r").alias("y")).agg(F.median(F.col("z") - F.col("ref_z") / 3).alias("v"))
+    """The last year's bias at every cell: a linear radial surface through its bins."""
+    bins = files.stored(bias_bins(obs, ref), "bias")
+    last = bins.join(F.broadcast(bins.agg(F.max("yr").alias("yr"))), "yr")  # one row
     at = ref.select("r", "c", (F.col("c") + 0.5).alias("x"), (F.col("r") + 0.5).alias("y"))
-    return S.linear_rbf(bins, at).select("r", "c", F.round("z", 6).alias("z"))
+    return radial_surface(last.select("x", "y", "v"), at).select("r", "c", F.round("z", 6).alias("z"))
 
 
 def add_recursive(name: str, sql: str) -> None:

@@ -204,17 +204,6 @@ def p05_stack_unstack(obs):
 
 # --- joins -----------------------------------------------------------------------------------------------
 
-@query("pts strips", "SELECT pid, strip FROM pts JOIN strips ON x > x0 AND x < x1 AND y > y0 AND y < y1 AND (x-x0)/(x1-x0) + (y-y0)/(y1-y0) < 1.5::DOUBLE WHERE status = 'P'")
-def j04_points_in_strips(pts, strips):
-    """Points in strips' polygons (boxes without a corner): both sides by tile, then the exact test."""
-    s = strips.where("status = 'P'").select("strip", "x0", "y0", "x1", "y1")
-    cell = lambda v: F.floor(F.col(v) / TILE).cast("int")
-    listed = s.withColumn("tr", F.explode(F.sequence(cell("y0"), cell("y1")))).withColumn("tc", F.explode(F.sequence(cell("x0"), cell("x1"))))
-    at = pts.select("pid", "x", "y", cell("y").alias("tr"), cell("x").alias("tc"))
-    inside = "x > x0 and x < x1 and y > y0 and y < y1 and (x-x0)/(x1-x0) + (y-y0)/(y1-y0) < 1.5"
-    return at.join(listed, ["tr", "tc"]).where(inside).select("pid", "strip")
-
-
 @query("pts ref", "SELECT pid, ref_z FROM (SELECT pid, CAST(round_even((x*1.1::DOUBLE-0.5::DOUBLE), 0) AS INT) AS c, CAST(round_even((y*0.9::DOUBLE-0.5::DOUBLE), 0) AS INT) AS r FROM pts) JOIN ref USING (r, c)")
 def j11_nearest_cell(pts, ref):
     """The cell whose centre is nearest on either axis; halfway goes to the even one."""
@@ -248,15 +237,6 @@ def a24_nmad_of_gap_means(pts):
     return G.robust_stack(gap, ["bin"], "g").select("bin", F.round("nmad", 9).alias("nmad"), "n")
 
 
-@query("obs ref", "SELECT size, round(1.4826::DOUBLE*median(abs(g-m)), 7) AS nmad, count(*) AS n FROM (SELECT *, median(g) OVER (PARTITION BY size) AS m FROM (SELECT size, r // size AS pr, c // size AS pc, avg(z - ref_z/2) AS g FROM obs JOIN ref USING (r, c), (VALUES (1), (2), (4), (8), (16)) v(size) GROUP BY ALL)) GROUP BY size")
-def a27_patch_method(obs, ref):
-    """Means over patches of growing area (square here), then the spread of the means by area."""
-    d = obs.select("r", "c", "z").join(ref.select("r", "c", "ref_z"), ["r", "c"]).withColumn("size", F.explode(F.array(*map(F.lit, (1, 2, 4, 8, 16)))))
-    patch = lambda v: F.floor(F.col(v) / F.col("size"))
-    g = d.groupBy("size", patch("r").alias("pr"), patch("c").alias("pc")).agg(F.avg(F.col("z") - F.col("ref_z") / 2).alias("g"))
-    return G.robust_stack(g, ["size"], "g").select("size", F.round("nmad", 7).alias("nmad"), "n")
-
-
 PATCHES = "s AS (SELECT zone, round(avg(slope), 9) AS pred, round(median(ref_z), 9) AS bad, count(*) AS n, round(abs(avg(slope)*30 - median(ref_z)), 9) AS diff FROM ref GROUP BY zone HAVING count(*) > 5)"
 
 

@@ -181,8 +181,6 @@ def test_surfaces_by_brute_force(spark):
     at = np.argwhere(mask)
     assert all(d == pytest.approx(np.sqrt(((at - k) ** 2).sum(1)).min()) for k, d in got.items()) and len(got) == 17 * 23
     assert {r.d for r in S.distance_transform(cells, F.lit(False)).collect()} == {None}
-    p = spark.createDataFrame([(float(x), float(y), float(v)) for x, y, v in rng.random((30, 3)) * 50], "x double, y double, v double")
-    assert all(r.z == pytest.approx(r.v) for r in S.linear_rbf(p, p).collect())
     east, north = S.utm_text("lon", "lat", 15.0)
     x, y = spark.sql(f"select {east} as e, {north} as n from values (cast(15 as double), cast(0 as double)), (cast(16 as double), cast(78.25 as double)) t(lon, lat)").collect()
     # on the zone's meridian the northing is the scaled arc; beside it the easting is a short arc of the parallel
@@ -199,8 +197,6 @@ def test_surfaces_by_brute_force(spark):
     # on the parallel of true scale the circle's radius is that of the ellipsoid's parallel there
     m = S.AXIS * np.cos(np.radians(70)) / np.sqrt(1 - e2 * np.sin(np.radians(70)) ** 2)
     assert q.x == pytest.approx(0, abs=1e-6) and q.y == pytest.approx(-m, abs=1e-3)
-    with pytest.raises(ValueError):
-        S.linear_rbf(spark.range(2100).selectExpr("cast(id as double) x", "cast(0 as double) y", "cast(1 as double) v"), p)
 
 
 def test_solvers_find_what_was_planted(spark):
