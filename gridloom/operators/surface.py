@@ -42,6 +42,19 @@ def connected_components(mask: DataFrame, offsets: list[tuple[int, int]] = FOUR)
     return cells.join(label, "i", "left").select("r", "c", F.coalesce("label", "i").alias("label"))
 
 
+def conditioned_mask(cells: DataFrame, steps: int = 3, share: float = 0.01) -> DataFrame:
+    """cells: r, c, tag (0 or null: bad). (r, c, outlier): bad cells and all within ``steps`` four-neighbour steps of one, then the
+    components of the rest that have under ``share`` of the largest one's cells."""
+    bad = cells.where(F.coalesce(F.col("tag"), F.lit(0)) == 0).select("r", "c")
+    diamond = [(i, j) for i in range(-steps, steps + 1) for j in range(-steps, steps + 1) if abs(i) + abs(j) <= steps]
+    grown = G.neighbours(bad, diamond).select("r", "c").distinct()
+    parts = stored(connected_components(cells.select("r", "c").join(grown, ["r", "c"], "left_anti")), "parts")
+    size = parts.groupBy("label").agg(F.count("*").alias("size"))
+    large = size.join(F.broadcast(size.agg((F.max("size") * share).alias("least")))).where("size >= least").select("label")  # one row
+    kept = parts.join(large, "label", "left_semi").select("r", "c", F.lit(False).alias("outlier"))
+    return cells.select("r", "c").join(kept, ["r", "c"], "left").select("r", "c", F.coalesce("outlier", F.lit(True)).alias("outlier"))
+
+
 def _envelope(rows: np.ndarray, gap: np.ndarray, at: np.ndarray) -> np.ndarray:
     """min over k of (at - rows[k])^2 + gap[k], by the lower envelope of the parabolas; rows ascend."""
     keep, edge = [0], [-math.inf]

@@ -105,18 +105,23 @@ def scan_text_lines(dems):
     return lines.select(F.regexp_extract("value", r"dem_(\d+)", 1).cast("long").alias("dem_id"))
 
 
-NAMES = """SELECT strip, CAST(year(d) AS INT) AS yr, CAST(month(d) AS INT) AS mon, CAST(day(d) AS INT) AS day, 'strips/' || strftime(d, '%Y') || '/s_' || strftime(d, '%Y%m%d') || '_' || CAST(strip AS VARCHAR) || '.tif' AS path
-FROM strips WHERE year(d) >= 1998"""
+NAMES = """SELECT CAST(year(d) AS INT) AS yr, status, count(DISTINCT CAST(month(d) AS INT)) AS files, 's_' || CAST(year(d) AS VARCHAR) || '_' || status AS stem, CAST(count(*) AS BIGINT) AS n FROM strips WHERE year(d) >= 1995 GROUP BY ALL"""
 
 
 @query("strips", NAMES)
 def scan_listing(strips):
-    """A listing of files: date and number are parsed from the stem of the name, the year filters the folder."""
-    path = F.concat(F.lit("strips/"), F.date_format("d", "yyyy"), F.lit("/s_"), F.date_format("d", "yyyyMMdd"), F.lit("_"), F.col("strip").cast("string"), F.lit(".tif"))
-    stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.tif$", "")
-    parts = F.split(stem, "_")
-    got = strips.select(path.alias("path")).select("path", F.to_date(parts[1], "yyyyMMdd").alias("d"), parts[2].cast("long").alias("strip"))
-    return got.where(F.year("d") >= 1998).select("strip", F.year("d").alias("yr"), F.month("d").alias("mon"), F.dayofmonth("d").alias("day"), "path")
+    """A listing of real files: strips are stored by year, status and month; only names are listed (no content is read), the folder's
+    year is filtered, and date, status and month are parsed from the path. The files listed are then read for their rows."""
+    spark = strips.sparkSession
+    path = files.fresh_path(spark, "strips")
+    split = {"yr": F.year("d"), "status": F.col("status"), "mon": F.month("d")}
+    strips.select("strip", *(c.alias(n) for n, c in split.items())).repartition("yr", "mon").write.partitionBy(*split).parquet(path)
+    names = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path).select("path")
+    part = lambda key: F.regexp_extract("path", f"/{key}=([^/]+)/", 1)
+    listed = names.select(part("yr").cast("int").alias("yr"), part("status").alias("status"), part("mon").cast("int").alias("mon")).where("yr >= 1995")
+    months = listed.groupBy("yr", "status").agg(F.countDistinct("mon").alias("files"))
+    rows = spark.read.parquet(path).where("yr >= 1995").groupBy("yr", "status").agg(F.count("*").alias("n"))
+    return months.join(rows, ["yr", "status"]).select("yr", "status", "files", F.concat_ws("_", F.lit("s"), F.col("yr").cast("string"), "status").alias("stem"), "n")
 
 
 @query("obs", "SELECT r, c, yr, round(median(z), 9) AS z FROM obs WHERE r BETWEEN 8 AND 23 GROUP BY r, c, yr")
@@ -128,35 +133,42 @@ def scan_tiled_cube(obs):
     return obs.sparkSession.read.parquet(path).where(F.col("tr").between(1, 2)).select("r", "c", "yr", "z")
 
 
-@query("series", "SELECT event_id, track, h FROM series WHERE track IN ('click', 'view', 'purchase') AND h > 50")
+@query("series", "SELECT event_id, track, h FROM series WHERE track IS NOT NULL AND h > 50")
 def scan_tracks(series):
-    """Groups of one file as separate relations: read one by one, labelled, rows without a height dropped, put together."""
-    out = None
-    for name in ("click", "view", "purchase"):
-        track = series.where(F.col("track") == name).select("event_id", F.lit(name).alias("track"), F.when(F.col("h") > 50, F.col("h")).alias("h")).dropna(subset=["h"])
-        out = track if out is None else out.unionByName(track)
-    return out
+    """The groups of one file as separate relations: every track is a folder, labelled by its name; rows without a height are dropped
+    and the tracks come together."""
+    path = files.fresh_path(series.sparkSession, "tracks")
+    files.write_once(series.where("track is not null").select("event_id", "h", "track"), path, "track")
+    read = series.sparkSession.read.schema("event_id long, h double, track string").parquet(path)
+    return read.select("event_id", "track", F.when(F.col("h") > 50, F.col("h")).alias("h")).dropna(subset=["h"])
 
 
-@query("ref", "SELECT CAST(i AS BIGINT) AS i, round(((i*7919) % 10007)/10007.0::DOUBLE*40, 9) AS x, round(((i*104729) % 10009)/10009.0::DOUBLE*50, 9) AS y FROM range(5000) t(i)")
-def gen_points(ref):
-    """Points over a box from hashes of their number: the same however many tasks make them."""
-    i = F.col("id")
-    at = lambda a, m, size: F.round(i * a % m / float(m) * size, 9)
-    return ref.sparkSession.range(5000).select(i.alias("i"), at(7919, 10007, 40).alias("x"), at(104729, 10009, 50).alias("y"))
+POINTS = """SELECT strip, CAST(i AS INT) AS i, round(x0 + ((strip * 7919 + i * 104729) % 10007) / 10007.0::DOUBLE * (x1 - x0), 9) AS x, round(y0 + ((strip * 104723 + i * 7907) % 10009) / 10009.0::DOUBLE * (y1 - y0), 9) AS y FROM strips, range(4) t(i)"""
 
 
-@query("ref", "SELECT CAST(r AS INT) AS r, CAST(c AS INT) AS c, 500 + (c + 0.5::DOUBLE)*5 AS x, 900 - (r + 0.5::DOUBLE)*5 AS y FROM range(60) a(r), range(40) b(c)")
-def gen_coordinate_grid(ref):
-    """Pixel centres of a grid, y descending."""
-    return grid_of(ref.sparkSession, 0, 59, 0, 39).select("r", "c", (500 + (F.col("c") + 0.5) * 5).alias("x"), (900 - (F.col("r") + 0.5) * 5).alias("y"))
+@query("strips", POINTS)
+def gen_points(strips):
+    """Four points in every strip's box from hashes of the strip and the point's number: the same however many tasks make them."""
+    i = strips.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    share = lambda a, b, m: (F.col("strip") * a + F.col("i") * b) % m / float(m)
+    at = lambda lo, hi, u: F.round(F.col(lo) + u * (F.col(hi) - F.col(lo)), 9)
+    return i.select("strip", "i", at("x0", "x1", share(7919, 104729, 10007)).alias("x"), at("y0", "y1", share(104723, 7907, 10009)).alias("y"))
 
 
-@query("ref", "SELECT CAST(d AS DATE)::VARCHAR AS d, month(d) = 1 AS starts_year FROM range(DATE '1996-01-01', DATE '1999-01-01', INTERVAL 1 MONTH) t(d)")
-def gen_date_range(ref):
-    """The first of every month of whole years; those of January are the range by year."""
-    d = F.explode(F.expr("sequence(date'1996-01-01', date'1998-12-31', interval 1 month)"))
-    return ref.sparkSession.range(1).select(d.alias("d")).select(F.col("d").cast("string").alias("d"), (F.month("d") == 1).alias("starts_year"))
+@query("strips", "SELECT strip, CAST(r AS INT) AS r, CAST(c AS INT) AS c, x0 + (c + 0.5::DOUBLE) AS x, y1 - (r + 0.5::DOUBLE) AS y FROM strips, LATERAL (SELECT unnest(range(CAST(y1 - y0 AS INT))) AS r) p, LATERAL (SELECT unnest(range(CAST(x1 - x0 AS INT))) AS c) q")
+def gen_coordinate_grid(strips):
+    """Pixel centres of every strip's own grid, y descending."""
+    rows, cols = (F.sequence(F.lit(0), (F.col(b) - F.col(a)).cast("int") - 1) for a, b in (("y0", "y1"), ("x0", "x1")))
+    cells = strips.where("x1 > x0 and y1 > y0").withColumn("r", F.explode(rows)).withColumn("c", F.explode(cols))
+    return cells.select("strip", "r", "c", (F.col("x0") + (F.col("c") + 0.5)).alias("x"), (F.col("y1") - (F.col("r") + 0.5)).alias("y"))
+
+
+@query("strips", "SELECT status, CAST(d AS DATE)::VARCHAR AS d, month(d) = 1 AS starts_year FROM (SELECT status, unnest(generate_series(date_trunc('year', min(d)), date_trunc('year', max(d)) + INTERVAL 11 MONTH, INTERVAL 1 MONTH)) AS d FROM strips GROUP BY status)")
+def gen_date_range(strips):
+    """The first of every month of the whole years that a status spans; those of January are the range by year."""
+    span = strips.groupBy("status").agg(F.trunc(F.min("d"), "year").alias("a"), F.add_months(F.trunc(F.max("d"), "year"), 11).alias("b"))
+    d = span.select("status", F.explode(F.expr("sequence(a, b, interval 1 month)")).alias("d"))
+    return d.select("status", F.col("d").cast("string").alias("d"), (F.month("d") == 1).alias("starts_year"))
 
 
 QUANTISED = "SELECT r, c, yr, CASE WHEN raw <> 65535 THEN round(raw*1500/65534::DOUBLE, 6) END AS z FROM (SELECT r, c, yr, CASE WHEN z IS NULL THEN 65535 ELSE CAST(trunc(greatest(0, least(65534, CAST(CAST(z AS FLOAT)*CAST(65534/1500::DOUBLE AS FLOAT) AS DOUBLE)))) AS INT) END AS raw FROM (SELECT r, c, yr, median(CASE WHEN tag THEN z END) AS z FROM obs GROUP BY r, c, yr))"

@@ -208,7 +208,7 @@ def a08_binned_error_cube(obs, ref):
 @query("obs ref", "SELECT yr, CAST(floor(ref_z/20.0) AS INT) AS band, round(median(z-ref_z),8) AS dh, round(quantile_cont(z-ref_z, 0.25),7) AS q25, round(quantile_cont(z-ref_z, 0.75),7) AS q75, count(*) AS n FROM obs JOIN ref USING (r, c) GROUP BY 1, 2")
 def a09_hypsometric_bands(obs, ref):
     df = obs.join(ref.select("r", "c", "ref_z"), ["r", "c"])
-    dh = df.select("yr", C.uniform_bin("ref_z", 0, 20.0).alias("band"), (F.col("z") - F.col("ref_z")).alias("dh"))
+    dh = stored(df.select("yr", C.uniform_bin("ref_z", 0, 20.0).alias("band"), (F.col("z") - F.col("ref_z")).alias("dh")), "differences")
     q = exact_quantiles(dh, ["yr", "band"], "dh", {"mid": 0.5, "q25": 0.25, "q75": 0.75})
     return q.select("yr", "band", F.round("mid", 8).alias("dh"), F.round("q25", 7).alias("q25"), F.round("q75", 7).alias("q75"), "n")
 
@@ -216,7 +216,10 @@ def a09_hypsometric_bands(obs, ref):
 @query("obs ref", "SELECT yr, round(0.85*sum(dh*area)/sum(area), 6) AS mean_dh FROM (SELECT yr, CAST(floor(ref_z/20.0) AS INT) AS band, median(z-ref_z) AS dh, count(DISTINCT r*1000+c) AS area FROM obs JOIN ref USING (r, c) GROUP BY 1, 2) GROUP BY yr")
 def a10_area_weighted_mean(obs, ref):
     df = obs.join(ref.select("r", "c", "ref_z"), ["r", "c"])
-    bands = df.groupBy("yr", C.uniform_bin("ref_z", 0, 20.0).alias("band")).agg(F.median(F.col("z") - F.col("ref_z")).alias("dh"), F.countDistinct(F.col("r") * 1000 + F.col("c")).alias("area"))
+    band = C.uniform_bin("ref_z", 0, 20.0).alias("band")
+    dh = stored(df.select("yr", band, "r", "c", (F.col("z") - F.col("ref_z")).alias("dh")), "differences")
+    area = dh.groupBy("yr", "band").agg(F.countDistinct(F.col("r") * 1000 + F.col("c")).alias("area"))
+    bands = exact_quantiles(dh, ["yr", "band"], "dh", {"mid": 0.5}).select("yr", "band", F.col("mid").alias("dh")).join(area, ["yr", "band"])
     return bands.groupBy("yr").agg(F.round(0.85 * F.sum(F.col("dh") * F.col("area")) / F.sum("area"), 6).alias("mean_dh"))
 
 
@@ -269,7 +272,7 @@ def a11_bootstrap_whole(obs, ref):
 def a12_stable_bias_removed(obs, ref):
     """The yearly median over stable cells is a table of years, joined back; no window over a year."""
     df = obs.join(ref.select("r", "c", "ref_z", "stable"), ["r", "c"])
-    stable = df.where("stable").select("yr", (F.col("z") - F.col("ref_z")).alias("dz"))
+    stable = stored(df.where("stable").select("yr", (F.col("z") - F.col("ref_z")).alias("dz")), "stable")  # read three times
     bias = exact_quantiles(stable, ["yr"], "dz", {"bias": 0.5}).select("yr", "bias")
     return df.join(F.broadcast(bias), "yr", "left").select("ok", "ln", F.round(F.col("z") - F.col("bias"), 8).alias("z"))
 
@@ -303,10 +306,19 @@ def a16_quality_mode(obs):
     return n.groupBy("r", "c").agg(F.max_by("code", F.struct("n", -F.col("code"))).alias("mode"))
 
 
-@query("obs", "SELECT dem_id, o AS n_out, i AS n_in FROM (SELECT dem_id, count_if(z > 700)::BIGINT AS o, count_if(z <= 700 AND proba < 30)::BIGINT AS i FROM obs GROUP BY dem_id) WHERE o >= 1 AND i < 60")
+VOTES = """SELECT dem_id, n_out, n_in, n_in < 3 AS bad, true AS bad_strict FROM (SELECT dem_id, count_if(z < m - 400 OR z > m + 400)::BIGINT AS n_out, count_if(z >= m - 400 AND z <= m + 400)::BIGINT AS n_in
+FROM obs JOIN (SELECT r, c, median(z) AS m FROM obs GROUP BY r, c) USING (r, c) GROUP BY dem_id) WHERE n_out >= 1"""
+
+
+@query("obs", VOTES)
 def a20_title_vote(obs):
-    v = obs.groupBy("dem_id").agg(F.count_if(F.col("z") > 700).alias("n_out"), F.count_if((F.col("z") <= 700) & (F.col("proba") < 30)).alias("n_in"))
-    return v.where("n_out >= 1 and n_in < 60")
+    """Every cell has a range of its own; a title out of one is bad unless three values of it lie within theirs, in the stricter
+    product in any case."""
+    cells = obs.groupBy("r", "c").agg(F.median("z").alias("m")).select("r", "c", (F.col("m") - 400).alias("lo"), (F.col("m") + 400).alias("hi"))
+    seen = obs.select("r", "c", "dem_id", "z").join(cells, ["r", "c"])
+    off = (F.col("z") < F.col("lo")) | (F.col("z") > F.col("hi"))
+    v = seen.groupBy("dem_id").agg(F.count_if(off).alias("n_out"), F.count_if(~off).alias("n_in"))
+    return v.where("n_out >= 1").select("dem_id", "n_out", "n_in", (F.col("n_in") < 3).alias("bad"), F.lit(True).alias("bad_strict"))
 
 
 @query("obs", "SELECT dem_id, CAST(sum(k - 1) AS BIGINT) AS n FROM (SELECT dem_id, count(*) OVER (PARTITION BY r, c) AS k FROM obs) GROUP BY dem_id")
@@ -330,7 +342,7 @@ def a23_total_bounds(strips):
 def a24_nmad_by_distance(pts):
     dx, dy = F.col("x") - 20, F.col("y") - 15
     binned = pts.select(C.uniform_bin(F.sqrt(dx * dx + dy * dy), 0, 3.0).alias("bin"), "v")
-    return G.robust_stack(binned, ["bin"], "v").select("bin", F.round("nmad", 9).alias("nmad"), "n")
+    return exact_nmad(binned, ["bin"], "v").select("bin", F.round("nmad", 9).alias("nmad"), "n")
 
 
 #: Replicates of a variogram and points in each, as the reference takes them.

@@ -6,6 +6,7 @@ from pyspark.sql.window import Window as W
 from gridloom.functions import columns as C
 from gridloom.operators import grid as G
 from gridloom.operators import surface as S
+from gridloom.operators.quantiles import exact_nmad
 from gridloom.operators.radial import radial_surface
 from gridloom.plans.registry import query
 from gridloom.sources import files
@@ -34,13 +35,10 @@ def a29_components(ref):
 
 
 @query("ref", None)
-def r13_drop_small_components(ref):
-    """A mask without the components of under a fifth of the largest."""
-    cells = labelled(ref)
-    size = cells.groupBy("label").agg(F.count("*").alias("size"))
-    most = size.agg(F.max("size").alias("most"))
-    kept = size.join(F.broadcast(most)).where("size * 5 >= most").select("label")
-    return cells.join(kept, "label", "left_semi").select("r", "c")
+def r13_conditioned_mask(ref):
+    """Cells to leave out: the tag inverted, grown by three steps of four neighbours, and what is left in components of under
+    one hundredth of the largest."""
+    return S.conditioned_mask(ref.select("r", "c", F.when(F.col("slope") > 2, 1).otherwise(0).alias("tag")))
 
 
 @query("ref", "SELECT a.r, a.c, round(sqrt(min((a.r-b.r)*(a.r-b.r) + (a.c-b.c)*(a.c-b.c))), 9) AS d FROM ref a JOIN ref b ON b.slope = 50 GROUP BY a.r, a.c")
@@ -74,10 +72,10 @@ def r19_ocean_mask(ref, obs):
     return obs.select("r", "c", "yr").distinct().join(land, ["r", "c", "yr"], "left").select("r", "c", "yr", F.coalesce("ocean", F.lit(True)).alias("ocean"))
 
 
-@query("ref obs", "SELECT r, c, z, yr FROM ref LEFT JOIN (SELECT r, c, arg_max(z, (dem_id, ok, ln)) AS z, arg_max(yr, (dem_id, ok, ln)) AS yr FROM obs WHERE tag AND dem_id % 3 = 0 GROUP BY r, c) USING (r, c)")
+@query("ref obs", "SELECT r, c, z, yr FROM ref LEFT JOIN (SELECT r, c, arg_max(z, (dem_id, ok, ln)) AS z, arg_max(yr, (dem_id, ok, ln)) AS yr FROM obs WHERE tag GROUP BY r, c) USING (r, c)")
 def r21_ordered_overwrite(ref, obs):
     """Sources laid over one another in order, value and year of the last; null where none lies."""
-    last = obs.where("tag and dem_id % 3 = 0").groupBy("r", "c").agg(F.max_by(F.struct("z", "yr"), F.struct("dem_id", "ok", "ln")).alias("v"))
+    last = obs.where("tag").groupBy("r", "c").agg(F.max_by(F.struct("z", "yr"), F.struct("dem_id", "ok", "ln")).alias("v"))
     return ref.select("r", "c").join(last, ["r", "c"], "left").select("r", "c", "v.z", "v.yr")
 
 
@@ -143,27 +141,27 @@ def r42_greatest_curvature(ref):
 
 FILLED = """, y AS (SELECT r, c, yr, median(CASE WHEN tag AND proba < 90 THEN z END) AS z FROM obs GROUP BY r, c, yr), g AS (SELECT r, c, yr, z FROM (SELECT r, c, yr FROM (SELECT DISTINCT r, c FROM y), range(1993, 2000) t(yr)) LEFT JOIN y USING (r, c, yr)),
 l AS (SELECT r, c, yr, z, max(CASE WHEN z IS NOT NULL THEN yr END) OVER b AS y0, min(CASE WHEN z IS NOT NULL THEN yr END) OVER a AS y1, last_value(z IGNORE NULLS) OVER b AS z0, first_value(z IGNORE NULLS) OVER a AS z1 FROM g
-WINDOW b AS (PARTITION BY r, c ORDER BY yr ROWS UNBOUNDED PRECEDING), a AS (PARTITION BY r, c ORDER BY yr ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
-SELECT r, c, CAST(yr AS INT) AS yr, round(CASE WHEN y1 = y0 THEN z ELSE z0 + (z1-z0)*(yr-y0)/(y1-y0)::DOUBLE END, 7) AS z FROM l"""
+WINDOW b AS (PARTITION BY r, c ORDER BY yr ROWS UNBOUNDED PRECEDING), a AS (PARTITION BY r, c ORDER BY yr ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+k AS (SELECT r, c, list(struct_pack(yr := yr, z := z) ORDER BY yr) FILTER (z IS NOT NULL) AS p FROM g GROUP BY r, c),
+x AS (SELECT l.*, p, len(p) AS n FROM l JOIN k USING (r, c))
+SELECT r, c, CAST(yr AS INT) AS yr, round(CASE WHEN z IS NOT NULL OR n IS NULL OR n < 2 THEN z WHEN y0 IS NULL THEN p[1].z + (p[2].z-p[1].z)*(yr-p[1].yr)/(p[2].yr-p[1].yr)::DOUBLE
+  WHEN y1 IS NULL THEN p[n].z + (p[n].z-p[n-1].z)*(yr-p[n].yr)/(p[n].yr-p[n-1].yr)::DOUBLE ELSE z0 + (z1-z0)*(yr-y0)/(y1-y0)::DOUBLE END, 7) AS z FROM x"""
 
 
 @query("obs", FILLED)
 def r31_interpolate_years(obs):
-    """Missing years between two that are there, by the line between them; null outside."""
+    """Missing years by the line between the years around that are there, beyond the ends by the first or last two; a single
+    year stays alone. A cell's years are a short array."""
     y = obs.groupBy("r", "c", "yr").agg(F.median(F.when(F.col("tag") & (F.col("proba") < 90), F.col("z"))).alias("z"))
-    years = y.select("r", "c").distinct().withColumn("yr", F.explode(F.sequence(F.lit(1993), F.lit(1999))))
-    g = years.join(y, ["r", "c", "yr"], "left").withColumn("s", F.when(F.col("z").isNotNull(), F.struct("yr", "z")))
-    cell = W.partitionBy("r", "c")
-    run = lambda o: F.last("s", ignorenulls=True).over(cell.orderBy(o).rowsBetween(W.unboundedPreceding, 0))
-    g = g.withColumn("a", run(F.col("yr"))).withColumn("b", run(F.desc("yr")))
-    line = F.col("a.z") + F.try_divide((F.col("b.z") - F.col("a.z")) * (F.col("yr") - F.col("a.yr")), (F.col("b.yr") - F.col("a.yr")).cast("double"))
-    return g.select("r", "c", "yr", F.round(F.when(F.col("z").isNotNull(), F.col("z")).otherwise(line), 7).alias("z"))
-
-
-NOISY = """, y AS (SELECT r, c, yr, median(z) AS z FROM obs GROUP BY r, c, yr), d AS (SELECT r, c, yr, z, CAST(floor(slope/10.0) AS INT) AS band, zone FROM y JOIN ref USING (r, c)), b AS (SELECT band, yr, median(z) AS m FROM d GROUP BY band, yr),
-n AS (SELECT band, yr, 1.4826::DOUBLE*median(abs(z-m)) AS nmad FROM d JOIN b USING (band, yr) GROUP BY band, yr), e AS (SELECT d.*, z - m AS off, nmad FROM d JOIN b USING (band, yr) JOIN n USING (band, yr)),
-w AS (SELECT *, abs(off) <= nmad AS okay, avg(off) OVER (PARTITION BY r, c ORDER BY yr RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS near FROM e)
-SELECT r, c, yr, zone LIKE 'Brand#1%' AND NOT (okay OR abs(off - near) < 50) AS invalid FROM w"""
+    point = F.when(F.col("z").isNotNull() & F.col("yr").between(1993, 1999), F.struct(F.col("yr").alias("yr"), F.col("z").alias("z")))
+    g = y.groupBy("r", "c").agg(F.array_sort(F.collect_list(point)).alias("p")).withColumn("yr", F.explode(F.sequence(F.lit(1993), F.lit(1999))))
+    n = F.size("p")
+    k = F.greatest(F.lit(1), F.least(n - 1, F.size(F.filter("p", lambda q: q["yr"] <= F.col("yr")))))
+    a, b = F.element_at("p", k), F.element_at("p", F.least(k + 1, n))
+    same = F.element_at(F.filter("p", lambda q: q["yr"] == F.col("yr")), 1)
+    line = F.when(n > 1, a["z"] + (b["z"] - a["z"]) * (F.col("yr") - a["yr"]) / (b["yr"] - a["yr"]).cast("double"))
+    known = F.exists("p", lambda q: q["yr"] == F.col("yr"))
+    return g.select("r", "c", "yr", F.round(F.when(known, same["z"]).otherwise(line), 7).alias("z"))
 
 
 @query("obs", "SELECT r, c, round(CASE WHEN x THEN CAST(least(65534, round_even(sqrt(a::DOUBLE*a + b::DOUBLE*b), 0)) AS INT) ELSE b END, 0)::INT AS raw FROM (SELECT r, c, CAST(trunc(median(z)) AS INT) AS a, CAST(trunc(median(proba)) AS INT) AS b, bool_or(dem_id % 10 = 0) AS x FROM obs GROUP BY r, c)")
@@ -183,27 +181,45 @@ def r41_gap_error_layer(ref, obs):
     """The spread by distance to a gap's edge, a line through it up to a greatest distance, and the line's value inside patches."""
     d = S.distance_transform(ref, F.col("slope") == 50)
     o = obs.select("r", "c", (F.col("z") / 20).alias("z")).join(d, ["r", "c"]).withColumn("bin", F.floor("d").cast("int"))
-    n = G.robust_stack(o, ["bin"], "z").where("bin < 8")
+    n = exact_nmad(files.stored(o.select("bin", "z"), "binned"), ["bin"], "z").where("bin < 8")
     mid = F.col("bin") + 0.5
     line = n.agg(F.regr_slope("nmad", mid).alias("b"), F.regr_intercept("nmad", mid).alias("a"))  # one row
     cells = ref.select("r", "c", "slope").join(d, ["r", "c"]).join(F.broadcast(line))
     return cells.select("r", "c", F.round(F.when(F.col("slope") > 25, F.col("a") + F.col("b") * F.least("d", F.lit(8.0))).otherwise(0.0), 6).alias("err"))
 
 
-YEARS = list(range(1993, 2000))
-REPORT = f""", y AS (SELECT r, c, yr, round(median(z), 9) AS z, count(*) AS n FROM obs GROUP BY r, c, yr), k AS (SELECT pid, r, c, p.yr, z, n FROM (SELECT pid, CAST(floor(y) AS INT) AS r, CAST(floor(x) AS INT) AS c, NULL AS yr FROM pts) q JOIN y p USING (r, c))
-SELECT pid, {', '.join(f'max(z) FILTER (yr = {y}) AS z_{y}' for y in YEARS)}, CASE WHEN sum(n) >= 25 THEN 'good' WHEN sum(n) >= 10 THEN 'fair' ELSE 'poor' END AS label, round(regr_slope(z, yr), 7) AS slope FROM k GROUP BY pid"""
+#: Labels of the quality codes; years and trend intervals of the report.
+QUALITY = {1: "q95", 2: "q75", 3: "bias", 4: "vertcorr"}
+YEARS, INTERVALS = list(range(1993, 2000)), [(1993, 1995), (1996, 1998), (1993, 1998)]
+CODED = "CAST(1 + (m >= 300)::INT + (m >= 450)::INT + (m >= 600)::INT AS INT)"
+REPORT = f""", s AS (SELECT r, c, yr, median(z) AS m, count(*) AS n, 1.4826::DOUBLE * median(abs(z - mid)) AS nmad, median(dayofyear(d)) AS doy FROM (SELECT *, median(z) OVER (PARTITION BY r, c, yr) AS mid FROM obs) GROUP BY r, c, yr),
+k AS (SELECT pid, p.x, p.y, s.* FROM pts p JOIN s ON s.r = CAST(floor(p.y) AS INT) AND s.c = CAST(floor(p.x) AS INT)), q AS (SELECT pid, arg_max(code, (n, -code)) AS code FROM (SELECT pid, {CODED} AS code, count(*) AS n FROM k GROUP BY ALL) GROUP BY pid)
+SELECT pid, x, y, CASE code {' '.join(f"WHEN {a} THEN '{b}'" for a, b in QUALITY.items())} ELSE 'unknown(' || code || ')' END AS quality_mode,
+  {', '.join(f'round(max(m) FILTER (yr = {y}), 9) AS dem_{y}, round(max(nmad) FILTER (yr = {y}), 9) AS nmad_{y}, max(n) FILTER (yr = {y}) AS count_{y}, max(doy) FILTER (yr = {y}) AS doy_{y}' for y in YEARS)},
+  {', '.join(f'round(regr_slope(m, yr + (doy - 1) / 365.25) FILTER (yr BETWEEN {a} AND {b}), 6) AS slope_{a}_{b}, round(regr_intercept(m, yr - {a} + (doy - 1) / 365.25) FILTER (yr BETWEEN {a} AND {b}), 5) AS intercept_{a}_{b}' for a, b in INTERVALS)}
+FROM k JOIN q USING (pid) GROUP BY pid, x, y, code"""
 
 
 @query("pts obs", REPORT)
 def r44_point_report(pts, obs):
-    """The series under every point as columns in a fixed order, with its trend and a label of its quality."""
-    y = obs.groupBy("r", "c", "yr").agg(F.round(F.median("z"), 9).alias("z"), F.count("*").alias("n"))
-    at = pts.select("pid", F.floor("y").cast("int").alias("r"), F.floor("x").cast("int").alias("c"))
-    k = at.join(y, ["r", "c"])
-    wide = [F.max(F.when(F.col("yr") == x, F.col("z"))).alias(f"z_{x}") for x in YEARS]
-    label = F.when(F.sum("n") >= 25, "good").when(F.sum("n") >= 10, "fair").otherwise("poor").alias("label")
-    return k.groupBy("pid").agg(*wide, label, F.round(F.regr_slope("z", "yr"), 7).alias("slope"))
+    """Every point's series as columns in a fixed order: value, spread, count and day of each year, trends of each interval over the
+    years with their day, and the label of the commonest quality code (an unknown code is shown as such)."""
+    day = F.median(F.dayofyear("d")).alias("doy")
+    s = G.robust_stack(obs.select("r", "c", "yr", "z", "d"), ["r", "c", "yr"], "z", day).withColumnRenamed("median", "m")
+    at = pts.select("pid", "x", "y", F.floor("y").cast("int").alias("r"), F.floor("x").cast("int").alias("c"))
+    k = files.stored(at.join(s, ["r", "c"]).withColumn("code", C.digitise("m", [300, 450, 600]) + 1), "series")
+    mode = k.groupBy("pid", "code").agg(F.count("*").alias("n")).groupBy("pid").agg(F.max_by("code", F.struct("n", -F.col("code"))).alias("code"))
+    label = F.concat(F.lit("unknown("), F.col("code").cast("string"), F.lit(")"))
+    for code, name in QUALITY.items():
+        label = F.when(F.col("code") == code, name).otherwise(label)
+    of = lambda y, c, digits: F.round(F.max(F.when(F.col("yr") == y, F.col(c))), digits)
+    wide = [x for y in YEARS for x in (of(y, "m", 9).alias(f"dem_{y}"), of(y, "nmad", 9).alias(f"nmad_{y}"), F.max(F.when(F.col("yr") == y, F.col("n"))).alias(f"count_{y}"), F.max(F.when(F.col("yr") == y, F.col("doy"))).alias(f"doy_{y}"))]
+    when = (F.col("doy") - 1) / 365.25
+    for a, b in INTERVALS:
+        inside = F.when(F.col("yr").between(a, b), F.col("m"))
+        wide += [F.round(F.regr_slope(inside, F.col("yr") + when), 6).alias(f"slope_{a}_{b}"), F.round(F.regr_intercept(inside, F.col("yr") - a + when), 5).alias(f"intercept_{a}_{b}")]
+    rows = k.groupBy("pid", "x", "y").agg(*wide).join(mode, "pid")
+    return rows.select("pid", "x", "y", label.alias("quality_mode"), *(c for c in rows.columns if c not in ("pid", "x", "y", "code")))
 
 
 #: The share of the median count below which a bin is left out; two years need more.
@@ -250,4 +266,7 @@ def add_recursive(name: str, sql: str) -> None:
 
 
 add_recursive("a29_components", components_sql(" SELECT r, c, label AS least, count(*) OVER (PARTITION BY label) AS size FROM m JOIN l USING (i)"))
-add_recursive("r13_drop_small_components", components_sql(" SELECT r, c FROM (SELECT r, c, size, max(size) OVER () AS most FROM (SELECT r, c, count(*) OVER (PARTITION BY label) AS size FROM m JOIN l USING (i))) WHERE size * 5 >= most"))
+KEPT = """WITH RECURSIVE {views}, o AS (SELECT DISTINCT a.r, a.c FROM ref a JOIN ref b ON abs(a.r-b.r) + abs(a.c-b.c) <= 3 WHERE b.slope <= 2), m AS (SELECT r, c, r*1000 + c AS i FROM ref ANTI JOIN o USING (r, c)),
+t(i, r, c, j) AS (SELECT i, r, c, i FROM m UNION SELECT t.i, m.r, m.c, m.i FROM t JOIN m ON abs(m.r-t.r) + abs(m.c-t.c) = 1), l AS (SELECT i, min(j) AS label FROM t GROUP BY i),
+s AS (SELECT r, c, count(*) OVER (PARTITION BY label) AS size FROM m JOIN l USING (i)) SELECT ref.r, ref.c, NOT coalesce(size >= 0.01 * (SELECT max(size) FROM s), false) AS outlier FROM ref LEFT JOIN s USING (r, c)"""
+add_recursive("r13_conditioned_mask", KEPT.format(views=__import__("gridloom.sources.adapters", fromlist=["SQL"]).SQL["ref"]))

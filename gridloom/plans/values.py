@@ -8,8 +8,10 @@ from pyspark.sql.window import Window as W
 from gridloom.functions import columns as C
 from gridloom.functions import gridmath as M
 from gridloom.operators import grid as G
+from gridloom.operators.quantiles import exact_nmad
 from gridloom.plans.registry import query
 from gridloom.sources.adapters import TILE
+from gridloom.sources.files import stored
 
 ALIGN = "floor((x0-2.5)/5)*5 + 2.5 - 10 AS l, ceil((y0-1.5)/3)*3 + 1.5 - 10 AS b, floor((x1-2.5)/5)*5 + 2.5 + 10 AS r, ceil((y1-1.5)/3)*3 + 1.5 + 10 AS t"
 
@@ -234,7 +236,7 @@ def j19_year_aligned(obs):
 def a24_nmad_of_gap_means(pts):
     """The mean of every gap, then the spread of the means by distance."""
     gap = pts.groupBy("seg", C.uniform_bin("x", 0, 8.0).alias("bin"), C.uniform_bin("y", 0, 5.0).alias("gap")).agg(F.avg("v").alias("g"))
-    return G.robust_stack(gap, ["bin"], "g").select("bin", F.round("nmad", 9).alias("nmad"), "n")
+    return exact_nmad(stored(gap, "gaps"), ["bin"], "g").select("bin", F.round("nmad", 9).alias("nmad"), "n")
 
 
 PATCHES = "s AS (SELECT zone, round(avg(slope), 9) AS pred, round(median(ref_z), 9) AS bad, count(*) AS n, round(abs(avg(slope)*30 - median(ref_z)), 9) AS diff FROM ref GROUP BY zone HAVING count(*) > 5)"
