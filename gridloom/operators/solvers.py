@@ -1,4 +1,4 @@
-"""Fits: robust polynomials by block, planes of overlapping strips, variogram models, farthest points."""
+"""Fits: robust polynomials by block, variogram models, farthest points."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from gridloom.sources.files import stored
 
@@ -64,35 +63,6 @@ def block_polynomials(df: DataFrame, keys: list[str], degree: int = 1, limit: fl
     return df.groupBy(*keys).applyInPandas(fit, f"{types}, " + ", ".join(f"{n} double" for n in names) + ", nmad double, n_in int, n int")
 
 
-def joint_planes(obs: DataFrame, most_slope: float = 1.0, rounds: int = 3) -> DataFrame:
-    """obs: dem, x, y, z, ref (null off stable ground). (dem, a, b, c): a plane per strip so that strips agree with the cell's median
-    and, three times as strongly, with the reference. Alternating: medians of corrected values by cell, then a weighted 3 x 3
-    system per strip from sums (soft L1 weights); slopes are held to ``most_slope``. No row leaves the cluster."""
-    planes = obs.select("dem").distinct().select("dem", *(F.lit(0.0).alias(n) for n in "abc"))
-
-    def solve(batches):
-        for df in batches:
-            out = []
-            for r in df.itertuples(index=False):
-                m = np.array([[r.xx, r.xy, r.x1], [r.xy, r.yy, r.y1], [r.x1, r.y1, r.w]])
-                a, b, c = np.linalg.lstsq(m + np.diag([1e-6, 1e-6, 1e-9]), np.array([r.xd, r.yd, r.d]), rcond=None)[0]
-                out.append((r.dem, float(np.clip(r.a + a, -most_slope, most_slope)), float(np.clip(r.b + b, -most_slope, most_slope)), float(r.c + c)))
-            yield pd.DataFrame(out, columns=["dem", "a", "b", "c"])
-
-    for _ in range(rounds):
-        v = obs.join(planes, "dem").withColumn("v", F.col("z") + F.col("a") * F.col("x") + F.col("b") * F.col("y") + F.col("c"))
-        m = v.withColumn("m", F.median("v").over(W.partitionBy("x", "y")))
-        pair = F.array(F.struct((F.col("m") - F.col("v")).alias("d"), F.lit(1.0).alias("k")), F.struct((F.col("ref") - F.col("v")).alias("d"), F.lit(3.0).alias("k")))
-        e = m.withColumn("e", F.explode(pair)).select("dem", "x", "y", "a", "b", "c", "e.d", "e.k").where("d is not null")
-        w = F.col("k") / F.sqrt(1 + F.col("d") * F.col("d") / 100)
-        e = e.withColumn("w", w)
-        total = lambda c, n: F.sum(F.col("w") * c).alias(n)
-        x, y, d = F.col("x"), F.col("y"), F.col("d")
-        sums = e.groupBy("dem").agg(F.first("a").alias("a"), F.first("b").alias("b"), F.first("c").alias("c"), F.sum("w").alias("w"), total(x * x, "xx"), total(x * y, "xy"), total(y * y, "yy"), total(x, "x1"), total(y, "y1"), total(x * d, "xd"), total(y * d, "yd"), total(d, "d"))
-        planes = stored(sums.mapInPandas(solve, f"dem {dict(obs.dtypes)['dem']}, a double, b double, c double"), "planes")
-    return planes
-
-
 def fit_spherical(lags: list[float], gamma: list[float], weights: list[float]) -> tuple[float, float, float]:
     """(nugget, sill, range) of a spherical model: ranges are scanned, the rest is weighted least squares without negative parts."""
     h, g, w = np.array(lags, float), np.array(gamma, float), np.sqrt(np.array(weights, float))
@@ -107,14 +77,52 @@ def fit_spherical(lags: list[float], gamma: list[float], weights: list[float]) -
     return best[1:] if best else (0.0, 0.0, float(h.max()))
 
 
-def farthest_points(xy: np.ndarray, n: int) -> list[int]:
-    """Greedy: from the first point on always that with the greatest distance to those taken; the first of equals."""
-    if not len(xy):
-        return []
-    taken = [0]
-    near = ((xy - xy[0]) ** 2).sum(1)
-    while len(taken) < min(n, len(xy)):
-        k = int(near.argmax())
-        taken.append(k)
-        near = np.minimum(near, ((xy - xy[k]) ** 2).sum(1))
-    return taken
+def farthest_points(points: DataFrame, n: int) -> DataFrame:
+    """points: pid, x, y. (pid, place): greedily from the least pid on always the one farthest from those taken, the least pid of equals.
+
+    A round is one aggregation over all points, with the places taken so far as literals; only the winner's row passes the driver.
+    """
+    rows = stored(points.select("pid", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).dropna(), "points")
+    first = rows.agg(F.min(F.struct("pid", "x", "y")).alias("p")).first().p
+    taken = [first] if first else []
+    while taken and len(taken) < n:
+        gaps = [(F.col("x") - p.x) * (F.col("x") - p.x) + (F.col("y") - p.y) * (F.col("y") - p.y) for p in taken]
+        near = F.least(*gaps) if len(gaps) > 1 else gaps[0]
+        best = rows.where(~F.col("pid").isin([p.pid for p in taken])).agg(F.max_by(F.struct("pid", "x", "y"), F.struct(near, -F.col("pid"))).alias("p")).first().p
+        if best is None:
+            break
+        taken.append(best)
+    return points.sparkSession.createDataFrame([(p.pid, i) for i, p in enumerate(taken)], "pid long, place int")
+
+
+def rolling_ransac(df: DataFrame, keys: list[str], t: str, y: str, width: int = 4, draws: int = 12) -> DataFrame:
+    """A line by seeded draws in every window of ``width`` consecutive values of a key (by ``t``): keys, t0 (the window's first),
+    slope, intercept, n_in. Draws are pairs of values; inliers lie within the window's median absolute deviation; of the draws with
+    the most inliers that with the least residuals is fitted again on them. A short series is a short array: all is done by
+    expressions, no key is a group of a user function.
+    """
+    series = df.where(F.col(t).isNotNull() & F.col(y).isNotNull()).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(t).cast("double").alias("t"), F.col(y).cast("double").alias("y")))).alias("p"))
+    starts = F.sequence(F.lit(1), F.size("p") - width + 1)
+    w = series.where(F.size("p") >= width).withColumn("s", F.explode(starts)).select(*keys, F.slice("p", F.col("s"), width).alias("p"))
+    value = F.array_sort(F.transform("p", lambda q: q["y"]))
+    half = width // 2
+    mid = lambda a: (F.element_at(a, (width + 1) // 2) + F.element_at(a, half + 1)) / 2
+    w = w.withColumn("m", mid(value))
+    w = w.withColumn("limit", mid(F.array_sort(F.transform("p", lambda q: F.abs(q["y"] - F.col("m"))))))
+    pairs = [(k * 7919 % width, (k * 7919 % width + 1 + k * 104729 % (width - 1)) % width) for k in range(draws)]
+    pairs = sorted({tuple(sorted(ij)) for ij in pairs})
+
+    def drawn(i: int, j: int):
+        a, b = F.element_at("p", i + 1), F.element_at("p", j + 1)
+        slope = F.try_divide(b["y"] - a["y"], b["t"] - a["t"])
+        off = lambda q: F.abs(q["y"] - a["y"] - slope * (q["t"] - a["t"]))
+        near = F.filter("p", lambda q: off(q) <= F.col("limit") + 1e-9)
+        return F.struct(F.size(near).alias("n"), (-F.round(F.aggregate(near, F.lit(0.0), lambda s, q: s + off(q)), 9)).alias("e"), F.lit(-(i * width + j)).alias("o"), near.alias("near"))
+
+    best = F.array_max(F.filter(F.array(*(drawn(i, j) for i, j in pairs)), lambda d: d["n"] >= 2))
+    w = w.withColumn("best", best).select(*keys, F.element_at("p", 1)["t"].alias("t0"), F.col("best.near").alias("q"))
+    total = lambda f: F.aggregate("q", F.lit(0.0), lambda s, q: s + f(q))
+    w = w.withColumn("n_in", F.coalesce(F.size("q"), F.lit(0))).withColumn("mt", total(lambda q: q["t"]) / F.col("n_in")).withColumn("my", total(lambda q: q["y"]) / F.col("n_in"))
+    slope = F.try_divide(total(lambda q: (q["t"] - F.col("mt")) * (q["y"] - F.col("my"))), total(lambda q: (q["t"] - F.col("mt")) * (q["t"] - F.col("mt"))))
+    w = w.withColumn("slope", slope)
+    return w.select(*keys, "t0", "slope", (F.col("my") - F.col("slope") * F.col("mt")).alias("intercept"), "n_in")

@@ -154,13 +154,13 @@ def error_model(points: DataFrame, at: DataFrame, value: str, columns: list[str]
 # --- polygons as rows ---------------------------------------------------------------------------------------
 
 
-def edges_of(rings: DataFrame, keys: list[str]) -> DataFrame:
+def edges_of(rings: DataFrame, keys: list[str], level: bool = False) -> DataFrame:
     """rings: keys and ``ring`` (array of struct<x, y>, closed or not; a polygon's holes are further rings). Their edges (x1, y1, x2, y2)
-    and the ring's least x, ``x0``."""
+    and the ring's least x, ``x0``; level edges, which no scan line crosses, only with ``level``."""
     n = F.size("ring")
     each = rings.where(n >= 3).withColumn("i", F.explode(F.sequence(F.lit(1), n)))
     p, q = F.element_at("ring", F.col("i")), F.element_at("ring", F.col("i") % n + 1)
-    return each.select(*keys, p["x"].cast("double").alias("x1"), p["y"].cast("double").alias("y1"), q["x"].cast("double").alias("x2"), q["y"].cast("double").alias("y2"), F.array_min(F.transform("ring", lambda v: v["x"])).cast("double").alias("x0")).where("y1 <> y2")
+    return each.select(*keys, p["x"].cast("double").alias("x1"), p["y"].cast("double").alias("y1"), q["x"].cast("double").alias("x2"), q["y"].cast("double").alias("y2"), F.array_min(F.transform("ring", lambda v: v["x"])).cast("double").alias("x0")).where(F.lit(level) | (F.col("y1") != F.col("y2")))
 
 
 def crossings(edges: DataFrame, keys: list[str], step: float = 1.0) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql.window import Window as W
 
 from gridloom.functions import columns as C
 from gridloom.operators import grid as G
+from gridloom.operators import outlines as O
+from gridloom.operators import registration
 from gridloom.operators import solvers as V
 from gridloom.operators import surface as S
 from gridloom.operators.radial import radial_surface
@@ -104,10 +106,40 @@ def r38_variogram_fit(pts):
 
 @query("pts", None)
 def t08_farthest_points(pts):
-    """Of 300 candidates by hash forty that lie far from one another."""
-    few = pts.orderBy((F.col("pid") * 7919) % 10007, "pid").limit(300).select("pid", "x", "y").collect()
-    taken = V.farthest_points(np.array([(r.x, r.y) for r in few], float).reshape(-1, 2), 40)
-    return pts.sparkSession.createDataFrame([(few[k].pid, i) for i, k in enumerate(taken)], "pid long, place int")
+    """Of all points sixteen that lie far from one another."""
+    return V.farthest_points(pts, 16)
+
+
+DRAWS = sorted({tuple(sorted((k * 7919 % 4, (k * 7919 % 4 + 1 + k * 104729 % 3) % 4))) for k in range(12)})
+RANSAC = f""", y AS (SELECT r, c, yr - 1990 AS t, median(z) AS y FROM obs GROUP BY r, c, yr), k AS (SELECT *, row_number() OVER (PARTITION BY r, c ORDER BY t) AS k, count(*) OVER (PARTITION BY r, c) AS n FROM y),
+w AS (SELECT a.r, a.c, a.t AS t0, b.t, b.y, b.k - a.k AS i FROM k a JOIN k b ON a.r = b.r AND a.c = b.c AND b.k BETWEEN a.k AND a.k + 3 WHERE a.k <= a.n - 3),
+m AS (SELECT *, median(y) OVER (PARTITION BY r, c, t0) AS m FROM w), l AS (SELECT *, median(abs(y - m)) OVER (PARTITION BY r, c, t0) + 1e-9 AS lim FROM m),
+d AS (SELECT l.*, v.i AS vi, v.j AS vj, abs(l.y - a.y - (b.y - a.y) / (b.t - a.t) * (l.t - a.t)) AS off FROM l, (VALUES {', '.join(map(str, DRAWS))}) v(i, j) JOIN l a ON a.r = l.r AND a.c = l.c AND a.t0 = l.t0 AND a.i = v.i JOIN l b ON b.r = l.r AND b.c = l.c AND b.t0 = l.t0 AND b.i = v.j),
+s AS (SELECT r, c, t0, vi, vj, count(*) AS n, round(sum(off), 9) AS e, regr_slope(y, t) AS slope, regr_intercept(y, t) AS intercept FROM d WHERE off <= lim GROUP BY r, c, t0, vi, vj HAVING count(*) >= 2)
+SELECT r, c, t0::DOUBLE AS t0, round(slope, 8) AS slope, round(intercept, 7) AS intercept, CAST(n AS INT) AS n_in FROM (SELECT *, row_number() OVER (PARTITION BY r, c, t0 ORDER BY n DESC, e, vi * 4 + vj) AS k FROM s) WHERE k = 1"""
+
+
+@query("obs", RANSAC)
+def r30_rolling_ransac(obs):
+    """Lines by seeded draws in sliding windows of four years of every cell."""
+    y = obs.groupBy("r", "c", (F.col("yr") - 1990).alias("t")).agg(F.median("z").alias("y"))
+    got = V.rolling_ransac(y, ["r", "c"], "t", "y")
+    return got.select("r", "c", "t0", F.round("slope", 8).alias("slope"), F.round("intercept", 7).alias("intercept"), "n_in")
+
+
+def octagons(dems, grow: float, shift: float):
+    """A ring for every supplier around a place of its own."""
+    x, y = F.col("dem_id") % 36 + 2.3 + shift, F.floor(F.col("dem_id") / 36.0) * 3 + 4.2
+    size = (F.col("n_cmp") % 5 * 0.5 + 2) * grow
+    corner = [F.struct((x + size * float(np.cos(a))).alias("x"), (y + size * float(np.sin(a))).alias("y")) for a in np.arange(8) * np.pi / 4]
+    return dems.select("dem_id", F.array(*corner).alias("ring"))
+
+
+@query("dems", None)
+def r26_outline_morph(dems):
+    """The area inside every outline at five shares of the time between two dates."""
+    got = O.morphed(octagons(dems, 1.0, 0.0), octagons(dems, 1.6, 0.7), [0.0, 0.25, 0.5, 0.75, 1.0], "dem_id", (-50, 100))
+    return got.groupBy("dem_id", "share").agg(F.count("*").alias("cells"))
 
 
 @query("obs", None)
@@ -119,10 +151,40 @@ def r28_block_polynomials(obs):
 
 @query("obs ref", None)
 def r09_joint_planes(obs, ref):
-    """Planes of all strips of a year at once."""
-    year = obs.where("yr = 1996").select(F.col("dem_id").alias("dem"), F.col("c").alias("x"), F.col("r").alias("y"), "z")
-    stable = ref.where("stable").select(F.col("c").alias("x"), F.col("r").alias("y"), (F.col("ref_z") / 2).alias("ref"))
-    return V.joint_planes(year.join(stable, ["x", "y"], "left"))
+    """Planes of all strips of every year at once, in one minimisation a year."""
+    year = obs.select("yr", F.col("dem_id").alias("dem"), F.col("c").alias("x"), F.col("r").alias("y"), (F.col("z") / 20).alias("z"))
+    stable = ref.where("stable").select(F.col("c").alias("x"), F.col("r").alias("y"), (F.col("ref_z") / 40).alias("ref"))
+    return registration.joint_planes(year.join(stable, ["x", "y"], "left"))
+
+
+def shifted_strips(obs, ref, dems):
+    """A rough surface over the reference's cells, and strips that lie on it shifted and raised by their own amounts, with the
+    observations as noise."""
+    rise = lambda x, y: 40 * F.sin(x / 4) + 30 * F.cos(y / 5)
+    surface = ref.select("r", "c", (rise(F.col("c"), F.col("r")) + F.col("ref_z") / 5000).alias("z"))
+    at = obs.join(dems.select("dem_id", (F.col("pa") * 150).alias("sx"), (F.col("pb") * 250).alias("sy"), F.col("pc").alias("sz")), "dem_id")
+    z = rise(F.col("c") + F.col("sx"), F.col("r") + F.col("sy")) + F.col("sz") + F.col("z") / 2000
+    return surface, at.select(F.col("dem_id").alias("dem"), F.col("c").alias("x"), F.col("r").alias("y"), z.alias("z"), "sx", "sy")
+
+
+@query("obs ref dems", None)
+def r10_rigid_shifts(obs, ref, dems):
+    """Shifts of all strips to the reference in one plan: whole cells first, then by slope and aspect until small."""
+    surface, strips = shifted_strips(obs, ref, dems)
+    got = registration.rigid_shifts(strips, surface)
+    return got.select("dem", *(F.round(c, 4).alias(c) for c in ("dx", "dy", "dz")), "n", *(F.round(c, 4).alias(c) for c in ("before", "after")))
+
+
+@query("series ref", None)
+def r11_track_shifts(series, ref):
+    """Tracks of height points over the same surface, shifted to it by the same descent; a track is a user's points of a type."""
+    surface = ref.select("r", "c", (40 * F.sin(F.col("c") / 4) + 30 * F.cos(F.col("r") / 5)).alias("z"))
+    size = ref.agg(F.greatest(F.max("r") - 4, F.lit(1)).alias("rows"))  # one row
+    p = series.join(F.broadcast(size)).select(F.col("track").alias("dem"), (F.col("event_id") * 13 % 3600 / 100.0 + 2).alias("x"), (F.col("event_id") * 7919 % (F.col("rows") * 100) / 100.0 + 2).alias("y"), "h")
+    off = F.length("dem") % 4 * 0.4 - 0.6
+    z = 40 * F.sin((F.col("x") + off) / 4) + 30 * F.cos((F.col("y") - off) / 5) + F.col("h") / 100
+    got = registration.rigid_shifts(p.select("dem", "x", "y", z.alias("z")), surface)
+    return got.select(F.col("dem").alias("track"), *(F.round(c, 4).alias(c) for c in ("dx", "dy", "dz")), "n", *(F.round(c, 4).alias(c) for c in ("before", "after")))
 
 
 #: The greatest spread and difference of a pair at a gap's edge, and the greatest distance of its cells (in cells).
