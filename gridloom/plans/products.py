@@ -90,6 +90,78 @@ def r03_mosaic_trends(obs):
     return t.select("r", "c", "period", "n", F.round("slope", 7).alias("slope"), F.round("intercept", 7).alias("intercept"))
 
 
+REACH = 4
+STACKS = "m AS (SELECT r, c, yr, src, median(z) AS z, 1.4826::DOUBLE*median(abs(z-mid)) AS nmad, count(*) AS n, median(dayofyear(d)) AS doy FROM (SELECT x.*, median(z) OVER (PARTITION BY r, c, yr, src) AS mid FROM x) GROUP BY r, c, yr, src)"
+DATED = SOURCED.replace("SELECT r, c, yr, CASE", "SELECT r, c, yr, d, CASE")
+GATES = GATED.replace("ELSE 0 END AS z FROM (SELECT", "ELSE 0 END AS z, nmad, n, doy FROM (SELECT")
+TILE_CTES = (
+    DATED, STACKS, GATES,
+    "a AS (SELECT r, c, yr, arg_min(z, prio) AS z, arg_min(nmad, prio) AS nmad, arg_min(n, prio) AS n, arg_min(doy, prio) AS doy, arg_min(q, prio) AS q FROM g GROUP BY r, c, yr)",
+    "b AS (SELECT r, c, yr, median(z) AS z, 1.4826::DOUBLE*median(abs(z-mid)) AS nmad, count(*) AS n, median(dayofyear(d)) AS doy FROM (SELECT x.*, median(z) OVER (PARTITION BY r, c, yr) AS mid FROM x) GROUP BY r, c, yr)",
+    f"v AS (SELECT o.r, o.c, greatest(0.0, 1 - sqrt(min((o.r-i.r)*(o.r-i.r) + (o.c-i.c)*(o.c-i.c))) / {REACH}) AS w FROM ref o JOIN ref i ON i.slope = 50 AND abs(o.r-i.r) < {REACH} AND abs(o.c-i.c) < {REACH} GROUP BY o.r, o.c)",
+    """u AS (SELECT b.r, b.c, b.yr, a.z IS NOT NULL AS ha, coalesce(w, 0) > 0 AS hb, coalesce(w, 0) AS w, zone LIKE 'Brand#5%' AND b.yr >= 1997 AS ocean, coalesce(q, 0) AS q, a.z AS za, a.nmad AS na, a.n AS ca, a.doy AS da, b.z AS zb, b.nmad AS nb, b.n AS cb, b.doy AS db
+  FROM b JOIN ref USING (r, c) LEFT JOIN a ON a.r = b.r AND a.c = b.c AND a.yr = b.yr LEFT JOIN v ON v.r = b.r AND v.c = b.c)""",
+    """tile AS (SELECT r, c, yr, ocean, CASE WHEN ocean THEN 0 ELSE q END AS quality, CASE WHEN NOT ocean THEN CASE WHEN ha AND hb THEN w*zb + (1-w)*za WHEN ha THEN za WHEN hb THEN zb END END AS z,
+  CASE WHEN NOT ocean THEN CASE WHEN ha AND hb THEN w*nb + (1-w)*na WHEN ha THEN na WHEN hb THEN nb END END AS nmad, CASE WHEN ocean THEN 0 WHEN ha AND hb THEN greatest(ca, cb) WHEN ha THEN ca WHEN hb THEN cb ELSE 0 END AS n,
+  CASE WHEN ocean THEN 0 WHEN ha AND hb THEN CASE WHEN w >= 0.5 THEN db ELSE da END WHEN ha THEN da WHEN hb THEN db ELSE 0 END AS doy FROM u)""",
+)
+
+
+def mosaic_tile(obs, ref):
+    """R3's yearly bands in one chain: the prioritised sources, blended at the seam of a region with another stack (value and spread by
+    weight, the greater count, the day of the side that weighs more), without what is ocean in the year."""
+    name = F.element_at(F.array(*(F.lit(s[0]) for s in SOURCES)), (F.col("dem_id") % 4 + 1).cast("int"))
+    rows, day = obs.select("r", "c", "yr", "d", name.alias("src"), (F.col("z") / 20).alias("z")), F.median(F.dayofyear("d")).alias("doy")
+    m = G.robust_stack(rows, ["r", "c", "yr", "src"], "z", day)
+    cell = m.groupBy("r", "c", "yr").agg(*(F.max(F.when(F.col("src") == s, F.struct("median", "nmad", "n", "doy"))).alias(s) for s, *_ in SOURCES))
+    here = [F.floor(F.col("r") / 8).alias("tr"), F.floor(F.col("c") / 8).alias("tc")]
+    covered = cell.where("vertcoreg is not null").select(*here, "yr", F.lit(True).alias("covered")).distinct()
+    cell = cell.select("*", *here).join(covered, ["tr", "tc", "yr"], "left")
+    a = F.lit(None)
+    for s, code, nmad, n in reversed(SOURCES):
+        ok = (F.col(s)["nmad"] < nmad) & (F.col(s)["n"] >= n) & (F.col("covered").isNull() if s in ("p75", "p95") else F.lit(True))
+        value = F.col(s)["median"] + ((F.col("yr") - 1995) * 0.5 if s == "uncorr" else 0.0)
+        a = F.when(ok, F.struct(value.alias("z"), F.col(s)["nmad"].alias("nmad"), F.col(s)["n"].alias("n"), F.col(s)["doy"].alias("doy"), F.lit(code).alias("q"))).otherwise(a)
+    first = cell.select("r", "c", "yr", a.alias("a"))
+    second = G.robust_stack(rows, ["r", "c", "yr"], "z", day).select("r", "c", "yr", F.struct(F.col("median").alias("z"), "nmad", "n", "doy").alias("b"))
+    around = [(i, j) for i in range(1 - REACH, REACH) for j in range(1 - REACH, REACH)]
+    seen = G.neighbours(ref.where("slope = 50").select("r", "c"), around)
+    w = seen.groupBy("r", "c").agg(F.greatest(F.lit(0.0), 1 - F.sqrt(F.min(F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc"))) / REACH).alias("w"))
+    u = second.join(first, ["r", "c", "yr"]).join(ref.select("r", "c", (F.col("zone").startswith("Brand#5")).alias("gone")), ["r", "c"]).join(w, ["r", "c"], "left")
+    u = u.withColumn("w", F.coalesce("w", F.lit(0.0))).withColumn("ocean", F.col("gone") & (F.col("yr") >= 1997))
+    ha, hb = F.col("a").isNotNull(), F.col("w") > 0
+    pick = lambda both, x: F.when(ha & hb, both).when(ha, F.col("a")[x]).when(hb, F.col("b")[x])
+    mixed = lambda x: F.when(~F.col("ocean"), pick(F.col("w") * F.col("b")[x] + (1 - F.col("w")) * F.col("a")[x], x))
+    known = lambda c: F.when(F.col("ocean"), 0).otherwise(F.coalesce(c, F.lit(0)))
+    dominant = F.when(F.col("w") >= 0.5, F.col("b.doy")).otherwise(F.col("a.doy"))
+    return u.select("r", "c", "yr", "ocean", known(F.col("a.q")).cast("int").alias("quality"), mixed("z").alias("z"), mixed("nmad").alias("nmad"), known(pick(F.greatest(F.col("a.n"), F.col("b.n")), "n")).alias("n"), known(pick(dominant, "doy")).alias("doy"))
+
+
+@query("obs ref", "SELECT r, c, yr, ocean, CAST(quality AS INT) AS quality, round(z, 9) AS z, round(nmad, 4) AS nmad, n, doy::DOUBLE AS doy FROM tile", *TILE_CTES)
+def r03_mosaic_tile(obs, ref):
+    """The bands of every year."""
+    return mosaic_tile(obs, ref).select("r", "c", "yr", "ocean", "quality", F.round("z", 9).alias("z"), F.round("nmad", 4).alias("nmad"), "n", F.col("doy").cast("double").alias("doy"))
+
+
+TILE_TRENDS = """, k AS (SELECT r, c, quality, count(*) AS n FROM tile WHERE quality > 0 GROUP BY r, c, quality), q AS (SELECT r, c, CAST(arg_max(quality, (n, -quality)) AS INT) AS quality_mode FROM k GROUP BY r, c),
+p AS (SELECT *, unnest(CASE WHEN yr <= 1995 THEN ['early', 'all'] ELSE ['late', 'all'] END) AS period FROM tile WHERE z IS NOT NULL)
+SELECT r, c, period, count(*) AS n, round(regr_slope(z, yr - 1995 + (doy - 1) / 365.25), 7) AS slope, round(regr_intercept(z, yr - 1995 + (doy - 1) / 365.25), 6) AS intercept, max(quality_mode) AS quality_mode FROM p LEFT JOIN q USING (r, c) GROUP BY r, c, period HAVING count(*) >= 2"""
+
+
+@query("obs ref", TILE_TRENDS, *TILE_CTES)
+def r03_tile_trends(obs, ref):
+    """Trends of each period over the blended bands, at the years with their days, and the commonest quality code of a cell."""
+    from gridloom.sources.files import stored
+
+    tile = stored(mosaic_tile(obs, ref).select("r", "c", "yr", "quality", "z", "doy"), "tile")
+    k = tile.where("quality > 0").groupBy("r", "c", "quality").agg(F.count("*").alias("n"))
+    mode = k.groupBy("r", "c").agg(F.max_by("quality", F.struct("n", -F.col("quality"))).alias("quality_mode"))
+    period = F.when(F.col("yr") <= 1995, F.array(F.lit("early"), F.lit("all"))).otherwise(F.array(F.lit("late"), F.lit("all")))
+    p = tile.where("z is not null").withColumn("period", F.explode(period)).withColumn("t", F.col("yr") - 1995 + (F.col("doy") - 1) / 365.25)
+    t = p.groupBy("r", "c", "period").agg(F.count("*").alias("n"), F.round(F.regr_slope("z", "t"), 7).alias("slope"), F.round(F.regr_intercept("z", "t"), 6).alias("intercept")).where("n >= 2")
+    return t.join(mode, ["r", "c"], "left").select("r", "c", "period", "n", "slope", "intercept", "quality_mode")
+
+
 @query("obs", "SELECT r, c, CAST(max(yr) AS INT) AS yr, round(arg_max(z, yr), 9) AS z FROM (SELECT r, c, yr, median(z) AS z FROM obs WHERE tag AND yr <= 2000 GROUP BY r, c, yr) GROUP BY r, c")
 def r25_year_cascade(obs):
     """The latest year at or before the start that has a value."""

@@ -16,7 +16,7 @@ from gridloom.operators.radial import radial_surface
 from gridloom.plans.registry import query
 from gridloom.plans.stacks import replicate_pairs
 from gridloom.plans.surfaces import EDGES, INSIDE, RINGS
-from gridloom.sources import files
+from gridloom.sources import cubes, files
 from gridloom.sources.adapters import TILE
 from gridloom.streaming import tiles as stream
 
@@ -67,12 +67,12 @@ def r34_training_set(obs, ref):
 FEATURES = ["slope", "ref_z", "z", "n", "p"]
 
 
-def assembled(df):
-    """Features with missing values at -1 and a flag for each."""
+def assembled(df, features=FEATURES):
+    """Features with missing values at -1 and a flag for each, so that a split can take the missing ones out."""
     from pyspark.ml.feature import VectorAssembler
 
-    filled = df.select("*", *(F.coalesce(F.col(c).cast("double"), F.lit(-1.0)).alias(f"f_{c}") for c in FEATURES), *(F.col(c).isNull().cast("double").alias(f"m_{c}") for c in FEATURES))
-    return VectorAssembler(inputCols=[f"{k}_{c}" for k in "fm" for c in FEATURES], outputCol="features").transform(filled)
+    filled = df.select("*", *(F.coalesce(F.col(c).cast("double"), F.lit(-1.0)).alias(f"f_{c}") for c in features), *(F.col(c).isNull().cast("double").alias(f"m_{c}") for c in features))
+    return VectorAssembler(inputCols=[f"{k}_{c}" for k in "fm" for c in features], outputCol="features").transform(filled)
 
 
 @query("obs ref", None)
@@ -187,6 +187,53 @@ def r11_track_shifts(series, ref):
     return got.select(F.col("dem").alias("track"), *(F.round(c, 4).alias(c) for c in ("dx", "dy", "dz")), "n", *(F.round(c, 4).alias(c) for c in ("before", "after")))
 
 
+REPEATS = 20
+
+
+@query("obs ref", None)
+def r35_feature_importance(obs, ref):
+    """The classifier's accuracy on a held-out quarter, and by how much it falls when a feature is shuffled, mean and deviation of
+    twenty shuffles. All shuffles are one frame, keyed by feature and repeat, and scored in one pass."""
+    labelled = files.stored(training_set(obs, ref).withColumn("label", (F.col("name") == "north").cast("double")).drop("name"), "training")
+    quarter = F.pmod(F.xxhash64(F.lit(0), "r", "c"), F.lit(4)) == 0
+    return importance(labelled.where(~quarter), labelled.where(quarter), ["r", "c"], FEATURES)
+
+
+def importance(train, test, keys: list[str], features: list[str], repeats: int = REPEATS):
+    """(feature, accuracy, mean, std): the accuracy of boosted trees on ``test`` and what each feature's shuffles take from it."""
+    from pyspark.ml.classification import GBTClassifier
+
+    model = GBTClassifier(maxIter=10, maxDepth=3, seed=0).fit(assembled(train, features))
+    test = files.stored(test.withColumn("k", F.row_number().over(W.partitionBy(F.pmod(F.xxhash64(*keys), F.lit(1))).orderBy(*keys))), "held_out")  # labelled cells: few
+    each = test.withColumn("feature", F.explode(F.array(*map(F.lit, ["", *features])))).withColumn("turn", F.explode(F.sequence(F.lit(1), F.when(F.col("feature") == "", 1).otherwise(repeats))))
+    order = W.partitionBy("feature", "turn").orderBy(F.xxhash64(F.lit(7), "feature", "turn", *keys), *keys)
+    moved = each.withColumn("place", F.row_number().over(order))
+    other = moved.select("feature", "turn", F.col("place").alias("k"), *(F.col(f).alias(f"o_{f}") for f in features))
+    shuffled = each.join(other, ["feature", "turn", "k"])
+    shuffled = shuffled.select("feature", "turn", "label", *(F.when(F.col("feature") == f, F.col(f"o_{f}")).otherwise(F.col(f)).alias(f) for f in features))
+    right = model.transform(assembled(shuffled, features)).groupBy("feature", "turn").agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("a"))
+    right = files.stored(right, "scores")  # a row per shuffle
+    base = right.where("feature = ''").select(F.col("a").alias("accuracy"))
+    got = right.where("feature <> ''").join(F.broadcast(base)).groupBy("feature", "accuracy").agg(F.avg(F.col("accuracy") - F.col("a")).alias("mean"), F.stddev_pop(F.col("accuracy") - F.col("a")).alias("std"))
+    return got.select("feature", "accuracy", "mean", "std")
+
+
+CUBE = """, t AS (SELECT DISTINCT r // 8 AS tr, c // 8 AS tc, yr FROM obs), y AS (SELECT r, c, yr, median(z) AS z FROM obs GROUP BY r, c, yr)
+SELECT CAST(tr * 8 + i AS INT) AS r, CAST(tc * 8 + j AS INT) AS c, t.yr, round(z, 9) AS z FROM t, range(8) a(i), range(8) b(j) LEFT JOIN y ON y.r = tr * 8 + i AND y.c = tc * 8 + j AND y.yr = t.yr"""
+
+
+@query("obs", CUBE)
+def r27_resumed_cube(obs):
+    """A dense cube by chunks; the first run sees the years to 1996, the second all, so stale chunks are made again, a third
+    finds nothing to do."""
+    path = files.fresh_path(obs.sparkSession, "cube")
+    for part in (obs.where("yr <= 1996"), obs, obs):
+        done = cubes.refresh_cube(part, path)
+    if done:
+        raise RuntimeError("a finished cube was made again")
+    return obs.sparkSession.read.parquet(f"{path}/cube").select("r", "c", "yr", F.round("z", 9).alias("z"))
+
+
 #: The greatest spread and difference of a pair at a gap's edge, and the greatest distance of its cells (in cells).
 PAIR_NMAD, PAIR_DIFFERENCE, PAIR_REACH = 2.0, 0.6, 2.0
 EDGE = """, y AS (SELECT r, c, yr, median(z) / 300 AS z FROM obs GROUP BY r, c, yr), f AS (SELECT r, c, regr_slope(z, yr) AS b, regr_intercept(z, yr) AS a FROM y GROUP BY r, c HAVING count(*) >= 2 AND regr_sxx(z, yr) > 0),
