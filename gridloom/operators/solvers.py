@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from gridloom.sources.files import stored
 
@@ -126,3 +127,45 @@ def rolling_ransac(df: DataFrame, keys: list[str], t: str, y: str, width: int =
     slope = F.try_divide(total(lambda q: (q["t"] - F.col("mt")) * (q["y"] - F.col("my"))), total(lambda q: (q["t"] - F.col("mt")) * (q["t"] - F.col("mt"))))
     w = w.withColumn("slope", slope)
     return w.select(*keys, "t0", "slope", (F.col("my") - F.col("slope") * F.col("mt")).alias("intercept"), "n_in")
+
+
+def pair_bins(xy: np.ndarray, width: float, n: int) -> np.ndarray:
+    """How many pairs of places lie in each of ``n`` distance bins, the last with what lies beyond."""
+    i, j = np.triu_indices(len(xy), 1)
+    d = np.sqrt(((xy[i] - xy[j]) ** 2).sum(1))
+    return np.bincount(np.minimum((d / width).astype(int), n - 1), minlength=n)
+
+
+def balanced_points(points: DataFrame, replicates: int, size: int, width: float, bins: int, candidates: int = 24, seed: int = 0) -> DataFrame:
+    """points: pid, x, y. (rep, place, pid, x, y): ``replicates`` samples of ``size`` points whose pair distances fill all bins evenly.
+
+    Each replicate draws a pool of ``size * candidates`` points by the order of a seeded hash (a bounded top of every task, then of
+    all), and takes one of ``candidates`` in every round: that whose pairs with those taken go most into the emptiest bins. All
+    replicates are one keyed plan; a task holds the pool of one.
+    """
+    pool = points.select("pid", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).dropna().withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    order = W.partitionBy("rep").orderBy(F.xxhash64(F.lit(seed), "rep", "pid"), "pid")
+    pool = pool.withColumn("k", F.row_number().over(order)).where(F.col("k") <= size * candidates)
+
+    def choose(df: pd.DataFrame) -> pd.DataFrame:
+        df = df.sort_values("k")
+        xy, n = df[["x", "y"]].to_numpy(), len(df)
+        taken, count = [0], np.zeros(bins)
+        free = np.ones(n, bool)
+        free[0] = False
+        per = max(1, min(candidates, n // max(1, size)))
+        while len(taken) < min(size, n):
+            each = np.flatnonzero(free)[:per]
+            d = np.minimum((np.sqrt(((xy[each, None] - xy[taken]) ** 2).sum(-1)) / width).astype(int), bins - 1)
+            best = each[int((1 / (1 + count))[d].sum(1).argmax())]
+            count += np.bincount(d[int(np.flatnonzero(each == best)[0])], minlength=bins)
+            taken.append(int(best))
+            free[each] = False if n >= size * per else free[each]
+            free[best] = False
+            if not free.any() and len(taken) < min(size, n):
+                free[:] = True
+                free[taken] = False
+        got = df.iloc[taken]
+        return pd.DataFrame({"rep": got.rep, "place": np.arange(len(got), dtype=np.int32), "pid": got.pid, "x": got.x, "y": got.y})
+
+    return pool.groupBy("rep").applyInPandas(choose, "rep int, place int, pid long, x double, y double")

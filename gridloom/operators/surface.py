@@ -92,6 +92,58 @@ def distance_transform(cells: DataFrame, feature: Column) -> DataFrame:
     return flat.groupBy("c").applyInPandas(down, "r int, c int, d double")
 
 
+#: Fixed value: how far the filling library searches, in cells.
+SEARCH = 100
+
+
+def inverse_distance_fill(cells: DataFrame, value: str, search: int = SEARCH) -> DataFrame:
+    """cells: all cells of a grid (r, c, value). (r, c, z): a missing value from the nearest known cell of each quadrant within ``search``,
+    weighted by the inverse of the distance; null where none is. A quadrant holds one of its two axes.
+
+    The nearest known cells of every row to the left and right come from running aggregates; then a task goes down one column.
+    """
+    row = W.partitionBy("r").orderBy("c")
+    known = F.when(F.col(value).isNotNull(), F.struct("c", F.col(value).cast("double").alias("z")))
+    sides = {
+        "ls": F.last(known, ignorenulls=True).over(row.rowsBetween(W.unboundedPreceding, -1)), "li": F.last(known, ignorenulls=True).over(row.rowsBetween(W.unboundedPreceding, 0)),
+        "rs": F.first(known, ignorenulls=True).over(row.rowsBetween(1, W.unboundedFollowing)), "ri": F.first(known, ignorenulls=True).over(row.rowsBetween(0, W.unboundedFollowing)),
+    }
+    flat = cells.select("r", "c", F.col(value).cast("double").alias("z"), *(c.alias(n) for n, c in sides.items()))
+    flat = flat.select("r", "c", "z", *(x for n in sides for x in (F.abs(F.col("c") - F.col(f"{n}.c")).cast("double").alias(f"{n}_g"), F.col(f"{n}.z").alias(f"{n}_z"))))
+
+    def down(column: pd.DataFrame) -> pd.DataFrame:
+        column = column.sort_values("r")
+        r0, n = int(column.r.iloc[0]), int(column.r.iloc[-1] - column.r.iloc[0]) + 1
+        at = column.r.to_numpy() - r0
+        gap, val = {}, {}
+        for side in ("ls", "li", "rs", "ri"):
+            gap[side], val[side] = np.full(n, np.inf), np.full(n, np.nan)
+            gap[side][at] = column[f"{side}_g"].fillna(np.inf).to_numpy()
+            val[side][at] = column[f"{side}_z"].to_numpy()
+        z = column.z.to_numpy(float).copy()
+        miss = at[np.isnan(z)]
+        total, weight = np.zeros(len(miss)), np.zeros(len(miss))
+        # above with the left, above, below with the right, below: each offset is in one of them
+        for side, sign, first in (("ls", -1, 0), ("ri", -1, 1), ("rs", 1, 0), ("li", 1, 1)):
+            near, found = np.full(len(miss), search * search + 0.5), np.full(len(miss), np.nan)
+            for dr in range(first, search + 1):
+                row_ = miss + sign * dr
+                inside = (row_ >= 0) & (row_ < n)
+                if not inside.any():
+                    break
+                d = np.full(len(miss), np.inf)
+                d[inside] = gap[side][row_[inside]] ** 2 + dr * dr
+                closer = d < near
+                near[closer], found[closer] = d[closer], val[side][row_[closer]]
+            have = ~np.isnan(found)
+            total[have] += found[have] / np.sqrt(near[have])
+            weight[have] += 1 / np.sqrt(near[have])
+        z[np.isnan(z)] = np.where(weight > 0, total / np.where(weight > 0, weight, 1), np.nan)
+        return pd.DataFrame({"r": column.r, "c": column.c, "z": pd.Series(z, index=column.index).astype(object).where(~np.isnan(z), None)})
+
+    return flat.groupBy("c").applyInPandas(down, "r int, c int, z double")
+
+
 def bilinear(points: DataFrame, cells: DataFrame, value: str) -> DataFrame:
     """points: pid, x, y in pixels (a cell's centre is at +0.5). ``z`` from the four cells around; null if one is missing."""
     u, v = F.col("x") - 0.5, F.col("y") - 0.5

@@ -110,6 +110,12 @@ def t08_farthest_points(pts):
     return V.farthest_points(pts, 16)
 
 
+@query("pts", None)
+def r39_balanced_points(pts):
+    """Thirty replicates of twenty-five points whose pair distances are spread evenly."""
+    return V.balanced_points(pts, 30, 25, 4.0, 8)
+
+
 DRAWS = sorted({tuple(sorted((k * 7919 % 4, (k * 7919 % 4 + 1 + k * 104729 % 3) % 4))) for k in range(12)})
 RANSAC = f""", y AS (SELECT r, c, yr - 1990 AS t, median(z) AS y FROM obs GROUP BY r, c, yr), k AS (SELECT *, row_number() OVER (PARTITION BY r, c ORDER BY t) AS k, count(*) OVER (PARTITION BY r, c) AS n FROM y),
 w AS (SELECT a.r, a.c, a.t AS t0, b.t, b.y, b.k - a.k AS i FROM k a JOIN k b ON a.r = b.r AND a.c = b.c AND b.k BETWEEN a.k AND a.k + 3 WHERE a.k <= a.n - 3),

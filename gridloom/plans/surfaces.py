@@ -102,19 +102,18 @@ def r23_reprojection(pts):
     return pts.selectExpr("pid", *PROJECTED)
 
 
-IDW = """, k AS (SELECT r, c, CASE WHEN slope NOT IN (7, 8, 9) THEN ref_z END AS z FROM ref) SELECT a.r, a.c, round(coalesce(a.z, sum(b.z/sqrt(((a.r-b.r)*(a.r-b.r)+(a.c-b.c)*(a.c-b.c))::DOUBLE))/sum(1/sqrt(((a.r-b.r)*(a.r-b.r)+(a.c-b.c)*(a.c-b.c))::DOUBLE))), 7) AS z
-FROM k a LEFT JOIN k b ON a.z IS NULL AND b.z IS NOT NULL AND abs(a.r-b.r) <= 3 AND abs(a.c-b.c) <= 3 GROUP BY a.r, a.c, a.z"""
+IDW = f""", k AS (SELECT r, c, CASE WHEN slope NOT IN (7, 8, 9) AND slope < 35 THEN ref_z END AS z FROM ref),
+p AS (SELECT a.r, a.c, b.z, abs(b.r - a.r) AS dr, (a.r-b.r)*(a.r-b.r) + (a.c-b.c)*(a.c-b.c) AS d, CASE WHEN b.r <= a.r AND b.c < a.c THEN 1 WHEN b.r < a.r AND b.c >= a.c THEN 2 WHEN b.r >= a.r AND b.c > a.c THEN 3 ELSE 4 END AS q
+  FROM k a JOIN k b ON a.z IS NULL AND b.z IS NOT NULL AND (a.r-b.r)*(a.r-b.r) + (a.c-b.c)*(a.c-b.c) <= {S.SEARCH * S.SEARCH}),
+n AS (SELECT r, c, q, arg_min(z, (d, dr)) AS z, sqrt(min(d)::DOUBLE) AS d FROM p GROUP BY r, c, q), f AS (SELECT r, c, sum(z / d) / sum(1 / d) AS f FROM n GROUP BY r, c)
+SELECT r, c, round(coalesce(z, f), 7) AS z FROM k LEFT JOIN f USING (r, c)"""
 
 
 @query("ref", IDW)
 def r24_inverse_distance_fill(ref):
-    """Missing cells from those up to three steps away, by the inverse of their distance."""
-    k = ref.select("r", "c", F.when(~F.col("slope").isin(7, 8, 9), F.col("ref_z")).alias("z"))
-    around = [(i, j) for i in range(-3, 4) for j in range(-3, 4) if (i, j) != (0, 0)]
-    near = G.neighbours(k.where("z is not null"), around)
-    w = 1 / F.sqrt((F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc")).cast("double"))
-    fill = k.where("z is null").select("r", "c").join(near, ["r", "c"]).groupBy("r", "c").agg((F.sum(F.col("z") * w) / F.sum(w)).alias("f"))
-    return k.join(fill, ["r", "c"], "left").select("r", "c", F.round(F.coalesce("z", "f"), 7).alias("z"))
+    """Missing cells from the nearest known one of each quadrant, as far as the filling library searches."""
+    k = ref.select("r", "c", F.when(~F.col("slope").isin(7, 8, 9) & (F.col("slope") < 35), F.col("ref_z")).alias("z"))
+    return S.inverse_distance_fill(k, "z").select("r", "c", F.round("z", 7).alias("z"))
 
 
 NINE = " ".join(f"LEFT JOIN ref z{3 * (i + 1) + j + 2} ON z{3 * (i + 1) + j + 2}.r = m.r + {i} AND z{3 * (i + 1) + j + 2}.c = m.c + {j}" for i in (-1, 0, 1) for j in (-1, 0, 1))

@@ -90,3 +90,29 @@ def test_farthest_points_by_brute_force(spark):
 def test_queries_without_sql_run(spark, sf, name):
     got = QUERIES[name](spark, sf).collect()
     assert got and (name != "r38_variogram_fit" or got[0].reach > 0)
+
+
+def test_balanced_points_fill_the_bins(spark):
+    """Pair distances are flatter than those of as many points by chance; a seed fixes the choice."""
+    xy = np.random.default_rng(7).random((900, 2)) * 40
+    df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(xy)], "pid long, x double, y double").repartition(4)
+    got = V.balanced_points(df, 6, 20, 4.0, 10).toPandas()
+    again = V.balanced_points(df.repartition(7), 6, 20, 4.0, 10).toPandas()
+    key = ["rep", "place"]
+    assert got.sort_values(key).pid.tolist() == again.sort_values(key).pid.tolist() and (got.groupby("rep").pid.nunique() == 20).all()
+    rng = np.random.default_rng(8)
+    uneven = lambda c: c.std() / c.mean()
+    chance = np.mean([uneven(V.pair_bins(xy[rng.choice(900, 20, replace=False)], 4.0, 10)) for _ in range(30)])
+    assert np.mean([uneven(V.pair_bins(g[["x", "y"]].to_numpy(), 4.0, 10)) for _, g in got.groupby("rep")]) < 0.75 * chance
+    assert V.balanced_points(df.limit(3), 2, 20, 4.0, 10).count() == 6
+
+
+def test_filling_from_quadrants_by_hand(spark):
+    from gridloom.operators import surface as S
+
+    rows = [(0, 0, 4.0), (0, 1, None), (0, 2, None), (0, 3, 10.0), (1, 0, None), (1, 1, None), (1, 2, 7.0), (1, 3, None), (9, 9, None)]
+    got = {(r.r, r.c): r.z for r in S.inverse_distance_fill(spark.createDataFrame(rows, "r int, c int, z double"), "z", search=3).collect()}
+    assert got[0, 0] == 4.0 and got[9, 9] is None
+    # left (4 at 1), right and below (7 at sqrt 2); 10 lies behind in the same quadrant
+    assert got[0, 1] == pytest.approx((4 + 7 / 2**0.5) / (1 + 1 / 2**0.5))
+    assert got[0, 2] == pytest.approx((4 / 2 + 10 / 1 + 7 / 1) / (1 / 2 + 1 + 1))
