@@ -64,6 +64,24 @@ def r34_training_set(obs, ref):
     return training_set(obs, ref).select("r", "c", "name", "slope", F.round("z", 9).alias("z"), "n", F.round("p", 6).alias("p"))
 
 
+MATCHED = """, t AS (SELECT r, c, name, slope, round(z, 9) AS z, n, round(p, 6) AS p FROM (SELECT r, c, min(name) AS name FROM i GROUP BY r, c) JOIN ref USING (r, c) LEFT JOIN (SELECT r, c, median(z) AS z, count(*) AS n, avg(proba) AS p FROM obs GROUP BY r, c) USING (r, c)),
+u AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY name, slope, z, n, p ORDER BY r, c) = 1), k AS (SELECT *, slope // 10 AS bin, row_number() OVER (PARTITION BY name, slope // 10 ORDER BY (r * 7919 + c * 104729) % 10007, r, c) AS k FROM u),
+m AS (SELECT bin, count(*) AS most FROM u, (SELECT DISTINCT bin FROM k) b WHERE name = 'north' AND slope // 10 = bin GROUP BY bin) SELECT r, c, name, slope, z, n, p FROM k LEFT JOIN m USING (bin) WHERE name = 'north' OR k <= coalesce(most, 0)"""
+
+
+@query("obs ref", MATCHED, EDGES, INSIDE)
+def r34_matched_training_set(obs, ref):
+    """Cells whose attributes repeat within a patch count once; of the other patch's cells as many are taken in each bin of
+    slope as the first has there, by the order of a hash."""
+    t = training_set(obs, ref).select("r", "c", "name", "slope", F.round("z", 9).alias("z"), "n", F.round("p", 6).alias("p"))
+    once = t.groupBy("name", "slope", "z", "n", "p").agg(F.min(F.struct("r", "c")).alias("at")).select("at.r", "at.c", "name", "slope", "z", "n", "p")
+    once = files.stored(once.withColumn("bin", F.floor(F.col("slope") / 10).cast("int")), "training")
+    most = once.where("name = 'north'").groupBy("bin").agg(F.count("*").alias("most"))
+    place = F.row_number().over(W.partitionBy("name", "bin").orderBy((F.col("r") * 7919 + F.col("c") * 104729) % 10007, "r", "c"))
+    kept = once.withColumn("k", place).join(F.broadcast(most), "bin", "left").where((F.col("name") == "north") | (F.col("k") <= F.coalesce("most", F.lit(0))))  # a row per bin
+    return kept.select("r", "c", "name", "slope", "z", "n", "p")
+
+
 FEATURES = ["slope", "ref_z", "z", "n", "p"]
 
 
@@ -316,14 +334,17 @@ ORDERED = ", y AS (SELECT r, c, yr, median(z) AS z FROM obs GROUP BY r, c, yr) S
 
 @query("obs", ORDERED)
 def ud_along_axis(obs):
-    """A function of a cell's whole series."""
+    """A function along the time axis of all cells of a tile at once: a group is a tile, a bounded block of cells, not a cell."""
     y = obs.groupBy("r", "c", "yr").agg(F.median("z").alias("z"))
+    y = y.withColumn("tr", F.floor(F.col("r") / TILE)).withColumn("tc", F.floor(F.col("c") / TILE))
 
     def path(g: pd.DataFrame) -> pd.DataFrame:
-        d = np.abs(np.diff(g.sort_values("yr").z.to_numpy()))
-        return pd.DataFrame({"r": [g.r.iloc[0]], "c": [g.c.iloc[0]], "path": [round(float(d.sum()), 6) if len(d) else None]})
+        g = g.sort_values(["r", "c", "yr"])
+        step = g.groupby(["r", "c"]).z.diff().abs()
+        got = step.groupby([g.r, g.c]).agg(lambda d: round(float(d.sum()), 6) if d.notna().any() else None)
+        return got.rename("path").reset_index()
 
-    return y.groupBy("r", "c").applyInPandas(path, "r int, c int, path double")
+    return y.groupBy("tr", "tc").applyInPandas(path, "r int, c int, path double")
 
 
 @query("ref", "SELECT r, c, ref_z > 950 AND slope % 2 = 0 AS flag FROM ref")

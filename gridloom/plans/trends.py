@@ -80,19 +80,26 @@ def r02_robust_trend(obs):
 
 
 REACH = 4
-SEAM = f"""SELECT r, c, round(CASE WHEN z IS NULL THEN ref_z ELSE coalesce(w, 0)*z + (1-coalesce(w, 0))*ref_z END, 9) AS z FROM ref LEFT JOIN m USING (r, c) LEFT JOIN
-(SELECT a.r, a.c, greatest(0, 1 - sqrt(min((a.r-b.r)*(a.r-b.r)+(a.c-b.c)*(a.c-b.c)))/{REACH}) AS w FROM ref a JOIN ref b ON b.slope = 50 AND abs(a.r-b.r) < {REACH} AND abs(a.c-b.c) < {REACH} GROUP BY a.r, a.c) USING (r, c)"""
+SEAM = f""", m AS (SELECT r, c, yr, tag, median(z) AS z, 1.4826::DOUBLE * median(abs(z - mid)) AS nmad, count(*) AS n, median(dayofyear(d)) AS doy FROM (SELECT *, median(z) OVER (PARTITION BY r, c, yr, tag) AS mid FROM obs) GROUP BY r, c, yr, tag),
+w AS (SELECT a.r, a.c, greatest(0, 1 - sqrt(min((a.r-b.r)*(a.r-b.r)+(a.c-b.c)*(a.c-b.c)))/{REACH}) AS w FROM ref a JOIN ref b ON b.slope = 50 AND abs(a.r-b.r) < {REACH} AND abs(a.c-b.c) < {REACH} GROUP BY a.r, a.c),
+k AS (SELECT r, c, yr, coalesce(w, 0) AS w, a.z AS za, a.nmad AS na, a.n AS ca, a.doy AS da, b.z AS zb, b.nmad AS nb, b.n AS cb, b.doy AS db FROM (SELECT * FROM m WHERE tag) a FULL JOIN (SELECT * FROM m WHERE NOT tag) b USING (r, c, yr) JOIN ref USING (r, c) LEFT JOIN w USING (r, c))
+SELECT r, c, yr, round(CASE WHEN za IS NULL THEN zb WHEN zb IS NULL THEN za ELSE w*zb + (1-w)*za END, 9) AS z, round(CASE WHEN za IS NULL THEN nb WHEN zb IS NULL THEN na ELSE w*nb + (1-w)*na END, 4) AS nmad,
+  greatest(coalesce(ca, 0), coalesce(cb, 0)) AS n, CASE WHEN za IS NULL THEN db WHEN zb IS NULL THEN da WHEN w >= 0.5 THEN db ELSE da END::DOUBLE AS doy FROM k"""
 
 
-@query("ref obs", SEAM, "m AS (SELECT r, c, median(z) AS z FROM obs WHERE yr = 1996 GROUP BY r, c)")
+@query("ref obs", SEAM)
 def r05_seam_blend(ref, obs):
-    """Weights that fall from 1 inside a region to 0 at REACH cells; distances from a bounded set of offsets, not pairs."""
-    near = [(i, j) for i in range(1 - REACH, REACH) for j in range(1 - REACH, REACH) if i * i + j * j < REACH * REACH]
+    """Two stacks of every year blended by weights that fall from 1 inside a region to 0 at REACH cells: value and spread by weight,
+    the greater count, the day of the side that weighs more; where one side is missing the other stands."""
+    near = [(i, j) for i in range(1 - REACH, REACH) for j in range(1 - REACH, REACH)]
     seen = G.neighbours(ref.where("slope = 50").select("r", "c"), near)
-    w = seen.groupBy("r", "c").agg((1 - F.sqrt(F.min(F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc"))) / REACH).alias("w"))
-    z = obs.where("yr = 1996").groupBy("r", "c").agg(F.median("z").alias("z"))
-    both = ref.select("r", "c", "ref_z").join(z, ["r", "c"], "left").join(w, ["r", "c"], "left")
-    return both.select("r", "c", F.round(C.blend("ref_z", "z", F.coalesce("w", F.lit(0.0))), 9).alias("z"))
+    w = seen.groupBy("r", "c").agg(F.greatest(F.lit(0.0), 1 - F.sqrt(F.min(F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc"))) / REACH).alias("w"))
+    m = G.robust_stack(obs.select("r", "c", "yr", "tag", "z", "d"), ["r", "c", "yr", "tag"], "z", F.median(F.dayofyear("d")).alias("doy"))
+    side = lambda tag, name: F.max(F.when(F.col("tag") == tag, F.struct(F.col("median").alias("z"), "nmad", "n", "doy"))).alias(name)
+    k = m.groupBy("r", "c", "yr").agg(side(True, "a"), side(False, "b")).join(ref.select("r", "c"), ["r", "c"]).join(w, ["r", "c"], "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
+    mixed = lambda x: C.blend(F.col("a")[x], F.col("b")[x], F.col("w"))
+    day = F.when(F.col("a").isNull(), F.col("b.doy")).when(F.col("b").isNull(), F.col("a.doy")).when(F.col("w") >= 0.5, F.col("b.doy")).otherwise(F.col("a.doy"))
+    return k.select("r", "c", "yr", F.round(mixed("z"), 9).alias("z"), F.round(mixed("nmad"), 4).alias("nmad"), F.greatest(F.coalesce("a.n", F.lit(0)), F.coalesce("b.n", F.lit(0))).alias("n"), day.cast("double").alias("doy"))
 
 
 BRACKET_ALL = "SELECT event_id, round(CASE WHEN t1 = t0 THEN 0 ELSE (epoch_us(ts)-t0)::DOUBLE/(t1-t0) END, 6) AS fraction FROM (SELECT event_id, ts, epoch_us(max(k) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING)) AS t0, epoch_us(min(k) OVER (PARTITION BY user_id ORDER BY ts DESC RANGE UNBOUNDED PRECEDING)) AS t1 FROM (SELECT *, CASE WHEN track = 'signup' THEN ts END AS k FROM series))"
