@@ -3,7 +3,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from gridloom.llm import classifier, decontaminate, line_dedup, packing, quality_rules, simhash, warc
 
