@@ -1,7 +1,6 @@
 """Components, distances, rasterising, resampling, projections, curvature, fills, noise filters and reports."""
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from gridloom.functions import columns as C
 from gridloom.operators import grid as G
