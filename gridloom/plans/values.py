@@ -299,10 +299,13 @@ def t07_samples(pts):
 
 
 def numbered(df, key: str, width: int = 1024):
-    """``k``: the rows' places in the order of a whole-number key, counted by ranges of keys and within them."""
+    """``k``: the rows' places in the order of a whole-number key, counted by ranges of keys, by ranges of these, and within them: the
+    one window without a partition has a row per ``width`` squared keys."""
     part = F.floor(F.col(key) / width)
-    counts = df.groupBy(part.alias("_p")).agg(F.count("*").alias("_n"))
-    ahead = counts.withColumn("_a", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    counts = df.groupBy(part.alias("_p")).agg(F.count("*").alias("_n")).withColumn("_q", F.floor(F.col("_p") / width))
+    before = lambda w, n: F.coalesce(F.sum(n).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    large = counts.groupBy("_q").agg(F.sum("_n").alias("_m")).withColumn("_b", before(W.orderBy("_q"), "_m")).drop("_m")
+    ahead = counts.withColumn("_a", before(W.partitionBy("_q").orderBy("_p"), "_n")).join(large, "_q").select("_p", (F.col("_a") + F.col("_b")).alias("_a"))
     within = F.row_number().over(W.partitionBy("_p").orderBy(key)) - 1
     return df.withColumn("_p", part).withColumn("_w", within).join(ahead, "_p").withColumn("k", F.col("_w") + F.col("_a")).drop("_p", "_w", "_a")
 

@@ -49,13 +49,20 @@ def write_once(df: DataFrame, path: str, *partitions: str) -> None:
     df.write.mode("ignore").partitionBy(*partitions).parquet(path)
 
 
+#: Features of a collection at most.
+FEATURES = 5_000
+
+
 def write_features(df: DataFrame, path: str, group: str) -> None:
-    """A feature collection per ``group`` (a JSON document a line): its rows (x0, y0, x1, y1 and other columns) as boxes with properties."""
+    """Feature collections of a ``group`` (a JSON document a line, FEATURES rows at most): rows (x0, y0, x1, y1 and other columns) as
+    boxes with properties."""
     corner = lambda x, y: F.array(F.col(x), F.col(y))
     ring = F.array(corner("x0", "y0"), corner("x1", "y0"), corner("x1", "y1"), corner("x0", "y1"), corner("x0", "y0"))
     properties = F.struct(*(c for c in df.columns if c not in ("x0", "y0", "x1", "y1", group)))
     feature = F.struct(F.lit("Feature").alias("type"), properties.alias("properties"), F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")).alias("geometry"))
-    df.groupBy(group).agg(F.collect_list(feature).alias("features")).write.json(path)
+    chunk = F.floor(F.monotonically_increasing_id() / FEATURES)  # stretches of a task's rows
+    each = df.select(group, chunk.alias("_chunk"), feature.alias("_feature"))
+    each.groupBy(group, "_chunk").agg(F.collect_list("_feature").alias("features")).drop("_chunk").write.json(path)
 
 
 def read_features(spark: SparkSession, path: str, group: str, properties: str) -> DataFrame:

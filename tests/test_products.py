@@ -64,3 +64,22 @@ def test_seam_by_hand(spark):
 def test_importance_query_runs(spark, sf):
     got = QUERIES["r35_feature_importance"](spark, sf).collect()
     assert len(got) == 5 and all(0 <= r.accuracy <= 1 for r in got)
+
+
+def test_numbers_by_ranges_of_ranges(spark):
+    from gridloom.plans import values
+
+    keys = random.Random(3).sample(range(5000), 400)
+    got = {r.pid: r.k for r in values.numbered(spark.createDataFrame([(k,) for k in keys], "pid long").repartition(3), "pid", width=7).collect()}
+    assert got == {k: i for i, k in enumerate(sorted(keys))}
+
+
+def test_collections_are_bounded(spark, monkeypatch):
+    from gridloom.sources import files
+
+    monkeypatch.setattr(files, "FEATURES", 10)
+    path = files.fresh_path(spark, "features")
+    files.write_features(spark.range(95).selectExpr("id", "'a' as g", "0D as x0", "0D as y0", "1D as x1", "2D as y1"), path, "g")
+    sizes = [r.n for r in spark.read.json(path).select(F.size("features").alias("n")).collect()]
+    assert max(sizes) <= 10 and sum(sizes) == 95
+    assert files.read_features(spark, path, "g", "id: bigint").where("x1 = 1 and y1 = 2").count() == 95
