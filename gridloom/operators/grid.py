@@ -114,12 +114,30 @@ def lag_by_parts(df: DataFrame, keys: list[str], part: Column, order: list[str],
     return both.withColumn(name, F.when(F.col("_n") == 1, F.col("_before")[value]).otherwise(F.col("_lag"))).drop("_part", "_n", "_lag", "_before")
 
 
-def lerp_lookup(df: DataFrame, curve: DataFrame, x: str, cx: str, cy: str, out: str) -> DataFrame:
-    """``out``: the curve's value at ``x``, linear between its points and along its end segments beyond them."""
-    w = W.orderBy(cx)
-    seg = curve.select(F.col(cx).alias("_x0"), F.col(cy).alias("_y0"), F.lead(cx).over(w).alias("_x1"), F.lead(cy).over(w).alias("_y1"), F.lag(cx).over(w).isNull().alias("_first"), F.lead(cx, 2).over(w).isNull().alias("_last")).where("_x1 is not null")
+def lerp_lookup(df: DataFrame, curve: DataFrame, x: str, cx: str, cy: str, out: str, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``out``: the curve's value at ``x``, linear between its points and along its end segments beyond them. Rows without ``x`` go.
+
+    A curve of at most ``rows`` points is broadcast. A longer one is cut into bins of equal width along ``cx``: its segments are listed
+    under each bin they touch and rows join by their bin, so neither side meets all of the other. Points of the curve are ordered
+    within a bin only.
+    """
+    points = curve.where(F.col(cx).isNotNull()).select(F.col(cx).cast("double").alias("_x0"), F.col(cy).alias("_y0"))
+    after = ["_x0", "_x1", "_y0", "_y1", "_first", "_last"]
     inside = (F.col("_first") | (F.col(x) >= F.col("_x0"))) & (F.col("_last") | (F.col(x) < F.col("_x1")))
-    return df.join(checked_broadcast(seg), inside).withColumn(out, F.col("_y0") + (F.col(x) - F.col("_x0")) / (F.col("_x1") - F.col("_x0")) * (F.col("_y1") - F.col("_y0"))).drop("_x0", "_x1", "_y0", "_y1", "_first", "_last")
+    value = F.col("_y0") + (F.col(x) - F.col("_x0")) / (F.col("_x1") - F.col("_x0")) * (F.col("_y1") - F.col("_y0"))
+    if points.limit(rows + 1).count() <= rows:
+        w = W.orderBy("_x0")
+        seg = points.select("_x0", "_y0", F.lead("_x0").over(w).alias("_x1"), F.lead("_y0").over(w).alias("_y1"), F.lag("_x0").over(w).isNull().alias("_first"), F.lead("_x0", 2).over(w).isNull().alias("_last"))
+        return df.join(F.broadcast(seg.where("_x1 is not null")), inside).withColumn(out, value).drop(*after)
+    ends = points.agg(F.min("_x0").alias("lo"), F.max("_x0").alias("hi"), F.count("*").alias("n")).first()
+    n = max(1, ends.n // max(1, rows // 100))
+    width = (ends.hi - ends.lo) / n
+    number = lambda c: F.least(F.lit(n - 1), F.greatest(F.lit(0), F.floor((c - ends.lo) / width))).cast("long")
+    from_ = lag_by_parts(points.withColumn("_p", F.struct("_x0", "_y0")), [], number(F.col("_x0")), ["_x0"], "_p", "_q").where("_q is not null")
+    seg = from_.select(F.col("_q._x0").alias("_x0"), F.col("_q._y0").alias("_y0"), F.col("_x0").alias("_x1"), F.col("_y0").alias("_y1"))
+    seg = seg.withColumn("_first", F.col("_x0") == ends.lo).withColumn("_last", F.col("_x1") == ends.hi)
+    listed = seg.withColumn("_bin", F.explode(F.sequence(number(F.col("_x0")), number(F.col("_x1")))))
+    return df.withColumn("_bin", number(F.col(x))).join(listed, "_bin").where(inside).withColumn(out, value).drop("_bin", *after)
 
 
 def priority_coalesce(options: list[tuple[Column, Column, int]]) -> tuple[Column, Column]:

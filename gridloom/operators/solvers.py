@@ -42,26 +42,52 @@ def sampled_polynomial(t: np.ndarray, y: np.ndarray, degree: int, limit: float,
     return np.linalg.lstsq(powers[best], y[best], rcond=None)[0], best
 
 
-def block_polynomials(df: DataFrame, keys: list[str], degree: int = 1, limit: float = 100.0, seed: int = 0) -> DataFrame:
-    """df: keys, x, y, t, z. A robust plane in space is taken off each block's values, then a polynomial in time without an
-    intercept is fitted by seeded draws: coefficients (lowest first), NMAD of the inliers, inliers and rows. A block is one task's."""
-    names = [f"k{i + 1}" for i in range(degree)]
+def shifted(coefficients: np.ndarray, origin: float) -> np.ndarray:
+    """Coefficients (lowest first) of the polynomial in t + origin that has these in t."""
+    out = np.zeros(len(coefficients))
+    for c in coefficients[::-1]:
+        out = np.append(0.0, out[:-1]) - origin * out
+        out[0] += c
+    return out
+
+
+def block_polynomials(df: DataFrame, keys: list[str], degrees: tuple[int, ...] = (1,), limit: float | None = None, origin: float = 0.0, seed: int = 0) -> DataFrame:
+    """df: keys, x, y, t, z. A robust plane through a block's middle is fitted to what the values of each time are off their median, and
+    taken off; then for each degree a polynomial in time without an intercept is fitted by seeded draws.
+
+    A row per block and degree: coefficients (of t + ``origin``, lowest first, as many as the largest degree has), nmad of all
+    residuals, score (of the inliers), n_in, n, slope_x, slope_y. ``limit`` is how far inliers are; the values' median absolute
+    deviation if it is None. Blocks with under degree + 3 values have no coefficients. A block, a bounded number of cells, is one
+    task's.
+    """
+    most = max(degrees)
 
     def fit(block: pd.DataFrame) -> pd.DataFrame:
-        b = block.dropna(subset=["z"]).sort_values(["t", "x", "y", "z"])
-        head = {k: [block[k].iloc[0]] for k in keys}
-        if len(b) < degree + 3:
-            return pd.DataFrame({**head, **{n: [np.nan] for n in names}, "nmad": [np.nan], "n_in": [0], "n": [len(b)]})
-        t, z = b.t.to_numpy(float), b.z.to_numpy(float)
-        plane = np.column_stack([np.ones(len(b)), b.x - b.x.mean(), b.y - b.y.mean()])
-        rest = z - plane @ huber_fit(plane, z)
-        beta, near = sampled_polynomial(t, rest, degree, limit, np.random.default_rng(seed))
-        res = (rest - (t[:, None] ** np.arange(1, degree + 1)) @ beta)[near]
-        nmad = 1.4826 * np.median(np.abs(res - np.median(res)))
-        return pd.DataFrame({**head, **{n: [x] for n, x in zip(names, beta, strict=True)}, "nmad": [nmad], "n_in": [int(near.sum())], "n": [len(b)]})
+        b = block.dropna(subset=["t", "z"]).sort_values(["t", "x", "y", "z"])
+        head = {k: block[k].iloc[0] for k in keys}
+        none = {"coefficients": None, "nmad": np.nan, "score": np.nan, "n_in": 0, "n": len(b), "slope_x": np.nan, "slope_y": np.nan}
+        rows = []
+        for degree in degrees:
+            if len(b) < degree + 3:
+                rows.append({**head, "degree": degree, **none})
+                continue
+            t, z = b.t.to_numpy(float), b.z.to_numpy(float)
+            place = np.column_stack([b.x - (block.x.min() + block.x.max()) / 2, b.y - (block.y.min() + block.y.max()) / 2]).astype(float)
+            slopes = huber_fit(place, z - b.groupby("t").z.transform("median").to_numpy(float))
+            rest = z - place @ slopes
+            near = limit if limit is not None else float(np.median(np.abs(rest - np.median(rest))))
+            beta, inside = sampled_polynomial(t, rest, degree, near, np.random.default_rng(seed))
+            res = rest - (t[:, None] ** np.arange(1, degree + 1)) @ beta
+            spread = ((rest[inside] - rest[inside].mean()) ** 2).sum()
+            full = shifted(np.concatenate([[0.0], beta, np.zeros(most - degree)]), origin)
+            rows.append({
+                **head, "degree": degree, "coefficients": full.tolist(), "nmad": 1.4826 * np.median(np.abs(res - np.median(res))), "score": 1 - (res[inside] ** 2).sum() / spread if spread > 0 else np.nan,
+                "n_in": int(inside.sum()), "n": len(b), "slope_x": slopes[0], "slope_y": slopes[1],
+            })
+        return pd.DataFrame(rows)
 
     types = ", ".join(f"{k} {dict(df.dtypes)[k]}" for k in keys)
-    return df.groupBy(*keys).applyInPandas(fit, f"{types}, " + ", ".join(f"{n} double" for n in names) + ", nmad double, n_in int, n int")
+    return df.groupBy(*keys).applyInPandas(fit, f"{types}, degree int, coefficients array<double>, nmad double, score double, n_in int, n int, slope_x double, slope_y double")
 
 
 def fit_spherical(lags: list[float], gamma: list[float], weights: list[float]) -> tuple[float, float, float]:

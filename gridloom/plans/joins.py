@@ -160,11 +160,21 @@ def w07_fill(obs):
     return g.select("r", "c", "yr", F.coalesce(F.last("z", ignorenulls=True).over(cell()), back).alias("z"))
 
 
+#: Ids of one range, whose rows are ordered together.
+ID_RANGE = 65_536
+
+
 @query("series", "SELECT event_id, epoch_us(ts) // 3600000000 * 3600 + (row_number() OVER (PARTITION BY track, epoch_us(ts) // 3600000000 ORDER BY event_id) - 1) AS t FROM series")
 def w10_time_dedup(series):
-    """A second more for each further row of the same hour."""
-    hour = F.floor(F.unix_micros("ts") / F.lit(3_600_000_000)).cast("long")
-    return series.select("event_id", (hour * 3600 + F.row_number().over(W.partitionBy("track", hour).orderBy("event_id")) - 1).alias("t"))
+    """A second more for each further row of the same hour. An hour's rows are counted by ranges of ids and ordered within a range
+    only, so an hour with very many rows isn't one task's."""
+    hour = F.floor(F.unix_micros("ts") / F.lit(3_600_000_000)).cast("long").alias("hour")
+    x = series.select("event_id", "track", hour, F.floor(F.col("event_id") / F.lit(ID_RANGE)).alias("part"))
+    counts = x.groupBy("track", "hour", "part").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(W.partitionBy("track", "hour").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
+    ahead = counts.select("track", "hour", "part", F.coalesce(before, F.lit(0)).alias("ahead"))
+    within = F.row_number().over(W.partitionBy("track", "hour", "part").orderBy("event_id")) - 1
+    return x.withColumn("within", within).join(ahead, ["track", "hour", "part"]).select("event_id", (F.col("hour") * 3600 + F.col("ahead") + F.col("within")).alias("t"))
 
 
 @query("tiles", "SELECT tr, tc FROM tiles ORDER BY (tx0+4-20)*(tx0+4-20)+(ty0+4-25)*(ty0+4-25), tr, tc LIMIT 10")
@@ -181,9 +191,10 @@ def t05_priority_limit(pts):
 
 @query("pts", "SELECT pid, bin FROM (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY (pid*7919) % 10007, pid) AS k, CAST(bin + 2 AS BIGINT) AS want FROM (SELECT pid, CAST(floor(x/8.0) AS INT) AS bin FROM pts)) WHERE k <= want")
 def t09_stratified_match(pts):
-    b = pts.select("pid", C.uniform_bin("x", 0, 8.0).alias("bin"))
-    k = F.row_number().over(W.partitionBy("bin").orderBy((F.col("pid") * 7919) % 10007, "pid"))
-    return b.withColumn("k", k).where(F.col("k") <= F.col("bin") + 2).select("pid", "bin")
+    """Of each bin the first few by a hash; every task leaves its own first few before a bin's are put together."""
+    b = pts.select("pid", C.uniform_bin("x", 0, 8.0).alias("bin"), ((F.col("pid") * 7919) % 10007).alias("h"))
+    first = lambda df, *by: df.withColumn("k", F.row_number().over(W.partitionBy(*by).orderBy("h", "pid"))).where(F.col("k") <= F.col("bin") + 2)
+    return first(first(b.withColumn("s", F.pmod(F.xxhash64("pid"), F.lit(256))), "bin", "s"), "bin").select("pid", "bin")
 
 
 @query("obs dems", "SELECT dem_id FROM obs WHERE z > 800 UNION SELECT dem_id FROM dems WHERE n_cmp < 30")

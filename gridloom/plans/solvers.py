@@ -7,15 +7,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from gridloom.functions import columns as C
+from gridloom.operators import gaps
 from gridloom.operators import grid as G
 from gridloom.operators import outlines as O
 from gridloom.operators import registration
 from gridloom.operators import solvers as V
 from gridloom.operators import surface as S
 from gridloom.operators.radial import radial_surface
+from gridloom.operators.trends import polynomial_fit, robust_trend
 from gridloom.plans.registry import query
 from gridloom.plans.stacks import replicate_pairs
 from gridloom.plans.surfaces import EDGES, INSIDE, RINGS
+from gridloom.plans.trends import ROUGH, by_flags, flagged, trend_sql
 from gridloom.sources import cubes, files
 from gridloom.sources.adapters import TILE
 from gridloom.streaming import tiles as stream
@@ -35,6 +38,37 @@ def r29_use_flags(obs):
     return e.select("r", "c", "t", ((F.col("t") >= -2) & (F.col("n") >= 2) & ~off).alias("used"))
 
 
+#: The first year used, the least count of a year, the count below which far values go, and how far is far.
+FIRST_YEAR, LEAST_COUNT, THIN, FAR = 1996, 3, 4, 5.0
+BLOCK_YEARS = f"""q AS (SELECT r // 2 AS br, c // 2 AS bc, yr, date_trunc('month', d) AS m, median(z) AS z FROM obs GROUP BY ALL), y AS (SELECT br, bc, yr, yr - 1998 AS t, median(z) AS z, stddev_pop(z) AS std, count(*) AS n FROM q GROUP BY br, bc, yr)"""
+USED_YEARS = f"""u AS (SELECT y.*, nmad, yr >= {FIRST_YEAR} AND y.n >= {LEAST_COUNT} AND NOT (abs(round(z - b*t - a, 9)) > greatest({FAR}, 3 * round(nmad, 9)) AND y.n < {THIN}) AS used FROM y JOIN f USING (br, bc)),
+o AS (SELECT br, bc, t, z, t - avg(t) OVER k AS p1 FROM u WHERE used WINDOW k AS (PARTITION BY br, bc)), o2 AS (SELECT *, sum(p1*p1) OVER k AS s1, p1*p1 - avg(p1*p1) OVER k - CASE WHEN sum(p1*p1) OVER k > 1e-9 THEN p1 * sum(p1*p1*p1) OVER k / sum(p1*p1) OVER k ELSE 0 END AS p2 FROM o WINDOW k AS (PARTITION BY br, bc)),
+o3 AS (SELECT *, sum(p2*p2) OVER k AS s2, p1*p1*p1 - avg(p1*p1*p1) OVER k - CASE WHEN s1 > 1e-9 THEN p1 * sum(p1*p1*p1*p1) OVER k / s1 ELSE 0 END - CASE WHEN sum(p2*p2) OVER k > 1e-9 THEN p2 * sum(p1*p1*p1*p2) OVER k / sum(p2*p2) OVER k ELSE 0 END AS p3 FROM o2 WINDOW k AS (PARTITION BY br, bc)),
+o4 AS (SELECT br, bc, t, avg(z) OVER k + CASE WHEN s1 > 1e-9 THEN p1 * sum(p1*z) OVER k / s1 ELSE 0 END + CASE WHEN s2 > 1e-9 THEN p2 * sum(p2*z) OVER k / s2 ELSE 0 END + CASE WHEN sum(p3*p3) OVER k > 1e-9 THEN p3 * sum(p3*z) OVER k / sum(p3*p3) OVER k ELSE 0 END AS fitted FROM o3 WINDOW k AS (PARTITION BY br, bc))"""
+TREND_POLYNOMIAL = """SELECT CAST(br AS INT) AS br, CAST(bc AS INT) AS bc, yr, round(z, 6) AS z, round(std, 6) AS std, n, round(nmad, 6) AS nmad, used, CAST(min(yr) FILTER (used) OVER (PARTITION BY br, bc) AS INT) AS first_yr, CAST(max(yr) FILTER (used) OVER (PARTITION BY br, bc) AS INT) AS last_yr, round(fitted, 7) AS fitted
+FROM u LEFT JOIN o4 USING (br, bc, t)"""
+
+
+@query("obs", TREND_POLYNOMIAL, BLOCK_YEARS, trend_sql("y", "br, bc"), USED_YEARS)
+def r29_trend_polynomial(obs):
+    """R29 as a whole: blocks of cells as medians of each time slice (a month here), yearly median, deviation and count, a line and the
+    NMAD of its residuals, which years are used, the first and last of them, and the cubic through the used years (of a lower degree
+    where they are too few) at each."""
+    blocks = obs.groupBy(F.floor(F.col("r") / 2).cast("int").alias("br"), F.floor(F.col("c") / 2).cast("int").alias("bc"), "yr", F.trunc("d", "month").alias("m")).agg(F.median("z").alias("z"))
+    keys = ["br", "bc"]
+    y = blocks.groupBy(*keys, "yr", (F.col("yr") - 1998).alias("t")).agg(F.median("z").alias("z"), F.stddev_pop("z").alias("std"), F.count("*").alias("n"))
+    fit = G.linear_trend(y.select(*keys, "t", "z"), keys, "t", "z").where("n >= 2").select(*keys, "slope", "intercept", "nmad")
+    off = F.abs(F.round(F.col("z") - F.col("slope") * F.col("t") - F.col("intercept"), 9)) > F.greatest(F.lit(FAR), 3 * F.round("nmad", 9))
+    u = y.join(fit, keys).withColumn("used", (F.col("yr") >= FIRST_YEAR) & (F.col("n") >= LEAST_COUNT) & ~(off & (F.col("n") < THIN)))
+    u = files.stored(u.select(*keys, "yr", "t", "z", "std", "n", "nmad", "used"), "years")
+    used = u.where("used")
+    ends = used.groupBy(*keys).agg(F.min("yr").alias("first_yr"), F.max("yr").alias("last_yr"))
+    cubic = polynomial_fit(used, keys, "t", "z", 3, scale=3.0).drop("n").join(ends, keys)
+    at = F.when(F.col("used"), C.polynomial(F.reverse("coefficients"), F.col("t").cast("double")))
+    rows = u.join(cubic, keys, "left")
+    return rows.select(*keys, "yr", F.round("z", 6).alias("z"), F.round("std", 6).alias("std"), "n", F.round("nmad", 6).alias("nmad"), "used", "first_yr", "last_yr", F.round(at, 7).alias("fitted"))
+
+
 GAPS = """, y AS (SELECT r, c, yr - 1995 AS t, median(z) AS z FROM obs GROUP BY r, c, yr), f AS (SELECT r, c, regr_slope(z, t) AS b, regr_intercept(z, t) AS a FROM y WHERE t < 5 GROUP BY r, c HAVING count(*) >= 3),
 e AS (SELECT size, r // size AS gr, c // size AS gc, avg(z - b*t - a) AS e FROM y JOIN f USING (r, c), (VALUES (1), (2), (4), (8)) v(size) WHERE t = 5 AND (r // size + c // size) % 2 = 0 GROUP BY ALL)
 SELECT size, round(1.4826::DOUBLE*median(abs(e-m)), 6) AS nmad, count(*) AS n FROM (SELECT *, median(e) OVER (PARTITION BY size) AS m FROM e) GROUP BY size"""
@@ -51,6 +85,56 @@ def r40_square_gaps(obs):
     return G.robust_stack(gaps, ["size"], "e").select("size", F.round("nmad", 6).alias("nmad"), "n")
 
 
+#: The gap experiment: cells of a chunk's side, sizes of gaps, cells kept from the rim and between gaps, and how many gaps there are.
+CHUNK, SIZES = 20, (2, 3, 5)
+LAYOUTS = {size: gaps.gap_starts(CHUNK, size, edge=1, inner=2, smallest=2, most=20, least=4) for size in SIZES}
+
+
+def robust_sql(to: str, years: str) -> str:
+    """CTEs that end in ``to``: the slope and NMAD of every cell's robust trend over the flagged years that ``years`` accepts."""
+    best = f"list_reduce(list_prepend({{'k': round(f.nmad, 6), 'b': f.b}}, l), lambda a, x: CASE WHEN a['k'] > {ROUGH} AND x['k'] < a['k'] THEN x ELSE a END)"
+    return (
+        f"{to}y AS (SELECT r, c, t, z FROM (SELECT *, count_if(flag <> 3) OVER (PARTITION BY r, c) AS good FROM q WHERE {years}) WHERE flag <> 3 OR good < 3), {trend_sql(to + 'y', 'r, c', to + 'f')}, "
+        f"{to}v AS (SELECT a.*, b.t AS o FROM {to}y a JOIN {to}y b USING (r, c) WHERE a.t <> b.t), {trend_sql(to + 'v', 'r, c, o', to + 'g')}, "
+        f"{to} AS (SELECT r, c, s['b'] AS b, s['k'] AS nmad FROM (SELECT r, c, {best} AS s FROM {to}f f LEFT JOIN (SELECT r, c, list({{'k': round(nmad, 6), 'b': b}} ORDER BY o) AS l FROM {to}g GROUP BY r, c) USING (r, c)))"
+    )
+
+
+YEARS_300 = "q AS (SELECT r, c, yr - 1995 AS t, median(z)/300 AS z, CAST(1 + count(*) % 4 AS INT) AS flag FROM obs GROUP BY r, c, yr)"
+STARTS = ", ".join(f"({size}, {a}, {b})" for size, (rows, cols) in LAYOUTS.items() for a in rows for b in cols)
+GAP_RAW = f"""SELECT size, r - r % {CHUNK} + r0 AS gr, c - c % {CHUNK} + c0 AS gc, r, c, CAST(least(r % {CHUNK} - r0 + 1, r0 + size - r % {CHUNK}, c % {CHUNK} - c0 + 1, c0 + size - c % {CHUNK}) AS INT) AS d, round(w.b - a.b, 7) AS raw, round(a.nmad, 6) AS nmad
+FROM ref JOIN (VALUES {STARTS}) v(size, r0, c0) ON r % {CHUNK} BETWEEN r0 AND r0 + size - 1 AND c % {CHUNK} BETWEEN c0 AND c0 + size - 1 LEFT JOIN a USING (r, c) LEFT JOIN w USING (r, c)"""
+
+
+def trends_with_and_without(obs, ref):
+    """Every cell's robust trend over all years (b, nmad) and over those before the last (w), and whether it is on ice."""
+    q = files.stored(flagged(obs, 300.0), "yearly")
+    before = q.join(F.broadcast(q.agg(F.max("t").alias("last"))), F.col("t") < F.col("last")).drop("last")  # one row
+    slope = lambda years, name: robust_trend(by_flags(years), ["r", "c"], "t", "z", ROUGH).select("r", "c", F.col("slope").alias(name), "nmad")
+    both = slope(q, "b").join(slope(before, "w").drop("nmad"), ["r", "c"], "full")
+    return ref.select("r", "c", (~F.col("stable") & ~F.col("zone").startswith("Brand#5")).alias("ice")).join(both, ["r", "c"], "left")
+
+
+@query("ref obs", GAP_RAW, YEARS_300, robust_sql("a", "true"), robust_sql("w", "t < (SELECT max(t) FROM q)"))
+def r40_gap_cells(ref, obs):
+    """The cells of the experiment's square gaps in every chunk, their distance to the edge, and how far the trend without the last
+    year is off the trend with it."""
+    got = gaps.gap_cells(trends_with_and_without(obs, ref), LAYOUTS, CHUNK)
+    return got.select("size", "gr", "gc", "r", "c", "d", F.round(F.col("w") - F.col("b"), 7).alias("raw"), F.round("nmad", 6).alias("nmad"))
+
+
+@query("ref obs", None)
+def r40_area_curve(ref, obs):
+    """Gaps filled from the years before and corrected across their edges: the spread of their mean errors by area."""
+    return gaps.area_curve(gaps.gap_errors(trends_with_and_without(obs, ref), LAYOUTS, CHUNK))
+
+
+@query("ref obs", None)
+def r40_distance_curve(ref, obs):
+    """The spread of the same errors, cell by cell, by the distance to the gap's edge."""
+    return gaps.distance_curve(gaps.gap_errors(trends_with_and_without(obs, ref), LAYOUTS, CHUNK))
+
+
 def training_set(obs, ref):
     """Cells inside labelled polygons with what a classifier sees."""
     labelled = S.in_polygon(ref, RINGS).where("name is not null")
@@ -168,9 +252,10 @@ def r26_outline_morph(dems):
 
 @query("obs", None)
 def r28_block_polynomials(obs):
-    """A robust plane and a sampled polynomial in time by block."""
-    rows = obs.select((F.floor(F.col("r") / TILE)).cast("int").alias("tr"), F.floor(F.col("c") / TILE).cast("int").alias("tc"), F.col("c").alias("x"), F.col("r").alias("y"), (F.col("yr") - 1995).alias("t"), "z")
-    return V.block_polynomials(rows, ["tr", "tc"], degree=2)
+    """A robust plane and sampled polynomials in time of degrees 1 to 4 by block, with their scores and the plane's slopes."""
+    rows = obs.select((F.floor(F.col("r") / TILE)).cast("int").alias("tr"), F.floor(F.col("c") / TILE).cast("int").alias("tc"), F.col("c").alias("x"), F.col("r").alias("y"), (F.col("yr") - 1998).alias("t"), "z")
+    got = V.block_polynomials(rows, ["tr", "tc"], (1, 2, 3, 4), origin=1998.0)
+    return got.select("tr", "tc", "degree", *(F.get("coefficients", F.lit(i)).alias(f"c{i}") for i in range(5)), "nmad", "score", "n_in", "n", "slope_x", "slope_y")
 
 
 @query("obs ref", None)
@@ -258,8 +343,6 @@ def r27_resumed_cube(obs):
     return obs.sparkSession.read.parquet(f"{path}/cube").select("r", "c", "yr", F.round("z", 9).alias("z"))
 
 
-#: The greatest spread and difference of a pair at a gap's edge, and the greatest distance of its cells (in cells).
-PAIR_NMAD, PAIR_DIFFERENCE, PAIR_REACH = 2.0, 0.6, 2.0
 EDGE = """, y AS (SELECT r, c, yr, median(z) / 300 AS z FROM obs GROUP BY r, c, yr), f AS (SELECT r, c, regr_slope(z, yr) AS b, regr_intercept(z, yr) AS a FROM y GROUP BY r, c HAVING count(*) >= 2 AND regr_sxx(z, yr) > 0),
 e AS (SELECT r, c, z - b*yr - a AS e FROM y JOIN f USING (r, c)), m AS (SELECT r, c, median(e) AS m FROM e GROUP BY r, c), s AS (SELECT r, c, 1.4826::DOUBLE*median(abs(e-m)) AS nmad FROM e JOIN m USING (r, c) GROUP BY r, c),
 g AS (SELECT r, c, (r, c) IN (SELECT (r, c) FROM y WHERE yr = (SELECT max(yr) FROM y)) AS valid, b, nmad FROM ref LEFT JOIN f USING (r, c) LEFT JOIN s USING (r, c) WHERE NOT stable AND NOT zone LIKE 'Brand#5%'),
@@ -278,23 +361,14 @@ def trends_and_gaps(obs, ref):
     return files.stored(ice.join(last, ["r", "c"], "left").join(fit, ["r", "c"], "left").select("r", "c", F.coalesce("valid", F.lit(False)).alias("valid"), "b", "nmad"), "ice")
 
 
-def edge_bins(g):
-    """Pairs of a valid cell at a gap's edge and the nearest missing one within reach; medians of the differences that pass the gates."""
-    around = [o for o in G.SQUARE if o != (0, 0)]  # 3 x 3 dilation: a neighbour is within the reach of two cells
-    gone = G.neighbours(g.where("not valid").select("r", "c", F.col("b").alias("bi"), F.col("nmad").alias("ni")), around)
-    near = (F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc")).alias("d")
-    gone = gone.select("r", "c", F.struct(near, (F.col("r") + F.col("dr")).alias("r"), (F.col("c") + F.col("dc")).alias("c"), "bi", "ni").alias("i")).where(F.sqrt("i.d") < PAIR_REACH)
-    first = gone.groupBy("r", "c").agg(F.min_by("i", F.struct("i.d", "i.r", "i.c")).alias("i"))
-    p = g.where("valid").join(first, ["r", "c"]).withColumn("diff", F.col("b") - F.col("i.bi"))
-    p = p.where((F.greatest("nmad", "i.ni") < PAIR_NMAD) & (F.abs("diff") < PAIR_DIFFERENCE))
-    p = p.select(((F.col("c") + F.col("i.c")) / 2 + 0.5).alias("x"), ((F.col("r") + F.col("i.r")) / 2 + 0.5).alias("y"), F.col("diff").alias("v"))
-    return p.groupBy(F.floor(F.col("x") / 4).alias("bx"), F.floor(F.col("y") / 4).alias("by")).agg(*(F.median(c).alias(c) for c in "xyv"), F.count("*").alias("n"))
+def bins_of(g):
+    return gaps.edge_bins(g.where("valid"), g.where("not valid").select("r", "c", "b", "nmad"))
 
 
 @query("obs ref", EDGE)
 def r08_edge_bins(obs, ref):
     """What the surface goes through: binned differences of the trend across the last year's gaps."""
-    return edge_bins(trends_and_gaps(obs, ref)).select("x", "y", F.round("v", 7).alias("v"), "n")
+    return bins_of(trends_and_gaps(obs, ref)).select("x", "y", F.round("v", 7).alias("v"), "n")
 
 
 @query("obs ref", None)
@@ -302,7 +376,7 @@ def r08_temporal_bias(obs, ref):
     """The trend's bias where the last year is missing: the surface through the differences at the gaps' edges, 0 elsewhere."""
     g = trends_and_gaps(obs, ref)
     at = g.where("not valid").select("r", "c", (F.col("c") + 0.5).alias("x"), (F.col("r") + 0.5).alias("y"))
-    found = radial_surface(edge_bins(g).select("x", "y", "v"), at).select("r", "c", "z")
+    found = radial_surface(bins_of(g).select("x", "y", "v"), at).select("r", "c", "z")
     return ref.select("r", "c").join(found, ["r", "c"], "left").select("r", "c", F.round(F.coalesce("z", F.lit(0.0)), 7).alias("bias"))
 
 

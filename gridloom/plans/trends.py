@@ -5,6 +5,7 @@ from pyspark.sql.window import Window as W
 
 from gridloom.functions import columns as C
 from gridloom.operators import grid as G
+from gridloom.operators.trends import robust_trend
 from gridloom.plans.registry import query
 
 YEARLY = "y AS (SELECT r, c, yr - 1995 AS t, median(z) AS z FROM obs GROUP BY r, c, yr)"
@@ -55,28 +56,27 @@ LOO = f"""SELECT r, c, b['o'] AS left_out, b['k'] AS nmad FROM (SELECT DISTINCT
 FROM f LEFT JOIN (SELECT r, c, list({{'k': round(nmad, 6), 'o': CAST(o AS BIGINT)}} ORDER BY o) AS l FROM g GROUP BY r, c) USING (r, c)) USING (r, c)"""
 
 
+def flagged(obs, scale: float):
+    """Yearly values by cell with a quality flag from 1 to 4."""
+    return obs.groupBy("r", "c", (F.col("yr") - 1995).alias("t")).agg((F.median("z") / scale).alias("z"), (1 + F.count("*") % 4).alias("flag"))
+
+
+def by_flags(q):
+    """Values of flag 3 to null where a cell has three others."""
+    good = F.count_if(F.col("flag") != 3).over(W.partitionBy("r", "c"))
+    return q.withColumn("good", good).select("r", "c", "t", F.when((F.col("flag") != 3) | (F.col("good") < 3), F.col("z")).alias("z"))
+
+
 @query("obs", LOO, FLAGGED, KEPT, trend_sql("k", "r, c"), "v AS (SELECT a.*, b.t AS o FROM k a JOIN k b USING (r, c) WHERE a.t <> b.t)", trend_sql("v", "r, c, o", "g"))
 def r02_robust_trend(obs):
     """R2: observations of flag 3 go where three others are there. Then year by year: while the residuals' NMAD is over ROUGH,
     the refit without that year takes over if its NMAD is less; years after it has fallen to ROUGH aren't tried.
 
-    NMADs are compared at 6 decimals. A cell's few years are gathered once and listed without each; refits are folded in the
-    order of years. Cells with under two observations have no trend.
+    Cells with under two observations have no trend.
     """
-    q = obs.groupBy("r", "c", (F.col("yr") - 1995).alias("t")).agg((F.median("z") / 100).alias("z"), (1 + F.count("*") % 4).alias("flag"))
-    good = F.count_if(F.col("flag") != 3).over(W.partitionBy("r", "c"))
-    y = q.withColumn("good", good).select("r", "c", "t", F.when((F.col("flag") != 3) | (F.col("good") < 3), F.col("z")).alias("z"))
-    kept = y.where("z is not null")
-    fit = G.linear_trend(kept, ["r", "c"], "t", "z").where("n >= 2").select("r", "c", F.round("nmad", 6).alias("nmad"))
-    rough = kept.join(fit.where(F.col("nmad") > ROUGH).select("r", "c"), ["r", "c"], "left_semi")
-    years = rough.groupBy("r", "c").agg(F.collect_list(F.struct("t", "z")).alias("s"))
-    without = years.withColumn("o", F.explode("s.t")).select("r", "c", "o", F.explode(F.filter("s", lambda x: x["t"] != F.col("o"))).alias("x")).select("r", "c", "o", "x.*")
-    again = G.linear_trend(without, ["r", "c", "o"], "t", "z").where("n >= 2")
-    listed = again.groupBy("r", "c").agg(F.array_sort(F.collect_list(F.struct("o", F.round("nmad", 6).alias("k")))).alias("l"))
-    start = F.struct(F.lit(None).cast("int").alias("o"), F.col("nmad").alias("k"))
-    better = lambda a, x: F.when((a["k"] > ROUGH) & (x["k"] < a["k"]), x).otherwise(a)
-    best = fit.join(listed, ["r", "c"], "left").select("r", "c", F.when(F.col("l").isNull(), start).otherwise(F.aggregate("l", start, better)).alias("b"))
-    return y.select("r", "c").distinct().join(best, ["r", "c"], "left").select("r", "c", F.col("b.o").alias("left_out"), F.col("b.k").alias("nmad"))
+    y = by_flags(flagged(obs, 100.0))
+    best = robust_trend(y, ["r", "c"], "t", "z", ROUGH)
+    return y.select("r", "c").distinct().join(best, ["r", "c"], "left").select("r", "c", "left_out", "nmad")
 
 
 REACH = 4

@@ -85,7 +85,7 @@ def test_farthest_points_by_brute_force(spark):
     assert V.farthest_points(spark.createDataFrame([(1, 0.0, 0.0)], "pid long, x double, y double"), 5).count() == 1
 
 
-@pytest.mark.parametrize("name", ["r11_track_shifts", "r26_outline_morph", "r28_block_polynomials", "r38_variogram_fit"])
+@pytest.mark.parametrize("name", ["r09_joint_planes", "r11_track_shifts", "r26_outline_morph", "r28_block_polynomials", "r35_gap_classifier", "r38_variogram_fit"])
 def test_queries_without_sql_run(spark, sf, name):
     got = QUERIES[name](spark, sf).collect()
     assert got and (name != "r38_variogram_fit" or got[0].reach > 0)
