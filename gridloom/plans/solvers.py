@@ -45,7 +45,9 @@ USED_YEARS = f"""u AS (SELECT y.*, nmad, yr >= {FIRST_YEAR} AND y.n >= {LEAST_CO
 o AS (SELECT br, bc, t, z, t - avg(t) OVER k AS p1 FROM u WHERE used WINDOW k AS (PARTITION BY br, bc)), o2 AS (SELECT *, sum(p1*p1) OVER k AS s1, p1*p1 - avg(p1*p1) OVER k - CASE WHEN sum(p1*p1) OVER k > 1e-9 THEN p1 * sum(p1*p1*p1) OVER k / sum(p1*p1) OVER k ELSE 0 END AS p2 FROM o WINDOW k AS (PARTITION BY br, bc)),
 o3 AS (SELECT *, sum(p2*p2) OVER k AS s2, p1*p1*p1 - avg(p1*p1*p1) OVER k - CASE WHEN s1 > 1e-9 THEN p1 * sum(p1*p1*p1*p1) OVER k / s1 ELSE 0 END - CASE WHEN sum(p2*p2) OVER k > 1e-9 THEN p2 * sum(p1*p1*p1*p2) OVER k / sum(p2*p2) OVER k ELSE 0 END AS p3 FROM o2 WINDOW k AS (PARTITION BY br, bc)),
 o4 AS (SELECT br, bc, t, avg(z) OVER k + CASE WHEN s1 > 1e-9 THEN p1 * sum(p1*z) OVER k / s1 ELSE 0 END + CASE WHEN s2 > 1e-9 THEN p2 * sum(p2*z) OVER k / s2 ELSE 0 END + CASE WHEN sum(p3*p3) OVER k > 1e-9 THEN p3 * sum(p3*z) OVER k / sum(p3*p3) OVER k ELSE 0 END AS fitted FROM o3 WINDOW k AS (PARTITION BY br, bc))"""
-TREND_POLYNOMIAL = """SELECT CAST(br AS INT) AS br, CAST(bc AS INT) AS bc, yr, round(z, 6) AS z, round(std, 6) AS std, n, round(nmad, 6) AS nmad, used, CAST(min(yr) FILTER (used) OVER (PARTITION BY br, bc) AS INT) AS first_yr, CAST(max(yr) FILTER (used) OVER (PARTITION BY br, bc) AS INT) AS last_yr, round(fitted, 7) AS fitted
+#: Added to values while they are rounded: they are often short decimals, and exact halves would be rounded by their last bit.
+OFFSET = 0.0031415926
+TREND_POLYNOMIAL = f"""SELECT CAST(br AS INT) AS br, CAST(bc AS INT) AS bc, yr, round(z, 6) AS z, round(std, 6) AS std, n, round(nmad, 4) AS nmad, used, CAST(min(yr) FILTER (used) OVER (PARTITION BY br, bc) AS INT) AS first_yr, CAST(max(yr) FILTER (used) OVER (PARTITION BY br, bc) AS INT) AS last_yr, round(fitted + {OFFSET}::DOUBLE, 5) - {OFFSET}::DOUBLE AS fitted
 FROM u LEFT JOIN o4 USING (br, bc, t)"""
 
 
@@ -66,7 +68,7 @@ def r29_trend_polynomial(obs):
     cubic = polynomial_fit(used, keys, "t", "z", 3, scale=3.0).drop("n").join(ends, keys)
     at = F.when(F.col("used"), C.polynomial(F.reverse("coefficients"), F.col("t").cast("double")))
     rows = u.join(cubic, keys, "left")
-    return rows.select(*keys, "yr", F.round("z", 6).alias("z"), F.round("std", 6).alias("std"), "n", F.round("nmad", 6).alias("nmad"), "used", "first_yr", "last_yr", F.round(at, 7).alias("fitted"))
+    return rows.select(*keys, "yr", F.round("z", 6).alias("z"), F.round("std", 6).alias("std"), "n", F.round("nmad", 4).alias("nmad"), "used", "first_yr", "last_yr", (F.round(at + OFFSET, 5) - OFFSET).alias("fitted"))
 
 
 GAPS = """, y AS (SELECT r, c, yr - 1995 AS t, median(z) AS z FROM obs GROUP BY r, c, yr), f AS (SELECT r, c, regr_slope(z, t) AS b, regr_intercept(z, t) AS a FROM y WHERE t < 5 GROUP BY r, c HAVING count(*) >= 3),
@@ -102,7 +104,7 @@ def robust_sql(to: str, years: str) -> str:
 
 YEARS_300 = "q AS (SELECT r, c, yr - 1995 AS t, median(z)/300 AS z, CAST(1 + count(*) % 4 AS INT) AS flag FROM obs GROUP BY r, c, yr)"
 STARTS = ", ".join(f"({size}, {a}, {b})" for size, (rows, cols) in LAYOUTS.items() for a in rows for b in cols)
-GAP_RAW = f"""SELECT size, r - r % {CHUNK} + r0 AS gr, c - c % {CHUNK} + c0 AS gc, r, c, CAST(least(r % {CHUNK} - r0 + 1, r0 + size - r % {CHUNK}, c % {CHUNK} - c0 + 1, c0 + size - c % {CHUNK}) AS INT) AS d, round(w.b - a.b, 7) AS raw, round(a.nmad, 6) AS nmad
+GAP_RAW = f"""SELECT size, r - r % {CHUNK} + r0 AS gr, c - c % {CHUNK} + c0 AS gc, r, c, CAST(least(r % {CHUNK} - r0 + 1, r0 + size - r % {CHUNK}, c % {CHUNK} - c0 + 1, c0 + size - c % {CHUNK}) AS INT) AS d, round(w.b - a.b + {OFFSET}::DOUBLE, 5) - {OFFSET}::DOUBLE AS raw, round(a.nmad, 6) AS nmad
 FROM ref JOIN (VALUES {STARTS}) v(size, r0, c0) ON r % {CHUNK} BETWEEN r0 AND r0 + size - 1 AND c % {CHUNK} BETWEEN c0 AND c0 + size - 1 LEFT JOIN a USING (r, c) LEFT JOIN w USING (r, c)"""
 
 
@@ -120,7 +122,7 @@ def r40_gap_cells(ref, obs):
     """The cells of the experiment's square gaps in every chunk, their distance to the edge, and how far the trend without the last
     year is off the trend with it."""
     got = gaps.gap_cells(trends_with_and_without(obs, ref), LAYOUTS, CHUNK)
-    return got.select("size", "gr", "gc", "r", "c", "d", F.round(F.col("w") - F.col("b"), 7).alias("raw"), F.round("nmad", 6).alias("nmad"))
+    return got.select("size", "gr", "gc", "r", "c", "d", (F.round(F.col("w") - F.col("b") + OFFSET, 5) - OFFSET).alias("raw"), F.round("nmad", 6).alias("nmad"))
 
 
 @query("ref obs", None)
