@@ -6,7 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.sources.files import stored
+from gridloom.sources.files import BLOCK, by_block, stored
 
 
 def read_or_none(spark, path: str) -> DataFrame | None:
@@ -22,9 +22,12 @@ def refresh_cube(obs: DataFrame, path: str, size: int = 8) -> int:
     """Write to ``path`` the chunks (``size`` x ``size`` cells) whose observations (r, c, yr, z) aren't those they were made of; how many.
 
     A chunk is dense: all its cells by all its years, with the median or null. Chunks are told apart by sums of their rows' hashes,
-    kept beside the cube, so finished ones are skipped by an anti-join and only stale folders are overwritten. A run that is cut off
-    leaves no sums for what it hasn't finished, which the next run makes again.
+    kept beside the cube, so finished ones are skipped by an anti-join and only folders with a stale chunk are overwritten. A folder
+    is a block of chunks (BLOCK cells along an axis, which ``size`` divides). A run that is cut off leaves no sums for what it hasn't
+    finished, which the next run makes again.
     """
+    if BLOCK % size:
+        raise ValueError(f"chunks of {size} cells don't fill a block of {BLOCK}")
     spark = obs.sparkSession
     at = lambda v: F.floor(F.col(v) / size).cast("int")
     rows = obs.select(at("r").alias("tr"), at("c").alias("tc"), "r", "c", "yr", "z")
@@ -40,13 +43,16 @@ def refresh_cube(obs: DataFrame, path: str, size: int = 8) -> int:
     stale = stored(stale, "stale")  # what this run does is settled before anything is written
     count = stale.count()
     if count:
-        part = rows.join(stale.select("tr", "tc"), ["tr", "tc"], "left_semi")
-        have = part.groupBy("tr", "tc", "r", "c", "yr").agg(F.median("z").alias("z"))
-        years = have.select("tr", "tc", "yr").distinct()
-        step = F.sequence(F.lit(0), F.lit(size - 1))
-        dense = years.withColumn("i", F.explode(step)).withColumn("j", F.explode(step))
-        dense = dense.select("tr", "tc", (F.col("tr") * size + F.col("i")).alias("r"), (F.col("tc") * size + F.col("j")).alias("c"), "yr")
-        cube = dense.join(have, ["tr", "tc", "r", "c", "yr"], "left")
-        cube.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tr", "tc").parquet(f"{path}/cube")
+        # a folder holds a block of chunks, all of them made again from their observations; it is one task's from here to its file
+        rows = by_block(rows)
+        near = rows.join(by_block(stale.select((F.col("tr") * size).alias("r"), (F.col("tc") * size).alias("c"))).select("br", "bc").distinct(), ["br", "bc"], "left_semi")
+        have = near.groupBy("br", "bc", "tr", "tc", "r", "c", "yr").agg(F.median("z").alias("z"))
+        place = ((F.col("r") - F.col("tr") * size) * size + F.col("c") - F.col("tc") * size).alias("k")
+        year = have.groupBy("br", "bc", "tr", "tc", "yr").agg(F.map_from_entries(F.collect_list(F.struct(place, "z"))).alias("have"))
+        dense = year.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(size * size - 1))))
+        row, col = F.floor(F.col("k") / size).cast("int"), F.col("k") % size
+        z = F.try_element_at("have", F.col("k")).alias("z")
+        cube = dense.select("br", "bc", "tr", "tc", (F.col("tr") * size + row).alias("r"), (F.col("tc") * size + col).alias("c"), "yr", z)
+        cube.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("br", "bc").parquet(f"{path}/cube")
         stale.write.mode("append").parquet(f"{path}/marks")
     return count
