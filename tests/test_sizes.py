@@ -3,7 +3,10 @@
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
+from gridloom.operators import registration as R
+from gridloom.operators import solvers as V
 from gridloom.sources import cubes, files
 
 
@@ -21,3 +24,38 @@ def test_cube_has_a_file_for_a_block_of_chunks(spark, tmp_path):
     assert cubes.refresh_cube(more, path) == 1 and cubes.refresh_cube(more, path) == 0
     want = {tuple(x) for x in more.groupBy("r", "c", "yr").agg(F.median("z")).collect()}
     assert {(x.r, x.c, x.yr, x.z) for x in spark.read.parquet(f"{path}/cube").collect()} == want
+
+
+@pytest.mark.parametrize("bound", [1_000_000, 0])
+def test_points_meet_their_patch_without_copies(spark, monkeypatch, bound):
+    """Shifts across the borders of patches, with few points to a row of them, broadcast or not."""
+    monkeypatch.setattr(R, "PATCH", 16)
+    monkeypatch.setattr(R, "PATCH_POINTS", 100)
+    monkeypatch.setattr(R, "SHIFTS", bound)
+    rise = lambda x, y: 40 * np.sin(x / 4) + 30 * np.cos(y / 5)
+    surface = spark.createDataFrame([(r, c, float(rise(c, r))) for r in range(40) for c in range(40) if (r, c) != (20, 20)], "r int, c int, z double")
+    rng, want = np.random.default_rng(3), {0: (1.6, -0.7, 3.0), 1: (-2.3, 1.2, -5.0)}
+    points = [(d, float(x), float(y), float(rise(x + dx, y + dy) + dz)) for d, (dx, dy, dz) in want.items() for x, y in rng.uniform(2, 37, (800, 2))]
+    df = spark.createDataFrame(points, "dem long, x double, y double, z double")
+    chunks = R.with_patches(df, R.with_gradient(surface, "z"), 8)
+    assert chunks.select(F.sum(F.size("p"))).first()[0] == 1600 and chunks.count() >= 16 and chunks.agg(F.max(F.size("p"))).first()[0] < 250
+    got = {r.dem: r for r in R.rigid_shifts(df, surface).collect()}
+    for d, shift in want.items():
+        assert (got[d].dx, got[d].dy, got[d].dz) == pytest.approx(shift, abs=0.1)
+        inside = [(x + got[d].dx, y + got[d].dy) for k, x, y, _ in points if k == d]
+        lost = lambda u, v: any((i, j) in {(20, 20), (19, 20), (21, 20), (20, 19), (20, 21)} for i in (int(v), int(v) + 1) for j in (int(u), int(u) + 1))
+        n = sum(1 <= u < 38 and 1 <= v < 38 and not lost(u, v) for u, v in inside)
+        assert abs(got[d].n - n) <= 3
+
+
+def test_first_of_each_orders_few_rows(spark):
+    """The rows that a window over all would number first, ties by pid, from far fewer ordered rows; replicates aren't one task's."""
+    df = V.replicated(spark.range(20_000, numPartitions=1).withColumnRenamed("id", "pid"), 5)
+    assert df.rdd.getNumPartitions() > 1
+    h = df.withColumn("u", F.xxhash64("rep", F.floor(F.col("pid") / 3)))
+    order = W.partitionBy("rep").orderBy("u", "pid")
+    want = {tuple(x) for x in h.withColumn("k", F.row_number().over(order)).where("k <= 50").select("rep", "pid", "k").collect()}
+    got = V.first_of_each(h, "rep", "u", 52, "pid", 50)
+    assert {tuple(x) for x in got.select("rep", "pid", "k").collect()} == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "_last" in plan and V.first_of_each(h.where("pid < 20"), "rep", "u", 52, "pid", 50).count() == 100
