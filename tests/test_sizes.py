@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 from gridloom.operators import registration as R
 from gridloom.operators import solvers as V
 from gridloom.sources import cubes, files
+from gridloom.streaming import tiles
 
 
 def grid(spark, rows: int, cols: int, parts: int = 4):
@@ -59,3 +60,11 @@ def test_first_of_each_orders_few_rows(spark):
     assert {tuple(x) for x in got.select("rep", "pid", "k").collect()} == want
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "_last" in plan and V.first_of_each(h.where("pid < 20"), "rep", "u", 52, "pid", 50).count() == 100
+
+
+def test_stream_has_a_file_for_a_block(spark, tmp_path):
+    obs, path = grid(spark, 256, 16), lambda x: str(tmp_path / x)
+    obs.coalesce(1).write.parquet(path("in"))
+    got = tiles.refresh(path("in"), "r int, c int, yr int, z double", path("store"), path("out"), path("check"), spark)
+    assert got.count() == 256 * 16 * 2
+    assert len(list((tmp_path / "out").rglob("*.parquet"))) == len(list((tmp_path / "store").rglob("*.parquet"))) == 256 // files.BLOCK
