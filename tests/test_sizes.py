@@ -68,3 +68,27 @@ def test_stream_has_a_file_for_a_block(spark, tmp_path):
     got = tiles.refresh(path("in"), "r int, c int, yr int, z double", path("store"), path("out"), path("check"), spark)
     assert got.count() == 256 * 16 * 2
     assert len(list((tmp_path / "out").rglob("*.parquet"))) == len(list((tmp_path / "store").rglob("*.parquet"))) == 256 // files.BLOCK
+
+
+def shuffled(spark) -> int:
+    """Records that all stages so far have written to shuffles."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_planes_shuffle_observations_once(spark, monkeypatch):
+    """Further rounds send strips, not observations; blocks and rows of them change nothing."""
+    df = spark.range(5 * 40 * 40, numPartitions=4).select(
+        F.lit(1990).alias("yr"), (F.col("id") % 5).alias("dem"), F.floor(F.col("id") / 5 % 40).cast("int").alias("x"), F.floor(F.col("id") / 200).cast("int").alias("y"),
+        (F.hash("id") % 100 / 10.0).alias("z"), F.when(F.col("id") % 3 == 0, F.lit(1.0)).alias("ref"),
+    )
+    counts, planes = [shuffled(spark)], []
+    for rounds in (1, 3):
+        planes = sorted(map(tuple, R.joint_planes(df, rounds=rounds).collect()))
+        counts.append(shuffled(spark))
+    assert counts[2] - counts[1] < counts[1] - counts[0] + 2000 and len(planes) == 5
+    monkeypatch.setattr(R, "BLOCK", 16)
+    monkeypatch.setattr(R, "BLOCK_OBS", 500)
+    small = sorted(map(tuple, R.joint_planes(df, rounds=3).collect()))
+    assert all(a == pytest.approx(b, rel=1e-6, abs=1e-6) for a, b in zip(small, planes, strict=True))
