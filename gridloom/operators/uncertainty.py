@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from gridloom.operators.quantiles import exact_nmad, exact_quantiles
 from gridloom.sources.files import stored
 
-#: Columns of a block of a row; a task holds this many (and a disc's width more) of one row and its neighbours.
-STRETCH = 4096
+#: Columns and rows of a block of cells; a task holds one, and a disc's reach around it.
+STRETCH, ROWS = 4096, 64
 #: The smallest count of a bin that counts, and the spread beyond which standardised values are outliers.
 LEAST_COUNT, OUTLIER_SPREADS = 5, 7.0
 
@@ -32,39 +32,38 @@ def half_widths(area: float) -> list[int]:
 def disc_means(cells: DataFrame, value: str, areas: list[float], least: float = 0.8, stretch: int = STRETCH) -> DataFrame:
     """(area, r, c, mean) of the disc around every cell, for each area (in cells); where under ``least`` of a disc's cells have a value, none.
 
-    Rows become running sums by stretches of columns, so a disc is the difference of two of them per row that it crosses: work grows
-    with its height, not with its area. A stretch meets only the rows within the largest disc's reach.
+    Rows become running sums by blocks of ``ROWS`` rows and ``stretch`` columns, so a disc is the difference of two of them per row that it
+    crosses: work grows with its height, not with its area. A block meets only the cells within the largest disc's reach.
     """
     discs = [half_widths(a) for a in areas]
-    reach = max(len(d) for d in discs) - 1
+    reach, height = max(len(d) for d in discs) - 1, ROWS
     have = cells.where(F.col(value).isNotNull()).select("r", "c", F.col(value).cast("double").alias("v"))
-    ends = F.array_distinct(F.array(*(F.floor((F.col("c") + s) / stretch) for s in (-reach, 0, reach))))
-    rows = have.withColumn("k", F.explode(ends)).groupBy("r", "k").agg(F.array_sort(F.collect_list(F.struct("c", "v"))).alias("line"))  # a stretch of a row
-    spread = rows.select(F.explode(F.sequence(F.col("r") - reach, F.col("r") + reach)).alias("at"), "r", "k", F.col("line.c").alias("cs"), F.col("line.v").alias("vs"))
+    near = lambda axis, size: F.explode(F.sequence(F.floor((F.col(axis) - reach) / size), F.floor((F.col(axis) + reach) / size)))
+    spread = have.withColumn("at", near("r", height)).withColumn("k", near("c", stretch))
+    tasks = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: not to be merged to few tasks
 
     def sums(group: pd.DataFrame) -> pd.DataFrame:
-        at, k = int(group["at"].iloc[0]), int(group.k.iloc[0])
-        width = stretch + 2 * reach + 1
-        total, count = np.zeros((2 * reach + 1, width)), np.zeros((2 * reach + 1, width))
-        for r, cs, vs in zip(group.r, group.cs, group.vs, strict=True):
-            place = np.asarray(cs) - (k * stretch - reach) + 1
-            total[r - at + reach, place], count[r - at + reach, place] = vs, 1
-        here = np.flatnonzero(count[reach, reach + 1 : reach + 1 + stretch])
+        top, left = int(group["at"].iloc[0]) * height, int(group.k.iloc[0]) * stretch
+        shape = (height + 2 * reach, stretch + 2 * reach + 1)
+        total, count = np.zeros(shape), np.zeros(shape)
+        place = group.r.to_numpy() - top + reach, group.c.to_numpy() - left + reach + 1
+        total[place], count[place] = group.v.to_numpy(), 1
+        r, c = np.nonzero(count[reach : reach + height, reach + 1 : reach + 1 + stretch])
         total, count = total.cumsum(1), count.cumsum(1)
         out = []
         for area, disc in zip(areas, discs, strict=True):
-            s, n, size = np.zeros(len(here)), np.zeros(len(here)), 0
+            s, n, size = np.zeros(len(r)), np.zeros(len(r)), 0
             for d in range(1 - len(disc), len(disc)):
                 h = disc[abs(d)]
-                a, b = here + reach - h, here + reach + h + 1
-                s += total[d + reach, b] - total[d + reach, a]
-                n += count[d + reach, b] - count[d + reach, a]
+                at, a, b = r + d + reach, c + reach - h, c + reach + h + 1
+                s += total[at, b] - total[at, a]
+                n += count[at, b] - count[at, a]
                 size += 2 * h + 1
             good = n >= least * size
-            out.append(pd.DataFrame({"area": area, "r": at, "c": here[good] + k * stretch, "mean": s[good] / n[good]}))
+            out.append(pd.DataFrame({"area": area, "r": r[good] + top, "c": c[good] + left, "mean": s[good] / n[good]}))
         return pd.concat(out)
 
-    return spread.groupBy("at", "k").applyInPandas(sums, "area double, r int, c int, mean double")
+    return spread.repartition(tasks, "at", "k").groupBy("at", "k").applyInPandas(sums, "area double, r int, c int, mean double")
 
 
 def quantile_edges(df: DataFrame, columns: list[str], n: int = 10) -> dict[str, list[float]]:

@@ -20,7 +20,7 @@ SELECT round(area, 6) AS area, round(1.4826::DOUBLE * median(abs(m - mid)), 6) A
 @query("obs ref", MEANS)
 def a27_patch_method(obs, ref):
     """Means over discs of fifteen areas at equal steps of their logarithm, around every cell; their spread by area."""
-    d = obs.select("r", "c", "z").join(ref.select("r", "c", "ref_z"), ["r", "c"]).groupBy("r", "c", "ref_z").agg((F.avg("z") - F.col("ref_z") / 2).alias("v"))
+    d = obs.groupBy("r", "c").agg(F.avg("z").alias("z")).join(ref.select("r", "c", "ref_z").distinct(), ["r", "c"]).select("r", "c", (F.col("z") - F.col("ref_z") / 2).alias("v"))
     means = files.stored(U.disc_means(d, "v", AREAS).select("area", "mean"), "discs")
     return exact_nmad(means, ["area"], "mean").select(F.round("area", 6).alias("area"), F.round("nmad", 6).alias("nmad"), "n")
 

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window as W
 
 from gridloom.operators import registration as R
 from gridloom.operators import solvers as V
+from gridloom.operators import uncertainty as U
 from gridloom.sources import cubes, files
 from gridloom.streaming import tiles
 
@@ -92,3 +93,15 @@ def test_planes_shuffle_observations_once(spark, monkeypatch):
     monkeypatch.setattr(R, "BLOCK_OBS", 500)
     small = sorted(map(tuple, R.joint_planes(df, rounds=3).collect()))
     assert all(a == pytest.approx(b, rel=1e-6, abs=1e-6) for a, b in zip(small, planes, strict=True))
+
+
+def test_discs_meet_blocks_not_rows(spark):
+    """A cell is sent to the blocks within its reach, not to every row that has it in a disc; blocks' borders change nothing."""
+    df = spark.range(640 * 4, numPartitions=4).select(F.floor(F.col("id") / 4).cast("int").alias("r"), (F.col("id") % 4 + 100).cast("int").alias("c"), (F.hash("id") % 100 / 7.0).alias("v"))
+    before = shuffled(spark)
+    got = {(x.r, x.c): x["mean"] for x in U.disc_means(df, "v", [250.0], least=0.0).collect()}
+    assert shuffled(spark) - before < 2 * 640 * 4
+    v = {(x.r, x.c): x.v for x in df.collect()}
+    for r, c in ((0, 100), (63, 103), (64, 100), (127, 101), (639, 102)):
+        seen = [v[k, j] for k in range(r - 9, r + 10) for j in range(100, 104) if (k, j) in v and (k - r) ** 2 + (j - c) ** 2 <= 250 / np.pi + 1e-9]
+        assert got[r, c] == pytest.approx(np.mean(seen))
