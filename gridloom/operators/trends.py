@@ -2,29 +2,68 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.operators import grid as G
+from gridloom.functions.columns import NMAD_SCALE
+
+#: Values of series that are fitted together at most, unless one is longer.
+ROWS = 1 << 20
+
+
+def line_fits(t: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(NMAD of the residuals, slope, intercept) of the line through every row of ``t`` and ``y``; NaN where there is none, slope 0 if y is flat."""
+    if t.shape[1] < 2:
+        return (np.full(len(t), np.nan),) * 3
+    mt, my = t.mean(1), y.mean(1)
+    dt, dy = t - mt[:, None], y - my[:, None]
+    sxx = (dt * dt).sum(1)
+    slope = np.where((dy * dy).sum(1) <= 1e-12, 0.0, (dt * dy).sum(1) / np.where(sxx > 0, sxx, np.nan))
+    slope[~(sxx > 0)] = np.nan
+    intercept = my - slope * mt
+    e = y - slope[:, None] * t - intercept[:, None]
+    return NMAD_SCALE * np.median(np.abs(e - np.median(e, 1)[:, None]), 1), slope, intercept
 
 
 def robust_trend(series: DataFrame, keys: list[str], t: str, y: str, rough: float) -> DataFrame:
     """keys, left_out, nmad, slope, intercept: a line by key, and year by year, while the residuals' NMAD is over ``rough``, the refit
-    without that year if its NMAD is less. Keys with under two values have no row.
+    without that year if its NMAD is less. Keys with under two values have no row; a key has a value per ``t``.
 
-    NMADs are compared at 6 decimals. Only keys with a rough line gather their few years; refits are folded in the order of years.
+    NMADs are compared at 6 decimals. A key gathers its few years once; lines of all keys with as many years are fitted together,
+    those without a year only where the line is rough. Refits are folded in the order of years.
     """
-    kept = series.where(F.col(y).isNotNull()).select(*keys, t, y)
-    best = ["nmad", "slope", "intercept"]
-    line = lambda df, by: G.linear_trend(df, by, t, y).where("n >= 2").select(*by, F.round("nmad", 6).alias("nmad"), "slope", "intercept")
-    fit = line(kept, keys)
-    years = kept.join(fit.where(F.col("nmad") > rough).select(*keys), keys, "left_semi").groupBy(*keys).agg(F.collect_list(F.struct(t, y)).alias("_s"))
-    without = years.withColumn("_o", F.explode(f"_s.{t}")).select(*keys, "_o", F.explode(F.filter("_s", lambda x: x[t] != F.col("_o"))).alias("_x")).select(*keys, "_o", "_x.*")
-    again = line(without, [*keys, "_o"]).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_o", *best))).alias("_l"))
-    start = F.struct(F.lit(None).cast(series.schema[t].dataType).alias("_o"), *best)
+    place = F.struct(F.col(t).alias("t"), F.col(y).cast("double").alias("y"))
+    kept = series.where(F.col(t).isNotNull() & F.col(y).isNotNull()).groupBy(*keys).agg(F.array_sort(F.collect_list(place)).alias("_s")).where(F.size("_s") >= 2)
+
+    def lines(times: pd.Series, values: pd.Series) -> pd.DataFrame:
+        sizes = values.map(len).to_numpy()
+        out = np.empty((len(sizes), 3), object)
+        for n in np.unique(sizes):
+            rows = np.flatnonzero(sizes == n)
+            for at in np.array_split(rows, max(1, len(rows) * n // ROWS)):
+                x, v = (np.stack(c.iloc[at].to_list()).astype(float) for c in (times, values))
+                first = line_fits(x, v)
+                again = first[0] > rough - 1e-6
+                fits = [np.full((len(at), n + 1), np.nan) for _ in first]
+                for f, a in zip(fits, first, strict=True):
+                    f[:, 0] = a
+                for i in range(n if again.any() else 0):
+                    for f, a in zip(fits, line_fits(np.delete(x[again], i, 1), np.delete(v[again], i, 1)), strict=True):
+                        f[again, i + 1] = a
+                for j, f in enumerate(fits):
+                    out[at, j] = [g if k else g[:1] for g, k in zip(f, again, strict=True)]
+        return pd.DataFrame({name: out[:, j] for j, name in enumerate(("nmad", "slope", "intercept"))})
+
+    fitted = F.pandas_udf(lines, "nmad array<double>, slope array<double>, intercept array<double>")
+    known = lambda c: F.when(~F.isnan(c), c)
+    year = lambda i: F.when(i > 0, F.get("_s", i - 1)["t"])
+    each = F.transform("_f.nmad", lambda v, i: F.struct(year(i).alias("_o"), F.round(known(v), 6).alias("nmad"), known(F.get("_f.slope", i)).alias("slope"), known(F.get("_f.intercept", i)).alias("intercept")))
+    got = kept.withColumn("_f", fitted("_s.t", "_s.y")).withColumn("_l", each)
     better = lambda a, x: F.when((a["nmad"] > rough) & (x["nmad"] < a["nmad"]), x).otherwise(a)
-    got = fit.join(again, keys, "left").select(*keys, F.when(F.col("_l").isNull(), start).otherwise(F.aggregate("_l", start, better)).alias("_b"))
-    return got.select(*keys, F.col("_b._o").alias("left_out"), *(F.col(f"_b.{c}").alias(c) for c in best))
+    best = F.aggregate(F.slice("_l", 2, F.size("_l")), F.get("_l", F.lit(0)), better)
+    return got.select(*keys, best.alias("_b")).select(*keys, F.col("_b._o").alias("left_out"), *(F.col(f"_b.{c}").alias(c) for c in ("nmad", "slope", "intercept")))
 
 
 def polynomial_fit(df: DataFrame, keys: list[str], t: str, y: str, degree: int, scale: float = 1.0) -> DataFrame:

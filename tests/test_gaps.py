@@ -154,3 +154,35 @@ def test_numbers_within_an_hour_by_ranges(spark, monkeypatch):
     for track in "ab":
         ids = sorted(i for i, k, _ in rows if k == track)
         assert [got[i] for i in ids] == list(range(len(ids)))
+
+
+def test_robust_trends_gather_series_once(spark):
+    """Lines and refits come from one shuffle; series of many lengths, flat ones and such without a line."""
+    rng = np.random.default_rng(2)
+    rows = [(k, t, float(rng.normal() * 3 + t)) for k in range(60) for t in rng.choice(12, k % 9, replace=False).tolist()]
+    rows += [(100, t, 7.0) for t in range(5)] + [(101, 3, 1.0), (101, 4, None), (102, None, 1.0)]
+    df = spark.createDataFrame(rows, "k int, t int, y double")
+    out = robust_trend(df, ["k"], "t", "y", 1.5)
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange") == 1
+    spread = lambda e: 1.4826 * np.median(np.abs(e - np.median(e)))
+
+    def line(s):
+        t, y = np.array([a for a, _ in s], float), np.array([b for _, b in s])
+        b = ((t - t.mean()) * (y - y.mean())).sum() / ((t - t.mean()) ** 2).sum()
+        return round(spread(y - b * t - (y.mean() - b * t.mean())), 6), b
+
+    got, n = {r.k: r for r in out.collect()}, 0
+    for k in {r[0] for r in rows}:
+        s = sorted((t, y) for i, t, y in rows if i == k and t is not None and y is not None)
+        if len(s) < 2:
+            assert k not in got
+            continue
+        best = (None, *line(s))
+        for o, _ in s if len(s) > 2 else ():
+            nmad, slope = line([x for x in s if x[0] != o])
+            if best[1] > 1.5 and nmad < best[1]:
+                best = (o, nmad, slope)
+        n += best[0] is not None
+        assert got[k].left_out == best[0] and (got[k].nmad, got[k].slope) == pytest.approx(best[1:], abs=2e-6)
+    assert n > 5
