@@ -1,5 +1,7 @@
 """Storage codecs, trends, prioritised mosaics and neighbourhood products."""
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from gridloom.functions import columns as C
@@ -107,27 +109,64 @@ TILE_CTES = (
 )
 
 
+#: Cells of a block along an axis (whole tiles); a task holds a year of one.
+BLOCK = 128
+
+
+def stacks_by_source(obs, tile: int = 8):
+    """r, c, yr, covered (whether the first source is in the cell's tile in that year), and by source, and of ``all``, a struct of median,
+    nmad, n and doy (null without observations): all stacks of a cell and year from one shuffle of the observations by blocks."""
+    at = lambda v: F.floor(F.col(v) / BLOCK).cast("int")
+    rows = obs.select(at("r").alias("br"), at("c").alias("bc"), "yr", "r", "c", (F.col("dem_id") % 4).cast("int").alias("src"), (F.col("z") / 20).alias("z"), F.dayofyear("d").cast("double").alias("doy"))
+    names, parts = [*(s for s, *_ in SOURCES), "all"], ("median", "nmad", "n", "doy")
+
+    def middles(v: np.ndarray, group: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Median and count of the values that are there, by group."""
+        there = ~np.isnan(v)
+        v, group = v[there], group[there]
+        v, n = v[np.lexsort((v, group))], np.bincount(group, minlength=size)
+        first, out, k = np.cumsum(n) - n, np.full(size, np.nan), n > 0
+        out[k] = (v[first[k] + (n[k] - 1) // 2] + v[first[k] + n[k] // 2]) / 2
+        return out, n
+
+    def stacks(df: pd.DataFrame) -> pd.DataFrame:
+        rc, cell = np.unique(np.column_stack([df.r, df.c]), axis=0, return_inverse=True)
+        cell, src, z, doy = cell.ravel(), df.src.to_numpy(), df.z.to_numpy(float), df.doy.to_numpy(float)
+        out = pd.DataFrame({"yr": df.yr.iloc[0], "r": rc[:, 0], "c": rc[:, 1]})
+        tiles = rc // tile
+        first = np.isin(np.arange(len(rc)), cell[src == 0])
+        out["covered"] = pd.MultiIndex.from_arrays(tiles.T).isin(list(map(tuple, tiles[first])))
+        for group, size, columns in ((cell * len(SOURCES) + src, len(rc) * len(SOURCES), names[:-1]), (cell, len(rc), names[-1:])):
+            mid, n = middles(z, group, size)
+            nmad = C.NMAD_SCALE * middles(np.abs(z - mid[group]), group, size)[0]
+            n = np.where(np.bincount(group, minlength=size) > 0, n, np.nan)
+            for part, v in zip(parts, (mid, nmad, n, middles(doy, group, size)[0]), strict=True):
+                for i, name in enumerate(columns):
+                    out[f"{name}_{part}"] = v[i :: len(columns)]
+        return out
+
+    tasks = int(obs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    schema = "yr int, r int, c int, covered boolean, " + ", ".join(f"{n}_{p} double" for n in names for p in parts)
+    got = rows.repartition(tasks, "br", "bc", "yr").groupBy("br", "bc", "yr").applyInPandas(stacks, schema)
+    held = lambda n: F.when(F.col(f"{n}_n").isNotNull(), F.struct(*(F.col(f"{n}_{p}").cast("long" if p == "n" else "double").alias(p) for p in parts))).alias(n)
+    return got.select("r", "c", "yr", "covered", *map(held, names))
+
+
 def mosaic_tile(obs, ref):
     """R3's yearly bands in one chain: the prioritised sources, blended at the seam of a region with another stack (value and spread by
     weight, the greater count, the day of the side that weighs more), without what is ocean in the year."""
-    name = F.element_at(F.array(*(F.lit(s[0]) for s in SOURCES)), (F.col("dem_id") % 4 + 1).cast("int"))
-    rows, day = obs.select("r", "c", "yr", "d", name.alias("src"), (F.col("z") / 20).alias("z")), F.median(F.dayofyear("d")).alias("doy")
-    m = G.robust_stack(rows, ["r", "c", "yr", "src"], "z", day)
-    cell = m.groupBy("r", "c", "yr").agg(*(F.max(F.when(F.col("src") == s, F.struct("median", "nmad", "n", "doy"))).alias(s) for s, *_ in SOURCES))
-    here = [F.floor(F.col("r") / 8).alias("tr"), F.floor(F.col("c") / 8).alias("tc")]
-    covered = cell.where("vertcoreg is not null").select(*here, "yr", F.lit(True).alias("covered")).distinct()
-    cell = cell.select("*", *here).join(covered, ["tr", "tc", "yr"], "left")
+    cell = stacks_by_source(obs)
     a = F.lit(None)
     for s, code, nmad, n in reversed(SOURCES):
-        ok = (F.col(s)["nmad"] < nmad) & (F.col(s)["n"] >= n) & (F.col("covered").isNull() if s in ("p75", "p95") else F.lit(True))
+        ok = (F.col(s)["nmad"] < nmad) & (F.col(s)["n"] >= n) & (~F.col("covered") if s in ("p75", "p95") else F.lit(True))
         value = F.col(s)["median"] + ((F.col("yr") - 1995) * 0.5 if s == "uncorr" else 0.0)
         a = F.when(ok, F.struct(value.alias("z"), F.col(s)["nmad"].alias("nmad"), F.col(s)["n"].alias("n"), F.col(s)["doy"].alias("doy"), F.lit(code).alias("q"))).otherwise(a)
-    first = cell.select("r", "c", "yr", a.alias("a"))
-    second = G.robust_stack(rows, ["r", "c", "yr"], "z", day).select("r", "c", "yr", F.struct(F.col("median").alias("z"), "nmad", "n", "doy").alias("b"))
+    b = F.struct(F.col("all.median").alias("z"), F.col("all.nmad").alias("nmad"), F.col("all.n").alias("n"), F.col("all.doy").alias("doy"))
+    both = cell.select("r", "c", "yr", a.alias("a"), b.alias("b"))
     around = [(i, j) for i in range(1 - REACH, REACH) for j in range(1 - REACH, REACH)]
     seen = G.neighbours(ref.where("slope = 50").select("r", "c"), around)
     w = seen.groupBy("r", "c").agg(F.greatest(F.lit(0.0), 1 - F.sqrt(F.min(F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc"))) / REACH).alias("w"))
-    u = second.join(first, ["r", "c", "yr"]).join(ref.select("r", "c", (F.col("zone").startswith("Brand#5")).alias("gone")), ["r", "c"]).join(w, ["r", "c"], "left")
+    u = both.join(ref.select("r", "c", (F.col("zone").startswith("Brand#5")).alias("gone")).join(w, ["r", "c"], "left"), ["r", "c"])
     u = u.withColumn("w", F.coalesce("w", F.lit(0.0))).withColumn("ocean", F.col("gone") & (F.col("yr") >= 1997))
     ha, hb = F.col("a").isNotNull(), F.col("w") > 0
     pick = lambda both, x: F.when(ha & hb, both).when(ha, F.col("a")[x]).when(hb, F.col("b")[x])

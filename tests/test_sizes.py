@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 from gridloom.operators import registration as R
 from gridloom.operators import solvers as V
 from gridloom.operators import uncertainty as U
+from gridloom.plans import products
 from gridloom.sources import cubes, files
 from gridloom.streaming import tiles
 
@@ -105,3 +106,32 @@ def test_discs_meet_blocks_not_rows(spark):
     for r, c in ((0, 100), (63, 103), (64, 100), (127, 101), (639, 102)):
         seen = [v[k, j] for k in range(r - 9, r + 10) for j in range(100, 104) if (k, j) in v and (k - r) ** 2 + (j - c) ** 2 <= 250 / np.pi + 1e-9]
         assert got[r, c] == pytest.approx(np.mean(seen))
+
+
+def test_mosaic_shuffles_observations_once(spark, monkeypatch):
+    """All stacks of a cell and year come from one shuffle, at any size of blocks; a cell without values keeps its row."""
+    rows = spark.range(6000, numPartitions=4).select(
+        F.floor(F.col("id") / 10 % 20).cast("int").alias("r"), (F.col("id") % 10).cast("int").alias("c"), (F.col("id") % 3 + 1995).cast("int").alias("yr"), F.abs(F.hash("id", F.lit(1)) % 90).cast("long").alias("dem_id"),
+        F.when(F.hash("id") % 7 != 0, F.hash("id") % 500 / 3.0).alias("z"), F.date_add(F.lit("1995-01-01"), F.abs(F.hash("id") % 365)).alias("d"),
+    ).where("dem_id % 4 <> 0 or r < 8")
+    before = shuffled(spark)
+    got = {(x.r, x.c, x.yr): x for x in products.stacks_by_source(rows).collect()}
+    assert shuffled(spark) - before == rows.count()
+    monkeypatch.setattr(products, "BLOCK", 8)
+    assert {(x.r, x.c, x.yr): x for x in products.stacks_by_source(rows).collect()} == got
+    held = {}
+    for x in rows.collect():
+        for name in (products.SOURCES[x.dem_id % 4][0], "all"):
+            held.setdefault((x.r, x.c, x.yr), {}).setdefault(name, []).append((x.z, x.d.timetuple().tm_yday))
+    assert held.keys() == got.keys()
+    first = {(r // 8, c // 8, yr) for (r, c, yr), s in held.items() if "vertcoreg" in s}
+    for k, sources in held.items():
+        assert got[k].covered == ((k[0] // 8, k[1] // 8, k[2]) in first)
+        for name in (*(s[0] for s in products.SOURCES), "all"):
+            x, v = got[k][name], np.array([z / 20 for z, _ in sources.get(name, ()) if z is not None])
+            if name not in sources:
+                assert x is None
+                continue
+            assert x.n == len(v) and x.doy == np.median([d for _, d in sources[name]])
+            want = (np.median(v), 1.4826 * np.median(np.abs(v - np.median(v)))) if len(v) else (None, None)
+            assert (x.median, x.nmad) == (pytest.approx(want) if len(v) else want)
