@@ -8,7 +8,7 @@ from pyspark.sql.window import Window as W
 from gridloom.operators import registration as R
 from gridloom.operators import solvers as V
 from gridloom.operators import uncertainty as U
-from gridloom.plans import products
+from gridloom.plans import products, solvers
 from gridloom.sources import cubes, files
 from gridloom.streaming import tiles
 
@@ -135,3 +135,22 @@ def test_mosaic_shuffles_observations_once(spark, monkeypatch):
             assert x.n == len(v) and x.doy == np.median([d for _, d in sources[name]])
             want = (np.median(v), 1.4826 * np.median(np.abs(v - np.median(v)))) if len(v) else (None, None)
             assert (x.median, x.nmad) == (pytest.approx(want) if len(v) else want)
+
+
+def test_rolling_lines_shuffle_observations_once(spark):
+    """Yearly medians and series by cell need one shuffle; windows of a batch fitted together are those fitted alone."""
+    out = solvers.r30_rolling_ransac(grid(spark, 8, 8).withColumn("yr", F.col("yr") + 1995))
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange") == 1
+    rng = np.random.default_rng(4)
+    t, y = np.sort(rng.random((50, 4)), 1), rng.integers(0, 3, (50, 4)).astype(float)
+    pairs = [(i, j) for i in range(4) for j in range(i + 1, 4)]
+    slope, intercept, n = V.window_lines(t, y, pairs)
+    for k in range(50):
+        limit, draws = np.median(np.abs(y[k] - np.median(y[k]))), []
+        for i, j in pairs:
+            off = np.abs(y[k] - y[k, i] - (y[k, j] - y[k, i]) / (t[k, j] - t[k, i]) * (t[k] - t[k, i]))
+            near = off <= limit + 1e-9
+            draws.append((-near.sum(), round(off[near].sum(), 9), (i, j), near))
+        near = min(draws, key=lambda d: d[:3])[3]
+        assert n[k] == near.sum() and (slope[k], intercept[k]) == pytest.approx(tuple(np.polyfit(t[k, near], y[k, near], 1)), rel=1e-5, abs=1e-6)
