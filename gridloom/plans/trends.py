@@ -58,7 +58,8 @@ FROM f LEFT JOIN (SELECT r, c, list({{'k': round(nmad, 6), 'o': CAST(o AS BIGINT
 
 def flagged(obs, scale: float):
     """Yearly values by cell with a quality flag from 1 to 4."""
-    return obs.groupBy("r", "c", (F.col("yr") - 1995).alias("t")).agg((F.median("z") / scale).alias("z"), (1 + F.count("*") % 4).alias("flag"))
+    rows = G.by_cell(obs.select("r", "c", (F.col("yr") - 1995).alias("t"), "z"))
+    return rows.groupBy("r", "c", "t").agg((F.median("z") / scale).alias("z"), (1 + F.count("*") % 4).alias("flag"))
 
 
 def by_flags(q):
