@@ -117,7 +117,7 @@ def stacks_by_source(obs, tile: int = 8):
     """r, c, yr, covered (whether the first source is in the cell's tile in that year), and by source, and of ``all``, a struct of median,
     nmad, n and doy (null without observations): all stacks of a cell and year from one shuffle of the observations by blocks."""
     at = lambda v: F.floor(F.col(v) / BLOCK).cast("int")
-    rows = obs.select(at("r").alias("br"), at("c").alias("bc"), "yr", "r", "c", (F.col("dem_id") % 4).cast("int").alias("src"), (F.col("z") / 20).alias("z"), F.dayofyear("d").cast("double").alias("doy"))
+    rows = obs.dropna(subset=["r", "c", "yr"]).select(at("r").alias("br"), at("c").alias("bc"), "yr", "r", "c", F.coalesce((F.col("dem_id") % 4).cast("int"), F.lit(-1)).alias("src"), (F.col("z") / 20).alias("z"), F.dayofyear("d").cast("double").alias("doy"))
     names, parts = [*(s for s, *_ in SOURCES), "all"], ("median", "nmad", "n", "doy")
 
     def middles(v: np.ndarray, group: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -136,11 +136,12 @@ def stacks_by_source(obs, tile: int = 8):
         tiles = rc // tile
         first = np.isin(np.arange(len(rc)), cell[src == 0])
         out["covered"] = pd.MultiIndex.from_arrays(tiles.T).isin(list(map(tuple, tiles[first])))
-        for group, size, columns in ((cell * len(SOURCES) + src, len(rc) * len(SOURCES), names[:-1]), (cell, len(rc), names[-1:])):
-            mid, n = middles(z, group, size)
-            nmad = C.NMAD_SCALE * middles(np.abs(z - mid[group]), group, size)[0]
+        known = src >= 0
+        for group, size, columns, kept in (((cell * len(SOURCES) + src)[known], len(rc) * len(SOURCES), names[:-1], known), (cell, len(rc), names[-1:], slice(None))):
+            mid, n = middles(z[kept], group, size)
+            nmad = C.NMAD_SCALE * middles(np.abs(z[kept] - mid[group]), group, size)[0]
             n = np.where(np.bincount(group, minlength=size) > 0, n, np.nan)
-            for part, v in zip(parts, (mid, nmad, n, middles(doy, group, size)[0]), strict=True):
+            for part, v in zip(parts, (mid, nmad, n, middles(doy[kept], group, size)[0]), strict=True):
                 for i, name in enumerate(columns):
                     out[f"{name}_{part}"] = v[i :: len(columns)]
         return out

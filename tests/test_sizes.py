@@ -154,3 +154,15 @@ def test_rolling_lines_shuffle_observations_once(spark):
             draws.append((-near.sum(), round(off[near].sum(), 9), (i, j), near))
         near = min(draws, key=lambda d: d[:3])[3]
         assert n[k] == near.sum() and (slope[k], intercept[k]) == pytest.approx(tuple(np.polyfit(t[k, near], y[k, near], 1)), rel=1e-5, abs=1e-6)
+
+
+def test_blocks_leave_out_rows_without_keys(spark):
+    """Observations without a place, year or strip; an observation of no source counts in the stack of all."""
+    day = F.lit("1996-02-03").cast("date").alias("d")
+    rows = [(0, 0, 1996, 4, 20.0), (0, 0, 1996, None, 60.0), (None, 0, 1996, 4, 1.0), (0, 1, None, 4, 1.0)]
+    x = products.stacks_by_source(spark.createDataFrame(rows, "r int, c int, yr int, dem_id long, z double").select("*", day)).collect()
+    assert len(x) == 1 and x[0].vertcoreg.median == 1.0 and x[0]["all"].median == 2.0 and x[0]["all"].n == 2
+    planes = [(1990, "a", 0, 0, 1.0, 1.0), (1990, "b", 1, 0, 3.0, None), (1990, None, 1, 0, 3.0, None), (1990, "b", None, 0, 3.0, None), (1990, "b", 2, 2, None, None)]
+    df = spark.createDataFrame(planes, "yr int, dem string, x int, y int, z double, ref double")
+    assert sorted((p.dem, p.cx) for p in R.joint_planes(df, rounds=1).collect()) == [("a", 0.0), ("b", 1.0)]
+    assert R.joint_planes(df.limit(0), rounds=1).count() == 0
