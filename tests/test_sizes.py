@@ -96,6 +96,33 @@ def test_planes_shuffle_observations_once(spark, monkeypatch):
     assert all(a == pytest.approx(b, rel=1e-6, abs=1e-6) for a, b in zip(small, planes, strict=True))
 
 
+def test_spread_strips_meet_few_parts(spark, monkeypatch):
+    """A strip that lies all over the grid is sent to a bounded number of parts, not to every block; planes stay."""
+    monkeypatch.setattr(R, "BLOCK", 4)
+    monkeypatch.setattr(R, "BLOCK_OBS", 50)
+    df = spark.range(5 * 40 * 40, numPartitions=4).select(
+        (1990 + F.col("id") % 2).cast("int").alias("yr"), F.concat(F.lit("s"), F.col("id") % 5).alias("dem"), F.floor(F.col("id") / 5 % 40).cast("int").alias("x"), (F.floor(F.col("id") / 200) - 7).cast("int").alias("y"),
+        (F.hash("id") % 100 / 10.0).alias("z"), F.when(F.col("id") % 3 == 0, F.lit(1.0)).alias("ref"),
+    )
+    blocks, buckets = R._blocked(df)
+    strips = R._strips(blocks)
+    parts = blocks.select("yr", "part").distinct().count()
+    assert blocks.count() >= 200 and 2 <= parts <= 1.5 * spark.sparkContext.defaultParallelism + 2 and buckets >= parts
+    assert strips.count() == 10 and strips.agg(F.max(F.size("parts"))).first()[0] <= parts / 2
+    want = {(x.yr, x.dem): (x.cx, x.cy) for x in df.groupBy("yr", "dem").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy")).collect()}
+    assert {(x.yr, x.dem): (x.cx, x.cy) for x in strips.collect()} == want
+    at = strips.select("yr", "dem", "parts", "cx", "cy", F.lit(0.1).alias("ta"), F.lit(-0.2).alias("tb"), F.lit(3.0).alias("tc"))
+    small = {(x.yr, x.dem): x for x in R._evaluated(blocks, buckets, at, 3.0).collect()}
+    plan = R._evaluated(blocks, buckets, at, 3.0)._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "ShuffledHashJoin" in plan and "Sort " not in plan and plan.count("Exchange") == 2  # strips there, sums back
+    monkeypatch.setattr(R, "BLOCK", 1024)
+    monkeypatch.setattr(R, "BLOCK_OBS", 1 << 19)
+    blocks, buckets = R._blocked(df)
+    assert blocks.count() == 2 + 2  # one for the rows below 0
+    whole = {(x.yr, x.dem): x for x in R._evaluated(blocks, buckets, R._strips(blocks).join(at.drop("parts", "cx", "cy"), ["yr", "dem"]), 3.0).collect()}
+    assert small.keys() == whole.keys() and all(small[k][n] == pytest.approx(whole[k][n], rel=1e-9, abs=1e-9) for k in small for n in R.STRIP_SUMS)
+
+
 def test_discs_meet_blocks_not_rows(spark):
     """A cell is sent to the blocks within its reach, not to every row that has it in a disc; blocks' borders change nothing."""
     df = spark.range(640 * 4, numPartitions=4).select(F.floor(F.col("id") / 4).cast("int").alias("r"), (F.col("id") % 4 + 100).cast("int").alias("c"), (F.hash("id") % 100 / 7.0).alias("v"))
