@@ -49,6 +49,29 @@ def test_rigid_shifts_are_found_for_all_strips(spark, sf):
     assert all(abs(got[d].dx - x) < 0.1 and abs(got[d].dy - y) < 0.1 and got[d].after <= got[d].before + 1e-9 for d, (x, y) in want.items())
 
 
+def test_rigid_shifts_go_on_until_small(spark):
+    """A strip nine cells off, beyond the window and all halos; one that goes on after five rounds; one that is nowhere on the reference."""
+    rise = lambda x, y: 40 * np.sin(x / 8) + 30 * np.cos(y / 10)
+    surface = spark.createDataFrame([(r, c, float(rise(c, r))) for r in range(64) for c in range(64)], "r int, c int, z double")
+    rng, want = np.random.default_rng(5), {"far": (9.3, -7.6, 30.0), "near": (0.6, -0.6, 2.0)}
+    points = [(d, float(x), float(y), float(rise(x + dx, y + dy) + dz + rng.normal(0, 0.01) + (200 if rng.random() < 0.05 else 0))) for d, (dx, dy, dz) in want.items() for x, y in rng.uniform(16, 46, (600, 2))]
+    off = [("off", 500.0 + i, 500.0, 1.0) for i in range(9)]
+    df = spark.createDataFrame(points + off, "dem string, x double, y double, z double")
+    got = {r.dem: r for r in R.rigid_shifts(df, surface).collect()}
+    assert got.keys() == {"far", "near", "off"}
+    assert got["off"].n == 0 and got["off"].dx is None and not got["off"].settled
+    for d, shift in want.items():
+        assert (got[d].dx, got[d].dy, got[d].dz) == pytest.approx(shift, abs=0.1) and got[d].n == 600 and got[d].settled and got[d].after < got[d].before
+
+
+def test_points_on_cells_of_the_rim_count(spark):
+    """On a cell's centre the missing cell beside it has no weight."""
+    surface = spark.createDataFrame([(r, c, float(3 * c + 2 * r + c * r % 5)) for r in range(12) for c in range(12)], "r int, c int, z double")
+    df = spark.createDataFrame([("a", float(c), float(r), float(3 * c + 2 * r + c * r % 5)) for r in range(1, 11) for c in range(1, 11)], "dem string, x double, y double, z double")
+    got = R.rigid_shifts(df, surface).collect()
+    assert len(got) == 1 and got[0].n == 100 and (got[0].dx, got[0].dy, got[0].dz) == pytest.approx((0, 0, 0), abs=1e-9)
+
+
 def test_outlines_grow_from_the_first_to_the_second(spark):
     ring = lambda cx, cy, size: [(cx + size * math.cos(a), cy + size * math.sin(a)) for a in np.arange(8) * math.pi / 4]
     frame = lambda rows: spark.createDataFrame(rows, "g int, ring array<struct<x: double, y: double>>")
